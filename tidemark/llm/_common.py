@@ -10,11 +10,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.shipping import ship_package
+
 #: Bytes of text that one slice of an Arrow batch holds at most (a single longer row is a slice of its own).
 SLICE_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
