@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_codec, html_text, language, licenses, token_counts, warc
+from tidemark.llm import bpe_codec, html_text, language, licenses, minhash, token_counts, warc
 from tidemark.llm._common import shared_folder, table
 
 
@@ -28,6 +28,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -36,7 +40,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_html_text, op5_language_id, op6_license_scan, op7_warc, op9_token_counts, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op2_html_text, op5_language_id, op6_license_scan, op7_warc, op8_minhash, op9_token_counts, op10_bpe_codec)}
 
 #: DuckDB SQL for the queries that SQL expresses.
 ORACLES: dict[str, str] = {}
