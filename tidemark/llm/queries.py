@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_codec, html_text, language, licenses, minhash, suffix_dedup, token_counts, warc
+from tidemark.llm import bpe_codec, fingerprints, html_text, language, licenses, minhash, suffix_dedup, token_counts, warc
 from tidemark.llm._common import shared_folder, table
 
 
@@ -17,6 +17,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.learn_dictionaries(docs.filter(~language.held_out()))
@@ -44,7 +48,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_html_text, op3_suffix_dedup, op5_language_id, op6_license_scan, op7_warc, op8_minhash, op9_token_counts, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op2_html_text, op3_suffix_dedup, op4_fingerprints, op5_language_id, op6_license_scan, op7_warc, op8_minhash, op9_token_counts, op10_bpe_codec)}
 
 #: DuckDB SQL for the queries that SQL expresses.
 ORACLES: dict[str, str] = {}
