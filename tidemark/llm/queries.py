@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_codec, fingerprints, html_text, language, licenses, minhash, suffix_dedup, token_counts, warc
+from tidemark.llm import bpe_codec, decontaminate, fingerprints, html_text, language, licenses, minhash, suffix_dedup, token_counts, warc
 from tidemark.llm._common import shared_folder, table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -48,7 +52,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_html_text, op3_suffix_dedup, op4_fingerprints, op5_language_id, op6_license_scan, op7_warc, op8_minhash, op9_token_counts, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_suffix_dedup, op4_fingerprints, op5_language_id, op6_license_scan, op7_warc, op8_minhash, op9_token_counts, op10_bpe_codec)}
 
 #: DuckDB SQL for the queries that SQL expresses.
 ORACLES: dict[str, str] = {}

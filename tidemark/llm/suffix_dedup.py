@@ -384,45 +384,77 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return spans
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of df; with keep_text also kept, the remaining bytes
-    as text (bytes that a removal has cut out of a character are left out of it).
-
-    A null text counts as empty. A null id comes before all others. Rows that repeat an id with one text are one
-    document: they do not repeat each other and share their result. Rows with one id and different texts are ordered by
-    a hash of the text. Other columns are ignored; an empty table gives an empty result.
-    """
+def _with_spans(df: DataFrame, id_col: str, text_col: str, hot: int) -> DataFrame:
+    """The rows of df as struct r, with their id, text (never null) and spans to remove (null if none)."""
     docs = df.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        F.struct(*df.columns).alias("r"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
         F.xxhash64(F.col(text_col).cast("string")).alias("h"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    spans, spans_path = written(repeated_spans(docs.drop("doc_id"), hot), "spans")
+    spans, _ = written(repeated_spans(docs.drop("r"), hot), "spans")
     # A document's spans are as many as its bytes at most.
     gathered = spans.distinct().groupBy("id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
+    return docs.join(gathered, ["id", "h"], "left")
+
+
+def _cut(data: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
+    """(what is left, bytes removed, maximal removed runs) for spans that may overlap or touch."""
+    kept, removed, runs, stop = [], 0, 0, -1
+    for start, end in sorted((s["start"], s["stop"]) for s in spans or ()):
+        if start > stop:
+            runs += 1
+            kept.append(data[max(stop, 0) : start])
+            removed += end - start
+        else:
+            removed += max(0, end - stop)
+        stop = max(stop, end)
+    kept.append(data[max(stop, 0) :])
+    return b"".join(kept), removed, runs
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that are left) for every row of df.
+
+    A null text counts as empty. A null id comes before all others. Rows that repeat an id with one text are one
+    document: they do not repeat each other and share their result. Rows with one id and different texts are ordered by
+    a hash of the text. Other columns are ignored; an empty table gives an empty result.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             rows = []
             for doc_id, text, found in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
-                data, at, removed, runs, kept = text.encode(), 0, 0, 0, []
-                stop = -1
-                for span in sorted((s["start"], s["stop"]) for s in found or ()):
-                    if span[0] > stop:
-                        runs += 1
-                        kept.append(data[max(at, 0) : span[0]])
-                        removed += span[1] - span[0]
-                    else:
-                        removed += max(0, span[1] - stop)
-                    stop = at = max(stop, span[1])
-                kept = b"".join([*kept, data[at:]])
-                rows.append((doc_id, len(data), removed, runs, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if keep_text else [])))
-            types = [pa.int64()] * 4 + [pa.string()] * 2
+                data = text.encode()
+                kept, removed, runs = _cut(data, found)
+                rows.append((doc_id, len(data), removed, runs, hashlib.sha256(kept).hexdigest()))
+            types = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(rows[0])],
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             )
 
-    return docs.join(gathered, ["id", "h"], "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+    only = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = _with_spans(only, "doc_id", "text", hot).select(F.col("r.doc_id").alias("doc_id"), "text", "spans")
+    return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """The rows of df with the repeats cut out of their texts; nulls stay null, other columns stay as they are.
+
+    Where a cut goes through a character, the character's remaining bytes go too, so that the text stays text.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            texts = [
+                _cut(text.encode(), found)[0].decode("utf-8", "ignore") if found else text
+                for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([part.column("r"), pa.array(texts, pa.string())], names=["r", "cut"])
+
+    rows = _with_spans(df, id_col, text_col, hot)
+    was_null = F.col(f"r.{text_col}").isNull()
+    slim = rows.select(F.struct(F.col("r").dropFields(text_col).alias("rest"), was_null.alias("was_null")).alias("r"), "text", "spans")
+    out = slim.mapInArrow(cut, f"r {slim.schema['r'].dataType.simpleString()}, cut string")
+    text = F.when(~F.col("r.was_null"), F.col("cut"))
+    return out.select(*(text.alias(c) if c == text_col else F.col(f"r.rest.{c}").alias(c) for c in df.columns))
