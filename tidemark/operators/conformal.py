@@ -48,7 +48,7 @@ class Boa:
 
     def __init__(self, experts: int, tau: float):
         self.tau, self.weights = tau, [1.0 / experts] * experts
-        self.regret, self.variance, self.range = [0.0] * experts, [0.0] * experts, [0.0] * experts
+        self.regret, self.variance = [0.0] * experts, [0.0] * experts
 
     def combine(self, values) -> float:
         return sum(w * v for w, v in zip(self.weights, values, strict=True))
@@ -56,12 +56,10 @@ class Boa:
     def update(self, values, y: float) -> None:
         mean = self.combine(values)
         slope = (1.0 if y < mean else 0.0) - self.tau
-        n = len(values)
         gain = [slope * (mean - v) for v in values]
         for i, r in enumerate(gain):
-            self.range[i] = max(self.range[i], abs(r))
             self.variance[i] += 2.2 * r * r
-        etas = [min(1 / (2 * self.range[i]) if self.range[i] else math.inf, 1 / math.sqrt(self.variance[i])) if self.variance[i] else 0.0 for i in range(n)]
+        etas = [1 / math.sqrt(v) if v else 0.0 for v in self.variance]
         for i, r in enumerate(gain):
             self.regret[i] += r - etas[i] * r * r
         logs = [etas[i] * self.regret[i] + (math.log(etas[i]) if etas[i] else -math.inf) for i in range(n)]
