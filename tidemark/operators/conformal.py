@@ -62,7 +62,7 @@ class Boa:
         etas = [1 / math.sqrt(v) if v else 0.0 for v in self.variance]
         for i, r in enumerate(gain):
             self.regret[i] += r - etas[i] * r * r
-        logs = [etas[i] * self.regret[i] + (math.log(etas[i]) if etas[i] else -math.inf) for i in range(n)]
+        logs = [eta * regret + (math.log(eta) if eta else -math.inf) for eta, regret in zip(etas, self.regret, strict=True)]
         top = max(logs)
         if top == -math.inf:
             return
