@@ -206,3 +206,27 @@ def test_missing_columns_and_values_fail(spark):
         clean.require(spark.range(1), ["x"])
     with pytest.raises(Exception, match="missing value"):
         spark.createDataFrame([(1.0, None)], "y double, p double").agg(metrics.mae()).collect()
+
+
+def test_stage_plan():
+    from tidemark.plans import stages
+
+    chosen, left = stages.select(stages.STAGES)
+    assert [s.name for s in chosen] == ["data", "detect", "escalation", "produce"] and len(left) == 4
+    assert [s.name for s in stages.select(stages.STAGES, ["adapt", "data"])[0]] == ["data", "adapt"]
+    with pytest.raises(ValueError, match="unknown"):
+        stages.select(stages.STAGES, ["x"])
+
+    def fail():
+        raise RuntimeError("no")
+
+    plan = [stages.Stage("a", run=fail), stages.Stage("b", ("a",), run=lambda: None), stages.Stage("c", run=lambda: None)]
+    assert [o for _, o in stages.execute(plan, keep_going=True)] == ["failed: no", "skipped", "done"]
+    assert [o for _, o in stages.execute(plan)] == ["failed: no", "skipped", "skipped"]
+
+
+def test_levels():
+    assert conformal.check_level(0.1) == 0.1
+    for bad in (0, 1, -0.5, 2):
+        with pytest.raises(ValueError, match="level"):
+            conformal.check_level(bad)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from abc import ABC, abstractmethod
 from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +34,37 @@ def fixed_intervals(forecasts: DataFrame, radius: DataFrame, key: str = "k", p:
     return forecasts.join(radius.select(key, "radius"), key).withColumns({"lower": F.col(p) - F.col("radius"), "upper": F.col(p) + F.col("radius")}).drop("radius")
 
 
+def check_level(alpha: float) -> float:
+    """alpha, if it lies strictly between 0 and 1."""
+    if not 0 < alpha < 1:
+        raise ValueError(f"level {alpha} is not between 0 and 1")
+    return alpha
+
+
+class UncertaintyQuantifier(ABC):
+    """Intervals one by one: interval() for a forecast, then observe() with what came."""
+
+    @abstractmethod
+    def interval(self, forecast: float) -> tuple[float, float]: ...
+
+    @abstractmethod
+    def observe(self, forecast: float, y: float) -> None: ...
+
+
+def replay(forecasts: DataFrame, make) -> DataFrame:
+    """k, pos, slot, y, p, lower, upper: a quantifier from make() over each key's forecasts, in order."""
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        model, rows, bounds = make(), rows.sort_values("pos"), []
+        for y, p in zip(rows["y"], rows["p"], strict=True):
+            bounds.append(model.interval(p))
+            model.observe(p, y)
+        return rows.assign(lower=[b[0] for b in bounds], upper=[b[1] for b in bounds])
+
+    return forecasts.select("k", "pos", "slot", "y", "p").groupBy("k").applyInPandas(run, "k string, pos long, slot long, y double, p double, lower double, upper double")
+
+
 def radius_of(scores, alpha: float) -> float:
     n = len(scores)
     if alpha <= 0:
@@ -71,11 +103,11 @@ class Boa:
         self.weights = [x / total for x in raw]
 
 
-class AgAci:
+class AgAci(UncertaintyQuantifier):
     """Adaptive conformal candidates with several step sizes over one buffer of errors, aggregated bound by bound."""
 
     def __init__(self, scores, alpha: float = 0.1, gammas=GAMMAS, window: int = BUFFER):
-        self.alpha, self.gammas = alpha, tuple(gammas)
+        self.alpha, self.gammas = check_level(alpha), tuple(gammas)
         self.levels = [alpha] * len(self.gammas)
         self.buffer: deque[float] = deque((abs(s) for s in scores), maxlen=window)
         self.low, self.high = Boa(len(self.gammas), alpha / 2), Boa(len(self.gammas), 1 - alpha / 2)
