@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.shared import drop_folder, shared_folder, written
 from tidemark.sources.shipping import ship_package
 
+__all__ = ["drop_folder", "partitions", "shared_folder", "slices", "table", "written"]
+
 #: Bytes of text that one slice of an Arrow batch holds at most (a single longer row is a slice of its own).
 SLICE_BYTES = 4_000_000
 
@@ -36,31 +37,5 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int = SL
         yield batch.slice(start)
 
 
-def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share; a temporary one only if that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_by_hand.isDefined():
-            root = set_by_hand.get()
-        else:
-            root = tempfile.mkdtemp(prefix="checkpoints-")
-            spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder, which cuts its lineage; the folder's path lets the caller drop it."""
-    spark = df.sparkSession
-    path = shared_folder(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

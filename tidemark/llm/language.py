@@ -42,17 +42,22 @@ SCHEMA = "doc_id long, lang_pred string, score double, accepted boolean"
 def learn_dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """{language: dictionary}, from SAMPLE_DOCS documents of each language, those whose ids hash lowest.
 
-    Rows without text or language are ignored. Ids are ranked before texts are read, and the ranking keeps no more
-    than SAMPLE_DOCS rows of a language in each task. The result's size is bounded by MAX_LANGUAGES.
+    Rows without text or language are ignored. Ids are chosen before texts are read. The result's size is bounded by
+    MAX_LANGUAGES and DICTIONARY_BYTES.
     """
     named = labelled.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
     named = named.filter("l IS NOT NULL AND t IS NOT NULL AND i IS NOT NULL")
-    ranked = named.selectExpr("i", "l", "row_number() OVER (PARTITION BY l ORDER BY xxhash64(i), i) AS n").filter(F.col("n") <= SAMPLE_DOCS)
-    chosen = ranked.select("i", "l").limit(MAX_LANGUAGES * SAMPLE_DOCS).collect()
-    languages = sorted({r.l for r in chosen})
-    if len(languages) > MAX_LANGUAGES:
+    counts = named.groupBy("l").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # Four times as many ids as are wanted pass by their hashes alone, so that no task ranks a whole language.
     spark = labelled.sparkSession
+    shares = spark.createDataFrame([(r["l"], min(1.0, 4.0 * SAMPLE_DOCS / r["count"])) for r in counts], "l string, share double")
+    hashed = named.select("i", "l", (F.shiftrightunsigned(F.xxhash64("i"), 11) / F.lit(2.0**53)).alias("u"))
+    few = hashed.join(F.broadcast(shares), "l").filter("u < share")
+    ranked = few.selectExpr("i", "l", "row_number() OVER (PARTITION BY l ORDER BY u, i) AS n").filter(F.col("n") <= SAMPLE_DOCS)
+    chosen = ranked.select("i", "l").limit(MAX_LANGUAGES * SAMPLE_DOCS).collect()
+    languages = sorted({r.l for r in chosen})
     ids = spark.createDataFrame([(r.i, r.l) for r in chosen], "i long, l string").distinct()
     rows = named.join(F.broadcast(ids), ["i", "l"], "left_semi").selectExpr("i", "l", f"left(t, {SAMPLE_CHARS}) AS t").distinct()
     held: dict[str, list] = {lang: [] for lang in languages}
