@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,10 +14,33 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.sources.shared import drop_folder, shared_folder, written
 from tidemark.sources.shipping import ship_package
 
-__all__ = ["drop_folder", "partitions", "shared_folder", "slices", "table", "written"]
+__all__ = ["drop_folder", "kept", "partitions", "release", "shared_folder", "slices", "table", "written"]
 
 #: Bytes of text that one slice of an Arrow batch holds at most (a single longer row is a slice of its own).
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
+
+
+_KEPT: dict[Hashable, object] = {}
+T = TypeVar("T")
+
+
+def release() -> None:
+    """Let go of what this worker keeps from task to task, so that one operator's tables do not stay beside another's."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:
+            pass
+
+
+def kept(key: Hashable, make: Callable[[], T]) -> T:
+    """make(), kept by the worker for later tasks until another operator wants its memory."""
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

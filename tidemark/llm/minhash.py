@@ -5,9 +5,10 @@ coordinate as the least value over the set. Both permutations are bijections of
 bands; documents that share a band are candidates.
 
 Documents with equal shingle sets form a class and are represented by their smallest id, so copies cost no candidates.
-In a bucket every member is first compared with the smallest one (a star, not all pairs). Members that the links so far
-leave in another component than most of the bucket are then compared with all the bucket's members of other components,
-unless their signatures rule a link out; so no link between different texts is lost. Links are confirmed on full sets.
+In a bucket every member is first compared with a centre (a star, not all pairs): the member that shares buckets with
+most others. Members that the links so far leave in another component than most of the bucket are then, in blocks,
+compared with the members of other components, unless their signatures rule a link out; so no link between different
+texts is lost. Links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import drop_folder, partitions, slices, written
+from tidemark.llm._common import drop_folder, partitions, release, slices, written
 from tidemark.llm.components import components
 from tidemark.llm.hashing import mix, shingle_sets
 
@@ -33,8 +34,11 @@ PERCENT = 80
 SALTS = 16
 #: Candidates that one copy of a centre's text is compared with.
 GROUP = 64
-#: Signature coordinates (of BANDS * ROWS) that agree at least where a link is possible: six standard deviations below 0.8.
-AGREE = 36
+#: Signature coordinates (of BANDS * ROWS) that agree at least where a link is possible: five standard deviations below 0.8.
+AGREE = 41
+#: Members outside a bucket's main component that one task compares with the bucket, and with fetched texts.
+BLOCK = 2_048
+TEXT_BLOCK = 256
 
 _SIGMA = np.uint32(0x85EBCA6B)
 
@@ -67,7 +71,8 @@ def _profile(df: DataFrame, size: int) -> DataFrame:
     """id, n (set size), s1 and s2 (128 bits that name the set; null if empty), bands (a 64-bit key each), brief (a byte of each coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 2_000_000):
+        release()
+        for part in slices(batches, "text"):
             sets = shingle_sets([(t or "").encode() for t in part.column("text").to_pylist()], size)
             full = [i for i, s in enumerate(sets) if len(s)]
             sig = signatures([sets[i] for i in full])
@@ -116,6 +121,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     rows = docs.join(asked, "id").select("a", "g", "kind", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         centre, held = None, np.zeros(0, np.uint64)
         for part in slices(batches, "text"):
             sets = shingle_sets([(t or "").encode() for t in part.column("text").to_pylist()], size)
@@ -133,6 +139,107 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return rows.repartition(partitions(docs.sparkSession), "a", "g").sortWithinPartitions("a", "g", "kind").mapInArrow(run, "a long, b long")
 
 
+def _possible(split: DataFrame, briefs: DataFrame) -> DataFrame:
+    """main, id, component, outsider: the members of split buckets that may link an outsider, and these outsiders.
+
+    In each bucket the outsiders' signatures are compared with those of all members of other components, BLOCK outsiders
+    at a time; pairs are not put out.
+    """
+    rows = split.join(briefs.join(split.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "id")
+    blocks = F.ceil(F.col("outside") / BLOCK).cast("int")
+    outsiders = rows.filter("component <> main").select("*", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.lit(0).alias("kind"))
+    everyone = rows.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("kind"))
+    dealt = outsiders.unionByName(everyone).repartition(partitions(split.sparkSession), "key", "block").sortWithinPartitions("key", "block", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        held: list[tuple[int, int, bytes]] = []
+        signs = np.zeros((0, BANDS * ROWS), np.uint8)
+        comps = np.zeros(0, np.int64)
+        for batch in batches:
+            out: set[tuple[int, int, int, bool]] = set()
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("key", "block", "kind", "id", "component", "main", "brief")), strict=True))
+            i = 0
+            while i < len(rows):
+                key, block, kind, *_ = rows[i]
+                if (key, block) != at:
+                    at, held, signs = (key, block), [], None
+                j = i
+                while j < len(rows) and rows[j][:3] == (key, block, kind):
+                    j += 1
+                part = rows[i:j]
+                i = j
+                if kind == 0:
+                    held += [(x[3], x[4], x[6]) for x in part]
+                    continue
+                if not held:
+                    continue
+                if signs is None:
+                    signs = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), -1)
+                    comps = np.array([h[1] for h in held], np.int64)
+                main = part[0][5]
+                for start in range(0, len(part), 64):
+                    some = part[start : start + 64]
+                    other = np.frombuffer(b"".join(x[6] for x in some), np.uint8).reshape(len(some), -1)
+                    agree = (signs[:, None, :] == other[None, :, :]).sum(axis=2)
+                    agree[comps[:, None] == np.array([x[4] for x in some], np.int64)[None, :]] = 0
+                    near = agree >= AGREE
+                    out.update((main, held[o][0], held[o][1], True) for o in np.flatnonzero(near.any(axis=1)).tolist())
+                    out.update((main, some[m][3], some[m][4], False) for m in np.flatnonzero(near.any(axis=0)).tolist())
+            columns = zip(*sorted(out), strict=True) if out else [[]] * 4
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["main", "id", "component", "outsider"])
+
+    return dealt.select("key", "block", "kind", "id", "component", "main", "brief").mapInArrow(run, "main long, id long, component long, outsider boolean").distinct()
+
+
+def _verified_blocks(asked: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: links of outsiders with members of other components, one for each such component of a task's members.
+
+    Outsiders of one main component are cut into blocks of about TEXT_BLOCK; every group of members meets every block.
+    """
+    counts = asked.groupBy("main").agg(F.count_if("outsider").alias("o"), F.count_if(~F.col("outsider")).alias("m"))
+    counts = counts.select("main", F.ceil(F.col("o") / TEXT_BLOCK).cast("int").alias("blocks"), F.ceil(F.col("m") / (4 * GROUP)).cast("int").alias("groups"))
+    rows = asked.join(counts, "main").join(docs, "id")
+    own = F.xxhash64("id")
+    outsiders = rows.filter("outsider").select("*", F.pmod(own, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(0).alias("kind"))
+    everyone = rows.filter("NOT outsider").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(own, F.col("groups")).cast("int").alias("g"), F.lit(1).alias("kind"))
+    dealt = outsiders.filter("groups > 0").unionByName(everyone.filter("blocks > 0"))
+    dealt = dealt.select("main", "block", "g", "kind", "id", "component", "text").repartition(partitions(docs.sparkSession), "main", "block", "g")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        at, held, index, done = None, [], None, set()
+        for part in slices(batches, "text"):
+            sets = shingle_sets([(t or "").encode() for t in part.column("text").to_pylist()], size)
+            out = []
+            for *place, kind, i, component, s in zip(*(part.column(c).to_pylist() for c in ("main", "block", "g", "kind", "id", "component")), sets, strict=True):
+                if place != at:
+                    at, held, index, done = place, [], None, set()
+                if kind == 0:
+                    held.append((i, component, s))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    keys = np.concatenate([h[2] for h in held])
+                    owners = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
+                    order = np.argsort(keys, kind="stable")
+                    index = keys[order], owners[order], np.array([len(h[2]) for h in held])
+                lo, hi = np.searchsorted(index[0], s, side="left"), np.searchsorted(index[0], s, side="right")
+                many = hi - lo
+                where = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+                both = np.bincount(index[1][where], minlength=len(held))
+                for o in np.flatnonzero(100 * both >= percent * (index[2] + len(s) - both)).tolist():
+                    # One link joins two components as well as many.
+                    if held[o][1] != component and (held[o][0], component) not in done:
+                        done.add((held[o][0], component))
+                        out.append((held[o][0], i))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 2)], names=["a", "b"])
+
+    return dealt.sortWithinPartitions("main", "block", "g", "kind").mapInArrow(run, "a long, b long")
+
+
 def link(df: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), kept (doc_id = component_id) for every row.
 
@@ -142,37 +249,34 @@ def link(df: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str =
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profiles, profiles_path = written(_profile(docs, size), "profiles")
+    profiles, _ = written(_profile(docs, size), "profiles")
     classes = profiles.filter("id IS NOT NULL AND s1 IS NOT NULL").groupBy("s1", "s2").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    classes, classes_path = written(classes, "classes")
+    classes, _ = written(classes, "classes")
 
     firsts = classes.select(F.col("first").alias("id"))
-    entries = profiles.select("id", F.explode("bands").alias("key")).join(firsts, "id", "left_semi")
-    buckets = entries.groupBy("key").agg(F.min("id").alias("a"), F.count_distinct("id").alias("members")).filter("members > 1")
-    members, members_path = written(entries.join(buckets, "key").select("key", "a", F.col("id").alias("b")).distinct(), "members")
-    stars = members.filter("a <> b").select("a", "b").distinct()
-    links, links_path = written(_verified(stars, docs, size, percent), "verified")
-    reached, reached_paths = components(links)
+    entries = profiles.select("id", F.explode("bands").alias("key")).join(firsts, "id", "left_semi").distinct()
+    sizes = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    members, members_path = written(entries.join(sizes, "key").select("key", "id", "size"), "members")
+    shared = members.groupBy("id").agg(F.sum("size").alias("shared"))
+    centres = members.join(shared, "id").groupBy("key").agg(F.max_by("id", F.struct("shared", -F.col("id"))).alias("a"))
+    stars = members.join(centres, "key").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
+    texts, texts_path = written(docs.join(shared.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    links, links_path = written(_verified(stars, texts, size, percent), "verified")
+    reached, _ = components(links)
 
     # Members outside the component that most of a bucket belongs to.
-    placed = members.select("key", F.col("b").alias("id")).join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = members.select("key", "id").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = parts.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    split, split_path = written(placed.join(main, "key").select("key", "id", "component", "main"), "split")
-    outside = split.filter("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    pairs = split.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), "main").join(outside, "key").filter("cx <> cy AND (cy = main OR x < y)")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    briefs = profiles.select("id", "brief").join(split.select("id").distinct(), "id", "left_semi").distinct()
-    pairs = pairs.join(briefs.toDF("a", "brief_a"), "a").join(briefs.toDF("b", "brief_b"), "b")
-    agree = F.expr(f"size(filter(sequence(1, {BANDS * ROWS}), i -> substring(brief_a, i, 1) = substring(brief_b, i, 1)))")
-    late, late_path = written(pairs.filter(agree >= AGREE).select("a", "b"), "late")
-    if late.take(1):
-        more, more_path = written(_verified(late, docs, size, percent), "verified")
+    main = parts.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts"), (F.sum("n") - F.max("n")).alias("outside"))
+    split, split_path = written(placed.join(main.filter("parts > 1"), "key").drop("parts"), "split")
+    if split.take(1):
+        asked, asked_path = written(_possible(split, profiles.select("id", "brief")), "asked")
+        more, more_path = written(_verified_blocks(asked, texts, size, percent), "verified")
         if more.take(1):
-            reached, again = components(links.unionByName(more))
-            reached_paths += again
+            reached, _ = components(links.unionByName(more))
+        drop_folder(spark, asked_path)
         drop_folder(spark, more_path)
-    for path in (members_path, links_path, split_path, late_path):
+    for path in (members_path, texts_path, links_path, split_path):
         drop_folder(spark, path)
 
     named = classes.join(reached, F.col("first") == F.col("id"), "left").select("s1", "s2", "first", "copies", F.coalesce("component", "first").alias("component"))
