@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import conformal, escalation, forecast, metrics, regimes, windows
+from tidemark.operators import escalation, forecast, metrics, regimes, windows
 from tidemark.plans import streams as C
 from tidemark.plans.registry import query
 from tidemark.plans.scans import r
