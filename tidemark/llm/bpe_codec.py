@@ -19,12 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import slices
+from tidemark.llm._common import kept, slices
 from tidemark.llm.pretokens import SPACED_WORDS, all_plain
 
-#: Entries of a worker's table of encoded words, and of the bytes in them; only memory depends on these.
-CACHE_ENTRIES = 400_000
-CACHE_BYTES = 40_000_000
+#: Entries of each of the two generations of a worker's table of encoded words; only memory depends on it.
+CACHE_ENTRIES = 450_000
 #: Bytes of words that one recursive query handles; longer single words get a query of their own.
 QUERY_BYTES = 250_000
 #: From this many bytes on, all places of a word's least pair are contracted in one step where that is the same thing.
@@ -45,7 +44,7 @@ WITH RECURSIVE s AS (
    FROM c JOIN best USING (w)
    WHERE k IS NULL OR c.ppos IS NULL OR c.ppos <> (k & 4294967295))
 )
-SELECT s.w AS w, count(*) AS n, string_agg(s.id::VARCHAR, ',' ORDER BY s.pos) AS ids,
+SELECT s.w AS w, string_agg(s.id::VARCHAR, ',' ORDER BY s.pos) AS ids,
        unhex(string_agg(v.hex, '' ORDER BY s.pos)) AS decoded
 FROM s JOIN vocabulary v ON v.id = s.id WHERE s.done GROUP BY s.w ORDER BY s.w
 """
@@ -66,7 +65,7 @@ WITH RECURSIVE s AS (
    FROM c CROSS JOIN best LEFT JOIN kept k ON k.i = c.i LEFT JOIN kept l ON l.i = c.i - 1
    WHERE l.i IS NULL)
 )
-SELECT 0 AS w, count(*) AS n, string_agg(s.id::VARCHAR, ',' ORDER BY s.pos) AS ids,
+SELECT 0 AS w, string_agg(s.id::VARCHAR, ',' ORDER BY s.pos) AS ids,
        unhex(string_agg(v.hex, '' ORDER BY s.pos)) AS decoded
 FROM s JOIN vocabulary v ON v.id = s.id WHERE s.done
 """
@@ -77,7 +76,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Codec:
-    """Encodes words by a rank file; word -> (number of tokens, ids joined by commas, decoded bytes)."""
+    """Encodes words by a rank file; word -> (ids joined by commas, decoded bytes, None where they are the word's own)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import duckdb
@@ -101,54 +100,57 @@ class Codec:
         self._make("risky", pa.table({"id": pa.array(sorted(risky), pa.int32())}))
         self._make("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.byte_ids = np.array([ranks[bytes([x])] for x in range(256)], np.int32)
-        self.known: dict[str, tuple[int, bytes, bytes]] = {}
-        self.held = 0
+        self.young: dict[str, tuple[bytes, bytes | None] | bytes] = {}
+        self.old: dict[str, tuple[bytes, bytes | None] | bytes] = {}
 
     def _make(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def _query(self, words: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+    def _query(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         lengths = np.array([len(x) for x in words])
         ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         positions = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self._make("start", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "pos": positions.astype(np.int32), "id": ids}))
         step = _LONG_STEP if len(words) == 1 and lengths[0] >= LONG_WORD else _STEP
-        return [(n, i.encode(), d) for _, n, i, d in self.db.execute(step).fetchall()]
+        return [(i.encode(), d) for _, i, d in self.db.execute(step).fetchall()]
 
-    def learn(self, words: set[str]) -> dict[str, tuple[int, bytes, bytes]]:
-        """Entries for all these words: from the table, by rank if the word is one token, else by the recursive query."""
-        if len(self.known) > CACHE_ENTRIES or self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
-        out, todo, size = {}, [], 0
+    def learn(self, words: set[str]) -> dict[str, tuple[bytes, bytes] | bytes]:
+        """For all these words the ids joined by commas, with the decoded bytes where these are not the word's own:
+        from the table, by rank if the word is one token, else by the recursive query."""
+        out: dict[str, tuple[bytes, bytes] | bytes] = {}
+        todo: list[str] = []
+        size = 0
 
         def flush() -> None:
             nonlocal size
-            for word, entry in zip(todo, self._query([w.encode() for w in todo]) if todo else [], strict=True):
-                out[word] = entry
+            for word, (ids, decoded) in zip(todo, self._query([w.encode() for w in todo]) if todo else [], strict=True):
+                out[word] = ids if decoded == word.encode() else (ids, decoded)
             todo.clear()
             size = 0
 
         for word in words:
-            if (entry := self.known.get(word)) is not None:
+            entry = self.young.get(word) or self.old.get(word)
+            if entry is not None:
                 out[word] = entry
                 continue
             raw = word.encode()
             if (rank := self.ranks.get(raw)) is not None:
-                out[word] = (1, str(rank).encode(), raw)
+                out[word] = str(rank).encode()
             elif len(raw) >= LONG_WORD:
-                (out[word],) = self._query([raw])
+                ((ids, decoded),) = self._query([raw])
+                out[word] = ids if decoded == raw else (ids, decoded)
             else:
                 if size + len(raw) > QUERY_BYTES:
                     flush()
                 todo.append(word)
                 size += len(raw)
         flush()
-        for word, entry in out.items():
-            if len(word) < LONG_WORD and word not in self.known:
-                self.known[word] = entry
-                self.held += 2 * len(entry[2]) + len(entry[1])
+        if len(self.young) > CACHE_ENTRIES:
+            # What nobody has asked for since the last change of generations goes.
+            self.old, self.young = self.young, {}
+        self.young.update((word, entry) for word, entry in out.items() if len(word) < 64)
         return out
 
     def split(self, text: str) -> list[str]:
@@ -166,18 +168,12 @@ class Codec:
         entries = self.learn({w for words in split for w in words})
         for words in split:
             found = [entries[w] for w in words]
-            yield sum(e[0] for e in found), b",".join([e[1] for e in found]), b"".join([e[2] for e in found])
-
-
-_CODECS: dict[int, Codec] = {}
-
-
-def _codec(data: bytes, pattern: str) -> Codec:
-    key = hash((data, pattern))
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(read_ranks(data), pattern)
-    return _CODECS[key]
+            if bytes in (kinds := set(map(type, found))) and len(kinds) == 1:
+                ids, raw = b",".join(found), "".join(words).encode()
+            else:
+                ids = b",".join([e if type(e) is bytes else e[0] for e in found])
+                raw = b"".join([w.encode() if type(e) is bytes else e[1] for w, e in zip(words, found, strict=True)])
+            yield ids.count(b",") + 1 if ids else 0, ids, raw
 
 
 def encode_decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -192,7 +188,7 @@ def encode_decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "do
     data = df.sparkSession.sparkContext.broadcast(path.read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data.value, pattern)
+        codec = kept(("codec", hash((data.value, pattern))), lambda: Codec(read_ranks(data.value), pattern))
         for part in slices(batches, "text"):
             n, ids_hash, text_hash, ids, decoded = [], [], [], [], []
             for count, joined, raw in codec.encode_many([t or "" for t in part.column("text").to_pylist()]):
