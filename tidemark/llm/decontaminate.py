@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import slices
+from tidemark.llm._common import release, slices
 from tidemark.llm.hashing import mix, span_hashes
 
 K1, B = 1.2, 0.75
@@ -290,6 +290,7 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
 def _finder(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         types = [pa.int64(), pa.int64()] + [pa.float64()] * 3
         for part in slices(batches, "text", SLICE):
             ids = part.column("doc_id").to_pylist()
@@ -307,6 +308,7 @@ def drop_leaks(df: DataFrame, items: DataFrame, text_col: str = "text") -> DataF
         shipped = df.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            release()
             for part in slices(batches, text_col, SLICE):
                 leaks = shipped.value.search([t or "" for t in part.column(text_col).to_pylist()])
                 yield part.filter(pa.array([not x for x in leaks], pa.bool_()))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import slices
+from tidemark.llm._common import release, slices
 
 #: Documents that a language's dictionary is sampled from at most, code points taken of each, and bytes of the dictionary.
 SAMPLE_DOCS = 500
@@ -109,6 +109,7 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], min_score: float = M
     model = df.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         classifier = Classifier(model.value)
         for part in slices(batches, "text"):
             found = [classifier.predict(t) for t in part.column("text").to_pylist()]
@@ -130,6 +131,7 @@ def keep_accepted(df: DataFrame, dictionaries: dict[str, bytes], min_score: floa
     model = df.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         classifier = Classifier(model.value)
         for part in slices(batches, text_col):
             found = [classifier.predict(t) for t in part.column(text_col).to_pylist()]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import drop_folder, partitions, slices, written
+from tidemark.llm._common import drop_folder, partitions, release, slices, written
 from tidemark.llm.hashing import mix
 
 #: Bytes of a string that counts as repeated, and of the k-grams among which anchors are chosen.
@@ -299,6 +299,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     sc = spark.sparkContext
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([pa.array(segments(_rows_of(part)[2])[3].view(np.int64))], names=["a"])
 
@@ -338,6 +339,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
             )
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         names = ["id", "h", "start", "stop"]
 
         def packed(buckets: list) -> pa.RecordBatch:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import slices
+from tidemark.llm._common import kept, slices
 from tidemark.llm.pretokens import BARE_WORDS, all_plain
 
 #: Entries of a worker's table of pre-tokens; only memory depends on it.
@@ -104,17 +104,6 @@ class PieceCounter:
         return len(found) + sum(map(self._part, self.special.split(text)))
 
 
-_COUNTERS: dict[int, PieceCounter] = {}
-
-
-def _counter(definition: str) -> PieceCounter:
-    key = hash(definition)
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = PieceCounter(definition)
-    return _COUNTERS[key]
-
-
 def count_tokens(df: DataFrame, tokenizer_file: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) for every row of df, over whole texts.
 
@@ -130,7 +119,7 @@ def count_tokens(df: DataFrame, tokenizer_file: str, limit: int = 2048, id_col:
     definition = df.sparkSession.sparkContext.broadcast(path.read_text(encoding="utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(definition.value)
+        counter = kept(("counter", hash(definition.value)), lambda: PieceCounter(definition.value))
         for part in slices(batches, "text"):
             texts = part.column("text").to_pylist()
             counts = [counter.count(t) if t else 0 for t in texts]
