@@ -74,3 +74,22 @@ def test_stages(spark, docs, tmp_path):
     assert all(after[i].n_tokens == len(library.encode_ordinary(r.text)) for i, r in before.items())
 
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, after.values()))
+
+
+def test_a_row_that_stands_twice_is_not_lost(spark, docs, tmp_path):
+    text = hashlib.sha256(b"y").hexdigest() * 2 + "".join(chr(97 + i % 23) for i in range(120))
+    table = docs([text, text], [7, 7]).select("doc_id", "text", "lang", "source", "n_chars")
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.cut_repeats):
+        table = stage(spark, table, str(tmp_path))
+    left = brute_of(text)
+    assert [(r.doc_id, r.text) for r in table.collect()] == [(7, left)] * 2
+
+
+def brute_of(text):
+    """text without what it repeats of itself, by brute force."""
+    data, seen, gone = text.encode(), set(), set()
+    for p in range(len(data) - 99):
+        if data[p : p + 100] in seen:
+            gone.update(range(p, p + 100))
+        seen.add(data[p : p + 100])
+    return bytes(x for i, x in enumerate(data) if i not in gone).decode()

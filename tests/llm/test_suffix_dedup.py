@@ -77,6 +77,18 @@ def test_null_and_repeated_ids(docs):
     assert got == [(-1, 0), (7, len(text)), (7, len(text))]
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_a_repeated_row_keeps_its_text(docs, hot):
+    text = "q" * 50 + "".join(chr(97 + i % 23) for i in range(120))
+    for ids in ([7, 7], [None, None], [7, 7, 7]):
+        got = suffix_dedup.remove_repeats(docs([text] * len(ids), ids), hot=hot).collect()
+        want = brute([(None, text.encode())])[None]
+        assert [tuple(r) for r in got] == [(i, *want) for i in ids]
+    got = sorted(tuple(r)[:3] for r in suffix_dedup.remove_repeats(docs([text, text, "z" + text], [7, 7, 8]), hot=hot).collect())
+    removed = brute([(7, text.encode()), (8, b"z" + text.encode())])
+    assert got == [(i, *removed[i][:2]) for i in (7, 7, 8)]
+
+
 def test_suffix_ranks():
     rng = random.Random(0)
     for _ in range(200):

@@ -214,11 +214,12 @@ def bucket_marks(buckets: list[tuple[list[Segment], list[bytes]]]) -> list[tuple
     for owners, contents in buckets:
         first: dict[bytes, Segment] = {}
         for owner, content in sorted(zip(owners, contents, strict=True)):
-            if content in first:
+            if content not in first:
+                first[content] = owner
+            elif owner != first[content]:
+                # A row that stands twice has one owner twice and does not repeat itself.
                 i, h, start, count = owner
                 marks.append((i, h, start, start + count - 1 + LENGTH))
-            else:
-                first[content] = owner
         if len(first) > 1:
             kept += first.values()
             parts += first.keys()
