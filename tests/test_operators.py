@@ -1,13 +1,14 @@
 """Hand-computed cases for the time-series operators."""
 
 import datetime as dt
+import json
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import adapt, clean, conformal, detectors, escalation, forecast, ledger, matching, metrics, profile, regimes, windows
+from tidemark.operators import adapt, clean, conformal, detectors, escalation, forecast, ledger, matching, metrics, profile, regimes, tuning, windows
 from tidemark.sources import series as S
 
 H = S.HALF_HOUR
@@ -176,6 +177,19 @@ def test_detection_delays_on_the_benchmark(name, kind, low, high):
     assert low <= np.mean(delays) <= high and false == 0
 
 
+def test_tuning_runs_the_grid_under_its_gates(spark):
+    names = [name for name, _ in tuning.grid()]
+    assert [names.count(x) for x in ("adwin", "kswin", "page_hinkley")] == [144, 126, 234]
+    assert all(tuning.MAKE[name](**params).statistic is None for name, params in tuning.grid())
+    good = ("page_hinkley", {"min_instances": 20, "delta": 1e-4, "threshold": 600.0, "alpha": 0.9995, "mode": "both"})
+    jumpy, deaf = (("page_hinkley", good[1] | {"threshold": x}) for x in (20.0, 1e9))
+    assert good in tuning.grid()
+    rows = tuning.sweep(spark, [good, jumpy, deaf]).collect()
+    kinds = lambda config: {r.kind: (r.runs, r.eligible) for r in rows if r.params == json.dumps(config[1])}
+    assert kinds(good) == {k: (5, True) for k in tuning.KINDS}
+    assert kinds(jumpy) == {"none": (5, False)} and kinds(deaf) == {"none": (5, False), "sudden": (5, False)}
+
+
 def test_an_alarm_makes_the_detector_fresh():
     y = list(np.random.default_rng(0).normal(0, 1, 400)) + list(np.random.default_rng(1).normal(9, 1, 400))
     make = lambda: detectors.PageHinkley(20, 0.005, 20.0, 0.9999)

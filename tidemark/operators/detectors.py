@@ -7,6 +7,7 @@ import random
 from abc import ABC, abstractmethod
 from collections import deque
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 
@@ -141,7 +142,7 @@ def ks_critical(n: int, alpha: float) -> int:
     whole = math.comb(2 * n, n)
     for h in range(1, n + 1):
         p = 2 * sum((-1) ** (k - 1) * math.comb(2 * n, n - k * h) for k in range(1, n // h + 1))
-        if p <= alpha * whole:
+        if p <= Fraction(alpha) * whole:
             return h
     return n + 1
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import adapt, conformal, detectors, forecast, matching, metrics
+from tidemark.operators import adapt, conformal, detectors, forecast, matching, metrics, tuning
 from tidemark.plans import streams as C
 from tidemark.plans.registry import query
 from tidemark.plans.scans import r
@@ -128,7 +128,7 @@ def sq_kswin(spark, sf_dir):
     return detectors.alarms(C.stream(spark, sf_dir), lambda: detectors.Kswin(alpha=0.01, window_size=144, stat_size=48)).select("k", "pos", "us")
 
 
-def _synthetic_scores(spark, kinds, seeds, n=6000):
+def _synthetic_scores(spark, kinds=tuning.KINDS, seeds=tuning.SEEDS, n=tuning.N):
     """Every selected detector on every synthetic series: a row of scores each, one task per series and detector."""
     import pandas as pd
 
@@ -155,20 +155,20 @@ def _synthetic_scores(spark, kinds, seeds, n=6000):
 
 @query("sq_synth_match")
 def sq_synth_match(spark, sf_dir):
-    return _synthetic_scores(spark, ("none", "sudden", "gradual", "recurring"), (1,))
+    return _synthetic_scores(spark)
 
 
 @query("ev_detect")
 def ev_detect(spark, sf_dir):
-    rows = _synthetic_scores(spark, ("none", "sudden"), (1, 2))
+    rows = _synthetic_scores(spark)
     return rows.groupBy("detector", "kind").agg(F.avg("delay").alias("ev_delay"), F.sum("missed").alias("ev_missed"), F.sum("false_alarms").alias("false_alarms"))
 
 
 @query("sq_tuning_early_stop")
 def sq_tuning_early_stop(spark, sf_dir):
-    """Two phases: every configuration on the series without drift; only those within the budget of false alarms go on."""
-    rows = _synthetic_scores(spark, ("none",), (1,)).filter("false_alarms <= 1").select("detector")
-    return _synthetic_scores(spark, ("sudden",), (1,)).join(rows, "detector", "left_semi").select("detector", "kind", "delay")
+    """Every configuration on the series without drift; those without a false alarm go on to each kind of drift."""
+    ship_package(spark)
+    return tuning.sweep(spark, tuning.grid())
 
 
 @query("ev_simulate")

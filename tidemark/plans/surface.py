@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import adapt, conformal, detectors, forecast, ledger, matching, metrics
+from tidemark.operators import adapt, conformal, detectors, forecast, ledger, matching, metrics, tuning
 from tidemark.plans import sequential as Q
 from tidemark.plans import stages
 from tidemark.plans import streams as C
@@ -229,17 +229,17 @@ def ux_detect_runs(spark, sf_dir):
 
 @query("ux_synth_runs")
 def ux_synth_runs(spark, sf_dir):
-    return Q._synthetic_scores(spark, ("none", "recurring"), (1,))
+    return Q._synthetic_scores(spark)
 
 
 @query("ev_delay")
 def ev_delay(spark, sf_dir):
-    return Q._synthetic_scores(spark, ("sudden",), (1, 2)).groupBy("detector").agg(F.avg("delay").alias("delay"))
+    return Q._synthetic_scores(spark, tuning.KINDS[1:]).groupBy("detector").agg(F.avg("delay").alias("delay"))
 
 
 @query("ev_missed")
 def ev_missed(spark, sf_dir):
-    return Q._synthetic_scores(spark, ("recurring",), (1,)).groupBy("detector").agg(F.sum("missed").alias("missed"))
+    return Q._synthetic_scores(spark, tuning.KINDS[1:]).groupBy("detector").agg(F.sum("missed").alias("missed"))
 
 
 @query("ux_seasonal_qc", "SELECT k, round(corr(e, e1), 6) AS after, round(corr(y, y1), 6) AS before FROM (SELECT k, y, y - p AS e, lag(y) OVER (PARTITION BY k ORDER BY pos) AS y1, lag(y - p) OVER (PARTITION BY k ORDER BY pos) AS e1 FROM fc) GROUP BY k")
