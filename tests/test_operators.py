@@ -133,6 +133,23 @@ def test_gap_stats_and_rayleigh(spark):
     assert r["a"].r == pytest.approx(1) and r["a"].p < 1e-6 and r["b"].r < 1e-9 and r["b"].p == pytest.approx(1)
 
 
+def test_simulated_alarms_follow_their_own_set(spark):
+    from tidemark.plans import sequential
+
+    sets = spark.createDataFrame([("a", "raw", 5, 30.0, 0.0), ("a", "accepted", 4, 60.0, 14.0), ("b", "raw", 2, 30.0, 0.0)], "k string, alarm_set string, n long, span double, least double")
+    null = sequential.simulated(sets)
+    got = {(r.k, r.alarm_set): r for r in null.groupBy("k", "alarm_set").agg(F.count("*").alias("n"), F.min("gap_min").alias("least"), F.avg("gap_mean").alias("mean"), F.avg("gap_share").alias("share")).collect()}
+    assert set(got) == {("a", "raw"), ("a", "accepted")} and all(r.n == 5000 for r in got.values())
+    # Mean gap of n uniform alarms: span / (n + 1), on the line shortened by the minimum gaps.
+    assert got["a", "raw"].mean == pytest.approx(30 / 6, rel=0.03) and got["a", "raw"].least < 1
+    assert got["a", "accepted"].mean == pytest.approx(14 + 18 / 5, rel=0.03) and got["a", "accepted"].least >= 14 - 1e-9
+    stats = spark.createDataFrame([("a", "raw", 5.0, 99.0, 1.0), ("a", "accepted", 17.0, 0.0, 0.0), ("b", "raw", 1.0, None, 0.0)], "k string, alarm_set string, gap_mean double, gap_cv double, gap_share double")
+    ranks = {(r.k, r.alarm_set): (r.cv_rank, r.share_rank) for r in sequential.ranked(stats, null).collect()}
+    assert ranks["a", "raw"] == (1.0, 1.0) and ranks["b", "raw"] == (None, None)
+    none_in_edge = null.filter("k = 'a' AND alarm_set = 'accepted' AND gap_share = 0").count() / 5000
+    assert ranks["a", "accepted"] == (0.0, none_in_edge)
+
+
 def test_seasonal_naive(spark):
     rows = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate([10, 20, 11, 21, 12, 22, 0, 0])], "k string, pos long, y double")
     got = rows.select("pos", forecast.seasonal_naive(season=2).alias("p")).orderBy("pos").collect()

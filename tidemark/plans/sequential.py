@@ -171,31 +171,71 @@ def sq_tuning_early_stop(spark, sf_dir):
     return tuning.sweep(spark, tuning.grid())
 
 
-@query("ev_simulate")
-def ev_simulate(spark, sf_dir):
-    """Random alarm times with a minimum gap: sorted uniform draws on the shortened line, shifted apart again."""
+#: Simulated sequences for each key and alarm set; days between alarms whose share is ranked.
+SIMULATIONS = 5000
+EDGE = (14.0, 16.0)
+
+
+def _alarm_sets(spark, sf_dir):
+    """k, alarm_set, day, least: all alarms (no minimum gap) and the accepted ones (the refractory period), in days."""
+    rows = matching.debounced(C.alarms(spark, sf_dir), refractory=_R)
+    raw = rows.select("k", F.lit("raw").alias("alarm_set"), (F.col("us") / float(S.DAY)).alias("day"), F.lit(0.0).alias("least"))
+    kept = rows.filter("accepted").select("k", F.lit("accepted").alias("alarm_set"), (F.col("us") / float(S.DAY)).alias("day"), F.lit(_R / S.DAY).alias("least"))
+    return raw.unionByName(kept)
+
+
+def simulated(sets):
+    """k, alarm_set, id, gap_mean, gap_cv, gap_min, gap_share of random alarm times; sets has k, alarm_set, n, span, least.
+
+    Sorted uniform draws on the line shortened by the minimum gaps, shifted apart again. Sets of under three alarms have none.
+    """
     import pandas as pd
 
-    def draw(batches):
+    def draw(one: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        for sims in batches:
-            rows = []
-            for i in sims["id"]:
-                at = np.sort(np.random.default_rng([7, int(i)]).uniform(0, 365 - 14 * 19, 20)) + 14 * np.arange(20)
-                gaps = np.diff(at)
-                rows.append((int(i), float(gaps.mean()), float(gaps.std() / gaps.mean()), float(gaps.min())))
-            yield pd.DataFrame(rows, columns=["id", "gap_mean", "gap_cv", "gap_min"])
+        n, span, least = int(one["n"].iloc[0]), float(one["span"].iloc[0]), float(one["least"].iloc[0])
+        free, random, parts = max(0.0, span - (n - 1) * least), np.random.default_rng(0), []
+        for _ in range(0, SIMULATIONS, 500):
+            at = np.sort(random.uniform(0, free, (500, n)), axis=1) + least * np.arange(n)
+            gaps = np.diff(at, axis=1)
+            mean = gaps.mean(axis=1)
+            parts.append((mean, gaps.std(axis=1) / mean, gaps.min(axis=1), ((gaps >= EDGE[0]) & (gaps < EDGE[1])).mean(axis=1)))
+        columns = map(np.concatenate, zip(*parts, strict=True))
+        out = pd.DataFrame(dict(zip(("gap_mean", "gap_cv", "gap_min", "gap_share"), columns, strict=True)))
+        return out.assign(k=one["k"].iloc[0], alarm_set=one["alarm_set"].iloc[0], id=range(SIMULATIONS))
+
+    return sets.filter("n >= 3").groupBy("k", "alarm_set").applyInPandas(draw, "k string, alarm_set string, id long, gap_mean double, gap_cv double, gap_min double, gap_share double")
+
+
+def _set_sizes(spark, sf_dir, sets):
+    spans = C.stream(spark, sf_dir).groupBy("k").agg(((F.max("slot") - F.min("slot")) / float(S.DAY)).alias("span"))
+    return sets.groupBy("k", "alarm_set").agg(F.count("*").alias("n"), F.first("least").alias("least")).join(spans, "k")
+
+
+@query("ev_simulate")
+def ev_simulate(spark, sf_dir):
+    """Random alarm times for each key and alarm set, as many, over the same span and with the same minimum gap."""
+    return simulated(_set_sizes(spark, sf_dir, _alarm_sets(spark, sf_dir)))
+
 
-    return spark.range(500).mapInPandas(draw, "id long, gap_mean double, gap_cv double, gap_min double")
+def ranked(stats, null):
+    """stats with cv_rank and share_rank: the share of the set's own simulations at or below its value, null if it has none."""
+    sims = null.select("k", "alarm_set", F.col("gap_cv").alias("sim_cv"), F.col("gap_share").alias("sim_share"))
+    rank = lambda sim, value: F.avg((F.col(sim) <= F.col(value)).cast("double"))
+    groups = ["k", "alarm_set", "gap_mean", "gap_cv", "gap_share"]
+    return stats.join(sims, ["k", "alarm_set"], "left").groupBy(*groups).agg(rank("sim_cv", "gap_cv").alias("cv_rank"), rank("sim_share", "gap_share").alias("share_rank"))
 
 
 @query("ev_periodicity")
 def ev_periodicity(spark, sf_dir):
-    """Each key's gap variation beside that of simulated alarms: the share of simulations at or below it."""
-    stats = metrics.gap_stats(C.alarms(spark, sf_dir).withColumn("day", F.col("us") / float(S.DAY)), "k", "day", 14.0, 16.0)
-    null = ev_simulate(spark, sf_dir).select(F.col("gap_cv").alias("sim"))
-    return stats.join(F.broadcast(null)).groupBy("k", "gap_mean", "gap_cv", "gap_share").agg(F.avg((F.col("sim") <= F.col("gap_cv")).cast("double")).alias("rank"))
+    """Each alarm set's gap variation and share of gaps of 14 to 16 days beside those of its own simulations."""
+    sets = _alarm_sets(spark, sf_dir)
+    stats = None
+    for name in ("raw", "accepted"):
+        one = metrics.gap_stats(sets.filter(F.col("alarm_set") == name), "k", "day", *EDGE).withColumn("alarm_set", F.lit(name))
+        stats = one if stats is None else stats.unionByName(one)
+    return ranked(stats, simulated(_set_sizes(spark, sf_dir, sets)))
 
 
 # Intervals and forecasts in order.
