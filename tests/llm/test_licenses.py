@@ -32,3 +32,13 @@ def test_expressions():
     assert licenses.evaluate(parse("GPL-2.0 OR MIT"))[1] is True
     assert licenses.evaluate(parse("GPL-2.0 AND MIT"))[1] is False
     assert "spdx:mit" in licenses.Scanner().scan("# SPDX-License-Identifier: MIT OR GPL-2.0-only\ncode")[5]
+
+
+def test_long_expression_is_read_to_its_end():
+    names = [f"mit-{i}" for i in range(50_000)]
+    scan = licenses.Scanner().scan
+    got = scan(f"SPDX-License-Identifier: {' AND '.join(names)} AND GPL-3.0-only\nOR zlib")
+    assert set(got[5].split(",")) >= {f"spdx:{x}" for x in [*names, "gpl-3.0-only"]} and got[6] == 1.0
+    assert scan(f"SPDX-License-Identifier: {' AND '.join(names)}\nAND GPL-3.0-only")[6] == 0.5
+    two = scan("SPDX-License-Identifier: MIT */ x SPDX-License-Identifier: Zlib")[5]
+    assert two == "spdx:mit,spdx:zlib"

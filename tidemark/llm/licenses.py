@@ -50,25 +50,29 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 _KINDS = bytes(
     c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256)
 )
-_TAG_IN_TEXT = re.compile(r"spdx-license-identifier\s*:\s*([^\r\n]{1,400})", re.I)
-_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-:]*")
+_TAG_IN_TEXT = re.compile(r"spdx-license-identifier\s*:\s*", re.I)
+_TOKEN = re.compile(r"\(|\)|[\r\n]|[A-Za-z0-9][A-Za-z0-9.+\-:]*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def parse_expression(text: str) -> list[str] | None:
-    """The longest leading licence expression in postfix order (with binds before and before or), None if there is none.
+def parse_expression(text: str, start: int = 0) -> list[str] | None:
+    """The longest licence expression from start on in postfix order (with binds before and before or), None if there is none.
 
-    An expression ends where an operand follows an operand, or where the brackets that are open are closed.
+    An expression ends with its line, where an operand follows an operand, or where the brackets that are open are closed.
     """
     output: list[str] = []
     stack: list[str] = []
-    complete: list[str] | None = None
-    operand_next = True
-    for token in _TOKEN.findall(text):
-        word = token.lower()
+    # The length of the output and the operators left over where the expression was last complete.
+    complete: tuple[int, list[str]] | None = None
+    operand_next, depth = True, 0
+    for m in _TOKEN.finditer(text, start):
+        word = m[0].lower()
+        if word in "\r\n":
+            break
         if operand_next:
             if word == "(":
                 stack.append(word)
+                depth += 1
             elif word in _BINDS or word == ")":
                 break
             else:
@@ -85,26 +89,30 @@ def parse_expression(text: str) -> list[str] | None:
             if not stack:
                 break
             stack.pop()
+            depth -= 1
         else:
             break
-        if not operand_next and "(" not in stack:
-            complete = output + stack[::-1]
-    return complete
+        if not operand_next and not depth:
+            complete = len(output), stack[::-1]
+    return None if complete is None else output[: complete[0]] + complete[1]
 
 
 def evaluate(postfix: list[str]) -> tuple[frozenset[str], bool]:
     """(licences named, whether some choice leaves the text free to use): or needs one free side, and needs both; an exception frees nothing."""
-    stack: list[tuple[frozenset[str], bool]] = []
+    stack: list[tuple[set[str], bool]] = []
     for token in postfix:
         if token in _BINDS:
             (right, right_free), (left, left_free) = stack.pop(), stack.pop()
             if token == "with":
                 stack.append((left, left_free))
             else:
-                stack.append((left | right, left_free or right_free if token == "or" else left_free and right_free))
+                if len(left) < len(right):
+                    left, right = right, left
+                left |= right
+                stack.append((left, left_free or right_free if token == "or" else left_free and right_free))
         else:
-            stack.append((frozenset({token}), any(token == x or token.startswith(f"{x}-") for x in OPEN)))
-    return stack[-1]
+            stack.append(({token}, any(token == x or token.startswith(f"{x}-") for x in OPEN)))
+    return frozenset(stack[-1][0]), stack[-1][1]
 
 
 class Scanner:
@@ -145,7 +153,7 @@ class Scanner:
         free = all(x in OPEN for x in base | labels)
         if tagged:
             for m in _TAG_IN_TEXT.finditer(text):
-                if (postfix := parse_expression(m[1])) is not None:
+                if (postfix := parse_expression(text, m.end())) is not None:
                     named, allowed = evaluate(postfix)
                     labels |= {f"spdx:{x}" for x in named}
                     free &= allowed
