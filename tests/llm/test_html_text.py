@@ -21,6 +21,26 @@ def test_tag_soup():
         assert html_text.main_blocks(nothing) == []
 
 
+def test_blocks_outside_the_chosen_element():
+    text = [f"Sentence number {i}, with some words, and some more." for i in range(40)]
+    paragraphs = "".join(f"<p>{t}</p>" for t in text)
+    assert html_text.main_blocks(f"<body><h1>Title</h1><div>{paragraphs}</div></body>") == ["Title", *text]
+    assert html_text.main_blocks(f"<body><div>{''.join(f'<p>{t}</p>' for t in text[:38])}</div><div>{''.join(f'<p>{t}</p>' for t in text[38:])}</div></body>") == text
+
+
+def test_hint_words_on_a_wrapper():
+    want = ["Title", "First paragraph, with some words in it.", "Second & last, one."]
+    for name in ("layout has-sidebar", "no-sidebar", "with-menu", "social-science", "related sidebar"):
+        page = f"<body><div class='menu'>Menu</div><div class='{name}'><div class='content'><h1>Title</h1>{BODY}</div><div class='sidebar'>Links</div></div></body>"
+        assert html_text.main_blocks(page) == want, name
+    # Hints still count beside an article, and in what is hidden or navigation anyway.
+    long = "<p>A comment, by a reader.</p>" * 20
+    assert html_text.main_blocks(f"<body><article><h1>Title</h1>{BODY}</article><div class='comments'>{long}</div></body>") == want
+    assert html_text.main_blocks("<nav><div class='menu'>only</div></nav><div class='menu' hidden>x</div><div class='menu'><nav>y</nav></div>") == []
+    two = "<div class='social-a'><p>One half, here.</p></div><div class='social-b'><p>Two half, here.</p></div>"
+    assert html_text.main_blocks(f"<body>{two}</body>") == ["One half, here.", "Two half, here."]
+
+
 def test_query_shape(spark):
     rows = [(1, "u", "<p>x"), (2, None, None), (None, "u", ""), (1, "u", "<p>x")]
     table = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")

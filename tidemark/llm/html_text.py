@@ -3,8 +3,9 @@
 A page becomes a sequence of text blocks, each with the path of block elements from the root. For every path, text
 length and punctuation are summed over its blocks; the ratios to the number of blocks are smoothed along the page with
 a Gaussian, multiplied, and thresholded. The blocks on the paths that pass select the element that holds the article;
-its blocks are the main text. Elements whose name, role or class says that they are menus, headers, footers, sidebars,
-notices, adverts, forms, comments or code are left out before.
+its blocks and all others on these paths are the main text. Elements whose name, role or class says that they are menus, headers, footers, sidebars,
+notices, adverts, forms, comments or code are left out before. A class or id is only a hint: it does not count where
+the element holds most of the page's text and no article is beside it, or where otherwise nothing would be left.
 """
 
 from __future__ import annotations
@@ -52,15 +53,16 @@ _MARKUP = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_HINT_WORDS = re.compile(r"[a-z]+")
+#: A word behind one of these says what an element has or lacks, not what it is.
+_HINT_WORDS = re.compile(r"(?<![a-z])(?:(?:has|have|no|with|without)[-_]+[a-z]+|[a-z]+)")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？；：]")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "out", "key", "text", "picked")
+    __slots__ = ("tag", "parent", "out", "hint", "key", "text", "picked")
 
-    def __init__(self, tag: str, parent: Element | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Element | None, out: bool, hint: int = -1):
+        self.tag, self.parent, self.out, self.hint = tag, parent, out, hint
         self.key = tag if parent is None else f"{parent.key}/{tag}"
         self.text = self.picked = 0
 
@@ -73,28 +75,67 @@ class Element:
         return False
 
 
-def _left_out(tag: str, attributes: str, parent: Element | None) -> bool:
+def _left_out(tag: str, attributes: str, parent: Element | None) -> tuple[bool, bool]:
+    """(whether the element is left out for what it is, whether a class or id hints that it should be)."""
     if tag in LEFT_OUT:
-        return True
+        return True, False
     if tag == "header" and not (parent is not None and parent.within(("article", "main"))):
-        return True
+        return True, False
     if tag in NEVER or not attributes:
-        return False
+        return False, False
+    hinted = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (values[0] or values[1] or values[2]).lower()
         if name in ("class", "id"):
             words = set(_HINT_WORDS.findall(value))
             if words & HINTS or words & {"header", "masthead"} and not (parent is not None and parent.within(("article", "main"))):
-                return True
+                hinted = True
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, False
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, False
+    return False, hinted
 
 
 def blocks_of(page: str) -> list[tuple[Element, str]]:
     """Text blocks in page order, white space folded, with the block element that holds each; what is left out is gone."""
+    found, hinted = _parsed(page, frozenset())
+    if not hinted:
+        return found
+    # Hinted elements by their place: the element, and the text under it that nothing but hints leaves out.
+    total = sum(len(text) for _, text in found) + sum(n for e, n in hinted.values() if not _under_hint(e.parent))
+    articles = {}
+    for e, _ in found:
+        while e is not None:
+            if e.tag in ("article", "main"):
+                articles[id(e)] = e
+            e = e.parent
+    wrong = set()
+    for i, (e, n) in hinted.items():
+        if 2 * n > total:
+            around, up = 0, e
+            while up is not None:
+                around += id(up) in articles
+                up = up.parent
+            if around == len(articles):
+                wrong.add(i)
+    if wrong:
+        found, hinted = _parsed(page, wrong)
+    return found or (_parsed(page, None)[0] if hinted else found)
+
+
+def _under_hint(e: Element | None) -> bool:
+    while e is not None:
+        if e.hint >= 0:
+            return True
+        e = e.parent
+    return False
+
+
+def _parsed(page: str, ignored: frozenset[int] | set[int] | None) -> tuple[list[tuple[Element, str]], dict[int, tuple[Element, int]]]:
+    """Text blocks, and by their place in the page the elements that hints left out with the length of their text. Hints are
+    not minded at the places ignored (None: anywhere)."""
+    hinted: dict[int, tuple[Element, int]] = {}
     found: list[tuple[Element, str]] = []
     stack: list[Element] = []
     buffer: list[str] = []
@@ -116,6 +157,16 @@ def blocks_of(page: str) -> list[tuple[Element, str]]:
     def add(text: str) -> None:
         if text and not (stack and stack[-1].out):
             buffer.append(text)
+        elif text and _under_hint(stack[-1]):
+            n, e = len(" ".join(text.split())), stack[-1]
+            chain = []
+            while e is not None and (not e.out or e.hint != -2):
+                if e.hint >= 0:
+                    chain.append(e)
+                e = e.parent
+            if n and (e is None or not e.out):
+                for e in chain:
+                    hinted[e.hint] = e, hinted[e.hint][1] + n if e.hint in hinted else n
 
     def pop_to(i: int) -> None:
         if any(e.tag in BLOCK for e in stack[i:]):
@@ -160,11 +211,13 @@ def blocks_of(page: str) -> list[tuple[Element, str]]:
                     if stack[i].tag in SCOPE:
                         break
             parent = top()
-            out = parent.out or _left_out(tag, attributes, parent if stack else None)
+            hard, hint = _left_out(tag, attributes, parent if stack else None)
+            hint = hint and ignored is not None and m.start() not in ignored
+            out = parent.out or hard or hint
             if tag in BLOCK or out and not parent.out:
                 flush() if tag in BLOCK else add(" ")
             if not attributes.endswith("/") or tag in BLOCK:
-                stack.append(Element(tag, parent, out))
+                stack.append(Element(tag, parent, out, -2 if hard else m.start() if hint else -1))
         elif closed:
             tag = closed.lower()
             for i in range(len(stack) - 1, -1, -1):
@@ -173,7 +226,7 @@ def blocks_of(page: str) -> list[tuple[Element, str]]:
                     break
     add(page[at:])
     flush()
-    return found
+    return found, hinted
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -229,7 +282,7 @@ def main_blocks(page: str | None) -> list[str]:
             best = up
         up = up.parent
     # An element around it that adds little (a heading, say) belongs to the article.
-    while not best.within(("article", "main")) and best.parent is not None and best.parent.tag not in ("body", "html", "") and best.parent.text <= 1.3 * best.text:
+    while not best.within(("article", "main")) and best.parent is not None and best.parent.text <= 1.3 * best.text:
         best = best.parent
 
     def inside(e: Element | None) -> bool:
@@ -239,7 +292,7 @@ def main_blocks(page: str | None) -> list[str]:
             e = e.parent
         return False
 
-    return [text for e, text in blocks if inside(e)]
+    return [text for e, text in blocks if scores[e.key] >= least or inside(e)]
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
