@@ -81,3 +81,8 @@ def test_signatures_estimate_similarity():
     b = np.concatenate([a[:1600], np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))])
     s = minhash.signatures([a, b], 1024)
     assert abs((s[0] == s[1]).mean() - 1600 / 2400) < 0.06
+
+
+def test_similarities_that_the_filters_are_not_made_for_fail(docs):
+    with pytest.raises(ValueError, match="80 percent"):
+        minhash.link(docs(["a b c d e"]), percent=79)

@@ -245,8 +245,10 @@ def link(df: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str =
 
     Null or wordless text: no shingles, linked with nothing. A null id is in no component and not kept. Rows that
     repeat an id with one text are one document; ids must not name two different texts. Other columns are ignored; an
-    empty table gives an empty result.
+    empty table gives an empty result. A percent under PERCENT is an error, as bands and AGREE would lose links.
     """
+    if percent < PERCENT:
+        raise ValueError(f"the bands and AGREE are for similarities of {PERCENT} percent and more: {percent}")
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     profiles, _ = written(_profile(docs, size), "profiles")
