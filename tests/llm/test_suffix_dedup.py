@@ -44,13 +44,27 @@ def test_equals_brute_force(docs, odd, hot):
     assert got == want
 
 
-def test_join_instead_of_filter(docs, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "MAX_FILTER_BITS", 1)
+def test_join_behind_a_full_filter(docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MAX_FILTER_BITS", 1 << 15)
+    monkeypatch.setattr(suffix_dedup, "FILTER_BITS", 10**6)
     texts = corpus(random.Random(3))
     want = brute([(i, t.encode()) for i, t in enumerate(texts)])
     assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs(texts)).collect()} == want
 
 
+def test_buckets_larger_than_an_array(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", 1_000)
+    rng = random.Random(5)
+    texts = [t.encode() for t in corpus(rng)[:40]]
+    owners = [(i, 0, 0, len(t) - 99) for i, t in enumerate(texts) if len(t) >= 100]
+    marks = suffix_dedup.bucket_marks([(owners, [texts[o[0]] for o in owners])])
+    gone = {i: set() for i in range(len(texts))}
+    for i, _, start, stop in marks:
+        gone[i].update(range(start, stop))
+    want = brute(list(enumerate(texts)))
+    assert {i: len(g) for i, g in gone.items()} == {i: w[1] for i, w in want.items()} and len(marks) > 10
+
+
 def test_text_longer_than_a_slice(docs, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE", 300)
     monkeypatch.setattr(suffix_dedup, "_POSITION_BITS", 9)

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable, Hashable, Iterator
-from typing import TypeVar
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,40 +13,50 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.sources.shared import drop_folder, shared_folder, written
 from tidemark.sources.shipping import ship_package
 
-__all__ = ["drop_folder", "kept", "partitions", "release", "shared_folder", "slices", "table", "written"]
+__all__ = ["drop_folder", "frugal", "partitions", "shared_folder", "slices", "table", "written"]
 
 #: Bytes of text that one slice of an Arrow batch holds at most (a single longer row is a slice of its own).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
+#: Bytes of an Arrow batch between the JVM and a Python worker, and rows of it, unless the session sets them itself.
+BATCH_BYTES = "8m"
 
 
-_KEPT: dict[Hashable, object] = {}
-T = TypeVar("T")
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, after which the worker gives its memory back to the system: idle workers stay beside those of
+    later stages, and what an operator has used there would count against all that follow."""
 
-
-def release() -> None:
-    """Let go of what this worker keeps from task to task, so that one operator's tables do not stay beside another's."""
-    if _KEPT:
-        _KEPT.clear()
-        gc.collect()
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except OSError:
-            pass
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return bounded
 
 
-def kept(key: Hashable, make: Callable[[], T]) -> T:
-    """make(), kept by the worker for later tasks until another operator wants its memory."""
-    if key not in _KEPT:
-        release()
-        _KEPT[key] = make()
-    return _KEPT[key]
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        # Another C library; memory then goes back when the worker ends.
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and keep Arrow batches small where the session leaves them at Spark's default: long texts make the
+    default of ten thousand rows a batch of many megabytes in both the JVM and the worker."""
+    ship_package(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "64m", "67108864"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the text of each slice stays under max_bytes; empty batches are skipped."""
     for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import release, slices
+from tidemark.llm._common import frugal, slices
 from tidemark.llm.hashing import mix, span_hashes
 
 K1, B = 1.2, 0.75
@@ -33,7 +33,7 @@ BLOCK = 16
 #: Characters of test items in one index, which every executor holds; more items take several indexes and passes.
 INDEX_CHARS = 20_000_000
 #: Slices of texts that are searched at a time.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
@@ -290,7 +290,6 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
 def _finder(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         types = [pa.int64(), pa.int64()] + [pa.float64()] * 3
         for part in slices(batches, "text", SLICE):
             ids = part.column("doc_id").to_pylist()
@@ -298,7 +297,7 @@ def _finder(shipped):
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return run
+    return frugal(run)
 
 
 def drop_leaks(df: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
@@ -308,10 +307,9 @@ def drop_leaks(df: DataFrame, items: DataFrame, text_col: str = "text") -> DataF
         shipped = df.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            release()
             for part in slices(batches, text_col, SLICE):
                 leaks = shipped.value.search([t or "" for t in part.column(text_col).to_pylist()])
                 yield part.filter(pa.array([not x for x in leaks], pa.bool_()))
 
-        out = out.mapInArrow(run, df.schema)
+        out = out.mapInArrow(frugal(run), df.schema)
     return out

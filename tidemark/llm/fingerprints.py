@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import partitions, slices
+from tidemark.llm._common import frugal, partitions, slices
 from tidemark.llm.hashing import mix
 
 #: Cells of a published sketch, and how much larger the next one is after a failure.
@@ -242,4 +242,4 @@ def fingerprint_edits(df: DataFrame, cells: int = CELLS, id_col: str = "doc_id",
                 held = held[-1:]
 
     dealt = _dealt(docs).repartition(partitions(df.sparkSession), "p").sortWithinPartitions("p", "tail", F.asc_nulls_first("id"), "h", "text")
-    return dealt.drop("h").mapInArrow(run, SCHEMA)
+    return dealt.drop("h").mapInArrow(frugal(run), SCHEMA)

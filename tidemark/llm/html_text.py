@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import slices
+from tidemark.llm._common import frugal, slices
 
 #: Standard deviation of the smoothing, in blocks.
 SIGMA = 1.0
@@ -312,4 +312,4 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             )
 
     chosen = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return chosen.mapInArrow(run, SCHEMA)
+    return chosen.mapInArrow(frugal(run), SCHEMA)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import release, slices
+from tidemark.llm._common import frugal, slices
 
 #: Documents that a language's dictionary is sampled from at most, code points taken of each, and bytes of the dictionary.
 SAMPLE_DOCS = 500
@@ -109,7 +109,6 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], min_score: float = M
     model = df.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         classifier = Classifier(model.value)
         for part in slices(batches, "text"):
             found = [classifier.predict(t) for t in part.column("text").to_pylist()]
@@ -123,7 +122,7 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], min_score: float = M
                 names=["doc_id", "lang_pred", "score", "accepted"],
             )
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), SCHEMA)
 
 
 def keep_accepted(df: DataFrame, dictionaries: dict[str, bytes], min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
@@ -131,13 +130,12 @@ def keep_accepted(df: DataFrame, dictionaries: dict[str, bytes], min_score: floa
     model = df.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         classifier = Classifier(model.value)
         for part in slices(batches, text_col):
             found = [classifier.predict(t) for t in part.column(text_col).to_pylist()]
             yield part.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in found], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(frugal(run), df.schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import slices
+from tidemark.llm._common import frugal, slices
 
 #: The base phrases and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -179,4 +179,4 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
             )
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), SCHEMA)

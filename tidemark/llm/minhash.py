@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import drop_folder, partitions, release, slices, written
+from tidemark.llm._common import drop_folder, frugal, partitions, slices, written
 from tidemark.llm.components import components
 from tidemark.llm.hashing import mix, shingle_sets
 
@@ -71,7 +71,6 @@ def _profile(df: DataFrame, size: int) -> DataFrame:
     """id, n (set size), s1 and s2 (128 bits that name the set; null if empty), bands (a 64-bit key each), brief (a byte of each coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for part in slices(batches, "text"):
             sets = shingle_sets([(t or "").encode() for t in part.column("text").to_pylist()], size)
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -104,7 +103,7 @@ def _profile(df: DataFrame, size: int) -> DataFrame:
                 names=["id", "n", "s1", "s2", "bands", "brief"],
             )
 
-    return df.mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>, brief binary")
+    return df.mapInArrow(frugal(run), "id long, n long, s1 long, s2 long, bands array<long>, brief binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -121,7 +120,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     rows = docs.join(asked, "id").select("a", "g", "kind", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         centre, held = None, np.zeros(0, np.uint64)
         for part in slices(batches, "text"):
             sets = shingle_sets([(t or "").encode() for t in part.column("text").to_pylist()], size)
@@ -136,7 +134,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                         out_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return rows.repartition(partitions(docs.sparkSession), "a", "g").sortWithinPartitions("a", "g", "kind").mapInArrow(run, "a long, b long")
+    return rows.repartition(partitions(docs.sparkSession), "a", "g").sortWithinPartitions("a", "g", "kind").mapInArrow(frugal(run), "a long, b long")
 
 
 def _possible(split: DataFrame, briefs: DataFrame) -> DataFrame:
@@ -190,7 +188,7 @@ def _possible(split: DataFrame, briefs: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["main", "id", "component", "outsider"])
 
-    return dealt.select("key", "block", "kind", "id", "component", "main", "brief").mapInArrow(run, "main long, id long, component long, outsider boolean").distinct()
+    return dealt.select("key", "block", "kind", "id", "component", "main", "brief").mapInArrow(frugal(run), "main long, id long, component long, outsider boolean").distinct()
 
 
 def _verified_blocks(asked: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -208,7 +206,6 @@ def _verified_blocks(asked: DataFrame, docs: DataFrame, size: int, percent: int)
     dealt = dealt.select("main", "block", "g", "kind", "id", "component", "text").repartition(partitions(docs.sparkSession), "main", "block", "g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         at, held, index, done = None, [], None, set()
         for part in slices(batches, "text"):
             sets = shingle_sets([(t or "").encode() for t in part.column("text").to_pylist()], size)
@@ -237,7 +234,7 @@ def _verified_blocks(asked: DataFrame, docs: DataFrame, size: int, percent: int)
                         out.append((held[o][0], i))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 2)], names=["a", "b"])
 
-    return dealt.sortWithinPartitions("main", "block", "g", "kind").mapInArrow(run, "a long, b long")
+    return dealt.sortWithinPartitions("main", "block", "g", "kind").mapInArrow(frugal(run), "a long, b long")
 
 
 def link(df: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,16 +6,15 @@ LENGTH bytes that start somewhere in a document.
 1. Cover. In every window one k-gram is the anchor: the one whose hash is least, the leftmost on a tie. The choice
    depends on the window's bytes alone, so equal windows have equal anchors at equal offsets: the anchors are a
    difference cover that follows the content. Windows whose anchor occurs once cannot repeat and are left out.
-2. Buckets. Neighbouring windows with one anchor form a segment. Segments are dealt to tasks by their anchors' hashes;
-   all occurrences of a window meet in one bucket. Equal segments collapse to the earliest.
+2. Buckets. Neighbouring windows with one anchor form a segment. Equal segments of a task collapse to the earliest before
+   anything is shuffled; the others mark their bytes. What is left is dealt to tasks by the anchors' hashes; all
+   occurrences of a window meet in one bucket. The windows of anchors with more than HOT segments are dealt out one by
+   one, by hashes of their bytes, so that no anchor makes one task long.
 3. Suffix array. The suffixes of a bucket's distinct segments are sorted by the difference-cover algorithm: sampled
    triples are sorted and named, the names' string is sorted by recursion, the remaining suffixes are merged in. The
    recursion ends when names are distinct or stand for LENGTH bytes and more.
 4. Neighbours in the array whose common prefix has LENGTH bytes are occurrences of one window; all but the earliest mark
    their bytes.
-
-Buckets of more than HOT segments would make one task long. Their windows are dealt out one by one by a fingerprint and
-summed up there with map-side combining, which gives the same marks.
 """
 
 from __future__ import annotations
@@ -28,25 +27,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import drop_folder, partitions, release, slices, written
-from tidemark.llm.hashing import mix
+from tidemark.llm._common import drop_folder, frugal, partitions, slices, written
+from tidemark.llm.hashing import mix, span_hashes
 
 #: Bytes of a string that counts as repeated, and of the k-grams among which anchors are chosen.
 LENGTH = 100
 GRAM = 24
 #: Segments of an anchor from which its windows are dealt out one by one; doubled until at most HOT_KEYS anchors are hot.
-HOT = 20_000
+HOT = 4_000
 HOT_KEYS = 100_000
-#: Bits of the filter that tells tasks which anchors repeat, for each such anchor and at most; beyond, a join does it.
+#: Bits of the filter that tells tasks which anchors repeat: for each such anchor, and at most. A fuller filter lets more
+#: segments pass than need to; a join then sorts these out.
 FILTER_BITS = 16
 MAX_FILTER_BITS = 1 << 27
-#: Bytes of distinct segments that one suffix array is built over, whole buckets at a time.
-ARRAY_BYTES = 1_000_000
+#: Bytes of segments that a task holds to collapse equal ones.
+HELD_BYTES = 4_000_000
+#: Bytes of distinct segments that one suffix array is built over. Larger buckets are taken apart into single windows.
+ARRAY_BYTES = 500_000
 NULL_ID = -(2**63)
 
 _POSITION_BITS = 23
 #: Bytes of a slice: positions must fit into _POSITION_BITS.
-SLICE = 2_000_000
+SLICE = 500_000
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -204,27 +206,89 @@ def repeated_windows(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 Segment = tuple[int, int, int, int]  # id, text hash, first window, number of windows
-
-
-def bucket_marks(buckets: list[tuple[list[Segment], list[bytes]]]) -> list[tuple[int, int, int, int]]:
-    """(id, text hash, first byte, byte after the last) to remove, for segments that come with their bytes, bucket by bucket."""
-    marks: list[tuple[int, int, int, int]] = []
-    kept: list[Segment] = []
-    parts: list[bytes] = []
+Mark = tuple[int, int, int, int]  # id, text hash, first byte to remove, byte after the last
+
+
+def whole(owner: Segment) -> Mark:
+    """The mark of all bytes of a segment."""
+    i, h, start, count = owner
+    return i, h, start, start + count - 1 + LENGTH
+
+
+class Distinct:
+    """Distinct contents, each with its earliest owner; add returns the owner that comes later, if it repeats another one."""
+
+    def __init__(self) -> None:
+        self.first: dict[bytes, Segment] = {}
+
+    def add(self, owner: Segment, content: bytes) -> Segment | None:
+        known = self.first.setdefault(content, owner)
+        # A row that stands twice has one owner twice and does not repeat itself.
+        if owner == known:
+            return None
+        if owner < known:
+            self.first[content] = owner
+            return known
+        return owner
+
+
+def single_windows(owners: list[Segment], contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, number of the segment, position in it) of every window."""
+    counts = np.fromiter((o[3] for o in owners), np.int64, len(owners))
+    lengths = counts + LENGTH - 1
+    number = np.repeat(np.arange(len(owners)), counts)
+    position = np.arange(len(number)) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = (np.cumsum(lengths) - lengths)[number] + position
+    return span_hashes(np.frombuffer(b"".join(contents), np.uint8), starts, starts + LENGTH).view(np.int64), number, position
+
+
+def taken_apart(first: dict[bytes, Segment]) -> Iterator[Mark]:
+    """Marks for a bucket whose distinct segments are too many for one suffix array: their windows meet one by one, a
+    share of the windows' hashes at a time."""
+    items = list(first.items())
+    shares = -(-sum(o[3] for _, o in items) // (ARRAY_BYTES // LENGTH))
+    for share in range(shares):
+        windows = Distinct()
+        for at in range(0, len(items), 2_000):
+            contents, owners = map(list, zip(*items[at : at + 2_000], strict=True))
+            keys, number, position = single_windows(owners, contents)
+            mine = np.flatnonzero(keys.view(np.uint64) % np.uint64(shares) == share)
+            for n, p in zip(number[mine].tolist(), position[mine].tolist(), strict=True):
+                i, h, start, _ = owners[n]
+                again = windows.add((i, h, start + p, 1), contents[n][p : p + LENGTH])
+                if again is not None:
+                    yield whole(again)
+
+
+def bucket_marks(buckets: list[tuple[list[Segment], list[bytes]]]) -> list[Mark]:
+    """What to remove, for segments that come with their bytes, bucket by bucket."""
+    marks: list[Mark] = []
+    held: list[dict[bytes, Segment]] = []
+    size = 0
     for owners, contents in buckets:
-        first: dict[bytes, Segment] = {}
-        for owner, content in sorted(zip(owners, contents, strict=True)):
-            if content not in first:
-                first[content] = owner
-            elif owner != first[content]:
-                # A row that stands twice has one owner twice and does not repeat itself.
-                i, h, start, count = owner
-                marks.append((i, h, start, start + count - 1 + LENGTH))
-        if len(first) > 1:
-            kept += first.values()
-            parts += first.keys()
+        bucket = Distinct()
+        later = (bucket.add(o, c) for o, c in zip(owners, contents, strict=True))
+        marks += [whole(o) for o in later if o is not None]
+        if len(bucket.first) < 2:
+            continue
+        n = sum(map(len, bucket.first))
+        if n > 2 * ARRAY_BYTES:
+            marks += taken_apart(bucket.first)
+            continue
+        if size + n > 2 * ARRAY_BYTES:
+            marks += _array_marks(held)
+            held, size = [], 0
+        held.append(bucket.first)
+        size += n
+    return _joined(marks + _array_marks(held))
+
+
+def _array_marks(buckets: list[dict[bytes, Segment]]) -> list[Mark]:
+    """Marks for windows that repeat within the buckets' distinct segments, by one suffix array over all of these."""
+    kept = [o for b in buckets for o in b.values()]
+    parts = [c for b in buckets for c in b]
     if not parts:
-        return marks
+        return []
     windows, classes = repeated_windows(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
     offsets = np.cumsum(lengths) - lengths
@@ -237,18 +301,25 @@ def bucket_marks(buckets: list[tuple[list[Segment], list[bytes]]]) -> list[tuple
     later = np.zeros(len(order), bool)
     later[1:] = classes[order][1:] == classes[order][:-1]
     # The same window of the same document can be in two segments of one bucket only where a row repeats.
-    again = np.zeros(len(order), bool)
-    for x in (ids, hashes, positions):
-        x = x[order]
-        again[1:] |= x[1:] != x[:-1]
     first_of = np.maximum.accumulate(np.where(later, 0, np.arange(len(order))))
     same_as_first = (ids[order] == ids[order][first_of]) & (hashes[order] == hashes[order][first_of]) & (positions[order] == positions[order][first_of])
     hit = order[later & ~same_as_first]
-    marks += _runs(ids[hit], hashes[hit], positions[hit])
-    return marks
+    return _runs(ids[hit], hashes[hit], positions[hit])
+
+
+def _joined(marks: list[Mark]) -> list[Mark]:
+    """The marks with those that overlap or touch made one."""
+    out: list[Mark] = []
+    for i, h, start, stop in sorted(marks):
+        if out and out[-1][:2] == (i, h) and start <= out[-1][3]:
+            if stop > out[-1][3]:
+                out[-1] = (i, h, out[-1][2], stop)
+        else:
+            out.append((i, h, start, stop))
+    return out
 
 
-def _runs(ids: np.ndarray, hashes: np.ndarray, positions: np.ndarray) -> list[tuple[int, int, int, int]]:
+def _runs(ids: np.ndarray, hashes: np.ndarray, positions: np.ndarray) -> list[Mark]:
     """Marks for windows, neighbours joined."""
     if not len(ids):
         return []
@@ -282,123 +353,129 @@ class AnchorFilter:
         return self._has(hashes) & self._has(hashes >> np.uint64(32))
 
 
-def _anchor_filter(repeated: DataFrame, n: int) -> AnchorFilter | None:
-    """None if it would be larger than MAX_FILTER_BITS."""
-    bits = max(1 << 15, 1 << (max(1, n * FILTER_BITS) - 1).bit_length())
-    if bits > MAX_FILTER_BITS:
-        return None
+def _anchor_filter(repeated: DataFrame, n: int) -> AnchorFilter:
+    """Of at most MAX_FILTER_BITS bits."""
+    bits = min(MAX_FILTER_BITS, max(1 << 15, 1 << (max(1, n * FILTER_BITS) - 1).bit_length()))
     last = F.lit(bits - 1).cast("long")
     at = repeated.select(F.explode(F.array(F.col("a").bitwiseAND(last), F.shiftrightunsigned("a", 32).bitwiseAND(last))).alias("i"))
     blocks = at.groupBy(F.expr("i div 32768").alias("block")).agg(F.bitmap_construct_agg(F.expr("i % 32768")).alias("content"))
-    return AnchorFilter(bits, {r["block"]: bytes(r["content"]) for r in blocks.collect()})
+    return AnchorFilter(bits, {r["block"]: bytes(r["content"]) for r in blocks.toLocalIterator()})
+
+
+_ROW = "a long, id long, h long, start long, count int, bytes binary"
 
 
-def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """id, h, start, stop: bytes to remove (spans may overlap), for docs with the columns id (not null), h, text."""
+def _rows(keys: list, owners: list[Segment], contents: list) -> pa.RecordBatch:
+    columns = list(zip(*owners, strict=True)) if owners else [[]] * 4
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    arrays = [pa.array(keys, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.array(contents, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["a", "id", "h", "start", "count", "bytes"])
+
+
+def repeated_spans(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, str]:
+    """id, h, start, stop: bytes to remove (spans may overlap), for docs with the columns id (not null), h, text; and the
+    folder that holds them."""
     spark = docs.sparkSession
-    n_parts = partitions(spark)
     sc = spark.sparkContext
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for part in slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([pa.array(segments(_rows_of(part)[2])[3].view(np.int64))], names=["a"])
 
-    counts = docs.mapInArrow(anchors, "a long").groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = docs.mapInArrow(frugal(anchors), "a long").groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
     repeated, repeated_path = written(counts, "anchors")
     n = repeated.count()
     limit = hot
     while repeated.filter(F.col("n") > limit).count() > HOT_KEYS:
         limit *= 2
     hot_keys = sc.broadcast(np.sort(np.array([r["a"] for r in repeated.filter(F.col("n") > limit).select("a").limit(HOT_KEYS).collect()], np.int64)))
-    known = _anchor_filter(repeated, n)
-    shipped = sc.broadcast(known)
-
-    def chosen(part: pa.RecordBatch, is_hot: bool):
-        ids, hashes, texts = _rows_of(part)
-        number, start, count, anchor = segments(texts)
-        keys = anchor.view(np.int64)
-        pick = np.isin(keys, hot_keys.value) == is_hot if len(hot_keys.value) else np.full(len(keys), not is_hot)
-        if shipped.value is not None:
-            pick &= shipped.value(anchor)
-        pick = np.flatnonzero(pick)
-        return ids, hashes, texts, number[pick].tolist(), start[pick].tolist(), count[pick].tolist(), keys[pick]
+    shipped = sc.broadcast(_anchor_filter(repeated, n))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct segments with their bytes, and without bytes the segments that repeat one of them."""
+        held, keys, size = Distinct(), {}, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            cold = [(keys[c], o, c) for c, o in held.first.items() if keys[c] is not None]
+            if cold:
+                yield _rows(*map(list, zip(*cold, strict=True)))
+            warm = [(o, c) for c, o in held.first.items() if keys[c] is None]
+            for at in range(0, len(warm), 200):
+                owners, contents = map(list, zip(*warm[at : at + 200], strict=True))
+                dealt, number, position = single_windows(owners, contents)
+                singles = [(*owners[k][:2], owners[k][2] + p, 1) for k, p in zip(number.tolist(), position.tolist(), strict=True)]
+                yield _rows(dealt, singles, [contents[k][p : p + LENGTH] for k, p in zip(number.tolist(), position.tolist(), strict=True)])
+
         for part in slices(batches, "text", SLICE):
-            ids, hashes, texts, number, start, count, keys = chosen(part, False)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys),
-                    pa.array([ids[x] for x in number], pa.int64()),
-                    pa.array([hashes[x] for x in number], pa.int64()),
-                    pa.array(start, pa.int64()),
-                    pa.array(count, pa.int32()),
-                    pa.array([texts[x][s : s + c - 1 + LENGTH] for x, s, c in zip(number, start, count, strict=True)], pa.binary()),
-                ],
-                names=["a", "id", "h", "start", "count", "bytes"],
-            )
+            ids, hashes, texts = _rows_of(part)
+            number, start, count, anchor = segments(texts)
+            pick = np.flatnonzero(shipped.value(anchor))
+            found = anchor.view(np.int64)[pick]
+            warm = np.isin(found, hot_keys.value)
+            later: list[Segment] = []
+            for x, s, c, a, w in zip(number[pick].tolist(), start[pick].tolist(), count[pick].tolist(), found.tolist(), warm.tolist(), strict=True):
+                content = texts[x][s : s + c - 1 + LENGTH]
+                again = held.add((ids[x], hashes[x], s, c), content)
+                if again is not None:
+                    later.append(again)
+                elif content not in keys:
+                    keys[content] = None if w else a
+                    size += len(content)
+            if later:
+                # Marks need no bucket; they are dealt evenly.
+                yield _rows([i ^ h ^ s for i, h, s, _ in later], later, [None] * len(later))
+            if size > HELD_BYTES:
+                yield from flush()
+                held, keys, size = Distinct(), {}, 0
+        yield from flush()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        names = ["id", "h", "start", "stop"]
-
-        def packed(buckets: list) -> pa.RecordBatch:
-            found = bucket_marks(buckets)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 4)], names=names)
+        def packed(found: list[Mark]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 4)], names=["id", "h", "start", "stop"])
 
         key, buckets, size = None, [], 0
         for batch in batches:
+            marks: list[Mark] = []
             for a, i, h, start, count, content in zip(*(batch.column(c).to_pylist() for c in ("a", "id", "h", "start", "count", "bytes")), strict=True):
+                if content is None:
+                    marks.append(whole((i, h, start, count)))
+                    continue
                 if a != key or not buckets:
                     if size >= ARRAY_BYTES:
-                        yield packed(buckets)
+                        yield packed(bucket_marks(buckets))
                         buckets, size = [], 0
                     key = a
                     buckets.append(([], []))
                 buckets[-1][0].append((i, h, start, count))
                 buckets[-1][1].append(content)
                 size += len(content)
+            if marks:
+                yield packed(_joined(marks))
         if buckets:
-            yield packed(buckets)
-
-    rows = docs.mapInArrow(collect, "a long, id long, h long, start long, count int, bytes binary")
-    if known is None:
-        rows = rows.join(repeated.select("a"), "a", "left_semi")
-    spans = rows.repartition(n_parts, "a").sortWithinPartitions("a").mapInArrow(mark, "id long, h long, start long, stop long")
-
-    if len(hot_keys.value):
-
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, "text", SLICE):
-                ids, hashes, texts, number, start, count, keys = chosen(part, True)
-                for at in range(0, len(number), 2_000):
-                    cut = slice(at, at + 2_000)
-                    out = [(ids[x], hashes[x], p, texts[x][p : p + LENGTH]) for x, s, c in zip(number[cut], start[cut], count[cut], strict=True) for p in range(s, s + c)]
-                    data = np.frombuffer(b"".join([o[3] for o in out]), np.uint8).reshape(-1, LENGTH)
-                    prints = [np.array([int.from_bytes(hashlib.blake2b(bytes(r), digest_size=16).digest()[k : k + 8], "little", signed=True) for r in data], np.int64) for k in (0, 8)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, prints), *(pa.array([o[k] for o in out], pa.int64()) for k in range(3))], names=["f1", "f2", "id", "h", "start"])
+            yield packed(bucket_marks(buckets))
 
-        single = docs.mapInArrow(windows, "f1 long, f2 long, id long, h long, start long")
-        single, single_path = written(single, "windows")
-        first = single.groupBy("f1", "f2").agg(F.min(F.struct("id", "h", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        later = single.join(first, ["f1", "f2"]).filter(F.struct("id", "h", "start") != F.col("first"))
-        spans = spans.unionByName(later.select("id", "h", "start", (F.col("start") + LENGTH).alias("stop")))
-    return spans
+    rows = docs.mapInArrow(frugal(collect), _ROW)
+    if n * FILTER_BITS > MAX_FILTER_BITS:
+        # The windows of hot anchors and the marks have other keys; there are no others that the filter let pass wrongly.
+        known = repeated.filter(F.col("n") <= limit).select("a")
+        cold = rows.filter("bytes IS NOT NULL AND count > 1")
+        rows = rows.filter("bytes IS NULL OR count = 1").unionByName(cold.join(known, "a", "left_semi"))
+    dealt = rows.repartition(partitions(spark), "a").sortWithinPartitions("a")
+    spans, spans_path = written(dealt.mapInArrow(frugal(mark), "id long, h long, start long, stop long"), "spans")
+    drop_folder(spark, repeated_path)
+    return spans, spans_path
 
 
 def _with_spans(df: DataFrame, id_col: str, text_col: str, hot: int) -> DataFrame:
-    """The rows of df as struct r, with their id, text (never null) and spans to remove (null if none)."""
-    docs = df.select(
-        F.struct(*df.columns).alias("r"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
-        F.xxhash64(F.col(text_col).cast("string")).alias("h"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    )
-    spans, _ = written(repeated_spans(docs.drop("r"), hot), "spans")
+    """The rows of df as struct r, with their text (never null) and spans to remove (null if none)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    own = F.xxhash64(F.col(text_col).cast("string"))
+    spans, _ = repeated_spans(df.select(key.alias("id"), own.alias("h"), text.alias("text")), hot)
     # A document's spans are as many as its bytes at most.
     gathered = spans.distinct().groupBy("id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return docs.join(gathered, ["id", "h"], "left")
+    rows = df.select(F.struct(*df.columns).alias("r"), key.alias("id"), own.alias("h")).join(gathered, ["id", "h"], "left")
+    return rows.select("r", F.coalesce(F.col(f"r.{text_col}").cast("string"), F.lit("")).alias("text"), "spans")
 
 
 def _cut(data: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
@@ -438,7 +515,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     only = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = _with_spans(only, "doc_id", "text", hot).select(F.col("r.doc_id").alias("doc_id"), "text", "spans")
-    return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(frugal(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -458,6 +535,6 @@ def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
     rows = _with_spans(df, id_col, text_col, hot)
     was_null = F.col(f"r.{text_col}").isNull()
     slim = rows.select(F.struct(F.col("r").dropFields(text_col).alias("rest"), was_null.alias("was_null")).alias("r"), "text", "spans")
-    out = slim.mapInArrow(cut, f"r {slim.schema['r'].dataType.simpleString()}, cut string")
+    out = slim.mapInArrow(frugal(cut), f"r {slim.schema['r'].dataType.simpleString()}, cut string")
     text = F.when(~F.col("r.was_null"), F.col("cut"))
     return out.select(*(text.alias(c) if c == text_col else F.col(f"r.rest.{c}").alias(c) for c in df.columns))

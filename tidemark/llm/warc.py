@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import slices
+from tidemark.llm._common import frugal, slices
 
 #: Payloads from this many bytes on are written once.
 MIN_REVISIT_BYTES = 1000
@@ -213,7 +213,7 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes) -> None:
         close()
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())], names=["files"])
 
-    records.sortWithinPartitions("page_id", "payload_digest", "url").mapInArrow(run, "files long").write.format("noop").mode("overwrite").save()
+    records.sortWithinPartitions("page_id", "payload_digest", "url").mapInArrow(frugal(run), "files long").write.format("noop").mode("overwrite").save()
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
@@ -245,7 +245,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                     yield packed(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    return files.select("path", "content").mapInArrow(run, RECORD_SCHEMA)
+    return files.select("path", "content").mapInArrow(frugal(run), RECORD_SCHEMA)
 
 
 def round_trip(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
