@@ -2,15 +2,15 @@
 
 A task gathers the distinct pre-tokens it has not met yet, lays them out as token-position rows (word, position, id)
 and lets a recursive query join neighbours to the merge table and contract each word's leftmost pair of least rank
-until nothing is left to merge. An ordered aggregation gives the ids, and joined to the vocabulary the decoded bytes.
-Texts are never shuffled; a bounded table keeps the words that a worker has encoded.
+until nothing is left to merge. The ids of the pre-tokens make up the documents' token-position rows; an ordered
+aggregation over these, joined to the vocabulary, gives every document's ids and the bytes that they decode to.
+Texts are never shuffled; a bounded table keeps the words that a task has encoded.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -19,55 +19,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import kept, slices
+from tidemark.llm._common import frugal, slices
 from tidemark.llm.pretokens import SPACED_WORDS, all_plain
 
-#: Entries of each of the two generations of a worker's table of encoded words; only memory depends on it.
-CACHE_ENTRIES = 450_000
-#: Bytes of words that one recursive query handles; longer single words get a query of their own.
+#: Entries of a task's table of encoded words, and the longest word in it; only memory depends on these.
+CACHE_ENTRIES = 400_000
+MAX_KEPT = 64
+#: Bytes of words that one recursive query handles; a longer word has a query of its own.
 QUERY_BYTES = 250_000
-#: From this many bytes on, all places of a word's least pair are contracted in one step where that is the same thing.
-LONG_WORD = 256
+#: Tokens that one decoding query handles; a longer document is decoded in parts, one behind the other.
+DECODE_TOKENS = 300_000
+#: Bytes of text that a task splits at a time.
+SLICE = 1_000_000
 MAX_FILE_BYTES = 64_000_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-_STEP = """
+#: k is a word's number and a token's position in it. All places of a word's least pair are contracted in one step, from
+#: the left (in a run of overlapping places, as in aaaa, every second one). This equals one place after the other, as
+#: nothing that comes up meanwhile ranks lower - but for pairs marked as single, of which only the leftmost is contracted.
+_ENCODE = """
 WITH RECURSIVE s AS (
-  SELECT w, pos, id, false AS done FROM start
+  SELECT (w::BIGINT << 24) | pos AS k, id, false AS done FROM start
   UNION ALL
-  (WITH p AS (SELECT w, pos, id, lead(id) OVER q AS nid, lag(pos) OVER q AS ppos
-              FROM s WHERE NOT done WINDOW q AS (PARTITION BY w ORDER BY pos)),
-        c AS (SELECT p.*, m.r FROM p LEFT JOIN merge m ON m.ab = (p.id::BIGINT << 32) | p.nid),
-        best AS (SELECT w, min((r::BIGINT << 32) | pos) AS k FROM c GROUP BY w)
-   SELECT c.w, c.pos, CASE WHEN k IS NOT NULL AND c.pos = (k & 4294967295) THEN c.r ELSE c.id END, k IS NULL
-   FROM c JOIN best USING (w)
-   WHERE k IS NULL OR c.ppos IS NULL OR c.ppos <> (k & 4294967295))
+  (WITH p AS (SELECT k, id, lead(k) OVER q AS nk, lead(id) OVER q AS nid FROM s WHERE NOT done WINDOW q AS (ORDER BY k)),
+        c AS (SELECT p.k, p.id, p.nk, m.r, m.single, p.id = p.nid AS twin
+              FROM p LEFT JOIN merge m ON m.ab = (p.id::BIGINT << 32) | p.nid AND p.k >> 24 = p.nk >> 24),
+        best AS (SELECT k >> 24 AS w, min(r) AS r, min((r::BIGINT << 24) | (k & 16777215)) & 16777215 AS pos FROM c GROUP BY k >> 24),
+        hit AS (SELECT c.k, c.nk, c.twin FROM c JOIN best b ON c.k >> 24 = b.w AND c.r = b.r AND (NOT c.single OR c.k & 16777215 = b.pos)),
+        runs AS (SELECT k, nk, sum(fresh) OVER (ORDER BY k) AS run
+                 FROM (SELECT k, nk, CASE WHEN lag(nk) OVER (ORDER BY k) = k THEN 0 ELSE 1 END AS fresh FROM hit WHERE twin)),
+        kept AS (SELECT k, nk FROM hit WHERE NOT twin UNION ALL
+                 SELECT k, nk FROM (SELECT k, nk, row_number() OVER (PARTITION BY run ORDER BY k) AS n FROM runs) WHERE n % 2 = 1)
+   SELECT c.k, CASE WHEN h.k IS NULL THEN c.id ELSE c.r END, b.r IS NULL
+   FROM c JOIN best b ON c.k >> 24 = b.w LEFT JOIN kept h ON h.k = c.k ANTI JOIN kept g ON g.nk = c.k)
 )
-SELECT s.w AS w, string_agg(s.id::VARCHAR, ',' ORDER BY s.pos) AS ids,
-       unhex(string_agg(v.hex, '' ORDER BY s.pos)) AS decoded
-FROM s JOIN vocabulary v ON v.id = s.id WHERE s.done GROUP BY s.w ORDER BY s.w
+SELECT list(id ORDER BY k) AS ids FROM s WHERE done GROUP BY k >> 24 ORDER BY k >> 24
 """
 
-#: The same contraction for one long word. A token is risky if a pair that it is part of ranks below it; any other
-#: least pair can be contracted at all its places at once: nothing that comes up meanwhile ranks lower. In a run of
-#: overlapping places (aaaa) every second one counts, from the left.
-_LONG_STEP = """
-WITH RECURSIVE s AS (
-  SELECT pos, id, false AS done FROM start
-  UNION ALL
-  (WITH p AS (SELECT pos, id, lead(id) OVER q AS nid, row_number() OVER q AS i FROM s WHERE NOT done WINDOW q AS (ORDER BY pos)),
-        c AS (SELECT p.*, m.r FROM p LEFT JOIN merge m ON m.ab = (p.id::BIGINT << 32) | p.nid),
-        best AS (SELECT min(r) AS r, min((r::BIGINT << 32) | i) & 4294967295 AS first, min(r) IN (SELECT id FROM risky) AS one FROM c),
-        hit AS (SELECT i, i - row_number() OVER (ORDER BY i) AS run FROM c, best WHERE c.r = best.r AND (NOT one OR i = first)),
-        kept AS (SELECT i FROM (SELECT i, row_number() OVER (PARTITION BY run ORDER BY i) AS k FROM hit) WHERE k % 2 = 1)
-   SELECT c.pos, CASE WHEN k.i IS NOT NULL THEN c.r ELSE c.id END, best.r IS NULL
-   FROM c CROSS JOIN best LEFT JOIN kept k ON k.i = c.i LEFT JOIN kept l ON l.i = c.i - 1
-   WHERE l.i IS NULL)
-)
-SELECT 0 AS w, string_agg(s.id::VARCHAR, ',' ORDER BY s.pos) AS ids,
-       unhex(string_agg(v.hex, '' ORDER BY s.pos)) AS decoded
-FROM s JOIN vocabulary v ON v.id = s.id WHERE s.done
+#: Pieces are kept as Latin-1 letters, one for each byte.
+_DECODE = """
+SELECT t.part AS part, string_agg(v.name, ',' ORDER BY t.pos) AS ids, string_agg(v.piece, '' ORDER BY t.pos) AS decoded
+FROM token t JOIN vocabulary v ON v.id = t.id GROUP BY t.part ORDER BY t.part
 """
 
 
@@ -75,83 +68,89 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
 
 
+def merge_table(ranks: dict[bytes, int]) -> pa.Table:
+    """ab (two ids that stand side by side), r (the id that they make), single (whether contracting all places of the
+    pair at once could go wrong: the token that it makes is part of a pair that ranks below it)."""
+    a, b, r, risky = [], [], [], set()
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            left, right = ranks.get(token[:i]), ranks.get(token[i:])
+            if left is not None and right is not None:
+                a.append(left)
+                b.append(right)
+                r.append(rank)
+                risky.update(x for x in (left, right) if x > rank)
+    return pa.table({"ab": (np.array(a, np.int64) << 32) | np.array(b, np.int64), "r": np.array(r, np.int32), "single": np.isin(r, sorted(risky))})
+
+
 class Codec:
-    """Encodes words by a rank file; word -> (ids joined by commas, decoded bytes, None where they are the word's own)."""
+    """Encodes and decodes texts by the tables of a rank file, with a database in memory."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, merges: pa.Table, ranks: dict[bytes, int], pattern: str):
         import duckdb
         import regex
 
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
-        # A task's own scratch space, which goes with the object; nothing is read back from it elsewhere.
-        self.scratch = tempfile.TemporaryDirectory(prefix="bpe-")
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": self.scratch.name})
-        a, b, r, risky = [], [], [], set()
-        for token, rank in ranks.items():
-            for i in range(1, len(token)):
-                left, right = ranks.get(token[:i]), ranks.get(token[i:])
-                if left is not None and right is not None:
-                    a.append(left)
-                    b.append(right)
-                    r.append(rank)
-                    risky.update(x for x in (left, right) if x > rank)
-        pairs = (np.array(a, np.int64) << 32) | np.array(b, np.int64)
-        self._make("merge", pa.table({"ab": pairs, "r": np.array(r, np.int32)}))
-        self._make("risky", pa.table({"id": pa.array(sorted(risky), pa.int32())}))
-        self._make("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
+        self.pattern = regex.compile(pattern)
+        # Nothing is spilled: queries are bounded by QUERY_BYTES and DECODE_TOKENS.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
+        self._make("merge", merges)
+        pieces = {rank: token.decode("latin-1") for token, rank in ranks.items()}
+        self._make("vocabulary", pa.table({"id": pa.array(pieces.keys(), pa.int32()), "name": list(map(str, pieces)), "piece": list(pieces.values())}))
         self.byte_ids = np.array([ranks[bytes([x])] for x in range(256)], np.int32)
-        self.young: dict[str, tuple[bytes, bytes | None] | bytes] = {}
-        self.old: dict[str, tuple[bytes, bytes | None] | bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # Word -> number; word number n has the ids flat[begin[n] : begin[n] + count[n]].
+        self.numbers: dict[str, int] = {}
+        self.learned = 0
+        self.flat, self.used = np.empty(1 << 16, np.int32), 0
+        self.begin, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def _make(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
-        self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
+        self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def _query(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def encode_words(self, words: list[bytes]) -> pa.ListArray:
+        """The ids of each word, none of which is empty."""
         lengths = np.array([len(x) for x in words])
         ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         positions = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self._make("start", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "pos": positions.astype(np.int32), "id": ids}))
-        step = _LONG_STEP if len(words) == 1 and lengths[0] >= LONG_WORD else _STEP
-        return [(i.encode(), d) for _, i, d in self.db.execute(step).fetchall()]
+        return self.db.sql(_ENCODE).to_arrow_table().column("ids").combine_chunks()
 
-    def learn(self, words: set[str]) -> dict[str, tuple[bytes, bytes] | bytes]:
-        """For all these words the ids joined by commas, with the decoded bytes where these are not the word's own:
-        from the table, by rank if the word is one token, else by the recursive query."""
-        out: dict[str, tuple[bytes, bytes] | bytes] = {}
+    def _learn(self, words: list[str]) -> None:
+        """Give numbers to words that have none yet."""
         todo: list[str] = []
         size = 0
 
         def flush() -> None:
             nonlocal size
-            for word, (ids, decoded) in zip(todo, self._query([w.encode() for w in todo]) if todo else [], strict=True):
-                out[word] = ids if decoded == word.encode() else (ids, decoded)
+            if not todo:
+                return
+            ids = self.encode_words([w.encode() for w in todo])
+            values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy().astype(np.int64)
+            first = self.learned
+            while self.used + len(values) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+            while first + len(todo) > len(self.begin):
+                self.begin, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.count))
+            self.flat[self.used : self.used + offsets[-1] - offsets[0]] = values[offsets[0] : offsets[-1]]
+            self.begin[first : first + len(todo)] = self.used + offsets[:-1] - offsets[0]
+            self.count[first : first + len(todo)] = np.diff(offsets)
+            self.used += int(offsets[-1] - offsets[0])
+            self.learned += len(todo)
+            self.numbers.update(zip(todo, range(first, first + len(todo)), strict=True))
             todo.clear()
             size = 0
 
         for word in words:
-            entry = self.young.get(word) or self.old.get(word)
-            if entry is not None:
-                out[word] = entry
-                continue
-            raw = word.encode()
-            if (rank := self.ranks.get(raw)) is not None:
-                out[word] = str(rank).encode()
-            elif len(raw) >= LONG_WORD:
-                ((ids, decoded),) = self._query([raw])
-                out[word] = ids if decoded == raw else (ids, decoded)
-            else:
-                if size + len(raw) > QUERY_BYTES:
-                    flush()
-                todo.append(word)
-                size += len(raw)
+            length = len(word.encode())
+            if size + length > QUERY_BYTES:
+                flush()
+            todo.append(word)
+            size += length
         flush()
-        if len(self.young) > CACHE_ENTRIES:
-            # What nobody has asked for since the last change of generations goes.
-            self.old, self.young = self.young, {}
-        self.young.update((word, entry) for word, entry in out.items() if len(word) < 64)
-        return out
 
     def split(self, text: str) -> list[str]:
         return SPACED_WORDS.findall(text) if self.plain_pattern and all_plain(text) else self.pattern.findall(text)
@@ -162,48 +161,83 @@ class Codec:
 
         return self.pattern.pattern == public_tokenizers.PATTERN
 
-    def encode_many(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
-        """For each text: number of tokens, ids joined by commas, decoded bytes."""
-        split = [self.split(t) for t in texts]
-        entries = self.learn({w for words in split for w in words})
-        for words in split:
-            found = [entries[w] for w in words]
-            if bytes in (kinds := set(map(type, found))) and len(kinds) == 1:
-                ids, raw = b",".join(found), "".join(words).encode()
-            else:
-                ids = b",".join([e if type(e) is bytes else e[0] for e in found])
-                raw = b"".join([w.encode() if type(e) is bytes else e[1] for w, e in zip(words, found, strict=True)])
-            yield ids.count(b",") + 1 if ids else 0, ids, raw
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        cut = [self.split(t) for t in texts]
+        if self.learned > CACHE_ENTRIES:
+            self._forget()
+        known = self.numbers
+        new = [w for w in {w for words in cut for w in words} if w not in known]
+        self._learn(new)
+        numbers = np.fromiter((known[w] for words in cut for w in words), np.int64, sum(map(len, cut)))
+        counts = self.count[numbers]
+        ends = np.cumsum(counts)
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[numbers] - ends + counts, counts)]
+        for word in new:
+            if len(word) > MAX_KEPT:
+                del known[word]
+        words = np.cumsum([len(x) for x in cut])
+        return np.split(ids, [int(ends[n - 1]) if n else 0 for n in words[:-1].tolist()]) if texts else []
+
+    def decode(self, documents: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+        """For each document the digests of its ids, joined by commas, and of the bytes that they decode to."""
+        hashes = [(hashlib.sha256(), hashlib.sha256()) for _ in documents]
+        for number, ids, raw in self.decoded(documents):
+            hashes[number][0].update(ids)
+            hashes[number][1].update(raw)
+        return [(a.hexdigest(), b.hexdigest()) for a, b in hashes]
+
+    def decoded(self, documents: list[np.ndarray]) -> Iterator[tuple[int, bytes, bytes]]:
+        """(document, ids joined by commas, bytes): the parts of documents in order; of a document without tokens none."""
+        held: list[tuple[int, np.ndarray, bool]] = []
+        size = 0
+        for number, ids in enumerate(documents):
+            for at in range(0, len(ids), DECODE_TOKENS):
+                part = ids[at : at + DECODE_TOKENS]
+                if held and size + len(part) > DECODE_TOKENS:
+                    yield from self._decoded(held)
+                    held, size = [], 0
+                held.append((number, part, at > 0))
+                size += len(part)
+        if held:
+            yield from self._decoded(held)
+
+    def _decoded(self, held: list[tuple[int, np.ndarray, bool]]) -> Iterator[tuple[int, bytes, bytes]]:
+        ids = np.concatenate([x for _, x, _ in held])
+        part = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for _, x, _ in held])
+        self._make("token", pa.table({"part": part, "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
+        for (number, _, again), (_, names, raw) in zip(held, self.db.sql(_DECODE).fetchall(), strict=True):
+            yield number, ("," if again else "").encode() + names.encode(), raw.encode("latin-1")
 
 
 def encode_decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of df; with keep_ids also ids (array) and decoded (binary).
 
-    A null text counts as empty: no tokens, and the digests of nothing. Null ids stay null, repeated rows stay
-    repeated, other columns are ignored, an empty table gives an empty result.
+    The digests are of the ids in decimal, joined by commas, and of the bytes that the ids decode to. A null text counts
+    as empty: no tokens, and the digests of nothing. Null ids stay null, repeated rows stay repeated, other columns are
+    ignored, an empty table gives an empty result.
     """
     path = Path(rank_file)
     if path.stat().st_size > MAX_FILE_BYTES:
         raise ValueError(f"{rank_file} is larger than {MAX_FILE_BYTES} bytes")
-    data = df.sparkSession.sparkContext.broadcast(path.read_bytes())
+    ranks = read_ranks(path.read_bytes())
+    shipped = df.sparkSession.sparkContext.broadcast((merge_table(ranks), ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = kept(("codec", hash((data.value, pattern))), lambda: Codec(read_ranks(data.value), pattern))
-        for part in slices(batches, "text"):
-            n, ids_hash, text_hash, ids, decoded = [], [], [], [], []
-            for count, joined, raw in codec.encode_many([t or "" for t in part.column("text").to_pylist()]):
-                n.append(count)
-                ids_hash.append(hashlib.sha256(joined).hexdigest())
-                text_hash.append(hashlib.sha256(raw).hexdigest())
-                if keep_ids:
-                    ids.append([int(x) for x in joined.split(b",") if x])
-                    decoded.append(raw)
-            arrays = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash), pa.array(text_hash)]
+        codec = None
+        for part in slices(batches, "text", SLICE):
+            codec = codec or Codec(*shipped.value, pattern)
+            documents = codec.encode([t or "" for t in part.column("text").to_pylist()])
+            digests = codec.decode(documents)
+            arrays = [part.column("doc_id"), pa.array(map(len, documents), pa.int64()), pa.array([a for a, _ in digests]), pa.array([b for _, b in digests])]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                arrays += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())]
+                texts: list[bytes] = [b""] * len(documents)
+                for number, _, raw in codec.decoded(documents):
+                    texts[number] += raw
+                arrays += [pa.array(documents, pa.list_(pa.int32())), pa.array(texts, pa.binary())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = SCHEMA + (", ids array<int>, decoded binary" if keep_ids else "")
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), schema)
