@@ -1,8 +1,10 @@
 """Token counts: pieces are counted once per distinct pre-token and joined to each document's pre-token frequencies.
 
-The join runs inside each task: a task keeps a bounded table {pre-token: pieces} (a worker keeps it from task to
-task), so the texts are never shuffled and no list of ids is ever built. The table's bound only limits memory: when it
-is full it is emptied and filled anew, and every count stays exact.
+1. The distinct pre-tokens of all texts are gathered with how often they occur, each with its number of pieces, as a
+   table in the shared folder.
+2. Documents become pre-token frequencies. The most frequent pre-tokens (a bounded number) are joined to them inside the
+   tasks, so that these never travel; the others, none of which is frequent, by a shuffle on the pre-token.
+3. Pieces times frequencies are summed per document. No list of ids is ever built.
 """
 
 from __future__ import annotations
@@ -19,17 +21,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import kept, slices
+from tidemark.llm._common import frugal, slices, written
 from tidemark.llm.pretokens import BARE_WORDS, all_plain
 
-#: Entries of a worker's table of pre-tokens; only memory depends on it.
-CACHE_ENTRIES = 400_000
+#: Pre-tokens whose pieces are sent to every task at most; rarer ones are joined by a shuffle.
+BROADCAST_WORDS = 200_000
+#: Distinct pre-tokens that a task gathers before it hands them on, and the longest one that is sent to every task.
+HELD_WORDS = 200_000
+MAX_SENT = 64
 #: Bytes of a vocabulary file that are sent to the executors at most.
 MAX_FILE_BYTES = 64_000_000
-#: Longer pre-tokens are not kept in the table.
-MAX_KEPT = 64
-
-SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 #: The normalizer and pre-tokenizer of a file whose splitting BARE_WORDS repeats.
 _KNOWN_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -43,65 +44,89 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class PieceCounter:
-    """Counts a text's tokens as the library does with add_special_tokens=False and its default handling of special strings."""
+class PreTokens:
+    """Splits texts into pre-tokens and counts their pieces as the library does with add_special_tokens=False and its
+    default handling of special strings. ValueError for a vocabulary whose tokens do not depend on pre-tokens alone."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
         parsed = json.loads(definition)
         split = (parsed.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         added = parsed.get("added_tokens") or []
-        self.exact = all(a["special"] and not (a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"]) for a in added)
-        self.exact &= parsed["model"]["type"] == "BPE" and parsed["model"].get("dropout") is None
+        if parsed["model"]["type"] != "BPE" or parsed["model"].get("dropout") is not None:
+            raise ValueError("only BPE vocabularies without dropout can be counted by pre-tokens")
+        if any(not a["special"] or a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"] for a in added):
+            raise ValueError("added tokens that are not special, or take in what is beside them, can't be counted by pre-tokens")
         self.fast = (
             (parsed.get("normalizer") or {}).get("normalizers") == _KNOWN_NORMALIZER
             and split[0].get("pattern") == {"Regex": _KNOWN_SPLIT}
             and (split[0].get("behavior"), split[0].get("invert")) == ("Removed", True)
         )
-        names = sorted((a["content"] for a in added), key=len, reverse=True)
-        self.special = re.compile("|".join(map(re.escape, names))) if names else None
-        self.names = names
+        self.names = sorted((a["content"] for a in added), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, self.names))) if self.names else None
         self.letters = byte_letters()
-        self.mapped: dict[str, int] = {}
-        self.plain: dict[str, int] = {}
-
-    def _pieces(self, table: dict[str, int], key: str, mapped: str) -> int:
-        n = len(self.tokenizer.model.tokenize(mapped))
-        if len(key) <= MAX_KEPT:
-            if len(table) >= CACHE_ENTRIES:
-                table.clear()
-            table[key] = n
-        return n
-
-    def _part(self, text: str) -> int:
+
+    def pieces(self, word: str) -> int:
+        return len(self.tokenizer.model.tokenize(word))
+
+    def _mapped(self, word: str) -> str:
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+
+    def _count(self, text: str) -> dict[str, int]:
         if self.fast and all_plain(text):
-            table, total = self.plain, 0
-            for word, times in Counter(BARE_WORDS.findall(unicodedata.normalize("NFC", text).lower())).items():
-                n = table.get(word)
-                if n is None:
-                    n = self._pieces(table, word, word.encode().decode("latin-1").translate(self.letters))
-                total += n * times
-            return total
+            found = Counter(BARE_WORDS.findall(unicodedata.normalize("NFC", text).lower()))
+            return found if text.isascii() and text.isprintable() else {self._mapped(w): n for w, n in found.items()}
         if self.tokenizer.normalizer is not None:
             text = self.tokenizer.normalizer.normalize_str(text)
-        words = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)] if self.tokenizer.pre_tokenizer is not None else [text]
-        total = 0
-        for word, times in Counter(words).items():
-            n = self.mapped.get(word)
-            total += times * (self._pieces(self.mapped, word, word) if n is None else n)
-        return total
-
-    def count(self, text: str) -> int:
-        if not self.exact:
-            return len(self.tokenizer.encode(text, add_special_tokens=False))
+        return Counter([w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)] if self.tokenizer.pre_tokenizer is not None else [text])
+
+    def count(self, text: str) -> tuple[int, dict[str, int]]:
+        """(special strings in the text, how often each pre-token occurs beside them)."""
         if not any(name in text for name in self.names):
-            return self._part(text)
-        found = self.special.findall(text)
-        return len(found) + sum(map(self._part, self.special.split(text)))
+            return 0, self._count(text)
+        out: Counter[str] = Counter()
+        for part in self.special.split(text):
+            out.update(self._count(part))
+        return len(self.special.findall(text)), out
+
+
+def distinct_words(docs: DataFrame, definition) -> tuple[DataFrame, str]:
+    """word, times, pieces: every distinct pre-token of the texts once, and the folder that holds them."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, held = PreTokens(definition.value), Counter()
+        for part in slices(batches, "text"):
+            for text in part.column("text").to_pylist():
+                if text:
+                    held.update(split.count(text)[1])
+            if len(held) > HELD_WORDS:
+                yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "times"])
+                held = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "times"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = PreTokens(definition.value)
+        for part in slices(batches, "word"):
+            pieces = pa.array([split.pieces(w) for w in part.column("word").to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("word"), part.column("times"), pieces], names=["word", "times", "pieces"])
+
+    words = docs.mapInArrow(frugal(gather), "word string, times long").groupBy("word").agg(F.sum("times").alias("times"))
+    return written(words.mapInArrow(frugal(count), "word string, times long, pieces int"), "words")
+
+
+def _rare_below(words: DataFrame) -> int:
+    """The least power of two that at most BROADCAST_WORDS pre-tokens occur as often as."""
+    sizes = words.groupBy(F.floor(F.log2("times")).cast("int").alias("p")).count().collect()
+    power = max((r["p"] for r in sizes), default=0) + 1
+    left = BROADCAST_WORDS
+    for r in sorted(sizes, key=lambda r: -r["p"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        power = r["p"]
+    return 2**power
 
 
 def count_tokens(df: DataFrame, tokenizer_file: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,24 +134,48 @@ def count_tokens(df: DataFrame, tokenizer_file: str, limit: int = 2048, id_col:
 
     A null or empty text counts no bytes and no tokens; a null id stays null; repeated rows stay repeated; other
     columns of df are ignored, whatever their names; an empty table gives an empty result.
-    tokenizer_file is a .json file of the tokenizers library.
+    tokenizer_file is a .json file of the tokenizers library; see PreTokens for those that are refused.
     """
     path = Path(tokenizer_file)
     if path.suffix != ".json":
         raise ValueError(f"{tokenizer_file}: only .json vocabularies have pre-tokens to count")
     if path.stat().st_size > MAX_FILE_BYTES:
         raise ValueError(f"{tokenizer_file} is larger than {MAX_FILE_BYTES} bytes")
-    definition = df.sparkSession.sparkContext.broadcast(path.read_text(encoding="utf-8"))
+    PreTokens(path.read_text(encoding="utf-8"))
+    spark = df.sparkSession
+    definition = spark.sparkContext.broadcast(path.read_text(encoding="utf-8"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    words, _ = distinct_words(docs, definition)
+    frequent = (F.col("times") >= _rare_below(words)) & (F.length("word") <= MAX_SENT)
+    sent = spark.sparkContext.broadcast({r["word"]: r["pieces"] for r in words.filter(frequent).select("word", "pieces").toLocalIterator()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = kept(("counter", hash(definition.value)), lambda: PieceCounter(definition.value))
+        split, known = PreTokens(definition.value), sent.value
         for part in slices(batches, "text"):
-            texts = part.column("text").to_pylist()
-            counts = [counter.count(t) if t else 0 for t in texts]
+            sums: list[int] = []
+            rest: list[list[dict]] = []
+            for text in part.column("text").to_pylist():
+                total, found = split.count(text) if text else (0, {})
+                other = []
+                for word, times in found.items():
+                    n = known.get(word)
+                    if n is None:
+                        other.append({"word": word, "times": times})
+                    else:
+                        total += n * times
+                sums.append(total)
+                rest.append(other)
             sizes = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
+            kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), sizes, pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
+                [part.column("doc_id"), sizes, pa.array(sums, pa.int64()), pa.array(rest, kind)], names=["doc_id", "n_bytes", "known", "rest"]
             )
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    counted = docs.mapInArrow(frugal(run), "doc_id long, n_bytes long, known long, rest array<struct<word string, times long>>")
+    # Rows are told apart by a number of their own, as ids may repeat; the table fixes it.
+    counted, _ = written(counted.withColumn("row", F.monotonically_increasing_id()), "frequencies")
+    rare = counted.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times")
+    sums = rare.join(words.filter(~frequent).select("word", "pieces"), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
+    total = F.col("known") + F.coalesce("more", F.lit(0))
+    out = counted.select("row", "doc_id", "n_bytes", "known").join(sums, "row", "left")
+    return out.select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
