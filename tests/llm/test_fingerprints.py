@@ -29,20 +29,42 @@ def test_equals_brute_force(docs, odd):
 
 def test_sketches_recover_differences():
     rng = np.random.default_rng(1)
-    left = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (0, 1, 5, 40, 900)]
-    right = [x[: len(x) // 2] for x in left]
-    for a, b, (only_a, only_b) in zip(left, right, fingerprints.differences(left, right), strict=True):
-        assert set(only_a.tolist()) == set(np.setdiff1d(a, b).tolist()) and set(only_b.tolist()) == set(np.setdiff1d(b, a).tolist())
-
-
-def test_published_form_subtracts():
-    a, b = "one. two. three. four.", "one. two. three. five."
-    x, n = fingerprints.Sketches.from_text(fingerprints.sketch([fingerprints.digests(a)]).text(0, 4))
-    y, _ = fingerprints.Sketches.from_text(fingerprints.sketch([fingerprints.digests(b)]).text(0, 4))
-    x.subtract(y)
-    _, keys, signs, whole = x.peel()
-    assert n == 4 and whole.all() and sorted(signs.tolist()) == [-1, 1]
-    assert set(keys.tolist()) == set(fingerprints.digests(a).tolist()) ^ set(fingerprints.digests(b).tolist())
+    left = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (0, 1, 5, 40, 900, 900, 3)]
+    right = [x[: len(x) // 2] for x in left[:5]] + [left[4][:899], left[4]]
+    found = fingerprints.differences(fingerprints.sketch(left), fingerprints.sketch(right))
+    for a, b, (only_a, only_b) in zip(left, right, found, strict=True):
+        assert only_a.tolist() == np.setdiff1d(a, b).tolist() and only_b.tolist() == np.setdiff1d(b, a).tolist()
+
+
+def test_foldings_are_the_smaller_sketches():
+    sets = [np.random.default_rng(k).integers(0, 2**64, 50, dtype=np.uint64) for k in range(3)]
+    large, small = fingerprints._filled(sets, np.array([64, 32, 128])), fingerprints._filled(sets, np.full(3, 8))
+    folded = large.folded(np.arange(3), 8)
+    assert (folded.counts == small.counts).all() and (folded.keys == small.keys).all() and (folded.checks == small.checks).all()
+
+
+def test_likeness_follows_from_the_published_fingerprints(docs, odd):
+    rng = random.Random(4)
+    texts = odd + ["\n".join(" ".join(rng.choice(("one", "two", "three", "four")) for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(1, 40))) for _ in range(40)]
+    rows = sorted(fingerprints.fingerprint_edits(docs(texts)).collect(), key=lambda r: r.doc_id)
+    own = [r.fingerprint for r in rows]
+    assert fingerprints.compare(own, [r.edited_fingerprint for r in rows]) == [r.near_edited for r in rows]
+    assert fingerprints.compare(own, own[1:] + own[:1]) == [r.near_next for r in rows]
+    # Every published sketch gives all its digests.
+    held, sizes = fingerprints.Sketches.from_texts(own)
+    found, none, whole = held.peel()
+    assert whole.all() and [len(x) for x in found] == sizes.tolist() and not any(map(len, none))
+
+
+def test_small_edits_and_empty_lines():
+    rng = random.Random(6)
+    line = " ".join(rng.choice(("alpha", "beta", "gamma", "delta")) for _ in range(800))
+    near = lambda a, b: fingerprints.compare(*([fingerprints.sketch([d]).text(0, len(d))] for d in map(fingerprints.digests, (a, b))))[0]
+    assert near(line, "x" + line) > 0.9
+    assert near("a\nb\n\nc", "a\nb\nc") < 1.0
+    # A paragraph that repeats in one of them does not hide what they share.
+    assert near("one\ntwo\nthree\n", "one\ntwo\nthree\none\n") == 3 / 4
+    assert "".join(fingerprints.pieces(line + "\n\n" + line)) == line + "\n\n" + line
 
 
 def test_small_tables(docs):

@@ -1,98 +1,145 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into pieces: lines, cut again behind sentence ends and every PIECE characters. Each piece's digest goes
-into one cell of every third of a sketch (how often, sum of digests, sum of check values). Two versions' sketches
-subtract cell by cell; peeling cells that hold one digest recovers the digests in which the versions differ. Where
-peeling gets stuck the sketch was too small, and a larger one of the same texts is tried.
+A text's paragraphs are its lines; a long one is cut further at places that depend on the letters just before, so that
+an edit changes the pieces around it alone. Each piece's digest goes into one cell of every third of a sketch (how
+often, sum of digests, sum of check values). The cells of a third are a power of two: a sketch folds into all smaller
+ones. Two versions' sketches are folded and subtracted cell by cell; peeling cells that hold one digest recovers the
+digests in which the versions differ. Where peeling gets stuck, larger foldings are tried. A published sketch is large
+enough to peel to nothing by itself, so that any two of them tell their difference in the end.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import frugal, partitions, slices
 from tidemark.llm.hashing import mix
 
-#: Cells of a published sketch, and how much larger the next one is after a failure.
-CELLS = 18
+#: Cells of a third of the smallest sketch, and how much larger the next folding is after a failure.
+THIRD = 4
 GROWTH = 4
-#: Characters of a piece at most.
-PIECE = 64
-#: Sizes tried before the digests are compared as they are.
-TRIES = 14
+#: Cells of a third for each digest, from which a sketch's size is tried.
+LOAD = 0.45
+#: Characters of a paragraph that is not cut, mean length of a piece of a longer one, and characters that decide on a cut.
+LONG = 160
+MEAN = 96
+_REACH = 16
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-_PIECES = re.compile(rf"[^\n.!?]{{1,{PIECE}}}[.!?]*|[.!?]+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Check values are summed modulo 2**32.
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def pieces(text: str) -> list[str]:
+    """The paragraphs, with their line ends, long ones in several pieces; together they are the text."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    bounds = np.concatenate([[0], np.flatnonzero(codes == 10) + 1, [len(codes)]])
+    lengths = np.diff(bounds)
+    if (lengths > LONG).any():
+        h = codes.astype(np.uint64)
+        step = 1
+        while step < _REACH:
+            h = h * (_GOLDEN + np.uint64(2 * step)) + np.concatenate([np.zeros(step, np.uint64), h])[: len(h)]
+            step *= 2
+        cuts = np.flatnonzero(mix(h) % np.uint64(MEAN) == 0)
+        line = np.searchsorted(bounds, cuts, side="right") - 1
+        cuts = cuts[(lengths[line] > LONG) & (cuts - bounds[line] >= _REACH)] + 1
+        bounds = np.union1d(bounds, cuts)
+    at = bounds.tolist()
+    return [text[i:j] for i, j in zip(at, at[1:], strict=False) if i < j]
 
 
 def digests(text: str) -> np.ndarray:
     """Distinct 64-bit digests of the text's pieces, in ascending order; the k-th copy of a piece has a digest of its own."""
-    hashes = np.array([xxhash.xxh3_64_intdigest(p) for p in _PIECES.findall(text)], np.uint64)
+    hashes = np.array([xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) for p in pieces(text)], np.uint64)
     hashes.sort()
     if len(hashes) > 1:
         starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         copy = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.append(starts, len(hashes))))
         if copy.any():
-            hashes = np.sort(mix(hashes + copy.astype(np.uint64) * _GOLDEN))
+            hashes = np.sort(np.where(copy > 0, mix(hashes + copy.astype(np.uint64) * _GOLDEN), hashes))
     return hashes
 
 
-def _cells(keys: np.ndarray, cells: int) -> list[np.ndarray]:
-    third = np.uint64(cells // 3)
-    return [(mix(keys + np.uint64((3 * cells + j) * int(_GOLDEN) % 2**64)) % third).astype(np.int64) + j * (cells // 3) for j in range(3)]
-
-
 def _checks(keys: np.ndarray) -> np.ndarray:
-    return mix(keys ^ np.uint64(0xA5A5A5A55A5A5A5A)) & np.uint64(0xFFFFFFFF)
+    return mix(keys ^ np.uint64(0xA5A5A5A55A5A5A5A)) & _LOW
 
 
 class Sketches:
-    """Sketches of one size for several documents or differences, side by side."""
-
-    def __init__(self, number: int, cells: int):
-        self.cells = cells
-        self.counts = np.zeros(number * cells, np.int64)
-        self.keys = np.zeros(number * cells, np.uint64)
-        self.checks = np.zeros(number * cells, np.uint64)
+    """Sketches of several documents or differences, side by side; thirds has the cells of a third of each."""
+
+    def __init__(self, thirds: np.ndarray):
+        self.thirds = thirds.astype(np.int64)
+        self.starts = np.cumsum(3 * self.thirds) - 3 * self.thirds
+        size = int(3 * self.thirds.sum())
+        self.owners = np.repeat(np.arange(len(thirds)), 3 * self.thirds)
+        self.counts = np.zeros(size, np.int64)
+        self.keys = np.zeros(size, np.uint64)
+        self.checks = np.zeros(size, np.uint64)
+
+    def _put(self, at: np.ndarray, counts: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
+        np.add.at(self.counts, at, counts)
+        np.add.at(self.keys, at, keys)
+        np.add.at(self.checks, at, checks)
 
     def add(self, owners: np.ndarray, keys: np.ndarray, sign: np.ndarray) -> None:
         """Add (sign 1) or take away (sign -1) digests."""
         signed = sign.astype(np.uint64)  # modulo 2**64
         checks = _checks(keys) * signed
-        for cell in _cells(keys, self.cells):
-            at = owners * self.cells + cell
-            np.add.at(self.counts, at, sign)
-            np.add.at(self.keys, at, keys * signed)
-            np.add.at(self.checks, at, checks)
+        third = self.thirds[owners]
+        for j in range(3):
+            cell = (mix(keys + np.uint64((j + 1) * int(_GOLDEN) % 2**64)) & (third - 1).astype(np.uint64)).astype(np.int64)
+            self._put(self.starts[owners] + j * third + cell, sign, keys * signed, checks)
+
+    def folded(self, chosen: np.ndarray, third: int) -> Sketches:
+        """The chosen sketches with thirds of so many cells, at most as many as they have."""
+        out = Sketches(np.full(len(chosen), third))
+        sizes = 3 * self.thirds[chosen]
+        ends = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(chosen)), sizes)
+        cell = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+        own = self.thirds[chosen][owner]
+        at = self.starts[chosen][owner] + cell
+        out._put(3 * third * owner + cell // own * third + cell % own % third, self.counts[at], self.keys[at], self.checks[at])
+        return out
+
+    def picked(self, chosen: np.ndarray) -> Sketches:
+        """The chosen sketches in their own sizes."""
+        out = Sketches(self.thirds[chosen])
+        sizes = 3 * self.thirds[chosen]
+        at = np.arange(len(out.counts)) + np.repeat(self.starts[chosen] - out.starts, sizes)
+        out.counts, out.keys, out.checks = self.counts[at], self.keys[at], self.checks[at]
+        return out
 
     def subtract(self, other: Sketches) -> None:
         self.counts -= other.counts
         self.keys -= other.keys
         self.checks -= other.checks
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(owners, digests, signs) recovered, and which owners' sketches came out whole."""
+    def peel(self) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """For each owner the digests recovered with sign 1 and with sign -1, ascending; and which sketches came out whole."""
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while True:
+        # A sketch of differences that don't peel could go in circles; a digest more than there are cells is one.
+        for _ in range(len(self.counts) + 1):
             at = np.flatnonzero(np.abs(self.counts) == 1)
             sign = self.counts[at]
             keys = self.keys[at] * sign.astype(np.uint64)
-            pure = (_checks(keys) * sign.astype(np.uint64)) == self.checks[at]
+            pure = ((_checks(keys) * sign.astype(np.uint64) - self.checks[at]) & _LOW) == 0
             at, sign, keys = at[pure], sign[pure], keys[pure]
             if not len(at):
                 break
-            owners = at // self.cells
+            owners = self.owners[at]
             # A digest that is alone in two or three of its cells is taken once.
             order = np.lexsort((keys, owners))
             owners, keys, sign = owners[order], keys[order], sign[order]
@@ -101,78 +148,110 @@ class Sketches:
             owners, keys, sign = owners[new], keys[new], sign[new]
             found.append((owners, keys, sign))
             self.add(owners, keys, -sign)
-        left = (self.counts != 0) | (self.keys != 0) | (self.checks != 0)
-        whole = ~left.reshape(-1, self.cells).any(axis=1)
+        whole = np.ones(len(self.thirds), bool)
+        whole[self.owners[(self.counts != 0) | (self.keys != 0) | (self.checks & _LOW != 0)]] = False
         empty = np.zeros(0, np.int64)
         owners, keys, signs = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (empty, empty.astype(np.uint64), empty)
-        return owners, keys, signs, whole
+        sides = []
+        for side in (1, -1):
+            o, k = owners[signs == side], keys[signs == side]
+            order = np.lexsort((k, o))
+            sides.append(np.split(k[order], np.cumsum(np.bincount(o, minlength=len(self.thirds)))[:-1]))
+        return sides[0], sides[1], whole
 
     def text(self, owner: int, size: int) -> str:
         """The published form: number of digests, cells, and each cell's count, digest sum and check sum."""
-        cut = slice(owner * self.cells, (owner + 1) * self.cells)
-        body = self.counts[cut].astype("<i4").tobytes() + self.keys[cut].astype("<u8").tobytes() + self.checks[cut].astype("<u4").tobytes()
-        return f"{size}.{self.cells}.{base64.b64encode(body).decode()}"
+        cut = slice(int(self.starts[owner]), int(self.starts[owner] + 3 * self.thirds[owner]))
+        body = self.counts[cut].astype("<i2").tobytes() + self.keys[cut].astype("<u8").tobytes() + self.checks[cut].astype("<u4").tobytes()
+        return f"{size}.{3 * self.thirds[owner]}.{base64.b64encode(body).decode()}"
 
     @staticmethod
-    def from_text(fingerprint: str) -> tuple[Sketches, int]:
-        size, cells, body = fingerprint.split(".", 2)
-        out, raw, n = Sketches(1, int(cells)), base64.b64decode(body), int(cells)
-        out.counts[:] = np.frombuffer(raw, "<i4", n)
-        out.keys[:] = np.frombuffer(raw, "<u8", n, 4 * n)
-        out.checks[:] = np.frombuffer(raw, "<u4", n, 12 * n)
-        return out, int(size)
-
-
-def sketch(sets: list[np.ndarray], cells: int = CELLS) -> Sketches:
-    out = Sketches(len(sets), cells)
+    def from_texts(fingerprints: list[str]) -> tuple[Sketches, np.ndarray]:
+        """The sketches and numbers of digests behind published fingerprints."""
+        cut = [f.split(".", 2) for f in fingerprints]
+        out = Sketches(np.array([int(cells) // 3 for _, cells, _ in cut], np.int64))
+        for start, (_, cells, body) in zip(out.starts.tolist(), cut, strict=True):
+            raw, n = base64.b64decode(body), int(cells)
+            out.counts[start : start + n] = np.frombuffer(raw, "<i2", n)
+            out.keys[start : start + n] = np.frombuffer(raw, "<u8", n, 2 * n)
+            out.checks[start : start + n] = np.frombuffer(raw, "<u4", n, 10 * n)
+        return out, np.array([int(size) for size, _, _ in cut], np.int64)
+
+
+def _filled(sets: list[np.ndarray], thirds: np.ndarray) -> Sketches:
+    out = Sketches(thirds)
     if sets:
         owners = np.repeat(np.arange(len(sets)), list(map(len, sets)))
         out.add(owners, np.concatenate(sets), np.ones(len(owners), np.int64))
     return out
 
 
-def differences(left: list[np.ndarray], right: list[np.ndarray], cells: int = CELLS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each pair of digest sets the digests only in the left and only in the right one, by sketches of growing size."""
-    out: list = [None] * len(left)
-    todo = np.arange(len(left))
-    for _ in range(TRIES):
-        if not len(todo):
+def sketch(sets: list[np.ndarray]) -> Sketches:
+    """Sketches of digest sets, each the smallest from LOAD on that peels to nothing."""
+    thirds = np.array([max(THIRD, 1 << max(0, int(np.ceil(LOAD * len(s))) - 1).bit_length()) for s in sets], np.int64)
+    todo = np.arange(len(sets))
+    while len(todo):
+        _, _, whole = _filled([sets[i] for i in todo], thirds[todo]).peel()
+        todo = todo[~whole]
+        thirds[todo] *= 2
+    return _filled(sets, thirds)
+
+
+def differences(left: Sketches, right: Sketches) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each pair of sketches the digests only in the left and only in the right one, by foldings of growing size. Where
+    the smaller sketch's own size is not enough either, both are peeled by themselves."""
+    out: list = [None] * len(left.thirds)
+    most = np.minimum(left.thirds, right.thirds)
+    todo, third = np.arange(len(out)), THIRD
+    while len(todo):
+        tried = todo[most[todo] >= third]
+        alone = todo[most[todo] < third]
+        if len(alone):
+            mine, _, _ = left.picked(alone).peel()
+            theirs, _, _ = right.picked(alone).peel()
+            for i, a, b in zip(alone.tolist(), mine, theirs, strict=True):
+                out[i] = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
+        if not len(tried):
             break
-        for at in range(0, len(todo), max(1, 2_000_000 // cells)):
-            part = todo[at : at + max(1, 2_000_000 // cells)]
-            diff = sketch([left[i] for i in part], cells)
-            diff.subtract(sketch([right[i] for i in part], cells))
-            owners, keys, signs, whole = diff.peel()
-            for sign_is, side in ((1, 0), (-1, 1)):
-                mine = signs == sign_is
-                o, k = owners[mine], keys[mine]
-                order = np.argsort(o, kind="stable")
-                pieces = np.split(k[order], np.cumsum(np.bincount(o, minlength=len(part)))[:-1])
-                for j in np.flatnonzero(whole):
-                    if side == 0:
-                        out[part[j]] = (pieces[j], None)
-                    else:
-                        out[part[j]] = (out[part[j]][0], pieces[j])
-        todo = np.array([i for i in todo if out[i] is None], np.int64)
-        cells *= GROWTH
-    for i in todo:
-        out[i] = (np.setdiff1d(left[i], right[i]), np.setdiff1d(right[i], left[i]))
+        diff = left.folded(tried, third)
+        diff.subtract(right.folded(tried, third))
+        only_left, only_right, whole = diff.peel()
+        for j in np.flatnonzero(whole).tolist():
+            out[tried[j]] = only_left[j], only_right[j]
+        todo, third = tried[~whole], third * GROWTH
     return out
 
 
-def likeness(left: np.ndarray, right: np.ndarray, difference: tuple[np.ndarray, np.ndarray]) -> float:
+def likeness(sizes: tuple[int, int], difference: tuple[np.ndarray, np.ndarray]) -> float:
     """Jaccard similarity from the sizes and the recovered difference; 1 for two empty texts."""
-    shared = len(left) - len(difference[0])
+    shared = sizes[0] - len(difference[0])
     union = shared + len(difference[0]) + len(difference[1])
     return shared / union if union else 1.0
 
 
+def compare(left: list[str], right: list[str]) -> list[float]:
+    """The likeness of each pair of published fingerprints, from these alone."""
+    (a, n), (b, m) = Sketches.from_texts(left), Sketches.from_texts(right)
+    return [likeness(sizes, d) for sizes, d in zip(zip(n.tolist(), m.tolist(), strict=True), differences(a, b), strict=True)]
+
+
 def edited(text: str, following: str) -> str:
     """text with its last floor(n/2) characters replaced by the first as many of the following text."""
     half = len(text) // 2
     return text[: len(text) - half] + following[:half]
 
 
+def _range_of(bounds: list[int]) -> Column:
+    """The number of bounds up to the id, by a binary search over them; 0 for a null id."""
+    held = np.array(bounds, np.int64)
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(held, ids.to_numpy(), side="right").astype(np.int32))
+
+    return F.when(F.col("id").isNull(), F.lit(0)).otherwise(place(F.coalesce(F.col("id"), F.lit(0))))
+
+
 def _dealt(docs: DataFrame) -> DataFrame:
     """Rows (p, tail, id, h, text) such that sorted within p by (tail, id, h) every row but the last is followed by the
     next document; the last one (tail) is a copy of the first row of the next p, and of the first document for the last p."""
@@ -180,7 +259,7 @@ def _dealt(docs: DataFrame) -> DataFrame:
     number = 4 * partitions(spark)
     at = docs.agg(F.percentile_approx("id", [i / number for i in range(1, number)], 100 * number), F.min("id"), F.count_if(F.col("id").isNull())).first()
     bounds = sorted(set(at[0] or []) - {at[1]})
-    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("id"))), F.lit(0)) if bounds else F.lit(0)
+    part = _range_of(bounds) if bounds else F.lit(0)
     heads = [*bounds, *([at[1]] if at[1] is not None and not at[2] else [])]
     chosen = F.col("id").isin(heads) if heads else F.lit(False)
     if at[2]:
@@ -191,7 +270,7 @@ def _dealt(docs: DataFrame) -> DataFrame:
     return docs.select(part.alias("p"), F.lit(0).alias("tail"), "id", "h", "text").unionByName(tails)
 
 
-def fingerprint_edits(df: DataFrame, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of df.
 
     Every document is fingerprinted, its edited text (see edited) and the next document by ascending id (after the last,
@@ -204,22 +283,22 @@ def fingerprint_edits(df: DataFrame, cells: int = CELLS, id_col: str = "doc_id",
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
-    def compare(rows: list[tuple[int | None, str]], last: str) -> pa.RecordBatch:
+    def packed(rows: list[tuple[int | None, str]], last: str) -> pa.RecordBatch:
         """rows: documents in order; last: the text that follows them."""
         texts = [t for _, t in rows] + [last]
         changed = [edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
-        own, other = [digests(t) for t in texts], [digests(t) for t in changed]
-        n = len(rows)
-        left = own[:n] + own[:n]
-        right = other + own[1:]
-        near = [likeness(a, b, d) for a, b, d in zip(left, right, differences(left, right, cells), strict=True)]
-        prints, edits = sketch(own[:n], cells), sketch(other, cells)
+        sets = [digests(t) for t in texts] + [digests(t) for t in changed]
+        sizes, n = list(map(len, sets)), len(rows)
+        prints = sketch(sets)
+        own, other = np.tile(np.arange(n), 2), np.concatenate([n + 1 + np.arange(n), 1 + np.arange(n)])
+        found = differences(prints.picked(own), prints.picked(other))
+        near = [likeness((sizes[a], sizes[b]), d) for a, b, d in zip(own.tolist(), other.tolist(), found, strict=True)]
         columns = [
             [i for i, _ in rows],
             [len(t) for _, t in rows],
             [hashlib.sha256(t.encode()).hexdigest() for t in changed],
-            [prints.text(i, len(own[i])) for i in range(n)],
-            [edits.text(i, len(other[i])) for i in range(n)],
+            [prints.text(i, sizes[i]) for i in range(n)],
+            [prints.text(n + 1 + i, sizes[n + 1 + i]) for i in range(n)],
             near[:n],
             near[n:],
         ]
@@ -228,17 +307,17 @@ def fingerprint_edits(df: DataFrame, cells: int = CELLS, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, str]] = []
         at = None
-        for part in slices(batches, "text", 1_000_000):
+        for part in slices(batches, "text"):
             for p, tail, i, text in zip(*(part.column(c).to_pylist() for c in ("p", "tail", "id", "text")), strict=True):
                 if tail:
                     if held and p == at:
-                        yield compare(held, text)
+                        yield packed(held, text)
                     held = []
                 else:
                     at = p
                     held.append((i, text))
             if len(held) > 1:
-                yield compare(held[:-1], held[-1][1])
+                yield packed(held[:-1], held[-1][1])
                 held = held[-1:]
 
     dealt = _dealt(docs).repartition(partitions(df.sparkSession), "p").sortWithinPartitions("p", "tail", F.asc_nulls_first("id"), "h", "text")
