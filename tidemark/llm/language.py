@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-Each language gets a zstandard raw-content dictionary, made of a bounded sample of its labelled texts. A text is
+Each language gets a zstandard raw-content dictionary, made of a bounded number of its labelled texts as they are. A text is
 encoded block by block with every dictionary; the language whose dictionary gives the smallest total wins. The score
 is the margin to the runner-up; a text whose margin is too narrow is rejected. Texts and dictionaries are lower-cased
 and lose the ASCII characters that are neither letters nor white space, which say nothing about the language.
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import frugal, slices
 
-#: Documents that a language's dictionary is sampled from at most, code points taken of each, and bytes of the dictionary.
-SAMPLE_DOCS = 500
-SAMPLE_CHARS = 500
-DICTIONARY_BYTES = 96_000
+#: Labelled documents that a language's dictionary is made of at most, each as a whole, and the bytes of one that is
+#: preferred: longer ones are sampled only where a language has not as many that are shorter.
+SAMPLE_DOCS = 200
+SAMPLE_BYTES = 4_000
 #: Languages that a model holds at most: dictionaries travel to every executor.
 MAX_LANGUAGES = 500
 #: A text is encoded in blocks of so many bytes, so that a long text's own repetitions don't drown the dictionary's part.
@@ -40,30 +40,30 @@ SCHEMA = "doc_id long, lang_pred string, score double, accepted boolean"
 
 
 def learn_dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """{language: dictionary}, from SAMPLE_DOCS documents of each language, those whose ids hash lowest.
+    """{language: dictionary}, from SAMPLE_DOCS different texts of each language, those whose hashes are least.
 
-    Rows without text or language are ignored. Ids are chosen before texts are read. The result's size is bounded by
-    MAX_LANGUAGES and DICTIONARY_BYTES.
+    Rows without text, language or id are ignored; equal texts count once; an empty table gives no dictionaries. The
+    result's size is bounded by MAX_LANGUAGES and SAMPLE_DOCS texts, of SAMPLE_BYTES where there are enough of these.
     """
-    named = labelled.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
-    named = named.filter("l IS NOT NULL AND t IS NOT NULL AND i IS NOT NULL")
-    counts = named.groupBy("l").count().limit(MAX_LANGUAGES + 1).collect()
+    named = labelled.filter(F.col(id_col).isNotNull()).select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
+    named = named.filter("l IS NOT NULL AND t IS NOT NULL").withColumn("short", F.octet_length("t") <= SAMPLE_BYTES)
+    h = F.xxhash64("t")
+    counts = named.groupBy("l").agg(F.approx_count_distinct(h).alias("all"), F.approx_count_distinct(F.when(F.col("short"), h)).alias("few"))
+    counts = counts.limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    # Four times as many ids as are wanted pass by their hashes alone, so that no task ranks a whole language.
+    # Four times as many texts as are wanted pass by their hashes alone, so that no task ranks a whole language; copies
+    # of a text pass together and collapse before the shuffle.
     spark = labelled.sparkSession
-    shares = spark.createDataFrame([(r["l"], min(1.0, 4.0 * SAMPLE_DOCS / r["count"])) for r in counts], "l string, share double")
-    hashed = named.select("i", "l", (F.shiftrightunsigned(F.xxhash64("i"), 11) / F.lit(2.0**53)).alias("u"))
-    few = hashed.join(F.broadcast(shares), "l").filter("u < share")
-    ranked = few.selectExpr("i", "l", "row_number() OVER (PARTITION BY l ORDER BY u, i) AS n").filter(F.col("n") <= SAMPLE_DOCS)
-    chosen = ranked.select("i", "l").limit(MAX_LANGUAGES * SAMPLE_DOCS).collect()
-    languages = sorted({r.l for r in chosen})
-    ids = spark.createDataFrame([(r.i, r.l) for r in chosen], "i long, l string").distinct()
-    rows = named.join(F.broadcast(ids), ["i", "l"], "left_semi").selectExpr("i", "l", f"left(t, {SAMPLE_CHARS}) AS t").distinct()
-    held: dict[str, list] = {lang: [] for lang in languages}
-    for r in rows.limit(2 * MAX_LANGUAGES * SAMPLE_DOCS).toLocalIterator():
-        held[r.l].append((r.i, r.t))
-    return {lang: b" ".join(letters(t) for _, t in sorted(texts))[-DICTIONARY_BYTES:] for lang, texts in held.items()}
+    shares = [(r["l"], only := r["few"] >= 2 * SAMPLE_DOCS, min(1.0, 4.0 * SAMPLE_DOCS / max(1, r["few"] if only else r["all"]))) for r in counts]
+    known = spark.createDataFrame(shares, "l string, only boolean, share double")
+    hashed = named.withColumn("u", F.shiftrightunsigned(h, 11) / F.lit(2.0**53))
+    few = hashed.join(F.broadcast(known), "l").filter("u < share AND (short OR NOT only)").groupBy("l", "u", "t").agg(F.count("*").alias("n"))
+    ranked = few.selectExpr("l", "u", "t", "row_number() OVER (PARTITION BY l ORDER BY u, t) AS n").filter(F.col("n") <= SAMPLE_DOCS)
+    held: dict[str, list] = {}
+    for r in ranked.toLocalIterator():
+        held.setdefault(r["l"], []).append((r["u"], r["t"]))
+    return {lang: b" ".join(letters(t) for _, t in sorted(texts)) for lang, texts in sorted(held.items())}
 
 
 def letters(text: str) -> bytes:
@@ -126,7 +126,10 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], min_score: float = M
 
 
 def keep_accepted(df: DataFrame, dictionaries: dict[str, bytes], min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
-    """The rows of df that classify would accept, all columns as they are; nothing is shuffled."""
+    """The rows of df that classify would accept, all columns as they are; nothing is shuffled.
+
+    Rows whose text is null or has no letter go; null ids and repeated rows do not matter; an empty table stays empty.
+    """
     model = df.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
