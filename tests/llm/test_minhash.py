@@ -73,6 +73,39 @@ def test_nulls_repeats_and_empty(docs):
     assert minhash.link(docs([])).collect() == []
 
 
+def test_an_id_with_several_texts(docs):
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), "other words stand here alone", "other words stand here alone", " ".join(base[1:]), "x y z"]
+    got = minhash.link(docs(texts, [5, 5, 9, 2, 5])).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(2, 56, 2, True), (5, 1, 2, False), (5, 2, 2, False), (5, 57, 2, False), (9, 2, 2, False)]
+
+
+def test_hot_classes(docs, monkeypatch):
+    """Copies of a text and empty texts, with nearly every class hot."""
+    monkeypatch.setattr(minhash, "HOT", 2)
+    texts = ["a b c d e"] * 7 + ["f g h i j"] * 4 + ["k l m n o"] * 2 + [None] * 5
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.link(docs(texts)).collect()}
+    assert got == brute(list(range(len(texts))), texts, 4, 80)
+
+
+def test_sizes_by_range_never_rule_a_link_out():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, shared in [(1, 1), (5, 4), (9, 8), (40, 32), (300, 240), (3_000, 2_400), (90_000, 72_000)] * 3:
+        union = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        rng.shuffle(union)
+        spare = (len(union) - shared) // 2
+        a, b = union[: len(union) - spare], union[spare:]
+        both = len(np.intersect1d(a, b))
+        linked = 100 * both >= 80 * len(union)
+        sizes = [np.array([minhash.sizes_by_range(x)]) for x in (a, b)]
+        may = minhash.may_link(sizes[0], np.array([len(a)]), sizes[1], np.array([len(b)]), 80)[0, 0]
+        assert may or not linked
+    a, b = (np.array([minhash.sizes_by_range(rng.integers(0, 2**64, 300, dtype=np.uint64))]) for _ in range(2))
+    assert not minhash.may_link(a, np.array([300]), b, np.array([300]), 80).any()
+
+
 def test_signatures_estimate_similarity():
     import numpy as np
 

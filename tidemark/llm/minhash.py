@@ -7,8 +7,8 @@ bands; documents that share a band are candidates.
 Documents with equal shingle sets form a class and are represented by their smallest id, so copies cost no candidates.
 In a bucket every member is first compared with a centre (a star, not all pairs): the member that shares buckets with
 most others. Members that the links so far leave in another component than most of the bucket are then, in blocks,
-compared with the members of other components, unless their signatures rule a link out; so no link between different
-texts is lost. Links are confirmed on full sets.
+compared with the members of other components, unless the sets' sizes by ranges of hashes show that they can't share
+enough; so no link of a bucket is lost. Links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -30,14 +30,15 @@ ROWS = 3
 SIZE = 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Copies of the table of classes, so that one class's documents are dealt to as many tasks.
-SALTS = 16
+#: Classes of more documents than this, and than the table's rows divided by HOT_CLASSES, are joined by a broadcast.
+HOT = 10_000
+HOT_CLASSES = 50_000
 #: Candidates that one copy of a centre's text is compared with.
 GROUP = 64
-#: Signature coordinates (of BANDS * ROWS) that agree at least where a link is possible: five standard deviations below 0.8.
-AGREE = 41
-#: Members outside a bucket's main component that one task compares with the bucket, and with fetched texts.
-BLOCK = 2_048
+#: Ranges of hashes that a set's sizes are told by.
+BINS = 256
+#: Members outside a bucket's main component, and members, that one task compares; and the same for fetched texts.
+BLOCK = 1_024
 TEXT_BLOCK = 256
 
 _SIGMA = np.uint32(0x85EBCA6B)
@@ -67,8 +68,24 @@ def signatures(sets: list[np.ndarray], coordinates: int = BANDS * ROWS) -> np.nd
     return out
 
 
+def sizes_by_range(s: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes are in each of BINS ranges; 255 everywhere if some range has as many or more."""
+    sizes = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS)
+    return np.full(BINS, 255, np.uint8) if sizes.max() >= 255 else sizes.astype(np.uint8)
+
+
+def may_link(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of two lists, given by their sizes by ranges (rows) and sizes, could be similar enough: False only where
+    what they share at most, range by range, is too little."""
+    shared = np.minimum(left[:, None, :], right[None, :, :]).sum(axis=2, dtype=np.int64)
+    unknown = (left[:, 0] == 255)[:, None] | (right[:, 0] == 255)[None, :]
+    least = np.minimum(n_left[:, None], n_right[None, :])
+    shared = np.where(unknown, least, shared)
+    return 100 * shared >= percent * (n_left[:, None] + n_right[None, :] - shared)
+
+
 def _profile(df: DataFrame, size: int) -> DataFrame:
-    """id, n (set size), s1 and s2 (128 bits that name the set; null if empty), bands (a 64-bit key each), brief (a byte of each coordinate)."""
+    """id, n (set size), s1 and s2 (128 bits that name the set; null if empty), bands (a 64-bit key each), brief (see briefs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -90,7 +107,7 @@ def _profile(df: DataFrame, size: int) -> DataFrame:
             brief: list = [None] * len(sets)
             for row, i in enumerate(full):
                 bands[i] = keys[row].view(np.int64)
-                brief[i] = (sig[row] & 0xFF).astype(np.uint8).tobytes()
+                brief[i] = sizes_by_range(sets[i]).tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("id"),
@@ -120,16 +137,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     rows = docs.join(asked, "id").select("a", "g", "kind", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, held = None, np.zeros(0, np.uint64)
+        centre, held = None, []
         for part in slices(batches, "text"):
             sets = shingle_sets([(t or "").encode() for t in part.column("text").to_pylist()], size)
             out_a, out_b = [], []
             for a, g, kind, b, s in zip(*(part.column(c).to_pylist() for c in ("a", "g", "kind", "id")), sets, strict=True):
                 if kind == 0:
-                    centre, held = (a, g), s
+                    # An id that names several texts has several sets.
+                    held = [*held, s] if centre == (a, g) else [s]
+                    centre = (a, g)
                 elif centre == (a, g):
-                    both = len(np.intersect1d(held, s, assume_unique=True))
-                    if 100 * both >= percent * (len(held) + len(s) - both):
+                    shared = [(len(np.intersect1d(h, s, assume_unique=True)), len(h) + len(s)) for h in held]
+                    if any(100 * both >= percent * (all_ - both) for both, all_ in shared):
                         out_a.append(a)
                         out_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
@@ -137,58 +156,64 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return rows.repartition(partitions(docs.sparkSession), "a", "g").sortWithinPartitions("a", "g", "kind").mapInArrow(frugal(run), "a long, b long")
 
 
-def _possible(split: DataFrame, briefs: DataFrame) -> DataFrame:
+def _possible(split: DataFrame, briefs: DataFrame, percent: int) -> DataFrame:
     """main, id, component, outsider: the members of split buckets that may link an outsider, and these outsiders.
 
-    In each bucket the outsiders' signatures are compared with those of all members of other components, BLOCK outsiders
-    at a time; pairs are not put out.
+    In each bucket the outsiders are compared with all members of other components, BLOCK of the ones with BLOCK of the
+    others at a time, so that a large bucket is dealt to many tasks; pairs are not put out.
     """
-    rows = split.join(briefs.join(split.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "id")
+    rows = split.join(briefs.join(split.select("id").distinct(), "id", "left_semi").distinct(), "id")
+    sizes = split.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"))
+    rows = rows.join(sizes, "key")
     blocks = F.ceil(F.col("outside") / BLOCK).cast("int")
-    outsiders = rows.filter("component <> main").select("*", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.lit(0).alias("kind"))
-    everyone = rows.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("kind"))
-    dealt = outsiders.unionByName(everyone).repartition(partitions(split.sparkSession), "key", "block").sortWithinPartitions("key", "block", "kind")
+    own = F.xxhash64("id")
+    outsiders = rows.filter("component <> main").select(
+        "*", F.pmod(own, blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(0).alias("kind")
+    )
+    everyone = rows.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(own, F.col("groups")).cast("int").alias("group"), F.lit(1).alias("kind"))
+    dealt = outsiders.unionByName(everyone).repartition(partitions(split.sparkSession), "key", "block", "group").sortWithinPartitions("key", "block", "group", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
-        held: list[tuple[int, int, bytes]] = []
-        signs = np.zeros((0, BANDS * ROWS), np.uint8)
-        comps = np.zeros(0, np.int64)
+        at: tuple | None = None
+        held: list[tuple] = []
+        known: tuple | None = None
         for batch in batches:
             out: set[tuple[int, int, int, bool]] = set()
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("key", "block", "kind", "id", "component", "main", "brief")), strict=True))
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("key", "block", "group", "kind", "id", "component", "main", "n", "brief")), strict=True))
             i = 0
             while i < len(rows):
-                key, block, kind, *_ = rows[i]
-                if (key, block) != at:
-                    at, held, signs = (key, block), [], None
+                place, kind = rows[i][:3], rows[i][3]
+                if place != at:
+                    at, held, known = place, [], None
                 j = i
-                while j < len(rows) and rows[j][:3] == (key, block, kind):
+                while j < len(rows) and rows[j][:4] == (*place, kind):
                     j += 1
-                part = rows[i:j]
+                part = [r[4:] for r in rows[i:j]]
                 i = j
                 if kind == 0:
-                    held += [(x[3], x[4], x[6]) for x in part]
+                    held += part
                     continue
                 if not held:
                     continue
-                if signs is None:
-                    signs = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), -1)
-                    comps = np.array([h[1] for h in held], np.int64)
-                main = part[0][5]
-                for start in range(0, len(part), 64):
-                    some = part[start : start + 64]
-                    other = np.frombuffer(b"".join(x[6] for x in some), np.uint8).reshape(len(some), -1)
-                    agree = (signs[:, None, :] == other[None, :, :]).sum(axis=2)
-                    agree[comps[:, None] == np.array([x[4] for x in some], np.int64)[None, :]] = 0
-                    near = agree >= AGREE
+                known = known or _laid_out(held)
+                main = part[0][2]
+                for start in range(0, len(part), 32):
+                    some = part[start : start + 32]
+                    components, n, signs = _laid_out(some)
+                    near = may_link(known[2], known[1], signs, n, percent) & (known[0][:, None] != components[None, :])
                     out.update((main, held[o][0], held[o][1], True) for o in np.flatnonzero(near.any(axis=1)).tolist())
-                    out.update((main, some[m][3], some[m][4], False) for m in np.flatnonzero(near.any(axis=0)).tolist())
+                    out.update((main, some[m][0], some[m][1], False) for m in np.flatnonzero(near.any(axis=0)).tolist())
             columns = zip(*sorted(out), strict=True) if out else [[]] * 4
             types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["main", "id", "component", "outsider"])
 
-    return dealt.select("key", "block", "kind", "id", "component", "main", "brief").mapInArrow(frugal(run), "main long, id long, component long, outsider boolean").distinct()
+    chosen = dealt.select("key", "block", "group", "kind", "id", "component", "main", "n", "brief")
+    return chosen.mapInArrow(frugal(run), "main long, id long, component long, outsider boolean").distinct()
+
+
+def _laid_out(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """components, sizes and sizes by ranges of (id, component, main, n, brief) rows."""
+    return np.array([r[1] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
 
 
 def _verified_blocks(asked: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -237,15 +262,23 @@ def _verified_blocks(asked: DataFrame, docs: DataFrame, size: int, percent: int)
     return dealt.sortWithinPartitions("main", "block", "g", "kind").mapInArrow(frugal(run), "a long, b long")
 
 
+def _different(docs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """docs without rows that repeat a document; texts are only compared where an id has several sets."""
+    several = profiles.groupBy("id").agg(F.count_distinct("s1").alias("sets")).filter("sets > 1").select("id")
+    once = docs.join(several, "id", "left_anti").dropDuplicates(["id"])
+    return once.unionByName(docs.join(several, "id", "left_semi").distinct())
+
+
 def link(df: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), kept (doc_id = component_id) for every row.
 
     Null or wordless text: no shingles, linked with nothing. A null id is in no component and not kept. Rows that
-    repeat an id with one text are one document; ids must not name two different texts. Other columns are ignored; an
-    empty table gives an empty result. A percent under PERCENT is an error, as bands and AGREE would lose links.
+    repeat an id are one document: with several texts it has the links of each, and each row its own n_shingles. Other
+    columns are ignored; an empty table gives an empty result. A percent under PERCENT is an error, as bands would lose
+    links.
     """
     if percent < PERCENT:
-        raise ValueError(f"the bands and AGREE are for similarities of {PERCENT} percent and more: {percent}")
+        raise ValueError(f"the bands are for similarities of {PERCENT} percent and more: {percent}")
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     profiles, _ = written(_profile(docs, size), "profiles")
@@ -259,7 +292,7 @@ def link(df: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str =
     shared = members.groupBy("id").agg(F.sum("size").alias("shared"))
     centres = members.join(shared, "id").groupBy("key").agg(F.max_by("id", F.struct("shared", -F.col("id"))).alias("a"))
     stars = members.join(centres, "key").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
-    texts, texts_path = written(docs.join(shared.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts, texts_path = written(_different(docs.join(shared.select("id"), "id", "left_semi"), profiles), "texts")
     links, links_path = written(_verified(stars, texts, size, percent), "verified")
     reached, _ = components(links)
 
@@ -269,7 +302,7 @@ def link(df: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str =
     main = parts.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts"), (F.sum("n") - F.max("n")).alias("outside"))
     split, split_path = written(placed.join(main.filter("parts > 1"), "key").drop("parts"), "split")
     if split.take(1):
-        asked, asked_path = written(_possible(split, profiles.select("id", "brief")), "asked")
+        asked, asked_path = written(_possible(split, profiles.filter("brief IS NOT NULL").select("id", "n", "brief"), percent), "asked")
         more, more_path = written(_verified_blocks(asked, texts, size, percent), "verified")
         if more.take(1):
             reached, _ = components(links.unionByName(more))
@@ -279,9 +312,15 @@ def link(df: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str =
         drop_folder(spark, path)
 
     named = classes.join(reached, F.col("first") == F.col("id"), "left").select("s1", "s2", "first", "copies", F.coalesce("component", "first").alias("component"))
-    named = named.filter("copies > 1 OR component <> first").select("s1", "s2", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = profiles.select("id", "n", "s1", "s2").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    out = salted.join(named, ["s1", "s2", "salt"], "left")
+    named = named.filter("copies > 1 OR component <> first")
+    # A class that holds a large part of the rows would make one task long; such classes are few, and broadcast.
+    hot = F.col("copies") > max(HOT, profiles.count() // HOT_CLASSES)
+    large = named.filter(hot).select(F.col("s1").alias("l1"), F.col("s2").alias("l2"), F.col("component").alias("large"))
+    rows = profiles.select("id", "n", "s1", "s2").join(F.broadcast(large), (F.col("s1") == F.col("l1")) & (F.col("s2") == F.col("l2")), "left")
+    # Their rows, and those without a set, are spread by their ids and find no partner in the second join.
+    apart = F.col("large").isNotNull() | F.col("s1").isNull()
+    rows = rows.select("id", "n", "large", F.when(apart, F.col("id")).otherwise(F.col("s1")).alias("s1"), F.when(~apart, F.col("s2")).alias("s2"))
+    out = rows.join(named.filter(~hot).select("s1", "s2", F.col("component").alias("small")), ["s1", "s2"], "left").withColumn("component", F.coalesce("large", "small"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")
