@@ -1,3 +1,6 @@
+import math
+import random
+
 from tidemark.llm import html_text
 
 BODY = "<p>First paragraph, with some words in it.</p><p>Second &amp; last,\n one.</p>"
@@ -52,3 +55,68 @@ def test_query_shape(spark):
 def test_very_long_page():
     blocks = html_text.main_blocks("<article>" + "<p>some words, here.</p>" * 20_000 + "</article>")
     assert len(blocks) == 20_000
+
+
+def sentence(rng, least=6):
+    return " ".join(rng.choice(("alpha", "beta", "gamma", "delta")) + rng.choice(("", "", ",")) for _ in range(rng.randint(least, 30))) + "."
+
+
+def made_page(rng, wrapper):
+    """(page, its article's blocks), the article in wrapper; what is beside it is marked by name or by class, or is short."""
+    blocks = [("h1", " ".join(sentence(rng).split()[:5]))] + [("p", sentence(rng)) for _ in range(rng.randint(3, 25))]
+    inner = [f"<{t}>{x.replace('gamma', '<i>gamma</i>')}</{t}>" for t, x in blocks]
+    for extra in ("<aside>{}</aside>", "<div class='share-buttons'>{}</div>", "<script>var x = '{}';</script>", "<form><label>{}</label></form>"):
+        if rng.random() < 0.5:
+            inner.insert(rng.randint(1, len(inner)), extra.format(sentence(rng)))
+    around = ["<div class='ad'>{}</div>", "<nav><ul><li>{}</li></ul></nav>", "<div><a>Home</a></div>", "<div id='comments'><p>{}</p></div>", "<footer>{}</footer>", "<div class='cookie-notice'>{}</div>"]
+    rng.shuffle(around)
+    cut = rng.randint(0, len(around))
+    before, after = ("".join(x.format(sentence(rng)) for x in part) for part in (around[:cut], around[cut:]))
+    return f"<html><body>{before}<{wrapper}>{''.join(inner)}</{wrapper.split()[0]}>{after}</body></html>", [x for _, x in blocks]
+
+
+def test_made_pages_with_and_without_an_article_element():
+    rng = random.Random(1)
+    for k in range(200):
+        page, want = made_page(rng, ("article", "main", "div", "div class='post'", "section")[k % 5])
+        assert html_text.main_blocks(page) == want, page
+
+
+def test_scores_equal_the_formula():
+    """Ratios, smoothing, fusion and the lowering of hints, worked out one path at a time."""
+    rng = random.Random(2)
+    for k in range(30):
+        blocks = html_text.Page(made_page(rng, "div" if k % 2 else "article")[0]).blocks
+        weight = lambda i, j: math.exp(-((i - j) ** 2) / (2 * html_text.SIGMA**2)) if abs(i - j) <= 2 * html_text.SIGMA else 0.0
+        marks = lambda t: sum(c in ".,;:!?" for c in t)
+        ratio = {}
+        for path in {e.path for e, _ in blocks}:
+            mine = [t for e, t in blocks if e.path == path]
+            low = html_text.HINTED if next(e for e, _ in blocks if e.path == path).hinted else 1
+            ratio[path] = low * sum(map(len, mine)) / len(mine), low * sum(map(marks, mine)) / len(mine)
+        want = {}
+        for path in ratio:
+            at = [i for i, (e, _) in enumerate(blocks) if e.path == path]
+            total = 0.0
+            for i in at:
+                smooth = [sum(weight(i, j) * ratio[e.path][side] for j, (e, _) in enumerate(blocks)) / sum(weight(i, j) for j in range(len(blocks))) for side in (0, 1)]
+                length, mark = map(min, smooth, ratio[path])
+                total += math.log(1 + length) * (1 + math.log(1 + mark))
+            want[path] = total / len(at) * (html_text.HINTED if blocks[at[0]][0].hinted else 1)
+        got = html_text.path_scores(blocks)
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_scores_decide(monkeypatch):
+    """With one score for every path, adverts and link lists come through: it is the scores that leave them out."""
+    rng = random.Random(3)
+    pages = [made_page(rng, "div") for _ in range(20)]
+    monkeypatch.setattr(html_text, "path_scores", lambda blocks: {e.path: 1.0 for e, _ in blocks})
+    assert all(html_text.main_blocks(page) != want for page, want in pages)
+
+
+def test_deep_pages_take_time_in_proportion():
+    n = 30_000
+    assert len(html_text.main_blocks("<div>word, word" * n)) == n
+    assert html_text.main_blocks("<b>" * n + "x" + "</i>" * n) == ["x"]
+    assert html_text.main_blocks("<div class='ad'>" * n + "x") == ["x"]

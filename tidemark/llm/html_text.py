@@ -1,11 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes a sequence of text blocks, each with the path of block elements from the root. For every path, text
-length and punctuation are summed over its blocks; the ratios to the number of blocks are smoothed along the page with
-a Gaussian, multiplied, and thresholded. The blocks on the paths that pass select the element that holds the article;
-its blocks and all others on these paths are the main text. Elements whose name, role or class says that they are menus, headers, footers, sidebars,
-notices, adverts, forms, comments or code are left out before. A class or id is only a hint: it does not count where
-the element holds most of the page's text and no article is beside it, or where otherwise nothing would be left.
+A page becomes a sequence of text blocks, each with its tag path: the block elements from the root, those marked whose
+class or id hints at something beside the article. For every path, text length and punctuation are summed over its
+blocks; the ratios to the number of blocks, lowered for hinted paths, are smoothed along the page with a Gaussian. The
+lesser of a ratio and its smoothed form counts; both kinds are put on a logarithmic scale and multiplied. Paths over a
+share of the mean select the content: their blocks, and all blocks without a hint in the element that holds nearly all
+of them, short ones for instance.
+
+Only elements that cannot be text of an article by what they are (navigation, forms, code, what is hidden) are left out
+before. A class or id does not count where the element holds most of the page's text and no article is beside it.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ from tidemark.llm._common import frugal, slices
 #: Standard deviation of the smoothing, in blocks.
 SIGMA = 1.0
 #: Share of the fused score's mean, over blocks, that a path needs.
-THRESHOLD = 0.3
+THRESHOLD = 0.5
 #: Share of the selected text that the article's element holds.
 COVERED = 0.9
+#: What a hint leaves of a path's ratios, so that they lift no neighbour, and again of its score, which neighbours lift.
+HINTED = 0.02
 
 SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks int"
 
@@ -46,6 +51,7 @@ HINTS = frozenset(
     "sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist reply replies disqus respond "
     "share sharing social related newsletter subscribe subscription popup modal overlay widget login signup search toolbar skip pagination pager".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 NEVER = frozenset(("html", "body", "article", "main"))
 
 _MARKUP = re.compile(
@@ -59,27 +65,22 @@ _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？；：]")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "out", "hint", "key", "text", "picked")
+    """An open or closed element. path names its block elements and hints from the root, the same for all that share them."""
 
-    def __init__(self, tag: str, parent: Element | None, out: bool, hint: int = -1):
-        self.tag, self.parent, self.out, self.hint = tag, parent, out, hint
-        self.key = tag if parent is None else f"{parent.key}/{tag}"
-        self.text = self.picked = 0
+    __slots__ = ("tag", "parent", "out", "hinted", "in_article", "block", "path", "text", "picked", "inside", "around")
 
-    def within(self, tags) -> bool:
-        e = self
-        while e is not None:
-            if e.tag in tags:
-                return True
-            e = e.parent
-        return False
+    def __init__(self, tag: str, parent: Element | None, out: bool, hinted: bool):
+        self.tag, self.parent, self.out, self.hinted = tag, parent, out, hinted
+        self.in_article = tag in ("article", "main") or parent is not None and parent.in_article
+        self.block: Element = self if tag in BLOCK or parent is None else parent.block
+        self.path = 0
+        self.text = self.picked = 0
+        self.inside = self.around = False
 
 
-def _left_out(tag: str, attributes: str, parent: Element | None) -> tuple[bool, bool]:
-    """(whether the element is left out for what it is, whether a class or id hints that it should be)."""
-    if tag in LEFT_OUT:
-        return True, False
-    if tag == "header" and not (parent is not None and parent.within(("article", "main"))):
+def _left_out(tag: str, attributes: str, parent: Element) -> tuple[bool, bool]:
+    """(whether the element is left out for what it is, whether a class or id hints that it is no part of an article)."""
+    if tag in LEFT_OUT or tag == "header" and not parent.in_article:
         return True, False
     if tag in NEVER or not attributes:
         return False, False
@@ -88,8 +89,7 @@ def _left_out(tag: str, attributes: str, parent: Element | None) -> tuple[bool,
         name, value = name.lower(), (values[0] or values[1] or values[2]).lower()
         if name in ("class", "id"):
             words = set(_HINT_WORDS.findall(value))
-            if words & HINTS or words & {"header", "masthead"} and not (parent is not None and parent.within(("article", "main"))):
-                hinted = True
+            hinted |= bool(words & HINTS) or bool(words & {"header", "masthead"}) and not parent.in_article
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True, False
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -97,136 +97,117 @@ def _left_out(tag: str, attributes: str, parent: Element | None) -> tuple[bool,
     return False, hinted
 
 
-def blocks_of(page: str) -> list[tuple[Element, str]]:
-    """Text blocks in page order, white space folded, with the block element that holds each; what is left out is gone."""
-    found, hinted = _parsed(page, frozenset())
-    if not hinted:
-        return found
-    # Hinted elements by their place: the element, and the text under it that nothing but hints leaves out.
-    total = sum(len(text) for _, text in found) + sum(n for e, n in hinted.values() if not _under_hint(e.parent))
-    articles = {}
-    for e, _ in found:
-        while e is not None:
-            if e.tag in ("article", "main"):
-                articles[id(e)] = e
-            e = e.parent
-    wrong = set()
-    for i, (e, n) in hinted.items():
-        if 2 * n > total:
-            around, up = 0, e
-            while up is not None:
-                around += id(up) in articles
-                up = up.parent
-            if around == len(articles):
-                wrong.add(i)
-    if wrong:
-        found, hinted = _parsed(page, wrong)
-    return found or (_parsed(page, None)[0] if hinted else found)
-
-
-def _under_hint(e: Element | None) -> bool:
-    while e is not None:
-        if e.hint >= 0:
-            return True
-        e = e.parent
-    return False
-
-
-def _parsed(page: str, ignored: frozenset[int] | set[int] | None) -> tuple[list[tuple[Element, str]], dict[int, tuple[Element, int]]]:
-    """Text blocks, and by their place in the page the elements that hints left out with the length of their text. Hints are
-    not minded at the places ignored (None: anywhere)."""
-    hinted: dict[int, tuple[Element, int]] = {}
-    found: list[tuple[Element, str]] = []
-    stack: list[Element] = []
-    buffer: list[str] = []
-    root = Element("", None, False)
-
-    def top() -> Element:
-        return stack[-1] if stack else root
-
-    def flush() -> None:
-        if buffer:
-            text = " ".join(entities.unescape("".join(buffer)).split())
-            buffer.clear()
+class Page:
+    """elements in the order in which they open, the root first; blocks: (block element, text) in page order, white space
+    folded, without what is left out. Every step takes time in proportion to the page, however deep it is."""
+
+    def __init__(self, page: str):
+        self.root = Element("", None, False, False)
+        self.elements = [self.root]
+        self.blocks: list[tuple[Element, str]] = []
+        self._stack = [self.root]
+        self._open: dict[str, int] = {}
+        self._buffer: list[str] = []
+        self._parse(page)
+        self._mind_hints()
+
+    def _flush(self) -> None:
+        if self._buffer:
+            text = " ".join(entities.unescape("".join(self._buffer)).split())
+            self._buffer.clear()
             if text:
-                e = top()
-                while e.parent is not None and e.tag not in BLOCK:
-                    e = e.parent
-                found.append((e, text))
-
-    def add(text: str) -> None:
-        if text and not (stack and stack[-1].out):
-            buffer.append(text)
-        elif text and _under_hint(stack[-1]):
-            n, e = len(" ".join(text.split())), stack[-1]
-            chain = []
-            while e is not None and (not e.out or e.hint != -2):
-                if e.hint >= 0:
-                    chain.append(e)
-                e = e.parent
-            if n and (e is None or not e.out):
-                for e in chain:
-                    hinted[e.hint] = e, hinted[e.hint][1] + n if e.hint in hinted else n
-
-    def pop_to(i: int) -> None:
-        if any(e.tag in BLOCK for e in stack[i:]):
-            flush()
-        del stack[i:]
-
-    at, lowered = 0, None
-    search = _MARKUP.search
-    while (m := search(page, at)) is not None:
-        add(page[at : m.start()])
-        at = m.end()
-        opened, attributes, closed = m.group(1, 2, 3)
-        if opened:
+                self.blocks.append((self._stack[-1].block, text))
+
+    def _add(self, text: str) -> None:
+        if text and not self._stack[-1].out:
+            self._buffer.append(text)
+
+    def _pop_to(self, i: int) -> None:
+        if any(e.tag in BLOCK for e in self._stack[i:]):
+            self._flush()
+        for e in self._stack[i:]:
+            self._open[e.tag] -= 1
+        del self._stack[i:]
+
+    def _close(self, tags: tuple[str, ...], scope: frozenset[str] = frozenset()) -> None:
+        """Close the innermost open element of these tags, unless one of the scope is further in."""
+        if not any(self._open.get(t) for t in tags):
+            return
+        for i in range(len(self._stack) - 1, 0, -1):
+            if self._stack[i].tag in tags:
+                self._pop_to(i)
+                return
+            if self._stack[i].tag in scope:
+                return
+
+    def _parse(self, page: str) -> None:
+        at, lowered = 0, None
+        while (m := _MARKUP.search(page, at)) is not None:
+            self._add(page[at : m.start()])
+            at = m.end()
+            opened, attributes, closed = m.group(1, 2, 3)
+            if closed:
+                self._close((closed.lower(),))
+            if not opened:
+                continue
             tag = opened.lower()
             if tag in RAW:
                 lowered = page.lower() if lowered is None else lowered
                 # Lower-casing can change lengths outside ASCII; then the end is searched without regard to case.
                 end = lowered.find(f"</{tag}", at) if len(lowered) == len(page) else ((x := re.compile(f"</{tag}", re.I).search(page, at)) and x.start() or -1)
-                end = len(page) if end < 0 else end
-                close = page.find(">", end)
+                close = page.find(">", end) if end >= 0 else -1
                 at = len(page) if close < 0 else close + 1
-                continue
-            if tag == "br":
-                add(" ")
-                continue
-            if tag in VOID:
+            elif tag == "br":
+                self._add(" ")
+            elif tag in VOID:
                 if tag == "hr":
-                    flush()
-                continue
-            if tag in BLOCK:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag == "p":
-                        pop_to(i)
-                        break
-                    if stack[i].tag in BLOCK:
-                        break
-            if tag in CLOSES:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag in CLOSES[tag]:
-                        pop_to(i)
-                        break
-                    if stack[i].tag in SCOPE:
-                        break
-            parent = top()
-            hard, hint = _left_out(tag, attributes, parent if stack else None)
-            hint = hint and ignored is not None and m.start() not in ignored
-            out = parent.out or hard or hint
-            if tag in BLOCK or out and not parent.out:
-                flush() if tag in BLOCK else add(" ")
-            if not attributes.endswith("/") or tag in BLOCK:
-                stack.append(Element(tag, parent, out, -2 if hard else m.start() if hint else -1))
-        elif closed:
-            tag = closed.lower()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    pop_to(i)
-                    break
-    add(page[at:])
-    flush()
-    return found, hinted
+                    self._flush()
+            else:
+                self._enter(tag, attributes)
+        self._add(page[at:])
+        self._flush()
+
+    def _enter(self, tag: str, attributes: str) -> None:
+        if tag in BLOCK:
+            self._close(("p",), BLOCK - {"p"})
+        if tag in CLOSES:
+            self._close(CLOSES[tag], SCOPE)
+        parent = self._stack[-1]
+        out, hint = (True, False) if parent.out else _left_out(tag, attributes, parent)
+        if tag in BLOCK:
+            self._flush()
+        elif out and not parent.out:
+            self._add(" ")
+        if not attributes.endswith("/") or tag in BLOCK:
+            e = Element(tag, parent, out, hint)
+            self._stack.append(e)
+            self.elements.append(e)
+            self._open[tag] = self._open.get(tag, 0) + 1
+
+    def _mind_hints(self) -> None:
+        """Drop hints that can't be meant, hand the others down, and name the paths."""
+        articles: list[Element] = []
+        total = 0
+        for e, text in self.blocks:
+            e.text += len(text)
+            total += len(text)
+        # How many articles with text are in an element; those in it are none beside it.
+        held = dict.fromkeys((id(e) for e in self.elements), 0)
+        for e in reversed(self.elements):
+            if e.tag in ("article", "main") and e.text:
+                articles.append(e)
+                held[id(e)] += 1
+            if e.parent is not None:
+                e.parent.text += e.text
+                held[id(e.parent)] += held[id(e)]
+        above = dict.fromkeys((id(e) for e in self.elements), 0)
+        names: dict[tuple[int, str, bool], int] = {}
+        for e in self.elements[1:]:
+            above[id(e)] = above[id(e.parent)] + (e.parent.tag in ("article", "main") and e.parent.text > 0)
+            if e.hinted and 2 * e.text > total and held[id(e)] + above[id(e)] == len(articles):
+                e.hinted = False
+            e.hinted |= e.parent.hinted
+            e.path = names.setdefault((e.parent.path, e.tag if e.tag in BLOCK else "", e.hinted), len(names) + 1)
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -240,59 +221,62 @@ def _smoothed(values: list[float]) -> list[float]:
     return out
 
 
-def path_scores(blocks: list[tuple[Element, str]]) -> dict[str, float]:
-    """The fused, smoothed ratio of each path: its blocks' mean of text-per-path times punctuation-per-path."""
-    sums: dict[str, list[float]] = {}
+def path_scores(blocks: list[tuple[Element, str]]) -> dict[int, float]:
+    """The fused ratio of each path: the mean over its blocks of text-per-path times punctuation-per-path, each the lesser
+    of its own and its smoothed value, on a logarithmic scale; of hinted paths a small share."""
+    sums: dict[int, list[float]] = {}
     for e, text in blocks:
-        s = sums.setdefault(e.key, [0.0, 0.0, 0.0])
+        s = sums.setdefault(e.path, [0.0, 0.0, 0.0, HINTED if e.hinted else 1.0])
         s[0] += len(text)
         s[1] += len(_PUNCTUATION.findall(text))
         s[2] += 1
-    keys = [e.key for e, _ in blocks]
-    lengths = _smoothed([sums[k][0] / sums[k][2] for k in keys])
-    marks = _smoothed([1.0 + sums[k][1] / sums[k][2] for k in keys])
-    fused: dict[str, float] = dict.fromkeys(sums, 0.0)
-    for k, length, mark in zip(keys, lengths, marks, strict=True):
-        fused[k] += length * mark
-    return {k: v / sums[k][2] for k, v in fused.items()}
+    paths = [e.path for e, _ in blocks]
+    ratios = [[sums[k][side] / sums[k][2] * sums[k][3] for k in paths] for side in (0, 1)]
+    # Neither does a long advert among links pass, nor a link among paragraphs.
+    lengths, marks = ([min(own, around) for own, around in zip(r, _smoothed(r), strict=True)] for r in ratios)
+    fused: dict[int, float] = dict.fromkeys(sums, 0.0)
+    for k, length, mark in zip(paths, lengths, marks, strict=True):
+        fused[k] += math.log1p(length) * (1.0 + math.log1p(mark))
+    return {k: v / sums[k][2] * sums[k][3] for k, v in fused.items()}
 
 
-def main_blocks(page: str | None) -> list[str]:
+def main_blocks(html: str | None) -> list[str]:
     """The article's blocks in page order; none for a null or empty page or one without text."""
-    blocks = blocks_of(page) if page else []
-    if not blocks:
+    page = Page(html) if html else None
+    if page is None or not page.blocks:
         return []
-    scores = path_scores(blocks)
-    least = THRESHOLD * sum(scores[e.key] for e, _ in blocks) / len(blocks)
-    total, elements = 0, {}
-    for e, text in blocks:
-        passed = len(text) if scores[e.key] >= least else 0
+    scores = path_scores(page.blocks)
+    least = THRESHOLD * sum(scores[e.path] for e, _ in page.blocks) / len(page.blocks)
+    total = 0
+    for e in page.elements:
+        e.text = 0
+    for e, text in page.blocks:
+        passed = len(text) if scores[e.path] >= least else 0
         total += passed
-        up: Element | None = e
-        while up is not None:
-            up.text += len(text)
-            up.picked += passed
-            elements[id(up)] = up
-            up = up.parent
-    # The deepest element that is no mere paragraph and holds enough of what passed.
-    best = max((e for e in elements.values() if e.picked >= COVERED * total and e.tag not in ("p", "li", "pre", "blockquote")), key=lambda e: e.key.count("/"))
-    up = best
+        e.picked += passed
+        e.text += 0 if e.hinted else len(text)
+    # The last element to open that is no mere paragraph and holds enough of what passed: two that do are in each other.
+    best = page.root
+    for e in reversed(page.elements[1:]):
+        if best is page.root and e.picked >= COVERED * total and e.tag not in ("p", "li", "pre", "blockquote"):
+            best = e
+        e.parent.picked += e.picked
+        e.parent.text += e.text
+    up: Element | None = best
     while up is not None:
         if up.tag in ("article", "main"):
             best = up
         up = up.parent
-    # An element around it that adds little (a heading, say) belongs to the article.
-    while not best.within(("article", "main")) and best.parent is not None and best.parent.text <= 1.3 * best.text:
-        best = best.parent
-
-    def inside(e: Element | None) -> bool:
-        while e is not None:
-            if e is best:
-                return True
-            e = e.parent
-        return False
-
-    return [text for e, text in blocks if scores[e.key] >= least or inside(e)]
+    best.inside = True
+    # Headings in an element around it that adds little belong to the article.
+    around = best
+    while not around.in_article and around.parent is not None and around.parent.text <= 1.3 * best.text:
+        around = around.parent
+    around.around = True
+    for e in page.elements[1:]:
+        e.inside |= e.parent.inside
+        e.around |= e.parent.around
+    return [text for e, text in page.blocks if scores[e.path] >= least or not e.hinted and (e.inside or e.around and e.tag in HEADINGS)]
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
