@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 from tidemark.llm import decontaminate
 
@@ -56,3 +59,48 @@ def test_several_indexes_nulls_and_empty(spark, docs):
     assert len(decontaminate.build_indexes(rows, max_chars=500)) > 3
     assert decontaminate.find_leaks(docs([]), rows).collect() == []
     assert decontaminate.find_leaks(docs(texts), items_table(spark, [])).collect() == []
+
+
+def brute_leaks(texts, items):
+    """{(text, item): (score, question overlap, answer overlap)}: every passage against every item, BM25 worked out in full."""
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+    cut = [words(t) for t in items]
+    live = [k for k, w in enumerate(cut) if w]
+    mean, longest = sum(len(cut[k]) for k in live) / len(live), max(len(cut[k]) for k in live)
+    times = [Counter(cut[k]) for k in range(len(items))]
+    held = Counter(w for k in live for w in times[k])
+    idf = {w: math.log(1 + (len(live) - n + 0.5) / (n + 0.5)) for w, n in held.items()}
+    weight = lambda k, w: idf[w] * times[k][w] * 2.2 / (times[k][w] + 1.2 * (0.25 + 0.75 * len(cut[k]) / mean))
+    own = {k: sum(weight(k, w) for w in times[k]) for k in live}
+    parts = {k: [words(x) for x in decontaminate.question_and_answer(items[k])] for k in live}
+    grams = lambda ws, n: {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} if n else set()
+    out = {}
+    for i, text in enumerate(texts):
+        ws = words(text or "")
+        for start in range(-longest, len(ws), longest):
+            passage = ws[max(0, start) : start + 2 * longest]
+            seen = set(passage)
+            for k in live:
+                score = sum(weight(k, w) for w in times[k] if w in seen) / own[k]
+                if score < 0.6 - 1e-9:
+                    continue
+                overlaps = []
+                for part in parts[k]:
+                    size = min(5, len(part))
+                    mine = grams(part, size)
+                    overlaps.append(len(mine & grams(passage, min(size, len(passage)))) / len(mine) if mine else 1.0)
+                if min(overlaps) >= 0.6:
+                    out[i, k] = max(out.get((i, k), ()), (round(score, 9), *(round(x, 9) for x in overlaps)))
+    return out
+
+
+def test_equals_brute_force(spark, docs, odd):
+    rng = random.Random(8)
+    items, texts, _ = world(rng)
+    # Damaged items too, around the thresholds.
+    for _ in range(60):
+        words = rng.choice(items).replace("\n", " ").split()
+        texts.append(" ".join(w for w in words if rng.random() > rng.choice((0.02, 0.1, 0.3))))
+    texts += odd
+    got = decontaminate.find_leaks(docs(texts), items_table(spark, items)).collect()
+    assert {(r.doc_id, r.item_id): tuple(round(x, 9) for x in r[2:]) for r in got} == brute_leaks(texts, items)

@@ -11,7 +11,10 @@ def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, payload string, salt int").repartition(3)
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_round_trip(spark, monkeypatch, hot):
+    """Also with every payload that repeats found by the broadcast."""
+    monkeypatch.setattr(warc, "HOT", hot)
     long, other = "x" * 1500 + "é", "y" * 999
     rows = [(1, "http://a/ b\r\n", long), (5, None, long), (3, "u", long), (2, "u", other), (4, "u", other), (6, "u", None), (7, "u", ""), (8, "u", "\r\n\r\nx" * 400), (None, "u", long)]
     table = pages(spark, [(*r, "p", 1) for r in rows])

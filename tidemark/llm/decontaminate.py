@@ -301,7 +301,10 @@ def _finder(shipped):
 
 
 def drop_leaks(df: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of df whose text holds no leaked item, all columns as they are; nothing is shuffled."""
+    """The rows of df whose text holds no leaked item, all columns as they are; nothing is shuffled.
+
+    Null and empty texts stay, as do null ids and repeated rows; without items all rows stay; an empty table stays empty.
+    """
     out = df
     for index in build_indexes(items):
         shipped = df.sparkSession.sparkContext.broadcast(index)

@@ -56,6 +56,19 @@ QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_suffi
 
 #: DuckDB SQL for the queries that SQL expresses.
 ORACLES: dict[str, str] = {
+    "op3_suffix_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(b[p + 1:p + 100]) AS m FROM d, unnest(range(0, n - 99)) AS u(p)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY m ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM r),
+i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
+s AS (SELECT doc_id, run, min(p) AS start, max(p) + 100 AS stop FROM i GROUP BY ALL),
+k AS (SELECT doc_id, run, start, stop, lag(stop, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS before FROM s),
+j AS (SELECT doc_id, sum(stop - start) AS removed, count(*) AS spans, max(stop) AS last, list({'a': before, 'z': start} ORDER BY run) AS keep FROM k GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(array_to_string([hex(b[x.a + 1:x.z]) FOR x IN list_append(coalesce(keep, []), {'a': coalesce(last, 0), 'z': n})], ''))) AS kept_sha256
+FROM d LEFT JOIN j USING (doc_id)
+""",
     "op7_warc": """
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
   CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN m END AS refers_to

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import frugal, slices
+from tidemark.llm._common import frugal, slices, written
 
 #: Payloads from this many bytes on are written once.
 MIN_REVISIT_BYTES = 1000
@@ -25,8 +25,9 @@ ARCHIVE_BYTES = 8_000_000
 #: Pages, and code points of each, that the dictionary is made of at most.
 DICTIONARY_PAGES = 64
 DICTIONARY_CHARS = 1_000
-#: Copies of the table of repeated payloads, so that a payload's captures are dealt to as many tasks.
-SALTS = 16
+#: Payloads of more captures than this, and than the table's rows divided by HOT_PAYLOADS, are joined by a broadcast.
+HOT = 10_000
+HOT_PAYLOADS = 50_000
 LEVEL = 3
 #: Magic numbers of a skippable frame with a dictionary and of a frame, and the revisit profile.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -53,11 +54,17 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, id_col: s
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("payload_digest", F.sha1("payload"))
     copies = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
-    copies = copies.filter("n > 1 AND first_id IS NOT NULL").select(
-        "payload_digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    )
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    return salted.join(copies, ["payload_digest", "salt"], "left").select(
+    copies, _ = written(copies.filter("n > 1 AND first_id IS NOT NULL"), "copies")
+    total = copies.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(HOT, total // HOT_PAYLOADS)
+    # Captures of a payload that very many pages share find it by a broadcast, and are spread by their ids in the second join.
+    large = copies.filter(hot).select(F.col("payload_digest").alias("d"), F.col("first_id").alias("large"))
+    found = rows.join(F.broadcast(large), F.col("payload_digest") == F.col("d"), "left")
+    own = F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit("")))
+    keyed = found.withColumn("key", F.when(F.col("large").isNotNull() | (F.octet_length("payload") < min_bytes), own).otherwise(F.col("payload_digest")))
+    small = copies.filter(~hot).select(F.col("payload_digest").alias("key"), F.col("first_id").alias("small"))
+    joined = keyed.join(small, "key", "left").withColumn("first_id", F.coalesce("large", "small"))
+    return joined.select(
         "page_id", "url", "payload", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to")
     )
 
