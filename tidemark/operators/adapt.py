@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from abc import ABC, abstractmethod
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.forecast import Forecaster
 from tidemark.sources.series import DAY
 
 
@@ -61,6 +65,58 @@ def training_rows(history: DataFrame, boundaries: DataFrame, window_days: int |
     return marks.withColumn("train_rows", F.sum("n").over(w)).filter("mark = 1").select("k", "day", "train_rows")
 
 
+def arm_forecasts(series: DataFrame, boundaries: DataFrame, make: Callable[[], Forecaster], start: int, window_days: int | None = None, block: int = 48) -> DataFrame:
+    """k, pos, slot, y, p, model, train_rows, fit_seconds: an arm's run over each series from start (microseconds) on.
+
+    A model is fitted on what lies before start. It forecasts block by block, observing each block behind it, up to the
+    end of the first boundary's day; there it is fitted anew, on all rows so far or those of the last window_days, and
+    serves from the next day on, and so forth. model is the day at whose end the serving model was fitted (null: the
+    first one), train_rows and fit_seconds are its cost. Boundaries before start are ignored. Series without rows before
+    start have no model and no rows. series: k, pos, slot, day, y; boundaries: k, day.
+    """
+    import pandas as pd
+
+    schema = "k string, pos long, slot long, y double, p double, model long, train_rows long, fit_seconds double"
+
+    def run(rows: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")}).astype({"k": object})
+        if not len(rows):
+            return none
+        rows = rows.sort_values("pos")
+        y, slots, days = rows["y"].tolist(), rows["slot"].to_numpy(), rows["day"].to_numpy()
+        at = int(np.searchsorted(slots, start))
+        if not at:
+            return none
+        out = []
+        ends = sorted(d for d in set(marks["day"].tolist() if len(marks) else ()) if d >= start)
+        for model, stop in zip([None, *ends], [*(int(np.searchsorted(slots, d + DAY)) for d in ends), len(y)], strict=True):
+            first = 0 if model is None or window_days is None else int(np.searchsorted(days, model - (window_days - 1) * DAY))
+            began = time.perf_counter()
+            fitted = make().fit(y[first:at])
+            took = time.perf_counter() - began
+            p: list[float] = []
+            for k in range(at, stop, block):
+                actual = y[k : min(stop, k + block)]
+                p += fitted.predict(len(actual))
+                fitted.observe(actual)
+            part = rows.iloc[at:stop][["k", "pos", "slot", "y"]]
+            out.append(part.assign(p=p, model=pd.array([model] * len(part), "Int64"), train_rows=at - first, fit_seconds=took))
+            at = stop
+        return pd.concat(out)
+
+    past = boundaries.select("k", "day").groupBy("k")
+    return series.select("k", "pos", "slot", "day", "y").groupBy("k").cogroup(past).applyInPandas(run, schema)
+
+
+def arm_costs(forecasts: DataFrame) -> DataFrame:
+    """k, n_retrains, train_samples, fit_seconds, retrained (the days, ascending) of arm_forecasts; the first fit counts in
+    fit_seconds alone. A model that serves no row leaves none."""
+    fits = forecasts.groupBy("k", "model").agg(F.first("train_rows").alias("rows"), F.first("fit_seconds").alias("s"))
+    days = F.array_sort(F.collect_list("model"))
+    retrained = F.sum(F.when(F.col("model").isNotNull(), F.col("rows")).otherwise(0))
+    return fits.groupBy("k").agg(F.count("model").alias("n_retrains"), retrained.alias("train_samples"), F.sum("s").alias("fit_seconds"), days.alias("retrained"))
+
+
 def accounting(history: DataFrame, boundaries: DataFrame, window_days: int | None) -> DataFrame:
     """k, n_retrains, train_samples."""
     rows = training_rows(history, boundaries, window_days)

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.sources.series import micros
 
 
+def missing_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    return sorted(set(columns) - set(df.columns))
+
+
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     """df, if it has the columns; ValueError naming what is missing otherwise."""
-    missing = sorted(set(columns) - set(df.columns))
+    missing = missing_columns(df, columns)
     if missing:
         raise ValueError(f"missing columns: {missing}")
     return df

@@ -41,6 +41,11 @@ def check_level(alpha: float) -> float:
     return alpha
 
 
+def valid_level(alpha: Column) -> Column:
+    """Whether check_level would take a level."""
+    return (alpha > 0) & (alpha < 1)
+
+
 class UncertaintyQuantifier(ABC):
     """Intervals one by one: interval() for a forecast, then observe() with what came."""
 

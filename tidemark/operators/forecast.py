@@ -63,6 +63,46 @@ class SeasonalNaive(Forecaster):
         self.history += list(y)
 
 
+class HistoryMean(Forecaster):
+    """The mean of what it was fitted on; what comes later changes nothing until the next fit."""
+
+    def fit(self, y):
+        self.mean = float(np.mean(y))
+        return self
+
+    def predict(self, n):
+        return [self.mean] * n
+
+    def observe(self, y):
+        pass
+
+
+class LinearAr(Forecaster):
+    """A linear autoregression by ridge regression; each one-step forecast feeds the lags of those behind it."""
+
+    def __init__(self, lags: int = 48, penalty: float = 1.0):
+        self.lags, self.penalty = lags, penalty
+
+    def fit(self, y):
+        y = np.asarray(y, float)
+        if len(y) <= self.lags:
+            raise ValueError("history is shorter than the lags")
+        x = np.stack([y[self.lags - k : len(y) - k] for k in range(1, self.lags + 1)] + [np.ones(len(y) - self.lags)], axis=1)
+        self.weights = np.linalg.solve(x.T @ x + self.penalty * np.eye(self.lags + 1), x.T @ y[self.lags :])
+        self.past = y[-self.lags :].tolist()
+        return self
+
+    def predict(self, n):
+        past, out = list(self.past), []
+        for _ in range(n):
+            out.append(float(np.dot(self.weights[:-1], past[: -self.lags - 1 : -1]) + self.weights[-1]))
+            past.append(out[-1])
+        return out
+
+    def observe(self, y):
+        self.past = (self.past + list(y))[-self.lags :]
+
+
 class HarmonicArma(Forecaster):
     """Least squares on Fourier terms, errors as ARMA(2, 2) by the two regressions of Hannan and Rissanen. The phase
     counts from the first fitted value; observing changes nothing but where the forecast starts."""
@@ -156,6 +196,20 @@ def replay(series: DataFrame, make, first: int, block: int = 48) -> DataFrame:
     return series.select("k", "pos", "slot", "y").groupBy("k").applyInPandas(run, "k string, pos long, slot long, y double, p double")
 
 
+def ahead(history: DataFrame, make, n: int) -> DataFrame:
+    """k, step, p: a model fitted on each key's rows, and its n forecasts behind them; a key too short for it has none."""
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        try:
+            p = make().fit(rows.sort_values("pos")["y"].tolist()).predict(n)
+        except ValueError:
+            p = []
+        return pd.DataFrame({"k": [rows["k"].iloc[0]] * len(p), "step": range(1, len(p) + 1), "p": p})
+
+    return history.select("k", "pos", "y").groupBy("k").applyInPandas(run, "k string, step int, p double")
+
+
 def gradient_boosting(train: DataFrame, features: list[str], target: str = "y", trees: int = 30, depth: int = 5, step: float = 0.05, seed: int = 1):
     """A fitted pyspark.ml model with lag features; rows with a missing feature are left out (there is no missing-value branch)."""
     from pyspark.ml import Pipeline

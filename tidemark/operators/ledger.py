@@ -9,7 +9,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import metrics
 from tidemark.operators.windows import latest
+from tidemark.sources.shared import locked
 
 #: The ledger's columns.
 SCHEMA = (
@@ -37,8 +39,9 @@ def run_path(kind: str, method: Column, region: Column, seed: Column) -> Column:
 
 
 def append(rows: DataFrame, path: str) -> None:
-    """Add rows; the commit protocol of the writer replaces a lock. Reports filter on group and split_id: they prune folders."""
-    rows.write.mode("append").partitionBy("group", "split_id").parquet(path)
+    """Add rows under the ledger's lock. Reports filter on group and split_id: they prune folders."""
+    with locked(rows.sparkSession, f"{path.rstrip('/')}.lock"):
+        rows.write.mode("append").partitionBy("group", "split_id").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -50,6 +53,48 @@ def to_rows(wide: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
     return wide.unpivot(ids, metrics, "metric_name", "metric_value")
 
 
+def forecast_rows(forecasts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, regime (null), metric_name, metric_value: error metrics of each run."""
+    wide = forecasts.groupBy(*keys).agg(metrics.mae().alias("mae"), metrics.pinball(0.5).alias("pinball"))
+    return to_rows(wide, keys, ["mae", "pinball"]).select(*keys, F.lit(None).cast("string").alias("regime"), "metric_name", "metric_value")
+
+
+def regime_rows(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """As forecast_rows, by regime, with coverage and width; a regime that a run does not touch has no rows."""
+    wide = intervals.groupBy(*keys, "regime").agg(metrics.mae().alias("mae"), metrics.coverage().alias("coverage"), metrics.width().alias("width"))
+    return to_rows(wide, [*keys, "regime"], ["mae", "coverage", "width"]).select(*keys, "regime", "metric_name", "metric_value")
+
+
+def detection_rows(matches: DataFrame, keys: list[str]) -> DataFrame:
+    """As forecast_rows, of labelled alarms: how many there are, are accepted, matched and unmatched, and each matched event's delay."""
+    label = F.col("label")
+    counts = {"raw": F.count("*"), "accepted": F.count_if(label != "Ignored"), "matched": F.count_if(label == "Match"), "unmatched": F.count_if(label == "Unmatch")}
+    wide = matches.groupBy(*keys).agg(*(c.cast("double").alias(n) for n, c in counts.items()))
+    delays = matches.filter(label == "Match").select(*keys, F.concat(F.lit("delay_"), "event_id").alias("metric_name"), F.col("delay_days").alias("metric_value"))
+    rows = to_rows(wide, keys, list(counts)).unionByName(delays)
+    return rows.select(*keys, F.lit(None).cast("string").alias("regime"), "metric_name", "metric_value")
+
+
+def record(forecasts: DataFrame | None = None, matches: DataFrame | None = None, keys: tuple[str, ...] = ("k",)) -> DataFrame:
+    """The rows of one run, which is either a forecast or a detection; ValueError for both or neither."""
+    if (forecasts is None) == (matches is None):
+        raise ValueError("a run is either a forecast or a detection")
+    return forecast_rows(forecasts, list(keys)) if matches is None else detection_rows(matches, list(keys))
+
+
+#: Ids that earlier runs were logged under, by the id that they have now.
+FORMER_IDS = {"uq_adwin_v1": ("uq_v1",), "escalation_adwin_v1": ("escalation_v1",)}
+
+
+def split_id(kind: str, detector: str, signal: str = "width") -> str:
+    """The name under which a detector's runs of a kind are logged; the width signal has no name of its own."""
+    return f"{kind}_{detector}_v1" if signal == "width" else f"{kind}_{detector}_{signal}_v1"
+
+
+def readable_ids(name: str) -> tuple[str, ...]:
+    return (name, *FORMER_IDS.get(name, ()))
+
+
 def latest_runs(ledger: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of each group's latest run: all that share its greatest timestamp."""
     return latest(ledger, keys, "timestamp")

@@ -23,7 +23,8 @@ def half_hour(ts: Column) -> Column:
 
 @dataclass
 class Profile:
-    """base: one row (base); annual: d, factor for 1 to 365; weekly: weekday (Monday 0), [slot,] factor. All small."""
+    """base: one row (base); annual: d, factor for 1 to 365; weekly: weekday (Monday 0), [slot,] factor: at most 365, 7 or
+    336 rows, which a fit works out at once and holds as constants."""
 
     base: DataFrame
     annual: DataFrame
@@ -41,15 +42,19 @@ def fit(train: DataFrame, ts: str = "ts", y: str = "y", by_slot: bool = False) -
     filled = ring.select("d", interpolated(ring, "d", "level").alias("level"))
     smooth = cyclic_mean(filled, "d", "level")
     base = smooth.agg(F.avg("smooth").alias("base"))
-    annual = smooth.join(F.broadcast(base)).select("d", (F.col("smooth") / F.col("base")).alias("factor"))
+    annual = _constant(smooth.join(F.broadcast(base)).select("d", (F.col("smooth") / F.col("base")).alias("factor")))
     keys = ["weekday", "slot"] if by_slot else ["weekday"]
     flat = _with_annual(_keyed(rows, "ts", by_slot), annual)
-    levels = flat.groupBy(*keys).agg(F.avg(F.col("y") / F.col("annual")).alias("level"))
-    mean = levels.agg(F.avg("level").alias("mean"))
+    levels = _constant(flat.groupBy(*keys).agg(F.avg(F.col("y") / F.col("annual")).alias("level")))
+    mean = _constant(levels.agg(F.avg("level").alias("mean")))
     weekly = levels.join(F.broadcast(mean)).select(*keys, (F.col("level") / F.col("mean")).alias("factor"))
     return Profile(mean.select(F.col("mean").alias("base")), annual, weekly, by_slot)
 
 
+def _constant(few: DataFrame) -> DataFrame:
+    return few.sparkSession.createDataFrame(few.collect(), few.schema)
+
+
 def _keyed(rows: DataFrame, ts: str, by_slot: bool) -> DataFrame:
     out = rows.withColumns({"d": season_day(F.col(ts)), "weekday": F.weekday(ts)})
     return out.withColumn("slot", half_hour(F.col(ts))) if by_slot else out

@@ -43,4 +43,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from tidemark.plans import evaluation, reports, scans, sequential, surface  # noqa: F401
+    from tidemark.plans import arms, evaluation, reports, scans, sequential, surface, tables  # noqa: F401

@@ -40,20 +40,6 @@ def rp_t1_year(spark, sf_dir):
     return out.select(F.col("model").alias("detector"), F.col("arm").alias("kind"), "delay", "rate")
 
 
-@query("rp_t2", f"SELECT a.k, n, round(sum(1 - pow(1 - least(1, (match_end - drift_start) / {30.0 * S.DAY}), n)), 6) AS chance, count(*) FILTER (WHERE tier = 1) AS tier1 FROM (SELECT k, count(*) AS n FROM alarm GROUP BY k) a JOIN kwin w ON w.k = a.k GROUP BY a.k, n")
-def rp_t2(spark, sf_dir):
-    n = C.alarms(spark, sf_dir).groupBy("k").agg(F.count("*").alias("n"))
-    hit = 1 - F.pow(1 - F.least(F.lit(1.0), (F.col("match_end") - F.col("drift_start")) / (30.0 * S.DAY)), F.col("n"))
-    return n.join(C.key_windows(spark, sf_dir), "k").groupBy("k", "n").agg(r(F.sum(hit)).alias("chance"), F.count_if(F.col("tier") == 1).alias("tier1"))
-
-
-@query("rp_t3", "SELECT model, region, round(avg(mae) FILTER (WHERE arm = 'A'), 4) AS a, round(avg(mae) FILTER (WHERE arm = 'B'), 4) AS b, round(avg(mae) FILTER (WHERE arm = 'C'), 4) AS c, round(avg(width), 4) AS pinball FROM runs GROUP BY ALL")
-def rp_t3(spark, sf_dir):
-    rows = C.runs(spark, sf_dir)
-    wide = rows.groupBy("model", "region").pivot("arm", ["A", "B", "C"]).agg(r(F.avg("mae"), 4)).toDF("model", "region", "a", "b", "c")
-    return wide.join(rows.groupBy("model", "region").agg(r(F.avg("width"), 4).alias("pinball")), ["model", "region"], "left")
-
-
 @query("rp_t4", "SELECT a.model, a.region, a.arm, round(avg(a.mae - b.mae), 4) AS gain, sum(a.train_samples)::BIGINT AS samples FROM runs a LEFT JOIN (SELECT * FROM runs WHERE arm = 'A') b USING (model, region, seed, yr) GROUP BY ALL")
 def rp_t4(spark, sf_dir):
     out = metrics.paired_gain(C.runs(spark, sf_dir), ["model", "region", "seed", "yr"], "arm", "A", "mae", "n_retrains")
@@ -83,28 +69,9 @@ def rp_t5(spark, sf_dir):
     return C.labelled_intervals(spark, sf_dir).groupBy("k").agg(*(r(F.avg(F.when(F.col("regime") == x, hit))).alias(f"{n}_coverage") for x, n in (("drift", "drift"), ("post_drift", "post"))), r(metrics.width()).alias("width"))
 
 
-@query("rp_t6", "SELECT k, CASE WHEN rate IS NULL THEN 'unreachable' ELSE printf('%.1f %%', rate * 100) END AS cell FROM (SELECT k, round(avg((score > 150)::INT), 6) AS rate FROM scored GROUP BY k)")
-def rp_t6(spark, sf_dir):
-    rows = C.scored(spark, sf_dir).groupBy("k").agg(r(F.avg((F.col("score") > 150).cast("double"))).alias("rate"))
-    return rows.select("k", F.when(F.col("rate").isNull(), "unreachable").otherwise(F.format_string("%.1f %%", F.col("rate") * 100)).alias("cell"))
-
-
-@query("rp_t7", "SELECT metric, max(v) FILTER (WHERE region = 'north') AS north, max(v) FILTER (WHERE region = 'south') AS south FROM (SELECT 'ours' AS metric, region, round(avg(mae), 4) AS v FROM runs GROUP BY region UNION ALL SELECT 'theirs', region, round(avg(width), 4) FROM runs GROUP BY region) GROUP BY metric")
-def rp_t7(spark, sf_dir):
-    rows = C.runs(spark, sf_dir)
-    ours = rows.groupBy("region").agg(r(F.avg("mae"), 4).alias("v")).withColumn("metric", F.lit("ours"))
-    theirs = rows.groupBy("region").agg(r(F.avg("width"), 4).alias("v")).withColumn("metric", F.lit("theirs"))
-    return ours.unionByName(theirs).groupBy("metric").pivot("region", ["north", "south"]).agg(F.max("v"))
-
-
 _PICK = "(SELECT *, row_number() OVER (PARTITION BY region ORDER BY mean, model) AS place FROM (SELECT region, model, round(avg(mae), 2) AS mean, round(stddev_samp(mae), 2) AS sd, round(avg(width), 4) AS cost FROM runs GROUP BY ALL))"
 
 
-@query("top_pick", f"SELECT l.region, arg_min(o.model, o.place) AS model FROM {_PICK} l JOIN {_PICK} o ON o.region = l.region AND (o.place = 1 OR o.mean <= l.mean + l.sd AND o.cost < l.cost) WHERE l.place = 1 GROUP BY l.region")
-def top_pick(spark, sf_dir):
-    return _picked(spark, sf_dir).groupBy("region").agg(F.min_by("model", "place").alias("model"))
-
-
 def _picked(spark, sf_dir):
     w = Window.partitionBy("region").orderBy("mean", "model")
     rows = C.runs(spark, sf_dir).groupBy("region", "model").agg(r(F.avg("mae"), 2).alias("mean"), r(F.stddev_samp("mae"), 2).alias("sd"), r(F.avg("width"), 4).alias("cost"))
@@ -112,13 +79,6 @@ def _picked(spark, sf_dir):
     return rows.filter((F.col("place") == 1) | (F.col("mean") <= F.col("l_mean") + F.col("l_sd")) & (F.col("cost") < F.col("l_cost")))
 
 
-@query("rp_fsel", f"SELECT region, model, mean, sd, place FROM {_PICK}")
-def rp_fsel(spark, sf_dir):
-    w = Window.partitionBy("region").orderBy("mean", "model")
-    rows = C.runs(spark, sf_dir).groupBy("region", "model").agg(r(F.avg("mae"), 2).alias("mean"), r(F.stddev_samp("mae"), 2).alias("sd"))
-    return rows.withColumn("place", F.row_number().over(w).cast("long"))
-
-
 @query("rp_tuning", "SELECT model, arm FROM (SELECT model, arm, row_number() OVER (PARTITION BY model ORDER BY fa, delay, arm) AS p FROM (SELECT model, arm, sum(n_retrains)::BIGINT AS fa, round(avg(mae), 4) AS delay FROM runs GROUP BY ALL)) WHERE p = 1")
 def rp_tuning(spark, sf_dir):
     rows = C.runs(spark, sf_dir).groupBy("model", "arm").agg(F.sum("n_retrains").alias("fa"), r(F.avg("mae"), 4).alias("delay"))
@@ -131,87 +91,9 @@ def rp_tuning_summary(spark, sf_dir):
     return C.runs(spark, sf_dir).groupBy("model", "arm").agg(F.count("*").alias("n"), worst.alias("worst"), F.when(worst > 3, "false alarms").otherwise("passed").alias("reason"))
 
 
-@query("rp_audit", "SELECT k, min(ts) AS first, max(ts) AS last, count(*) AS n FROM ev GROUP BY k")
-def rp_audit(spark, sf_dir):
-    return C.raw(spark, sf_dir).groupBy("k").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
-
-
-@query("rp_resid_qc", "SELECT k, round(stddev_samp(y), 6) AS before, round(stddev_samp(y - p), 6) AS after FROM fc GROUP BY k")
-def rp_resid_qc(spark, sf_dir):
-    return C.forecasts(spark, sf_dir).groupBy("k").agg(r(F.stddev_samp("y")).alias("before"), r(F.stddev_samp(F.col("y") - F.col("p"))).alias("after"))
-
-
 @query("rp_f1", f"SELECT slot, round(avg(rolling), 6) AS mean, count(rolling) AS n FROM ({_roll('abs(y - p)', 'fc', 48)}) GROUP BY slot HAVING count(rolling) >= 2")
 def rp_f1(spark, sf_dir):
     rows = C.forecasts(spark, sf_dir).withColumn("rolling", windows.rolling_mean(metrics.error(), 48))
     return rows.groupBy("slot").agg(r(F.avg("rolling")).alias("mean"), F.count("rolling").alias("n")).filter("n >= 2")
 
 
-@query("rp_f2", "SELECT a.k, a.us, s.y FROM alarm a JOIN s ON s.k = a.k AND s.slot = a.us")
-def rp_f2(spark, sf_dir):
-    return C.alarms(spark, sf_dir).join(C.ev30(spark, sf_dir).withColumnRenamed("slot", "us"), ["k", "us"])
-
-
-@query("rp_f3", "SELECT arm, yr, round(avg(mae), 4) AS mean, round(avg(mae) - stddev_samp(mae), 4) AS low, round(avg(mae) + stddev_samp(mae), 4) AS high FROM runs GROUP BY ALL")
-def rp_f3(spark, sf_dir):
-    m, sd = F.avg("mae"), F.stddev_samp("mae")
-    return C.runs(spark, sf_dir).groupBy("arm", "yr").agg(r(m, 4).alias("mean"), r(m - sd, 4).alias("low"), r(m + sd, 4).alias("high"))
-
-
-@query("rp_f4", "SELECT k, min(slot) AS start, max(slot) + 1800000000 AS stop FROM (SELECT *, sum(c) OVER (PARTITION BY k ORDER BY pos) AS run FROM (SELECT *, (regime IS DISTINCT FROM lag(regime) OVER (PARTITION BY k ORDER BY pos))::INT AS c FROM lab)) WHERE regime = 'drift' GROUP BY k, run")
-def rp_f4(spark, sf_dir):
-    return windows.islands(C.labelled(spark, sf_dir), "regime").filter("regime = 'drift'").select("k", "start", "stop")
-
-
-@query("rp_f5", "SELECT k, round(score, 0) AS bin, count(*) AS n, round(avg(hit::INT), 6) AS coverage FROM scored GROUP BY ALL")
-def rp_f5(spark, sf_dir):
-    return C.scored(spark, sf_dir).groupBy("k", r("score", 0).alias("bin")).agg(F.count("*").alias("n"), r(F.avg(F.col("hit").cast("double"))).alias("coverage"))
-
-
-@query("rp_f6", f"SELECT k, make_timestamp(us)::DATE AS day, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM alarm b WHERE b.k = 'view' AND b.us - b.us % {S.DAY} = a.us - a.us % {S.DAY})) AS shared FROM alarm a WHERE k <> 'view' GROUP BY ALL")
-def rp_f6(spark, sf_dir):
-    a = C.alarms(spark, sf_dir).withColumn("day", F.to_date(S.at("us")))
-    other = a.filter("k = 'view'").select("day").distinct().withColumn("x", F.lit(True))
-    return a.filter("k <> 'view'").join(other, "day", "left").groupBy("k", "day").agg(F.count("*").alias("n"), F.count("x").alias("shared"))
-
-
-@query("rp_agaci_diag", "SELECT k, make_timestamp(slot)::DATE AS day, round(quantile_cont(upper - lower, 0.5), 6) AS median, round(min(upper - lower), 6) AS low, round(max(upper - lower), 6) AS high, round(avg((upper - lower >= 0.9 * 300)::INT), 6) AS near_cap FROM iv GROUP BY ALL")
-def rp_agaci_diag(spark, sf_dir):
-    width = F.col("upper") - F.col("lower")
-    return C.intervals(spark, sf_dir).groupBy("k", F.to_date(S.at("slot")).alias("day")).agg(
-        r(F.percentile(width, 0.5)).alias("median"), r(F.min(width)).alias("low"), r(F.max(width)).alias("high"), r(F.avg((width >= 0.9 * 300).cast("double"))).alias("near_cap")
-    )
-
-
-@query("rp_ui_findings", "SELECT region, printf('%s: %.1f', arg_min(model, m), min(m)) AS headline FROM (SELECT region, model, round(avg(mae), 2) AS m FROM runs GROUP BY ALL) GROUP BY region")
-def rp_ui_findings(spark, sf_dir):
-    rows = C.runs(spark, sf_dir).groupBy("region", "model").agg(r(F.avg("mae"), 2).alias("m"))
-    return rows.groupBy("region").agg(F.format_string("%s: %.1f", F.min_by("model", "m"), F.min("m")).alias("headline"))
-
-
-@query("ux_rows", "SELECT method, region, seed, yr, metric_name, metric_value FROM ledger WHERE metric_name <> 'width'")
-def ux_rows(spark, sf_dir):
-    return C.ledger(spark, sf_dir).filter("metric_name <> 'width'").select("method", "region", "seed", "yr", "metric_name", "metric_value")
-
-
-@query("ux_record_run", "SELECT method, metric_name, count(*) AS n, round(sum(metric_value), 2) AS total FROM ledger GROUP BY ALL")
-def ux_record_run(spark, sf_dir):
-    from tidemark.sources.shared import shared_folder
-
-    folder = shared_folder(spark, "ledger")
-    rows = C.ledger(spark, sf_dir).select(
-        F.lit("a").alias("group"), "method", F.lit("lineitem").alias("dataset"), "region", F.col("seed").cast("int"), F.substring(F.sha1("method"), 1, 12).alias("config_hash"), F.lit("all").alias("split_id"),
-        "metric_name", "metric_value", F.lit(None).cast("string").alias("regime"), "n_retrains", "train_samples", F.lit(0.0).alias("wall_clock_s"), F.make_timestamp_ntz(F.col("yr").cast("int"), *[F.lit(x) for x in (1, 1, 0, 0)], F.lit(0.0)).alias("timestamp"),
-    )
-    ledger.append(rows, folder)
-    return ledger.read(spark, folder).groupBy("method", "metric_name").agg(F.count("*").alias("n"), r(F.sum("metric_value"), 2).alias("total"))
-
-
-@query("ux_trigger_ids", "SELECT DISTINCT k || '__v1' AS split_id, k IN ('click', 'view') AS own FROM alarm")
-def ux_trigger_ids(spark, sf_dir):
-    return C.alarms(spark, sf_dir).select(F.concat("k", F.lit("__v1")).alias("split_id"), F.col("k").isin("click", "view").alias("own")).distinct()
-
-
-@query("ux_rescore", "SELECT regime, k, count(*) AS n, round(avg(abs(y - p)), 6) AS mae, round(avg((y BETWEEN lower AND upper)::INT), 6) AS coverage FROM ivl GROUP BY ALL")
-def ux_rescore(spark, sf_dir):
-    return C.labelled_intervals(spark, sf_dir).groupBy("regime", "k").agg(F.count("*").alias("n"), r(metrics.mae()).alias("mae"), r(metrics.coverage()).alias("coverage"))

@@ -25,12 +25,6 @@ def src_csv_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_csv_folder(spark, folder).select(F.col("REGION").alias("k"), F.col("SETTLEMENTDATE").alias("ts"), F.col("TOTALDEMAND").alias("value"))
 
 
-@query("src_cached_load", "SELECT k, slot, y FROM ev30 WHERE k = 'click'")
-def src_cached_load(spark, sf_dir):
-    grid = C.ev30(spark, sf_dir).filter("k = 'click'").cache()
-    return grid.select("k", "slot", "y")
-
-
 @query("src_load_split", "SELECT split, k, count(*) AS n, round(sum(y), 3) AS total FROM s GROUP BY ALL")
 def src_load_split(spark, sf_dir):
     return C.stream(spark, sf_dir).groupBy("split", "k").agg(F.count("*").alias("n"), r(F.sum("y"), 3).alias("total"))
@@ -52,26 +46,12 @@ def src_synthetic(spark, sf_dir):
     return out
 
 
-@query("src_winners", "SELECT 'ph' AS detector, 600.0 AS threshold, 20 AS min_instances")
-def src_winners(spark, sf_dir):
-    rows = spark.createDataFrame([("ph", "selected", '{"threshold": 600.0, "min_instances": 20}'), ("other", "rejected", "{}")], "detector string, status string, kwargs string")
-    parsed = rows.withColumn("c", F.from_json("kwargs", "threshold double, min_instances int")).filter("detector = 'ph'")
-    status = F.when(F.col("status") == "selected", F.lit(True)).otherwise(F.raise_error(F.lit("not selected")).cast("boolean"))
-    return parsed.filter(status).select("detector", "c.threshold", "c.min_instances")
-
-
 @query("src_calibration", "SELECT model, region, seed, max(yr) AS yr, arg_max(mae, yr) AS mae FROM runs WHERE arm = 'A' GROUP BY ALL")
 def src_calibration(spark, sf_dir):
     rows = C.runs(spark, sf_dir).filter("arm = 'A'")
     return ledger.last_run(rows, ["model", "region", "seed"], ["yr"]).select("model", "region", "seed", "yr", "mae")
 
 
-@query("src_group_b", "SELECT k, count(*) AS n, coalesce(CASE k WHEN 'click' THEN '0.5' WHEN 'view' THEN '0.7' END, 'awaiting') AS other FROM s GROUP BY k")
-def src_group_b(spark, sf_dir):
-    other = spark.createDataFrame([("click", "0.5"), ("view", "0.7")], "k string, other string")
-    return C.ev30(spark, sf_dir).groupBy("k").agg(F.count("*").alias("n")).join(other, "k", "left").withColumn("other", F.coalesce("other", F.lit("awaiting")))
-
-
 def _appended(spark: SparkSession, sf_dir: str, tag: str, rows: DataFrame) -> DataFrame:
     """Rows written in two appends and read back."""
     folder = shared_folder(spark, tag)
@@ -207,7 +187,7 @@ def val_intervals(spark, sf_dir):
 @query("val_labels", "SELECT count(*) AS bad FROM lab WHERE regime NOT IN ('pre_drift', 'drift', 'post_drift')")
 def val_labels(spark, sf_dir):
     known = spark.createDataFrame([("pre_drift",), ("drift",), ("post_drift",)], "regime string")
-    return C.labelled(spark, sf_dir).join(F.broadcast(known), "regime", "left_anti").agg(F.count("*").alias("bad"))
+    return C.labelled(spark, sf_dir).join(known, "regime", "left_anti").agg(F.count("*").alias("bad"))
 
 
 @query("val_tier", "SELECT count(*) AS bad FROM cat WHERE tier NOT IN (1, 2) OR tier IS NULL")
@@ -363,7 +343,7 @@ def jn_reindex_labels(spark, sf_dir):
 def jn_profile_lookup(spark, sf_dir):
     rows = C.stream(spark, sf_dir).withColumn("wd", F.weekday(S.at("slot")))
     factors = rows.filter("split = 'train'").groupBy("wd").agg(F.avg("y").alias("f"))
-    out = rows.join(F.broadcast(factors), "wd", "left")
+    out = rows.join(factors, "wd", "left")
     return out.select("k", "slot", r(F.when(F.col("f").isNull(), F.raise_error(F.lit("no factor")).cast("double")).otherwise(F.col("f"))).alias("factor"))
 
 
@@ -387,7 +367,7 @@ def jn_anti_history(spark, sf_dir):
 def jn_interval_match(spark, sf_dir):
     w = C.key_windows(spark, sf_dir)
     a = C.alarms(spark, sf_dir)
-    return a.join(F.broadcast(w), (a.k == w.k) & (a.us >= w.drift_start) & (a.us < w.match_end)).select(a.k, a.us, w.event_id)
+    return a.join(w, (a.k == w.k) & (a.us >= w.drift_start) & (a.us < w.match_end)).select(a.k, a.us, w.event_id)
 
 
 @query("jn_tolerance_anti", f"SELECT k, us FROM alarm a WHERE k = 'click' AND NOT EXISTS (SELECT 1 FROM alarm b WHERE b.k = 'view' AND abs(a.us - b.us) <= {S.DAY // 8})")
@@ -408,13 +388,13 @@ def jn_event_overlap(spark, sf_dir):
 @query("jn_detection_day", "SELECT a.k, a.us, e.event_id FROM alarm a JOIN cat e ON make_timestamp(a.us)::DATE = e.start_date")
 def jn_detection_day(spark, sf_dir):
     a = C.alarms(spark, sf_dir).withColumn("start_date", F.to_date(S.at("us")))
-    return a.join(F.broadcast(C.catalogue(spark)), "start_date").select("k", "us", "event_id")
+    return a.join(C.catalogue(spark), "start_date").select("k", "us", "event_id")
 
 
 @query("jn_semi_arms", "SELECT model, arm, region, seed, yr FROM runs WHERE arm IN ('A', 'C')")
 def jn_semi_arms(spark, sf_dir):
     arms = spark.createDataFrame([("A",), ("C",)], "arm string")
-    return C.runs(spark, sf_dir).join(F.broadcast(arms), "arm", "left_semi").select("model", "arm", "region", "seed", "yr")
+    return C.runs(spark, sf_dir).join(arms, "arm", "left_semi").select("model", "arm", "region", "seed", "yr")
 
 
 # Sets and order.

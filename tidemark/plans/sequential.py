@@ -279,7 +279,19 @@ def sq_aci_buffer(spark, sf_dir):
     return rows.filter("split = 'test'").drop("split")
 
 
-@query("sq_boa")
+_BOA = """bt AS (SELECT k, y, row_number() OVER (PARTITION BY k ORDER BY pos) AS i FROM s WHERE split = 'test'),
+bo AS (SELECT DISTINCT k, 0::BIGINT AS i, 0.5::DOUBLE AS w0, 0.5::DOUBLE AS w1, 0.0::DOUBLE AS r0, 0.0::DOUBLE AS r1, 0.0::DOUBLE AS v0, 0.0::DOUBLE AS v1 FROM bt
+ UNION ALL SELECT k, i, CASE WHEN e0 = 0 AND e1 = 0 THEN w0 ELSE x0 / (x0 + x1) END, CASE WHEN e0 = 0 AND e1 = 0 THEN w1 ELSE x1 / (x0 + x1) END, r0, r1, v0, v1 FROM (
+  SELECT *, exp(l0 - greatest(l0, l1)) AS x0, exp(l1 - greatest(l0, l1)) AS x1 FROM (
+   SELECT *, CASE WHEN e0 > 0 THEN e0 * r0 + ln(e0) ELSE '-inf'::DOUBLE END AS l0, CASE WHEN e1 > 0 THEN e1 * r1 + ln(e1) ELSE '-inf'::DOUBLE END AS l1 FROM (
+    SELECT k, i, w0, w1, e0, e1, v0, v1, r0 + g0 - e0 * g0 * g0 AS r0, r1 + g1 - e1 * g1 * g1 AS r1 FROM (
+     SELECT *, CASE WHEN v0 > 0 THEN 1 / sqrt(v0) ELSE 0 END AS e0, CASE WHEN v1 > 0 THEN 1 / sqrt(v1) ELSE 0 END AS e1 FROM (
+      SELECT k, i, w0, w1, r0, r1, g0, g1, v0 + 2.2::DOUBLE * g0 * g0 AS v0, v1 + 2.2::DOUBLE * g1 * g1 AS v1 FROM (
+       SELECT k, i, w0, w1, r0, r1, v0, v1, slope * mean AS g0, slope * (mean - 100) AS g1 FROM (
+        SELECT bo.k, bt.i, w0, w1, r0, r1, v0, v1, 100::DOUBLE * w1 AS mean, CASE WHEN bt.y < 100::DOUBLE * w1 THEN 1 ELSE 0 END - 0.05::DOUBLE AS slope FROM bo JOIN bt ON bt.k = bo.k AND bt.i = bo.i + 1))))))))"""
+
+
+@query("sq_boa", f", {_BOA} SELECT k, round(w0, 9) AS w0, round(w1, 9) AS w1 FROM bo JOIN (SELECT k, max(i) AS i FROM bt GROUP BY k) USING (k, i)")
 def sq_boa(spark, sf_dir):
     """Weights after aggregating two constant experts over each key's test values."""
     import pandas as pd
@@ -292,7 +304,8 @@ def sq_boa(spark, sf_dir):
             model.update((0.0, 100.0), y)
         return pd.DataFrame([(rows["k"].iloc[0], *model.weights)], columns=["k", "w0", "w1"])
 
-    return C.stream(spark, sf_dir).filter("split = 'test'").groupBy("k").applyInPandas(run, "k string, w0 double, w1 double")
+    rows = C.stream(spark, sf_dir).filter("split = 'test'").groupBy("k").applyInPandas(run, "k string, w0 double, w1 double")
+    return rows.select("k", r("w0", 9).alias("w0"), r("w1", 9).alias("w1"))
 
 
 def _replayed(spark, sf_dir, make):
@@ -300,11 +313,6 @@ def _replayed(spark, sf_dir, make):
     return forecast.replay(C.stream(spark, sf_dir), make, 700)
 
 
-@query("sq_block_fc")
-def sq_block_fc(spark, sf_dir):
-    return _replayed(spark, sf_dir, forecast.SeasonalNaive)
-
-
 @query("fc_dhr_arima")
 def fc_dhr_arima(spark, sf_dir):
     return _replayed(spark, sf_dir, forecast.HarmonicArma).groupBy("k").agg(F.count("*").alias("n"), metrics.mae().alias("mae"))
@@ -324,27 +332,6 @@ def fc_xgb(spark, sf_dir):
     return model.transform(rows.filter("split = 'test'")).groupBy("k").agg(F.count("*").alias("n"), metrics.mae().alias("mae"))
 
 
-@query("sq_recursive_fc")
-def sq_recursive_fc(spark, sf_dir):
-    """One-step forecasts of a linear autoregression that feed its later lags."""
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        y = rows.sort_values("pos")["y"].to_numpy()
-        lags = 48
-        x = np.stack([y[lags - k : len(y) - k] for k in range(1, lags + 1)] + [np.ones(len(y) - lags)], axis=1)
-        w = np.linalg.solve(x.T @ x + np.eye(lags + 1), x.T @ y[lags:])
-        past, out = y[-lags:].tolist(), []
-        for _ in range(96):
-            out.append(float(np.dot(w[:-1], past[::-1][:lags]) + w[-1]))
-            past.append(out[-1])
-        return pd.DataFrame({"k": rows["k"].iloc[0], "step": range(1, 97), "p": out})
-
-    return C.stream(spark, sf_dir).filter("split = 'train'").groupBy("k").applyInPandas(run, "k string, step int, p double")
-
-
 # Retraining.
 
 
@@ -381,11 +368,6 @@ def ad_recent(spark, sf_dir):
     return adapt.training_rows(_history(spark, sf_dir), ad_triggers(spark, sf_dir), 5)
 
 
-@query("ad_accounting", f", {_H} SELECT k, count(*) AS n_retrains, sum(n)::BIGINT AS train_samples FROM (SELECT t.k, t.day, count(h.day) AS n FROM (SELECT k, day FROM tg JOIN ends USING (k) WHERE day < b) t LEFT JOIN h ON h.k = t.k AND h.day <= t.day GROUP BY t.k, t.day) GROUP BY k")
-def ad_accounting(spark, sf_dir):
-    return adapt.accounting(_history(spark, sf_dir), ad_triggers(spark, sf_dir), None)
-
-
 @query("snk_retrains", f", {_H} SELECT k, day FROM tg JOIN ends USING (k) WHERE day >= a AND day < b")
 def snk_retrains(spark, sf_dir):
     from tidemark.sources.shared import written
@@ -393,19 +375,6 @@ def snk_retrains(spark, sf_dir):
     return written(ad_triggers(spark, sf_dir), "retrains")[0]
 
 
-@query("sq_arm_loop", f", {_H}, sg AS (SELECT s.k, s.slot, s.y, max(t.day) AS model FROM s LEFT JOIN (SELECT k, day FROM tg JOIN ends USING (k) WHERE day < b) t ON t.k = s.k AND s.slot >= t.day + {S.DAY} GROUP BY ALL) SELECT k, coalesce(model, -1) AS model, count(*) AS n, round(avg(y), 6) AS mean FROM sg GROUP BY ALL")
-def sq_arm_loop(spark, sf_dir):
-    """Which retrained model serves which rows: a model trained at the end of a day serves from the next day on, until the
-    next one. As of by carrying the last boundary forward along the series."""
-    from pyspark.sql import Window
-
-    rows = C.stream(spark, sf_dir).select("k", "slot", "y", F.lit(None).cast("long").alias("model"))
-    marks = ad_triggers(spark, sf_dir).select("k", (F.col("day") + S.DAY).alias("slot"), F.lit(None).cast("double").alias("y"), F.col("day").alias("model"))
-    w = Window.partitionBy("k").orderBy("slot", F.col("model").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    served = rows.unionByName(marks).withColumn("model", F.last("model", ignorenulls=True).over(w)).filter("y IS NOT NULL")
-    return served.groupBy("k", F.coalesce("model", F.lit(-1)).alias("model")).agg(F.count("*").alias("n"), r(F.avg("y")).alias("mean"))
-
-
 # Structured Streaming.
 
 

@@ -16,26 +16,6 @@ from tidemark.sources.shared import shared_folder, written
 from tidemark.sources.shipping import ship_package
 
 
-@query("src_ui_read", "SELECT model, arm, region, seed, yr, mae FROM runs")
-def src_ui_read(spark, sf_dir):
-    folder = shared_folder(spark, "table")
-    rows = C.runs(spark, sf_dir).select("model", "arm", "region", "seed", "yr", "mae")
-    rows.write.option("header", True).csv(folder)
-    return spark.read.schema(rows.schema).option("header", True).csv(folder)
-
-
-@query("snk_lock", "SELECT region, count(*) AS n FROM runs GROUP BY region")
-def snk_lock(spark, sf_dir):
-    """Two appenders at once, each with a folder of its own in the table: no lock is needed."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    folder = shared_folder(spark, "appended")
-    rows = C.runs(spark, sf_dir).select("region", "mae")
-    with ThreadPoolExecutor(2) as pool:
-        list(pool.map(lambda x: rows.filter(F.col("region") == x).write.mode("append").parquet(f"{folder}/appender={x}"), ["north", "south"]))
-    return spark.read.parquet(folder).groupBy("region").agg(F.count("*").alias("n"))
-
-
 @query("snk_synth_detections")
 def snk_synth_detections(spark, sf_dir):
     ship_package(spark)
@@ -50,23 +30,6 @@ def snk_table_image(spark, sf_dir):
     return spark.createDataFrame([("| model | n |", 0)], "line string, place int").unionByName(rows)
 
 
-@query("val_level", "SELECT alpha, alpha > 0 AND alpha < 1 AS valid FROM (VALUES (-0.1::DOUBLE), (0.0), (0.1), (0.5), (1.0)) v(alpha)")
-def val_level(spark, sf_dir):
-    def valid(a):
-        try:
-            return conformal.check_level(a) == a
-        except ValueError:
-            return False
-
-    return spark.createDataFrame([(a, valid(a)) for a in (-0.1, 0.0, 0.1, 0.5, 1.0)], "alpha double, valid boolean")
-
-
-@query("set_except", "SELECT unnest(['tier', 'region']) AS missing")
-def set_except(spark, sf_dir):
-    required, present = {"event_id", "tier", "region"}, {"event_id", "start_date"}
-    return spark.createDataFrame([(c,) for c in sorted(required - present)], "missing string")
-
-
 @query("jn_left_sweep", "SELECT a.model, a.region, a.seed, a.yr, a.arm, a.mae, b.width FROM (SELECT * FROM runs WHERE arm = 'D') a LEFT JOIN (SELECT * FROM runs WHERE arm = 'D' AND seed < 4) b USING (model, region, seed, yr)")
 def jn_left_sweep(spark, sf_dir):
     rows, keys = C.runs(spark, sf_dir).filter("arm = 'D'"), ["model", "region", "seed", "yr"]
@@ -80,13 +43,6 @@ def jn_index_cost_local(spark, sf_dir):
     return rows.groupBy("model", "region").agg(F.count("*").alias("n")).join(cost, ["model", "region"], "left")
 
 
-@query("jn_group_b", "SELECT metric_name, region, coalesce(v, 'awaiting') AS v FROM (SELECT DISTINCT metric_name, region FROM ledger) LEFT JOIN (VALUES ('mae', 'north', '1.5')) o(metric_name, region, v) USING (metric_name, region)")
-def jn_group_b(spark, sf_dir):
-    other = spark.createDataFrame([("mae", "north", "1.5")], "metric_name string, region string, v string")
-    keys = C.ledger(spark, sf_dir).select("metric_name", "region").distinct()
-    return keys.join(other, ["metric_name", "region"], "left").withColumn("v", F.coalesce("v", F.lit("awaiting")))
-
-
 class Above(detectors.Detector):
     """A user's detector: fires above a level."""
 
@@ -144,12 +100,6 @@ def ux_adapter(spark, sf_dir):
     return OnDays(["2024-01-10", "2024-02-10"]).boundaries(Q._history(spark, sf_dir), None)
 
 
-@query("ad_contract", f", {Q._H} SELECT e.k, count(*) AS n_retrains, sum(n)::BIGINT AS train_samples FROM ends e JOIN (SELECT k, count(*) FILTER (WHERE day <= {S.stamp('2024-01-10')} AND day > {S.stamp('2024-01-10') - 3 * S.DAY}) AS n FROM h GROUP BY k) USING (k) WHERE e.b > {S.stamp('2024-01-10')} GROUP BY e.k")
-def ad_contract(spark, sf_dir):
-    arm, history = OnDays(["2024-01-10"], 3), Q._history(spark, sf_dir)
-    return adapt.accounting(history, arm.boundaries(history, None), arm.window_days)
-
-
 class Constant(conformal.UncertaintyQuantifier):
     """A user's quantifier: the forecast plus or minus a constant."""
 
@@ -176,37 +126,6 @@ def ux_config_of(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, config_hash string")
 
 
-@query("ux_stage_plan", "SELECT name, outcome FROM (VALUES ('data', 'planned'), ('detect', 'planned'), ('escalation', 'planned'), ('produce', 'planned'), ('synthetic', 'left out'), ('forecast', 'left out'), ('adapt', 'left out'), ('uncertainty', 'left out')) v(name, outcome)")
-def ux_stage_plan(spark, sf_dir):
-    chosen, left = stages.select(stages.STAGES)
-    rows = stages.execute(chosen, dry_run=True) + [(s.name, "left out") for s in left]
-    return spark.createDataFrame(rows, "name string, outcome string")
-
-
-_SUM = "SELECT '{arm}' AS arm, k, count(*) AS n_retrains, sum(n)::BIGINT AS train_samples FROM (SELECT t.k, t.day, count(h.day) AS n FROM {t} t LEFT JOIN h ON h.k = t.k AND h.day <= t.day {w} GROUP BY t.k, t.day) GROUP BY k"
-_TG = "(SELECT k, day FROM tg JOIN ends USING (k) WHERE day < b)"
-
-
-@query(
-    "ux_adapt_runs",
-    f", {Q._H} "
-    + " UNION ALL ".join(
-        (
-            _SUM.format(arm="B", t=f"(SELECT k, unnest(generate_series(a + 6 * {S.DAY}, b - {S.DAY}, 7 * {S.DAY})) AS day FROM ends)", w=f"AND h.day > t.day - 7 * {S.DAY}"),
-            _SUM.format(arm="C", t=_TG, w=""),
-            _SUM.format(arm="D", t=_TG, w=f"AND h.day > t.day - 5 * {S.DAY}"),
-        )
-    ),
-)
-def ux_adapt_runs(spark, sf_dir):
-    """What each retraining arm costs on each series."""
-    history = Q._history(spark, sf_dir)
-    triggers = C.alarms(spark, sf_dir).select("k", (F.col("us") - F.col("us") % S.DAY).alias("day"))
-    out = None
-    for name, arm in (("B", adapt.EveryDays(7)), ("C", adapt.OnTrigger()), ("D", adapt.OnTrigger(5))):
-        rows = adapt.accounting(history, arm.boundaries(history, triggers), arm.window_days).select(F.lit(name).alias("arm"), "*")
-        out = rows if out is None else out.unionByName(rows)
-    return out
 
 
 @query("ux_uq_runner", "SELECT k, regime, metric_name, round(metric_value, 6) AS metric_value FROM (SELECT k, regime, avg((y BETWEEN lower AND upper)::INT) AS coverage, avg(upper - lower) AS width FROM ivl GROUP BY ALL) UNPIVOT (metric_value FOR metric_name IN (coverage, width))")

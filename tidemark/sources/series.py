@@ -7,12 +7,14 @@ a half-open interval (slot - width, slot] in microseconds since 1970; positions
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.shared import written
+
 HALF_HOUR = 1_800_000_000
 DAY = 86_400_000_000
 
@@ -59,6 +61,18 @@ def read_csv_folder(spark: SparkSession, folder: str, schema: T.StructType = RAW
     return raw.withColumn("file", F.col("_metadata.file_name")).withColumn("place", F.monotonically_increasing_id())
 
 
+_LOADED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def loaded(spark: SparkSession, sf_dir: str, region: str, known: Sequence[str], read: Callable[[SparkSession, str, str], DataFrame]) -> DataFrame:
+    """read(spark, sf_dir, region), written once to the shared folder and the same DataFrame ever after; ValueError for a
+    region that is not known."""
+    if region not in known:
+        raise ValueError(f"unknown region {region!r}, known are {list(known)}")
+    key = (spark.sparkContext.applicationId, sf_dir, region)
+    if key not in _LOADED:
+        _LOADED[key] = written(read(spark, sf_dir, region), "loaded")[0]
+    return _LOADED[key]
 
 
 def regrid(raw: DataFrame, key: str, ts: str, value: str, width: int = HALF_HOUR) -> DataFrame:

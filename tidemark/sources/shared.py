@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +32,44 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
 def drop_folder(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _file(spark: SparkSession, path: str):
+    """(file system, path) in the JVM."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, p = _file(spark, path)
+    return system.exists(p)
+
+
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file, or the newest file of a folder, was written, in milliseconds since 1970."""
+    system, p = _file(spark, path)
+    status = system.getFileStatus(p)
+    inside = system.listStatus(p) if status.isDirectory() else []
+    return max([status.getModificationTime(), *(x.getModificationTime() for x in inside)])
+
+
+@contextmanager
+def locked(spark: SparkSession, path: str, patience: float = 60.0) -> Iterator[None]:
+    """Hold the lock file at path; others wait for it, for patience seconds at most. Creating a file that must not exist is
+    atomic in the shared file system, so that drivers on several machines exclude each other."""
+    system, p = _file(spark, path)
+    until = time.monotonic() + patience
+    while True:
+        try:
+            system.create(p, False).close()
+            break
+        except Exception:  # py4j wraps what the file system raises
+            if not system.exists(p):
+                raise
+            if time.monotonic() > until:
+                raise TimeoutError(f"{path} is held by another writer") from None
+            time.sleep(0.05)
+    try:
+        yield
+    finally:
+        system.delete(p, False)
