@@ -163,8 +163,7 @@ def _possible(split: DataFrame, briefs: DataFrame, percent: int) -> DataFrame:
     others at a time, so that a large bucket is dealt to many tasks; pairs are not put out.
     """
     rows = split.join(briefs.join(split.select("id").distinct(), "id", "left_semi").distinct(), "id")
-    sizes = split.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"))
-    rows = rows.join(sizes, "key")
+    rows = rows.withColumn("groups", F.ceil(F.col("size") / BLOCK).cast("int"))
     blocks = F.ceil(F.col("outside") / BLOCK).cast("int")
     own = F.xxhash64("id")
     outsiders = rows.filter("component <> main").select(
@@ -297,7 +296,7 @@ def link(df: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str =
     reached, _ = components(links)
 
     # Members outside the component that most of a bucket belongs to.
-    placed = members.select("key", "id").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = members.select("key", "id", "size").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = parts.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts"), (F.sum("n") - F.max("n")).alias("outside"))
     split, split_path = written(placed.join(main.filter("parts > 1"), "key").drop("parts"), "split")
