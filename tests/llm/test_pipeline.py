@@ -85,6 +85,15 @@ def test_a_row_that_stands_twice_is_not_lost(spark, docs, tmp_path):
     assert [(r.doc_id, r.text) for r in table.collect()] == [(7, left)] * 2
 
 
+def test_empty_tables(spark, docs, tmp_path):
+    empty = docs([]).select("doc_id", "text", "lang", "source", "n_chars")
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).collect() == [], name
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def brute_of(text):
     """text without what it repeats of itself, by brute force."""
     data, seen, gone = text.encode(), set(), set()

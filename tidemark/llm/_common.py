@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.sources.shared import drop_folder, shared_folder, written
 from tidemark.sources.shipping import ship_package
 
-__all__ = ["drop_folder", "frugal", "partitions", "shared_folder", "slices", "table", "written"]
+__all__ = ["drop_folder", "frugal", "partitions", "prepare", "shared_folder", "slices", "table", "written"]
 
 #: Bytes of text that one slice of an Arrow batch holds at most (a single longer row is a slice of its own).
 SLICE_BYTES = 500_000
