@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from abc import ABC, abstractmethod
 from collections import deque
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.folds import folded
+
 #: Step sizes of the candidates, and the length of their common buffer.
 GAMMAS = (0.0, 0.0005, 0.001, 0.002, 0.004, 0.008, 0.01, 0.02, 0.04, 0.05)
 BUFFER = 336
@@ -56,18 +59,23 @@ class UncertaintyQuantifier(ABC):
     def observe(self, forecast: float, y: float) -> None: ...
 
 
-def replay(forecasts: DataFrame, make) -> DataFrame:
+_INTERVALS = "k string, pos long, slot long, y double, p double, lower double, upper double"
+
+
+def replay(forecasts: DataFrame, make: Callable[[], UncertaintyQuantifier]) -> DataFrame:
     """k, pos, slot, y, p, lower, upper: a quantifier from make() over each key's forecasts, in order."""
-    import pandas as pd
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        model, rows, bounds = make(), rows.sort_values("pos"), []
-        for y, p in zip(rows["y"], rows["p"], strict=True):
-            bounds.append(model.interval(p))
+    def start():
+        model = make()
+
+        def step(pos, slot, y, p):
+            bounds = model.interval(p)
             model.observe(p, y)
-        return rows.assign(lower=[b[0] for b in bounds], upper=[b[1] for b in bounds])
+            return pos, slot, y, p, *bounds
+
+        return step
 
-    return forecasts.select("k", "pos", "slot", "y", "p").groupBy("k").applyInPandas(run, "k string, pos long, slot long, y double, p double, lower double, upper double")
+    return folded(forecasts.select("k", "pos", "slot", "y", "p"), ["pos"], start, _INTERVALS)
 
 
 def radius_of(scores, alpha: float) -> float:
@@ -138,19 +146,26 @@ class AgAci(UncertaintyQuantifier):
 
 
 def agaci_intervals(forecasts: DataFrame, calibration: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """k, pos, slot, y, p, lower, upper: one replay over each key's forecasts, in order. calibration: k, pos, score."""
-    import pandas as pd
-
-    def run(rows: pd.DataFrame, past: pd.DataFrame) -> pd.DataFrame:
-        model = AgAci(past.sort_values("pos")["score"].tolist(), alpha)
-        rows = rows.sort_values("pos")
-        bounds = []
-        for y, p in zip(rows["y"], rows["p"], strict=True):
-            bounds.append(model.interval(p))
+    """k, pos, slot, y, p, lower, upper: one replay over each key's forecasts, in order. calibration: k, pos, score; of a
+    key's scores the last BUFFER count, which come before its forecasts."""
+
+    def start():
+        scores: deque[float] = deque(maxlen=BUFFER)
+        model: AgAci | None = None
+
+        def step(behind, pos, slot, y, p, score):
+            nonlocal model
+            if not behind:
+                scores.append(score)
+                return None
+            model = model or AgAci(scores, alpha)
+            bounds = model.interval(p)
             model.observe(p, y)
-        rows = rows[["k", "pos", "slot", "y", "p"]].copy()
-        rows["lower"], rows["upper"] = ([b[0] for b in bounds], [b[1] for b in bounds])
-        return rows
+            return pos, slot, y, p, *bounds
+
+        return step
 
-    past = calibration.select("k", "pos", "score").groupBy("k")
-    return forecasts.select("k", "pos", "slot", "y", "p").groupBy("k").cogroup(past).applyInPandas(run, "k string, pos long, slot long, y double, p double, lower double, upper double")
+    none = F.lit(None)
+    past = calibration.select("k", F.lit(0).alias("behind"), "pos", none.cast("long").alias("slot"), none.cast("double").alias("y"), none.cast("double").alias("p"), "score")
+    rows = past.unionByName(forecasts.select("k", F.lit(1).alias("behind"), "pos", "slot", "y", "p", none.cast("double").alias("score")))
+    return folded(rows, ["behind", "pos"], start, _INTERVALS)

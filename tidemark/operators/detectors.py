@@ -11,6 +11,8 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame
 
+from tidemark.operators.folds import folded
+
 ALARM_SCHEMA = "k string, pos long, us long, statistic double"
 
 
@@ -191,29 +193,28 @@ SELECTED: dict[str, Callable[[], Detector]] = {
 
 def alarms(series: DataFrame, make: Callable[[], Detector]) -> DataFrame:
     """k, pos, us, statistic of every alarm; series has k, pos, slot, y without nulls. One detector runs over each key's rows in order."""
-    import pandas as pd
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        detector, out = make(), []
-        for pos, us, y in zip(rows["pos"], rows["slot"], rows["y"], strict=True):
-            if detector.update(float(y)):
-                out.append((rows["k"].iloc[0], pos, us, detector.statistic))
-        return pd.DataFrame(out, columns=["k", "pos", "us", "statistic"]).astype({"statistic": "float64"})
+    def start():
+        detector = make()
+        return lambda pos, us, y: (pos, us, _number(detector.statistic)) if detector.update(float(y)) else None
 
-    return series.select("k", "pos", "slot", "y").groupBy("k").applyInPandas(run, ALARM_SCHEMA)
+    return folded(series.select("k", "pos", "slot", "y"), ["pos"], start, ALARM_SCHEMA)
 
 
 def traces(series: DataFrame, make: Callable[[], Detector]) -> DataFrame:
     """k, pos, us, statistic of every row: the detector's statistic as the values come in."""
-    import pandas as pd
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        detector, out = make(), []
-        for y in rows["y"]:
+    def start():
+        detector = make()
+
+        def step(pos, us, y):
             detector.update(float(y))
-            out.append(detector.statistic)
-        return pd.DataFrame({"k": rows["k"], "pos": rows["pos"], "us": rows["slot"], "statistic": pd.array(out, dtype="Float64")})
+            return pos, us, _number(detector.statistic)
+
+        return step
+
+    return folded(series.select("k", "pos", "slot", "y"), ["pos"], start, ALARM_SCHEMA)
+
 
-    return series.select("k", "pos", "slot", "y").groupBy("k").applyInPandas(run, ALARM_SCHEMA)
+def _number(statistic: float | None) -> float | None:
+    return None if statistic is None else float(statistic)

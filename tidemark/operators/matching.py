@@ -5,26 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.folds import folded
 from tidemark.operators.regimes import REFRACTORY
 
 MATCH_SCHEMA = "k string, us long, label string, event_id string, tier int, delay_days double"
 
 
 def debounced(alarms: DataFrame, key: str = "k", time: str = "us", refractory: int = REFRACTORY) -> DataFrame:
-    """key, time, accepted: an alarm is accepted unless it comes less than the refractory period after an accepted one.
+    """key, time, accepted, n: an alarm is accepted unless it comes less than the refractory period after an accepted one; of
+    equal times, which are one row of n alarms, one at most is accepted."""
 
-    The fold over a key's sorted alarms stays in the JVM; a key's alarms are what one detector raised on one series.
-    """
-    zero = F.array().cast("array<bigint>")
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(time)),
-        zero,
-        lambda acc, t: F.when((F.size(acc) == 0) | (t >= F.element_at(acc, -1) + refractory), F.concat(acc, F.array(t))).otherwise(acc),
-    )
-    # Equal times: only one of them can be accepted.
-    times = alarms.groupBy(key).agg(kept.alias("_kept"))
-    flagged = alarms.groupBy(key, time).agg(F.count("*").alias("_n")).join(times, key)
-    return flagged.select(key, time, F.array_contains("_kept", F.col(time)).alias("accepted"), F.col("_n").alias("n"))
+    def start():
+        last: int | None = None
+
+        def step(us, n):
+            nonlocal last
+            accepted = last is None or us >= last + refractory
+            if accepted:
+                last = us
+            return us, accepted, n
+
+        return step
+
+    times = alarms.groupBy(F.col(key).alias("k"), F.col(time).alias("us")).agg(F.count("*").alias("n"))
+    flagged = folded(times, ["us"], start, "k string, us long, accepted boolean, n long")
+    return flagged.select(F.col("k").alias(key), F.col("us").alias(time), "accepted", "n")
 
 
 def greedy_match(accepted: DataFrame, windows: DataFrame, key: str = "k", time: str = "us") -> DataFrame:

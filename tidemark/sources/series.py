@@ -56,9 +56,10 @@ def stamp(text: str) -> int:
 
 
 def read_csv_folder(spark: SparkSession, folder: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """All CSV files of a folder, header checked against the schema; order_in is (file name, place in it)."""
+    """All CSV files of a folder, header checked against the schema; file and place tell a row's order: places are not
+    numbered through, but rise within a file, also where it is read in several parts."""
     raw = spark.read.option("enforceSchema", "false").schema(schema).csv(folder, header=True, mode="FAILFAST")
-    return raw.withColumn("file", F.col("_metadata.file_name")).withColumn("place", F.monotonically_increasing_id())
+    return raw.withColumn("file", F.col("_metadata.file_name")).withColumn("place", F.struct(F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row")))
 
 
 _LOADED: dict[tuple[str, str, str], DataFrame] = {}
