@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import time
 import uuid
@@ -53,22 +54,35 @@ def modified(spark: SparkSession, path: str) -> int:
     return max([status.getModificationTime(), *(x.getModificationTime() for x in inside)])
 
 
+def _created(system, p) -> bool:
+    """Create an empty file if there is none, in one step."""
+    if system.getScheme() == "file":
+        # Hadoop's local file system looks first and creates then.
+        try:
+            os.close(os.open(p.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        system.create(p, False).close()
+    except Exception:  # py4j wraps what the file system raises
+        if not system.exists(p):
+            raise
+        return False
+    return True
+
+
 @contextmanager
 def locked(spark: SparkSession, path: str, patience: float = 60.0) -> Iterator[None]:
-    """Hold the lock file at path; others wait for it, for patience seconds at most. Creating a file that must not exist is
-    atomic in the shared file system, so that drivers on several machines exclude each other."""
+    """Hold the lock file at path; others wait for it, for patience seconds at most. Only one of several drivers creates it."""
     system, p = _file(spark, path)
+    if p.getParent() is not None:
+        system.mkdirs(p.getParent())
     until = time.monotonic() + patience
-    while True:
-        try:
-            system.create(p, False).close()
-            break
-        except Exception:  # py4j wraps what the file system raises
-            if not system.exists(p):
-                raise
-            if time.monotonic() > until:
-                raise TimeoutError(f"{path} is held by another writer") from None
-            time.sleep(0.05)
+    while not _created(system, p):
+        if time.monotonic() > until:
+            raise TimeoutError(f"{path} is held by another writer")
+        time.sleep(0.05)
     try:
         yield
     finally:
