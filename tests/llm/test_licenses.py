@@ -22,6 +22,11 @@ def test_base_columns_equal_brute_force(docs, odd):
     assert licenses.scan_licenses(docs([])).collect() == []
 
 
+def test_null_ids_and_repeated_rows(docs):
+    got = licenses.scan_licenses(docs(["cc by", "cc by", None], [None, None, None])).collect()
+    assert sorted((r.doc_id, r.n_base) for r in got) == [(None, 0), (None, 1), (None, 1)]
+
+
 def test_expressions():
     parse = licenses.parse_expression
     assert parse("MIT OR Apache-2.0 AND BSD-3-Clause") == ["mit", "apache-2.0", "bsd-3-clause", "and", "or"]

@@ -85,6 +85,12 @@ def test_cut_texts_keeps_columns_and_nulls(docs):
     assert suffix_dedup.remove_repeats(docs([])).collect() == []
 
 
+def test_a_null_id_is_not_the_least_id(docs):
+    text = "q" * 50 + "".join(chr(97 + i % 23) for i in range(120))
+    got = sorted(suffix_dedup.remove_repeats(docs([text, text], [None, -(2**63)])).collect(), key=lambda r: r.n_removed)
+    assert len(got) == 2 and got[0].n_removed < len(text) and got[1].n_removed == len(text)
+
+
 def test_null_and_repeated_ids(docs):
     text = "q" * 50 + "".join(chr(97 + i % 23) for i in range(120))
     got = sorted((r.doc_id or -1, r.n_removed) for r in suffix_dedup.remove_repeats(docs([text, text, text], [7, 7, None])).collect())

@@ -470,7 +470,8 @@ def _with_spans(df: DataFrame, id_col: str, text_col: str, hot: int) -> DataFram
     """The rows of df as struct r, with their text (never null) and spans to remove (null if none)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    own = F.xxhash64(F.col(text_col).cast("string"))
+    # Rows without an id are told from those whose id is NULL_ID by their hashes.
+    own = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col).cast("string"), F.lit("no id"))).otherwise(F.xxhash64(F.col(text_col).cast("string")))
     spans, _ = repeated_spans(df.select(key.alias("id"), own.alias("h"), text.alias("text")), hot)
     # A document's spans are as many as its bytes at most.
     gathered = spans.distinct().groupBy("id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
