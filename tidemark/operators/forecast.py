@@ -208,14 +208,3 @@ def ahead(history: DataFrame, make, n: int) -> DataFrame:
         return pd.DataFrame({"k": [rows["k"].iloc[0]] * len(p), "step": range(1, len(p) + 1), "p": p})
 
     return history.select("k", "pos", "y").groupBy("k").applyInPandas(run, "k string, step int, p double")
-
-
-def gradient_boosting(train: DataFrame, features: list[str], target: str = "y", trees: int = 30, depth: int = 5, step: float = 0.05, seed: int = 1):
-    """A fitted pyspark.ml model with lag features; rows with a missing feature are left out (there is no missing-value branch)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    rows = train.dropna(subset=[*features, target])
-    tree = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="p", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), tree]).fit(rows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import adapt, conformal, detectors, forecast, matching, metrics, tuning
+from tidemark.operators import adapt, boosting, conformal, detectors, forecast, matching, metrics, tuning
 from tidemark.plans import streams as C
 from tidemark.plans.registry import query
 from tidemark.plans.scans import r
@@ -139,7 +139,7 @@ def _synthetic_scores(spark, kinds=tuning.KINDS, seeds=tuning.SEEDS, n=tuning.N)
             rows, points = S.synthetic(spark, kind, n, 1.0, seed)
             rows = rows.select(F.lit(f"{kind}/{seed}").alias("k"), F.col("t").alias("pos"), F.col("t").alias("slot"), "y", F.lit(",".join(map(str, points))).alias("points"))
             out = rows if out is None else out.unionByName(rows)
-    names = spark.createDataFrame([(x,) for x in detectors.SELECTED], "detector string")
+    names = F.explode(F.array(*map(F.lit, detectors.SELECTED))).alias("detector")
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
@@ -150,7 +150,7 @@ def _synthetic_scores(spark, kinds=tuning.KINDS, seeds=tuning.SEEDS, n=tuning.N)
         found = matching.match_positions(points, hits, len(rows), gradual=(points[0], points[1]) if kind == "gradual" else None)
         return pd.DataFrame([(name, kind, int(seed), found["matched"], found["missed"], found["false_alarms"], found["delay"])], columns=["detector", "kind", "seed", "matched", "missed", "false_alarms", "delay"])
 
-    return out.join(F.broadcast(names)).groupBy("k", "detector").applyInPandas(score, "detector string, kind string, seed int, matched int, missed int, false_alarms int, delay double")
+    return out.select("*", names).groupBy("k", "detector").applyInPandas(score, "detector string, kind string, seed int, matched int, missed int, false_alarms int, delay double")
 
 
 @query("sq_synth_match")
@@ -325,11 +325,10 @@ def fc_nhits(spark, sf_dir):
 
 @query("fc_xgb")
 def fc_xgb(spark, sf_dir):
-    lags = [f"y_lag_{n}" for n in (1, 2, 48, 96)]
-    rows = forecast.lag_features(C.stream(spark, sf_dir), (1, 2, 48, 96)).withColumns({"hour": F.hour(S.at("slot")), "weekday": F.weekday(S.at("slot"))})
-    rows = rows.dropna(subset=lags)
-    model = forecast.gradient_boosting(rows.filter("split = 'train'"), [*lags, "hour", "weekday"], trees=10)
-    return model.transform(rows.filter("split = 'test'")).groupBy("k").agg(F.count("*").alias("n"), metrics.mae().alias("mae"))
+    """Boosted trees on all lags and the calendar, recursive within a block of a day; gaps stay gaps."""
+    ship_package(spark)
+    rows = boosting.forecasts(S.with_gaps(C.ev30(spark, sf_dir)), S.stamp("2024-01-24"))
+    return rows.groupBy("k").agg(F.count("*").alias("n"), metrics.mae().alias("mae"))
 
 
 # Retraining.

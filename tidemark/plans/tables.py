@@ -254,9 +254,9 @@ def top_pick(spark, sf_dir):
 def rp_fsel(spark, sf_dir):
     """Models by region with the pick and its reason, and whether all regions agree."""
     rows, chosen = _chosen(spark, sf_dir)
-    verdict = chosen.agg(F.when(F.count_distinct("model") == 1, F.concat(F.lit("selected: "), F.min("model"))).otherwise("no single model").alias("verdict"))
+    verdict = chosen.agg(F.when(F.count_distinct("model") == 1, F.concat(F.lit("selected: "), F.min("model"))).otherwise("no single model")).first()[0]
     text = F.when(F.col("sd").isNull(), F.format_string("%.1f", r("mean", 1))).otherwise(F.format_string("%.1f ± %.1f", r("mean", 1), r("sd", 1)))
-    joined = rows.join(chosen.select("region", "leader", F.col("model").alias("chosen")), "region").crossJoin(F.broadcast(verdict))
+    joined = rows.join(chosen.select("region", "leader", F.col("model").alias("chosen")), "region").withColumn("verdict", F.lit(verdict))
     reason = F.when(F.col("chosen") == F.col("leader"), "lowest mean").otherwise(F.concat(F.lit("within a deviation of "), "leader", F.lit(", and cheaper")))
     return joined.select("region", "model", text.alias("error"), F.col("place").cast("long").alias("place"), F.when(F.col("model") == F.col("chosen"), reason).otherwise("").alias("pick"), "verdict")
 
