@@ -5,7 +5,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
-from tidemark.operators import adapt, boosting, folds, forecast, ledger, regimes
+from tidemark.operators import adapt, arma, boosting, folds, forecast, ledger, regimes
 from tidemark.sources import external, shared
 from tidemark.sources import series as S
 
@@ -71,6 +71,39 @@ def test_recursive_forecasts_feed_their_lags():
     assert round(model.predict(1)[0], 2) == y[13]
 
 
+def test_arma_likelihood_equals_the_joint_density():
+    """Innovations against the multivariate normal density with the process's autocovariances."""
+    import numpy as np
+
+    free = np.array([0.5, -0.3, 0.2, 0.4])
+    phi, theta = arma.coefficients(free[:2]), -arma.coefficients(free[2:])
+    weights = [1.0]
+    for k in range(1, 400):
+        weights.append((theta[k - 1] if k <= 2 else 0.0) + sum(phi[i] * weights[k - 1 - i] for i in range(2) if k - 1 - i >= 0))
+    n = 40
+    cov = [sum(a * b for a, b in zip(weights, weights[k:], strict=False)) for k in range(n)]
+    matrix = np.array([[cov[abs(i - j)] for j in range(n)] for i in range(n)])
+    e = np.random.default_rng(2).normal(size=n)
+    scale = e @ np.linalg.solve(matrix, e) / n
+    assert abs(arma.cost(free, e, 2) - (n * np.log(scale) + np.linalg.slogdet(matrix)[1])) < 1e-6
+
+
+def test_arma_recovers_its_parameters():
+    import numpy as np
+
+    random = np.random.default_rng(3)
+    shocks, e = random.normal(size=3_000), [0.0, 0.0]
+    for t in range(2, 3_000):
+        e.append(0.6 * e[-1] - 0.2 * e[-2] + shocks[t] + 0.5 * shocks[t - 1])
+    design = np.stack([np.ones(3_000), np.sin(np.arange(3_000) / 8)], axis=1)
+    y = design @ [10.0, 3.0] + e
+    model = arma.RegressionArma(2, 1).fit(y[:2_900], design[:2_900])
+    assert abs(model.beta - [10.0, 3.0]).max() < 0.3 and abs(model.phi - [0.6, -0.2]).max() < 0.15 and abs(model.theta[0] - 0.5) < 0.15
+    assert len(model.predict(design[2_900:])) == 100
+    exact = arma.RegressionArma().fit(design[:100] @ [1.0, 2.0], design[:100])
+    assert abs(np.array(exact.predict(design[100:110])) - design[100:110] @ [1.0, 2.0]).max() < 1e-6
+
+
 def test_boosted_trees():
     import numpy as np
 

@@ -1,0 +1,120 @@
+"""Regression with ARMA errors by maximum likelihood, in NumPy.
+
+The likelihood of the errors comes from the innovations of a Kalman filter, whose gain is held once it has settled;
+its parameters are found by the simplex method of Nelder and Mead over partial autocorrelations, so that every step is
+stationary and invertible. Coefficients of the regression follow by least squares on the columns filtered like the
+errors; both steps alternate until neither moves.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+import numpy as np
+
+
+def coefficients(free: np.ndarray) -> np.ndarray:
+    """Autoregressive coefficients of a stationary process from as many free numbers (partial autocorrelations by tanh)."""
+    out: list[float] = []
+    for k, r in enumerate(np.tanh(free)):
+        out = [out[i] - r * out[k - 1 - i] for i in range(k)] + [float(r)]
+    return np.array(out)
+
+
+def innovations(columns: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(innovations of every column, their variances but for the common factor): columns has a row for each time."""
+    size = max(len(phi), len(theta) + 1)
+    move = np.zeros((size, size))
+    move[: len(phi), 0] = phi
+    move[: size - 1, 1:] = np.eye(size - 1)
+    shock = np.concatenate([[1.0], theta, np.zeros(size - 1 - len(theta))])
+    noise = np.outer(shock, shock)
+    # The stationary variance solves P = T P T' + Q.
+    spread = np.linalg.solve(np.eye(size * size) - np.kron(move, move), noise.ravel()).reshape(size, size)
+    state = np.zeros((size, columns.shape[1]))
+    out, variances = np.empty_like(columns), np.empty(len(columns))
+    gain, settled = None, False
+    for t, row in enumerate(columns):
+        if not settled:
+            variance = float(spread[0, 0])
+            fresh = move @ spread[:, 0] / variance
+            spread = move @ spread @ move.T + noise - np.outer(fresh, fresh) * variance
+            settled = gain is not None and float(np.abs(fresh - gain).max()) < 1e-10
+            gain = fresh
+        out[t] = row - state[0]
+        variances[t] = variance
+        state = move @ state + np.outer(gain, out[t])
+    return out, variances
+
+
+def cost(free: np.ndarray, errors: np.ndarray, ar: int) -> float:
+    """Minus twice the concentrated log likelihood, without constants."""
+    found, variances = innovations(errors[:, None], coefficients(free[:ar]), -coefficients(free[ar:]))
+    scale = float(np.mean(found[:, 0] ** 2 / variances))
+    return len(errors) * math.log(scale) + float(np.log(variances).sum()) if scale > 0 else -math.inf
+
+
+def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, steps: int = 200, width: float = 0.2, least: float = 1e-6) -> np.ndarray:
+    """The point of a local minimum of f, by reflecting, stretching and shrinking a simplex."""
+    points = [start, *(start + width * e for e in np.eye(len(start)))]
+    values = [f(p) for p in points]
+    for _ in range(steps):
+        order = np.argsort(values, kind="stable")
+        points, values = [points[i] for i in order], [values[i] for i in order]
+        if values[-1] - values[0] < least:
+            break
+        centre = np.mean(points[:-1], axis=0)
+        tried = [(f(p), p) for p in [centre + (centre - points[-1])]]
+        if tried[0][0] < values[0]:
+            p = centre + 2 * (centre - points[-1])
+            tried.append((f(p), p))
+        elif tried[0][0] >= values[-2]:
+            p = centre + 0.5 * ((points[-1] if tried[0][0] >= values[-1] else tried[0][1]) - centre)
+            tried.append((f(p), p))
+        best, p = min(tried, key=lambda x: x[0])
+        if best < values[-1]:
+            points[-1], values[-1] = p, best
+        else:
+            points = [points[0], *(points[0] + 0.5 * (q - points[0]) for q in points[1:])]
+            values = [values[0], *(f(q) for q in points[1:])]
+    return points[int(np.argmin(values))]
+
+
+class RegressionArma:
+    """beta (of the design's columns), phi and theta of y's regression on a design with ARMA errors."""
+
+    def __init__(self, ar: int = 2, ma: int = 2, rounds: int = 5):
+        self.ar, self.ma, self.rounds = ar, ma, rounds
+
+    def fit(self, y: np.ndarray, design: np.ndarray) -> RegressionArma:
+        self.beta = np.linalg.lstsq(design, y, rcond=None)[0]
+        free = np.full(self.ar + self.ma, 0.1)
+        last = math.inf
+        for _ in range(self.rounds):
+            errors = y - design @ self.beta
+            if not np.abs(errors).max() > 1e-9 * max(1.0, np.abs(y).max()):
+                break
+            free = simplex(lambda p, e=errors: cost(p, e, self.ar), free)
+            filtered, variances = innovations(np.column_stack([y, design]), coefficients(free[: self.ar]), -coefficients(free[self.ar :]))
+            filtered /= np.sqrt(variances)[:, None]
+            self.beta = np.linalg.lstsq(filtered[:, 1:], filtered[:, 0], rcond=None)[0]
+            now = cost(free, y - design @ self.beta, self.ar)
+            if last - now < 1e-3:
+                break
+            last = now
+        self.phi, self.theta = coefficients(free[: self.ar]), -coefficients(free[self.ar :])
+        errors = y - design @ self.beta
+        self.errors = errors[-max(1, self.ar) :].tolist()
+        self.shocks = innovations(errors[:, None], self.phi, self.theta)[0][-max(1, self.ma) :, 0].tolist()
+        return self
+
+    def predict(self, design: np.ndarray) -> list[float]:
+        """Forecasts for the design's rows, which follow those of the fit."""
+        errors, shocks, out = list(self.errors), list(self.shocks), []
+        for mean in (design @ self.beta).tolist():
+            e = sum(p * errors[-1 - i] for i, p in enumerate(self.phi) if i < len(errors)) + sum(t * shocks[-1 - i] for i, t in enumerate(self.theta) if i < len(shocks))
+            errors.append(e)
+            shocks.append(0.0)
+            out.append(mean + e)
+        return out

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.arma import RegressionArma
 from tidemark.operators.windows import over
 
 
@@ -104,11 +105,11 @@ class LinearAr(Forecaster):
 
 
 class HarmonicArma(Forecaster):
-    """Least squares on Fourier terms, errors as ARMA(2, 2) by the two regressions of Hannan and Rissanen. The phase
-    counts from the first fitted value; observing changes nothing but where the forecast starts."""
+    """Regression on Fourier terms with ARMA(2, 2) errors by maximum likelihood. The phase counts from the first fitted
+    value; observing changes nothing but where the forecast starts."""
 
-    def __init__(self, periods: dict[int, int] | None = None, ar: int = 2, ma: int = 2, long_ar: int = 20):
-        self.periods, self.ar, self.ma, self.long_ar = periods or {48: 4, 336: 4}, ar, ma, long_ar
+    def __init__(self, periods: dict[int, int] | None = None, ar: int = 2, ma: int = 2):
+        self.periods, self.ar, self.ma = periods or {48: 4, 336: 4}, ar, ma
 
     def _design(self, steps: np.ndarray) -> np.ndarray:
         columns = [np.ones(len(steps))]
@@ -120,27 +121,12 @@ class HarmonicArma(Forecaster):
 
     def fit(self, y):
         y = np.asarray(y, float)
-        self.at = len(y)
-        self.beta = np.linalg.lstsq(self._design(np.arange(len(y))), y, rcond=None)[0]
-        e = y - self._design(np.arange(len(y))) @ self.beta
-        p = min(self.long_ar, max(1, len(e) // 4))
-        lagged = np.stack([e[p - k : len(e) - k] for k in range(1, p + 1)], axis=1)
-        shocks = np.concatenate([np.zeros(p), e[p:] - lagged @ np.linalg.lstsq(lagged, e[p:], rcond=None)[0]])
-        q = max(self.ar, self.ma)
-        x = np.stack([e[q - k : len(e) - k] for k in range(1, self.ar + 1)] + [shocks[q - k : len(e) - k] for k in range(1, self.ma + 1)], axis=1)
-        self.phi = np.linalg.lstsq(x, e[q:], rcond=None)[0]
-        self.errors, self.shocks = list(e[-self.ar :]), list(shocks[-self.ma :])
+        self.fitted = self.at = len(y)
+        self.model = RegressionArma(self.ar, self.ma).fit(y, self._design(np.arange(len(y))))
         return self
 
     def predict(self, n):
-        errors, shocks, out = list(self.errors), list(self.shocks), []
-        mean = self._design(np.arange(self.at, self.at + n)) @ self.beta
-        for i in range(n):
-            e = float(np.dot(self.phi[: self.ar], errors[::-1][: self.ar]) + np.dot(self.phi[self.ar :], shocks[::-1][: self.ma]))
-            errors.append(e)
-            shocks.append(0.0)
-            out.append(float(mean[i]) + e)
-        return out
+        return self.model.predict(self._design(np.arange(self.fitted, self.at + n)))[self.at - self.fitted :]
 
     def observe(self, y):
         self.at += len(y)
