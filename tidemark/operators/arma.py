@@ -34,20 +34,36 @@ def innovations(columns: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tupl
     spread = np.linalg.solve(np.eye(size * size) - np.kron(move, move), noise.ravel()).reshape(size, size)
     state = np.zeros((size, columns.shape[1]))
     out, variances = np.empty_like(columns), np.empty(len(columns))
-    gain, settled = None, False
+    gain = None
     for t, row in enumerate(columns):
-        if not settled:
-            variance = float(spread[0, 0])
-            fresh = move @ spread[:, 0] / variance
-            spread = move @ spread @ move.T + noise - np.outer(fresh, fresh) * variance
-            settled = gain is not None and float(np.abs(fresh - gain).max()) < 1e-10
-            gain = fresh
+        variance = float(spread[0, 0])
+        fresh = move @ spread[:, 0] / variance
+        spread = move @ spread @ move.T + noise - np.outer(fresh, fresh) * variance
         out[t] = row - state[0]
         variances[t] = variance
-        state = move @ state + np.outer(gain, out[t])
+        state = move @ state + np.outer(fresh, out[t])
+        if gain is not None and t >= size and float(np.abs(fresh - gain).max()) < 1e-9:
+            # From here on the filter is the process's own recursion.
+            variances[t + 1 :] = variance
+            _recursion(columns, out, phi, theta, t + 1)
+            break
+        gain = fresh
     return out, variances
 
 
+def _recursion(columns: np.ndarray, out: np.ndarray, phi: np.ndarray, theta: np.ndarray, start: int) -> None:
+    """Fill out from start on: a value less what the values and innovations before it foretell."""
+    ahead = columns[start:].copy()
+    for i, p in enumerate(phi, 1):
+        ahead -= p * columns[start - i : len(columns) - i]
+    back = theta.tolist()
+    for c in range(columns.shape[1]):
+        found = out[:start, c].tolist()
+        for v in ahead[:, c].tolist():
+            found.append(v - sum([b * found[-1 - j] for j, b in enumerate(back)]))
+        out[start:, c] = found[start:]
+
+
 def cost(free: np.ndarray, errors: np.ndarray, ar: int) -> float:
     """Minus twice the concentrated log likelihood, without constants."""
     found, variances = innovations(errors[:, None], coefficients(free[:ar]), -coefficients(free[ar:]))
