@@ -254,23 +254,23 @@ class Index:
         return out
 
 
-def build_indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", max_chars: int = INDEX_CHARS) -> list[Index]:
-    """Indexes over all items, each of at most max_chars characters (or one item).
+def build_indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", max_chars: int = INDEX_CHARS) -> Iterator[Index]:
+    """Indexes over all items, one after the other, each of at most max_chars characters (or one item).
 
-    Null texts are left out; so are items without words. Items are streamed to the driver, which holds one part at a time
-    besides the finished indexes.
+    Null texts are left out; so are items without words. Items are streamed to the driver, which holds one index's items at
+    a time; the indexes themselves go to the executors as broadcasts.
     """
     rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter("t IS NOT NULL")
-    parts: list[Index] = []
     held: list[tuple[int, str]] = []
-    size = 0
+    size, built = 0, False
     for r in rows.distinct().sort("i", "t").toLocalIterator():
         if held and size + len(r.t) > max_chars:
-            parts.append(Index(held))
-            held, size = [], 0
+            yield Index(held)
+            held, size, built = [], 0, True
         held.append((r.i, r.t))
         size += len(r.t)
-    return [*parts, Index(held)] if held or not parts else parts
+    if held or not built:
+        yield Index(held)
 
 
 def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
