@@ -17,7 +17,7 @@ __all__ = ["drop_folder", "frugal", "partitions", "prepare", "shared_folder", "s
 
 #: Bytes of text that one slice of an Arrow batch holds at most (a single longer row is a slice of its own).
 SLICE_BYTES = 500_000
-#: Bytes of an Arrow batch between the JVM and a Python worker, and rows of it, unless the session sets them itself.
+#: Bytes of an Arrow batch between the JVM and a Python worker, unless the session sets them itself.
 BATCH_BYTES = "8m"
 
 
