@@ -3,7 +3,7 @@
 A task gathers the distinct pre-tokens it has not met yet, lays them out as token-position rows (word, position, id)
 and lets a recursive query join neighbours to the merge table and contract each word's leftmost pair of least rank
 until nothing is left to merge. The ids of the pre-tokens make up the documents' token-position rows; an ordered
-aggregation over these, joined to the vocabulary, gives every document's ids and the bytes that they decode to.
+aggregation over these, joined to the vocabulary, gives the bytes that every document's ids decode to.
 Texts are never shuffled; a bounded table keeps the words that a task has encoded.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -26,11 +27,11 @@ from tidemark.llm.pretokens import SPACED_WORDS, all_plain
 CACHE_ENTRIES = 400_000
 MAX_KEPT = 64
 #: Bytes of words that one recursive query handles; a longer word has a query of its own.
-QUERY_BYTES = 250_000
+QUERY_BYTES = 500_000
 #: Tokens that one decoding query handles; a longer document is decoded in parts, one behind the other.
 DECODE_TOKENS = 300_000
 #: Bytes of text that a task splits at a time.
-SLICE = 1_000_000
+SLICE = 2_000_000
 MAX_FILE_BYTES = 64_000_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -43,23 +44,23 @@ WITH RECURSIVE s AS (
   SELECT (w::BIGINT << 24) | pos AS k, id, false AS done FROM start
   UNION ALL
   (WITH p AS (SELECT k, id, lead(k) OVER q AS nk, lead(id) OVER q AS nid FROM s WHERE NOT done WINDOW q AS (ORDER BY k)),
-        c AS (SELECT p.k, p.id, p.nk, m.r, m.single, p.id = p.nid AS twin
+        c AS (SELECT p.k, p.id, p.nk, p.nid, m.r, m.single
               FROM p LEFT JOIN merge m ON m.ab = (p.id::BIGINT << 32) | p.nid AND p.k >> 24 = p.nk >> 24),
-        best AS (SELECT k >> 24 AS w, min(r) AS r, min((r::BIGINT << 24) | (k & 16777215)) & 16777215 AS pos FROM c GROUP BY k >> 24),
-        hit AS (SELECT c.k, c.nk, c.twin FROM c JOIN best b ON c.k >> 24 = b.w AND c.r = b.r AND (NOT c.single OR c.k & 16777215 = b.pos)),
+        best AS (SELECT k >> 24 AS w, min((r::BIGINT << 24) | (k & 16777215)) AS b FROM c GROUP BY k >> 24),
+        a AS (SELECT c.*, b, r = b >> 24 AND (NOT single OR k & 16777215 = b & 16777215) AS hit FROM c JOIN best ON c.k >> 24 = w),
         runs AS (SELECT k, nk, sum(fresh) OVER (ORDER BY k) AS run
-                 FROM (SELECT k, nk, CASE WHEN lag(nk) OVER (ORDER BY k) = k THEN 0 ELSE 1 END AS fresh FROM hit WHERE twin)),
-        kept AS (SELECT k, nk FROM hit WHERE NOT twin UNION ALL
+                 FROM (SELECT k, nk, CASE WHEN lag(nk) OVER (ORDER BY k) = k THEN 0 ELSE 1 END AS fresh FROM a WHERE hit AND id = nid)),
+        kept AS (SELECT k, nk FROM a WHERE hit AND id <> nid UNION ALL
                  SELECT k, nk FROM (SELECT k, nk, row_number() OVER (PARTITION BY run ORDER BY k) AS n FROM runs) WHERE n % 2 = 1)
-   SELECT c.k, CASE WHEN h.k IS NULL THEN c.id ELSE c.r END, b.r IS NULL
-   FROM c JOIN best b ON c.k >> 24 = b.w LEFT JOIN kept h ON h.k = c.k ANTI JOIN kept g ON g.nk = c.k)
+   SELECT a.k, CASE WHEN h.k IS NULL THEN a.id ELSE a.r END, b IS NULL
+   FROM a LEFT JOIN kept h ON h.k = a.k ANTI JOIN kept g ON g.nk = a.k)
 )
 SELECT list(id ORDER BY k) AS ids FROM s WHERE done GROUP BY k >> 24 ORDER BY k >> 24
 """
 
 #: Pieces are kept as Latin-1 letters, one for each byte.
 _DECODE = """
-SELECT t.part AS part, string_agg(v.name, ',' ORDER BY t.pos) AS ids, string_agg(v.piece, '' ORDER BY t.pos) AS decoded
+SELECT t.part AS part, string_agg(v.piece, '' ORDER BY t.pos) AS decoded
 FROM token t JOIN vocabulary v ON v.id = t.id GROUP BY t.part ORDER BY t.part
 """
 
@@ -93,9 +94,12 @@ class Codec:
         self.pattern = regex.compile(pattern)
         # Nothing is spilled: queries are bounded by QUERY_BYTES and DECODE_TOKENS.
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
-        self._make("merge", merges)
         pieces = {rank: token.decode("latin-1") for token, rank in ranks.items()}
-        self._make("vocabulary", pa.table({"id": pa.array(pieces.keys(), pa.int32()), "name": list(map(str, pieces)), "piece": list(pieces.values())}))
+        for name, rows in (("merge", merges), ("vocabulary", pa.table({"id": pa.array(pieces.keys(), pa.int32()), "piece": list(pieces.values())}))):
+            self.db.register("incoming", rows)
+            self.db.execute(f"CREATE TEMP TABLE {name} AS SELECT * FROM incoming")
+            self.db.unregister("incoming")
+        self.names = {rank: b"%d" % rank for rank in pieces}
         self.byte_ids = np.array([ranks[bytes([x])] for x in range(256)], np.int32)
         self._forget()
 
@@ -106,29 +110,33 @@ class Codec:
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.begin, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _make(self, name: str, rows: pa.Table) -> None:
-        self.db.register("incoming", rows)
-        self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM incoming")
-        self.db.unregister("incoming")
+    def _asked(self, query: str, name: str, rows: pa.Table) -> pa.Table:
+        """The result of a query over rows by that name."""
+        self.db.register(name, rows)
+        out = self.db.sql(query).to_arrow_table()
+        self.db.unregister(name)
+        return out
 
     def encode_words(self, words: list[bytes]) -> pa.ListArray:
         """The ids of each word, none of which is empty."""
         lengths = np.array([len(x) for x in words])
         ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         positions = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self._make("start", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "pos": positions.astype(np.int32), "id": ids}))
-        return self.db.sql(_ENCODE).to_arrow_table().column("ids").combine_chunks()
+        start = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "pos": positions.astype(np.int32), "id": ids})
+        return self._asked(_ENCODE, "start", start).column("ids").combine_chunks()
 
     def _learn(self, words: list[str]) -> None:
         """Give numbers to words that have none yet."""
         todo: list[str] = []
         size = 0
 
+        raw: list[bytes] = []
+
         def flush() -> None:
             nonlocal size
             if not todo:
                 return
-            ids = self.encode_words([w.encode() for w in todo])
+            ids = self.encode_words(raw)
             values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy().astype(np.int64)
             first = self.learned
             while self.used + len(values) > len(self.flat):
@@ -142,14 +150,15 @@ class Codec:
             self.learned += len(todo)
             self.numbers.update(zip(todo, range(first, first + len(todo)), strict=True))
             todo.clear()
+            raw.clear()
             size = 0
 
-        for word in words:
-            length = len(word.encode())
-            if size + length > QUERY_BYTES:
+        for word, data in zip(words, map(str.encode, words), strict=True):
+            if size + len(data) > QUERY_BYTES:
                 flush()
             todo.append(word)
-            size += length
+            raw.append(data)
+            size += len(data)
         flush()
 
     def split(self, text: str) -> list[str]:
@@ -167,9 +176,9 @@ class Codec:
         if self.learned > CACHE_ENTRIES:
             self._forget()
         known = self.numbers
-        new = [w for w in {w for words in cut for w in words} if w not in known]
+        new = list(set(chain.from_iterable(cut)).difference(known))
         self._learn(new)
-        numbers = np.fromiter((known[w] for words in cut for w in words), np.int64, sum(map(len, cut)))
+        numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
         counts = self.count[numbers]
         ends = np.cumsum(counts)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[numbers] - ends + counts, counts)]
@@ -205,9 +214,10 @@ class Codec:
     def _decoded(self, held: list[tuple[int, np.ndarray, bool]]) -> Iterator[tuple[int, bytes, bytes]]:
         ids = np.concatenate([x for _, x, _ in held])
         part = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for _, x, _ in held])
-        self._make("token", pa.table({"part": part, "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
-        for (number, _, again), (_, names, raw) in zip(held, self.db.sql(_DECODE).fetchall(), strict=True):
-            yield number, ("," if again else "").encode() + names.encode(), raw.encode("latin-1")
+        found = self._asked(_DECODE, "token", pa.table({"part": part, "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
+        for (number, own, again), raw in zip(held, found.column("decoded").to_pylist(), strict=True):
+            names = b",".join(map(self.names.__getitem__, own.tolist()))
+            yield number, b"," + names if again else names, raw.encode("latin-1")
 
 
 def encode_decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
