@@ -41,6 +41,23 @@ def test_codec_equals_the_library(docs, odd):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_a_trimmed_table_still_encodes(monkeypatch):
+    monkeypatch.setattr(bpe_codec, "CACHE_ENTRIES", 30)
+    monkeypatch.setattr(bpe_codec, "KEPT_ENTRIES", 20)
+    ranks = bpe_codec.read_ranks(open(RANK_FILE, "rb").read())
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe_codec.Codec(bpe_codec.merge_table(ranks), ranks, public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    sizes = set()
+    for _ in range(60):
+        texts = [" ".join(f"wordlike{rng.randrange(60)}zq" for _ in range(rng.randint(0, 12))) for _ in range(3)] + ["x" * 200]
+        assert [x.tolist() for x in codec.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+        if rng.random() < 0.3:
+            codec.trim()
+            sizes.add(len(codec.numbers))
+    assert max(sizes) <= 20 and len(sizes) > 1
+
+
 def test_empty_table_and_null_id(docs):
     assert token_counts.count_tokens(docs([]), COUNT_FILE).collect() == []
     assert bpe_codec.encode_decode(docs([]), RANK_FILE, public_tokenizers.PATTERN).collect() == []

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.sources.shared import drop_folder, shared_folder, written
 from tidemark.sources.shipping import ship_package
 
-__all__ = ["drop_folder", "frugal", "partitions", "prepare", "shared_folder", "slices", "table", "written"]
+__all__ = ["drop_folder", "frugal", "kept", "partitions", "prepare", "shared_folder", "slices", "table", "written"]
 
 #: Bytes of text that one slice of an Arrow batch holds at most (a single longer row is a slice of its own).
 SLICE_BYTES = 500_000
@@ -21,11 +22,15 @@ SLICE_BYTES = 500_000
 BATCH_BYTES = "8m"
 
 
-def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def frugal(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: Hashable = None
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run for mapInArrow, after which the worker gives its memory back to the system: idle workers stay beside those of
-    later stages, and what an operator has used there would count against all that follow."""
+    later stages, and what an operator has used there would count against all that follow. keeps names what kept() holds
+    for run; what it holds for others goes."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(keeps)
         try:
             yield from run(batches)
         finally:
@@ -34,6 +39,23 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return bounded
 
 
+_KEPT: dict[Hashable, object] = {}
+T = TypeVar("T")
+
+
+def forget_others(keeps: Hashable) -> None:
+    if any(key != keeps for key in _KEPT):
+        _KEPT.clear()
+        give_back()
+
+
+def kept(key: Hashable, make: Callable[[], T]) -> T:
+    """make(), held by the worker from one task to the next until another operator's task comes."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def give_back() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()

@@ -4,7 +4,8 @@ A task gathers the distinct pre-tokens it has not met yet, lays them out as toke
 and lets a recursive query join neighbours to the merge table and contract each word's leftmost pair of least rank
 until nothing is left to merge. The ids of the pre-tokens make up the documents' token-position rows; an ordered
 aggregation over these, joined to the vocabulary, gives the bytes that every document's ids decode to.
-Texts are never shuffled; a bounded table keeps the words that a task has encoded.
+Texts are never shuffled; a bounded table keeps the words that a task has encoded, and the frequent ones of them for the
+worker's next task.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import frugal, slices
+from tidemark.llm._common import frugal, kept, slices
 from tidemark.llm.pretokens import SPACED_WORDS, all_plain
 
-#: Entries of a task's table of encoded words, and the longest word in it; only memory depends on these.
+#: Entries of a task's table of encoded words, how many of these a worker holds for its next task (those that came up
+#: more than once), and the longest word in the table; only memory and time depend on these.
 CACHE_ENTRIES = 400_000
+KEPT_ENTRIES = 150_000
 MAX_KEPT = 64
 #: Bytes of words that one recursive query handles; a longer word has a query of its own.
 QUERY_BYTES = 500_000
@@ -108,7 +111,24 @@ class Codec:
         self.numbers: dict[str, int] = {}
         self.learned = 0
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.begin, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.begin, self.count, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def trim(self) -> None:
+        """Keep the words that more than one slice had since the last time, KEPT_ENTRIES at most."""
+        words, numbers = list(self.numbers), np.fromiter(self.numbers.values(), np.int64, len(self.numbers))
+        uses = self.uses[numbers]
+        chosen = np.flatnonzero(uses > 1)
+        if len(chosen) > KEPT_ENTRIES:
+            chosen = chosen[np.argsort(-uses[chosen], kind="stable")[:KEPT_ENTRIES]]
+        begin, count, flat = self.begin[numbers[chosen]], self.count[numbers[chosen]], self.flat
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        self._forget()
+        self.flat = np.concatenate([flat[np.arange(total) + np.repeat(begin - ends + count, count)], self.flat])
+        spare = np.zeros(1 << 14, np.int64)
+        self.begin, self.count, self.uses = (np.concatenate([x, spare]) for x in (ends - count, count, np.ones_like(count)))
+        self.numbers = {words[i]: n for n, i in enumerate(chosen.tolist())}
+        self.learned, self.used = len(chosen), total
 
     def _asked(self, query: str, name: str, rows: pa.Table) -> pa.Table:
         """The result of a query over rows by that name."""
@@ -142,7 +162,7 @@ class Codec:
             while self.used + len(values) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
             while first + len(todo) > len(self.begin):
-                self.begin, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.count))
+                self.begin, self.count, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count, self.uses))
             self.flat[self.used : self.used + offsets[-1] - offsets[0]] = values[offsets[0] : offsets[-1]]
             self.begin[first : first + len(todo)] = self.used + offsets[:-1] - offsets[0]
             self.count[first : first + len(todo)] = np.diff(offsets)
@@ -174,11 +194,12 @@ class Codec:
         """The ids of each text."""
         cut = [self.split(t) for t in texts]
         if self.learned > CACHE_ENTRIES:
-            self._forget()
+            self.trim()
         known = self.numbers
         new = list(set(chain.from_iterable(cut)).difference(known))
         self._learn(new)
         numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        self.uses[np.unique(numbers)] += 1
         counts = self.count[numbers]
         ends = np.cumsum(counts)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[numbers] - ends + counts, counts)]
@@ -230,13 +251,14 @@ def encode_decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "do
     path = Path(rank_file)
     if path.stat().st_size > MAX_FILE_BYTES:
         raise ValueError(f"{rank_file} is larger than {MAX_FILE_BYTES} bytes")
-    ranks = read_ranks(path.read_bytes())
+    data = path.read_bytes()
+    ranks = read_ranks(data)
     shipped = df.sparkSession.sparkContext.broadcast((merge_table(ranks), ranks))
+    key = ("codec", hashlib.sha256(data).hexdigest(), pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
+        codec = kept(key, lambda: Codec(*shipped.value, pattern))
         for part in slices(batches, "text", SLICE):
-            codec = codec or Codec(*shipped.value, pattern)
             documents = codec.encode([t or "" for t in part.column("text").to_pylist()])
             digests = codec.decode(documents)
             arrays = [part.column("doc_id"), pa.array(map(len, documents), pa.int64()), pa.array([a for a, _ in digests]), pa.array([b for _, b in digests])]
@@ -248,6 +270,7 @@ def encode_decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "do
                 arrays += [pa.array(documents, pa.list_(pa.int32())), pa.array(texts, pa.binary())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        codec.trim()
 
     schema = SCHEMA + (", ids array<int>, decoded binary" if keep_ids else "")
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), schema)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run, key), schema)
