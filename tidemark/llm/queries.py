@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_codec, decontaminate, fingerprints, html_text, language, licenses, minhash, suffix_dedup, token_counts, warc
+from tidemark.llm import bpe_codec, decontaminate, filter_audit, fingerprints, html_text, language, licenses, minhash, suffix_dedup, token_alignment, token_counts, token_store, warc
 from tidemark.llm._common import shared_folder, table
 
 
@@ -52,10 +52,45 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_suffix_dedup, op4_fingerprints, op5_language_id, op6_license_scan, op7_warc, op8_minhash, op9_token_counts, op10_bpe_codec)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove under all 120 orders, a row for each source, order and step; see audit_filters for odd rows."""
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between a byte-level and a piece tokenizer, a row for each document; see align_tokenizers for odd rows."""
+    return token_alignment.align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written to seekable files in ascending doc_id order and read back, a row for each document; see round_trip
+    for odd rows."""
+    return token_store.round_trip(table(spark, sf_dir, "documents"), shared_folder(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_suffix_dedup, op4_fingerprints, op5_language_id, op6_license_scan, op7_warc, op8_minhash, op9_token_counts, op10_bpe_codec, op11_filter_audit, op12_token_alignment, op13_token_store)}
 
 #: DuckDB SQL for the queries that SQL expresses.
 ORACLES: dict[str, str] = {
+    "op11_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, {'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws),
+    'C': 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+    'E': coalesce(least < doc_id, false)} AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM w LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, concat(CASE WHEN fails.A THEN 'A' ELSE '' END, CASE WHEN fails.B THEN 'B' ELSE '' END, CASE WHEN fails.C THEN 'C' ELSE '' END,
+    CASE WHEN fails.D THEN 'D' ELSE '' END, CASE WHEN fails.E THEN 'E' ELSE '' END) AS fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM f GROUP BY ALL),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT v.c || w.c || x.c || y.c || z.c AS o FROM c v, c w, c x, c y, c z WHERE len(list_distinct([v.c, w.c, x.c, y.c, z.c])) = 5),
+s AS (SELECT part, o, step, substr(o, step, 1) AS c, n, good, toxic, contains(fails, substr(o, step, 1)) AS failing, fails = substr(o, step, 1) AS alone,
+    len(list_filter(range(1, step), lambda i: contains(fails, substr(o, i, 1)))) = 0 AS reached FROM g, o, range(1, 6) AS r(step)),
+a AS (SELECT part, o, step, c, coalesce(sum(n) FILTER (reached AND NOT failing), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (reached AND failing), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (failing AND NOT reached), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (reached AND failing), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (reached AND failing), 0)::BIGINT AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, o AS filter_order, step::INTEGER AS step, c AS filter, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley FROM a
+""",
     "op3_suffix_dedup": """
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
 w AS (SELECT doc_id, p, md5(b[p + 1:p + 100]) AS m FROM d, unnest(range(0, n - 99)) AS u(p)),
