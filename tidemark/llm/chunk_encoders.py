@@ -13,10 +13,12 @@ import re
 import struct
 from collections.abc import Callable
 
+import numpy as np
+
 from tidemark.llm.token_counts import byte_letters
 
-#: Chunks that a worker remembers, and the longest of them; only memory and time depend on these.
-HELD_CHUNKS = 400_000
+#: Half of the chunks that a worker remembers, and the longest of them; only memory and time depend on these.
+HELD_CHUNKS = 300_000
 MAX_HELD = 64
 #: A chunk of over this many characters is cut further, before white space that follows something else.
 LONG_CHUNK = 100_000
@@ -51,7 +53,8 @@ class ByteLevelEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = plain
-        self.known: dict[str, bytes] = {}
+        self.spaced = np.array([p.startswith(b" ") for p in self.pieces()])
+        self.known = Remembered()
 
     def pieces(self) -> list[bytes]:
         """Every id's bytes; those of added tokens are their strings."""
@@ -67,18 +70,21 @@ class ByteLevelEncoder:
         return b"".join(_packed(self.tokenizer.encode(p, add_special_tokens=False).ids) for p in parts)
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        if any(len(c) > LONG_CHUNK for c in chunks):
+        """The ids of each chunk, a space before it."""
+        if any(len(c) > LONG_CHUNK or " " in c or not c or c[-1].isspace() for c in chunks):
             return [self._ids(f" {c}") for c in chunks]
-        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast([f" {c}" for c in chunks], add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0]
+        return _cut(np.array(found.ids, "<u4"), self.spaced)
 
-    def encode(self, text: str) -> bytes:
-        """The ids of text."""
-        first = _SINGLE_SPACE.search(text)
-        return self._ids(text) if first is None else self._ids(text[: first.start()]) + self.encode_spaced(text[first.end() :])
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        parts = [_SINGLE_SPACE.split(t, maxsplit=1) for t in texts]
+        rest = iter(self.encode_spaced([p[1] for p in parts if len(p) > 1]))
+        return [self._ids(p[0]) + (next(rest) if len(p) > 1 else b"") for p in parts]
 
-    def encode_spaced(self, text: str) -> bytes:
-        """The ids of a space and text."""
-        return _joined(self.known, text, self._chunks)
+    def encode_spaced(self, texts: list[str]) -> list[bytes]:
+        """The ids of a space and each text."""
+        return _joined(self.known, texts, self._chunks)
 
 
 class PieceEncoder:
@@ -91,36 +97,71 @@ class PieceEncoder:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         if any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(self.model.get_piece_size())):
             raise ValueError("a model with pieces that go on over a space can't be encoded by chunks")
-        self.known: dict[str, bytes] = {}
+        self.spaced = np.array([p.startswith(b" ") for p in self.pieces()])
+        self.known = Remembered()
 
     def pieces(self) -> list[bytes]:
         """Every id's bytes: a byte piece's byte, or the piece with spaces for its marks."""
         model = self.model
         return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(model.id_to_piece, range(model.get_piece_size())))]
 
-    def encode_spaced(self, text: str) -> bytes:
-        """The ids of a text, with the space that the library puts before it."""
-        if "▁" in text:
-            return _packed(self.model.encode(text, num_threads=1))
-        return _joined(self.known, text, lambda chunks: [_packed(ids) for ids in self.model.encode(chunks, num_threads=1)])
-
-
-def _joined(known: dict[str, bytes], text: str, make: Callable[[list[str]], list[bytes]]) -> bytes:
-    """The ids of a space and text, chunk by chunk. A space beside other white space is no place to cut, so that chunks which
-    are empty or end in white space are not remembered, and send their text the longer way."""
-    chunks = text.split(" ")
-    missing = {c for c in chunks if c not in known}
-    if missing:
-        if any(not c or c[-1].isspace() for c in missing):
-            chunks = _SINGLE_SPACE.split(text)
-            missing = {c for c in chunks if c not in known}
-        if len(known) >= HELD_CHUNKS:
-            known.clear()
-            missing = set(chunks)
-        made = list(missing)
-        known.update(zip(made, make(made), strict=True))
-    out = b"".join(map(known.__getitem__, chunks))
-    for c in missing:
-        if len(c) > MAX_HELD or not c or c[-1].isspace():
-            del known[c]
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        if any("▁" in c or " " in c or not c for c in chunks):
+            return [_packed(self.model.encode(c)) for c in chunks]
+        return _cut(np.array(self.model.encode(" ".join(chunks)), "<u4"), self.spaced)
+
+    def encode_spaced(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, with the space that the library puts before it."""
+        rest = iter(_joined(self.known, [t for t in texts if "▁" not in t], self._chunks))
+        return [_packed(self.model.encode(t)) if "▁" in t else next(rest) for t in texts]
+
+
+def _cut(ids: np.ndarray, spaced: np.ndarray) -> list[bytes]:
+    """The ids of chunks that were encoded as one text: a token that begins with a space begins a chunk."""
+    starts, data = (4 * np.flatnonzero(spaced[ids])).tolist(), ids.tobytes()
+    return [data[i:j] for i, j in zip(starts, [*starts[1:], len(data)], strict=True)]
+
+
+class Remembered:
+    """The ids of chunks. Once HELD_CHUNKS are there they make up the older half; of the older ones only those that come up
+    again stay when the newer half is full."""
+
+    def __init__(self) -> None:
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def add(self, chunks: set[str], make: Callable[[list[str]], list[bytes]]) -> None:
+        newer, older = self.newer, self.older
+        for c in chunks & older.keys():
+            newer[c] = older[c]
+        made = [c for c in chunks if c not in newer]
+        if made:
+            newer.update(zip(made, make(made), strict=True))
+
+    def trim(self) -> None:
+        """Forget the older half when the newer one is full."""
+        if len(self.newer) >= HELD_CHUNKS:
+            self.newer, self.older = {}, self.newer
+
+
+def _joined(known: Remembered, texts: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """The ids of a space and each text, chunk by chunk; what is missing is made for all texts at once. A space beside other
+    white space is no place to cut, so that chunks which are empty or end in white space are not remembered, and send their
+    text the longer way."""
+    parts = [t.split(" ") for t in texts]
+    missing = {c for chunks in parts for c in chunks if c not in known.newer}
+    odd = {c for c in missing if not c or c[-1].isspace()}
+    if odd:
+        parts = [_SINGLE_SPACE.split(t) if not odd.isdisjoint(chunks) else chunks for t, chunks in zip(texts, parts, strict=True)]
+        missing = {c for chunks in parts for c in chunks if c not in known.newer}
+    passing = {c for c in missing if len(c) > MAX_HELD or not c or c[-1].isspace()}
+    known.add(missing - passing, make)
+    newer = known.newer
+    # A chunk that is not remembered is encoded by itself, as is one that the library could not tell from its neighbours.
+    once = {c: make([c])[0] for c in passing}
+    if once:
+        out = [b"".join([once[c] if c in once else newer[c] for c in chunks]) for chunks in parts]
+    else:
+        out = [b"".join(map(newer.__getitem__, chunks)) for chunks in parts]
+    known.trim()
     return out

@@ -34,15 +34,18 @@ class Pair:
         self.a_pieces, self.b_pieces = self.a.pieces(), self.b.pieces()
         self.a_sizes, self.b_sizes = (np.array([len(p) for p in pieces], np.int32) for pieces in (self.a_pieces, self.b_pieces))
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, ends) by A and (ids, ends) by B of a space and the text; all empty if either's tokens are not its bytes."""
+    def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, ends) by A and (ids, ends) by B of a space and each text; all empty if either's tokens are not its bytes."""
+        given = [t for t in texts if t]
+        found = {t: self._ends(t, *ids) for t, *ids in zip(given, self.a.encode_spaced(given), self.b.encode_spaced(given), strict=True)}
         none = np.zeros(0, np.int32)
-        if not text:
-            return none, none, none, none
-        a, b = (np.frombuffer(e.encode_spaced(text), "<u4").astype(np.int32) for e in (self.a, self.b))
+        return [found[t] if t else (none, none, none, none) for t in texts]
+
+    def _ends(self, text: str, a_ids: bytes, b_ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        a, b = (np.frombuffer(x, "<u4").astype(np.int32) for x in (a_ids, b_ids))
         whole = f" {text}".encode()
         if b"".join(map(self.b_pieces.__getitem__, b.tolist())) != whole or b"".join(map(self.a_pieces.__getitem__, a.tolist())) != whole:
-            return none, none, none, none
+            a = b = np.zeros(0, np.int32)
         return a, np.cumsum(self.a_sizes[a], dtype=np.int32), b, np.cumsum(self.b_sizes[b], dtype=np.int32)
 
 
@@ -59,7 +62,7 @@ def tokenise(df: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = kept(key, lambda: Pair(*shipped.value))
         for part in slices(batches, "text"):
-            found = list(zip(*map(pair.tokens, part.column("text").to_pylist()), strict=True))
+            found = list(zip(*pair.tokens(part.column("text").to_pylist()), strict=True))
             columns = []
             for arrays in found:
                 offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int32)

@@ -189,11 +189,12 @@ def write_tokens(df: DataFrame, folder: str, tokenizer_file: str, end_id: int, i
         encoder = kept(("token_store", name), lambda: ByteLevelEncoder(definition.value))
         partition, number, out, writer, part = TaskContext.get().partitionId(), 0, None, None, ""
         for rows in slices(batches, "text"):
-            for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
+            encoded = encoder.encode([t or "" for t in rows.column("text").to_pylist()])
+            for doc_id, ids in zip(rows.column("doc_id").to_pylist(), encoded, strict=True):
                 if writer is None:
                     out = system.open_output_stream(part := f"{base}/_{uuid.uuid4().hex}")
                     writer = Writer(out)
-                writer.add(doc_id, (encoder.encode(text) if text else b"") + end)
+                writer.add(doc_id, ids + end)
                 if writer.size >= FILE_BYTES:
                     writer.close()
                     out.close()
@@ -246,7 +247,9 @@ def _placed(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, int]
     for r in sorted(sizes.groupBy("partition").agg(F.sum("ids").alias("ids")).collect()):
         starts[r["partition"]], before = before, before + r["ids"]
     earlier = F.sum("ids").over(Window.partitionBy("partition").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
-    return sizes.select("path", "length", "partition", F.coalesce(earlier, F.lit(0)).alias("before")), starts
+    placed = sizes.select("path", "length", "partition", F.coalesce(earlier, F.lit(0)).alias("before"))
+    # A row is a whole file to read: as many tasks as there are partitions, however few bytes the rows have.
+    return placed.repartition(partitions(spark), "path"), starts
 
 
 def read_tokens(spark: SparkSession, folder: str, wanted: Iterable[int] | None = None, ids: bool = True) -> DataFrame:
