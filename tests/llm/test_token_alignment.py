@@ -75,9 +75,9 @@ def test_groups_and_links(docs):
     row, none = token_alignment.align(tokens).orderBy("doc_id").collect()
     kept = tokens.orderBy("doc_id").first()
     assert [i for g in row.groups for i in g.a] == list(kept.a_ids) and [i for g in row.groups for i in g.b] == list(kept.b_ids)
-    assert [(g.a[-1], g.b[-1]) for g in row.groups] == [(x.a, x.b) for x in row.links]
+    assert [(g.a[-1], g.b[-1]) for g in row.groups] == list(zip(row.links_a, row.links_b, strict=True))
     assert row.n_single == sum(len(g.a) == len(g.b) == 1 for g in row.groups)
-    assert (none.n_a, none.n_b, none.n_groups, none.groups, none.links) == (0, 0, 0, [], [])
+    assert (none.n_a, none.n_b, none.n_groups, none.groups, none.links_a, none.links_b) == (0, 0, 0, [], [], [])
 
 
 def test_a_long_text_takes_time_in_proportion(docs):

@@ -33,9 +33,8 @@ def test_chunks_equal_the_library(monkeypatch):
             assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_forgetting_changes_nothing(monkeypatch):
-    monkeypatch.setattr(chunk_encoders, "HELD_CHUNKS", 3)
-    encoder = chunk_encoders.ByteLevelEncoder(Path(FILE).read_text(encoding="utf-8"))
+def test_forgetting_changes_nothing():
+    encoder = chunk_encoders.ByteLevelEncoder(Path(FILE).read_text(encoding="utf-8"), held=3)
     for text in noise(300):
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library_ids(text)
 

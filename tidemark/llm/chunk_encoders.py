@@ -37,7 +37,7 @@ class ByteLevelEncoder:
     text are special tokens, as is the library's default, or ordinary text if plain. ValueError for a file whose ids could
     depend on more than a chunk: only byte-level BPE with the pattern of its own and without a normalizer is taken."""
 
-    def __init__(self, definition: str, plain: bool = False):
+    def __init__(self, definition: str, plain: bool = False, held: int = HELD_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,7 +54,7 @@ class ByteLevelEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = plain
         self.spaced = np.array([p.startswith(b" ") for p in self.pieces()])
-        self.known = Remembered()
+        self.known = Remembered(held)
 
     def pieces(self) -> list[bytes]:
         """Every id's bytes; those of added tokens are their strings."""
@@ -91,14 +91,14 @@ class PieceEncoder:
     """Ids of texts as a .model file of sentencepiece gives them, with the space that it puts before a text. ValueError for a
     model with pieces that go on over a space."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, held: int = HELD_CHUNKS):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         if any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(self.model.get_piece_size())):
             raise ValueError("a model with pieces that go on over a space can't be encoded by chunks")
         self.spaced = np.array([p.startswith(b" ") for p in self.pieces()])
-        self.known = Remembered()
+        self.known = Remembered(held)
 
     def pieces(self) -> list[bytes]:
         """Every id's bytes: a byte piece's byte, or the piece with spaces for its marks."""
@@ -123,10 +123,11 @@ def _cut(ids: np.ndarray, spaced: np.ndarray) -> list[bytes]:
 
 
 class Remembered:
-    """The ids of chunks. Once HELD_CHUNKS are there they make up the older half; of the older ones only those that come up
+    """The ids of chunks. Once held of them are there they make up the older half; of the older ones only those that come up
     again stay when the newer half is full."""
 
-    def __init__(self) -> None:
+    def __init__(self, held: int) -> None:
+        self.held = held
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -140,7 +141,7 @@ class Remembered:
 
     def trim(self) -> None:
         """Forget the older half when the newer one is full."""
-        if len(self.newer) >= HELD_CHUNKS:
+        if len(self.newer) >= self.held:
             self.newer, self.older = {}, self.newer
 
 

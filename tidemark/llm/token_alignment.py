@@ -21,32 +21,49 @@ from tidemark.llm.chunk_encoders import ByteLevelEncoder, PieceEncoder
 
 #: Pairs of ids whose counts are broadcast at most; rarer ones are joined by a shuffle.
 BROADCAST_PAIRS = 500_000
+#: Chunks that each of a worker's two encoders remembers, by halves.
+HELD_CHUNKS = 150_000
 MAX_FILE_BYTES = 64_000_000
 
-TOKENS = "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+TOKENS = "doc_id long, a_ids array<int>, a_ends array<long>, b_ids array<int>, b_ends array<long>"
+
+
+class Side:
+    """One tokenizer, with the bytes of its ids end to end."""
+
+    def __init__(self, encoder: ByteLevelEncoder | PieceEncoder):
+        self.encoder, pieces = encoder, encoder.pieces()
+        self.sizes = np.array([len(p) for p in pieces], np.int64)
+        self.starts, self.bytes = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(pieces), np.uint8)
+
+    def tokens(self, texts: list[str], whole: list[bytes]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """(ids, ends) of a space and each text; None where the tokens' bytes are not whole's, which are the text's."""
+        each = [np.frombuffer(x, "<u4") for x in self.encoder.encode_spaced(texts)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *each]).astype(np.int32)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        joined = self.bytes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - sizes), sizes)].tobytes()
+        out, token, byte = [], 0, 0
+        for n, want in zip(map(len, each), whole, strict=True):
+            stop = int(ends[token + n - 1]) if n else byte
+            out.append((ids[token : token + n], ends[token : token + n] - byte) if joined[byte:stop] == want else None)
+            token, byte = token + n, stop
+        return out
 
 
 class Pair:
-    """Both tokenizers, with the bytes of their ids."""
+    """Both tokenizers."""
 
     def __init__(self, definition: str, model: bytes):
-        self.a, self.b = ByteLevelEncoder(definition, plain=True), PieceEncoder(model)
-        self.a_pieces, self.b_pieces = self.a.pieces(), self.b.pieces()
-        self.a_sizes, self.b_sizes = (np.array([len(p) for p in pieces], np.int32) for pieces in (self.a_pieces, self.b_pieces))
+        self.a, self.b = Side(ByteLevelEncoder(definition, plain=True, held=HELD_CHUNKS)), Side(PieceEncoder(model, held=HELD_CHUNKS))
 
     def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(ids, ends) by A and (ids, ends) by B of a space and each text; all empty if either's tokens are not its bytes."""
-        given = [t for t in texts if t]
-        found = {t: self._ends(t, *ids) for t, *ids in zip(given, self.a.encode_spaced(given), self.b.encode_spaced(given), strict=True)}
-        none = np.zeros(0, np.int32)
-        return [found[t] if t else (none, none, none, none) for t in texts]
-
-    def _ends(self, text: str, a_ids: bytes, b_ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        a, b = (np.frombuffer(x, "<u4").astype(np.int32) for x in (a_ids, b_ids))
-        whole = f" {text}".encode()
-        if b"".join(map(self.b_pieces.__getitem__, b.tolist())) != whole or b"".join(map(self.a_pieces.__getitem__, a.tolist())) != whole:
-            a = b = np.zeros(0, np.int32)
-        return a, np.cumsum(self.a_sizes[a], dtype=np.int32), b, np.cumsum(self.b_sizes[b], dtype=np.int32)
+        given = list(dict.fromkeys(t for t in texts if t))
+        whole = [f" {t}".encode() for t in given]
+        found = {t: (*a, *b) for t, a, b in zip(given, self.a.tokens(given, whole), self.b.tokens(given, whole), strict=True) if a and b}
+        ids, ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return [found.get(t, (ids, ends, ids, ends)) for t in texts]
 
 
 def tokenise(df: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,49 +95,59 @@ def _with(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _upto(n: Column) -> Column:
-    """0, 1, ..., n - 1."""
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+def _places(ends: Column, cuts: Column) -> Column:
+    """How many tokens end up to each cut. The ends that are cuts, as odd numbers, and the others, as even ones, are sorted
+    together (two runs, which costs a merge): a cut's place in that is its token's."""
+    marked = F.sort_array(F.concat(F.transform(F.array_except(ends, cuts), lambda e: F.shiftleft(e, 1)), F.transform(cuts, lambda c: F.shiftleft(c, 1).bitwiseOR(1))))
+    return _with(marked, lambda m: F.filter(F.when(F.size(m) > 0, F.sequence(F.lit(1), F.size(m))).otherwise(F.array().cast("array<int>")), lambda j: F.get(m, j - 1).bitwiseAND(1) == 1))
 
 
-def _places(ends: Column, cuts: Column) -> Column:
-    """How many tokens end up to each cut. Ends as even numbers and cuts as odd ones are sorted together (two runs, which
-    costs a merge), so that a cut's place, less the cuts before it, is that number."""
-    merged = F.sort_array(F.concat(F.transform(ends, lambda e: e.cast("long") * 2), F.transform(cuts, lambda c: c.cast("long") * 2 + 1)))
-    return _with(merged, lambda m: F.transform(F.filter(_upto(F.size(m)), lambda j: m[j] % 2 == 1), lambda j, k: j - k))
+def _sides(values: Column, places: Column, one: Callable[[Column], Column], some: Callable[[Column], Column]) -> Column:
+    """A group's share of values, for each group: one of the only value, or some of the slice."""
 
+    def share(at: Column, k: Column) -> Column:
+        before = F.when(k == 0, 0).otherwise(F.get(places, k - 1))
+        return F.when(at - before == 1, one(F.get(values, at - 1))).otherwise(some(F.slice(values, before + 1, at - before)))
 
-def align(tokens: DataFrame) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_single (groups of one token each), groups, links of rows as in TOKENS, in their order.
+    return F.transform(places, share)
 
-    groups: array of (a, b), the ids of both sides; their texts are the same bytes. links: array of (a, b), the ids of tokens
-    that end together: no token is empty, so that each group has one, of its last tokens. Rows without tokens have none.
-    """
-    grouped = lambda cuts: _with(F.struct(_places(F.col("a_ends"), cuts).alias("a"), _places(F.col("b_ends"), cuts).alias("b")), lambda p: F.transform(_upto(F.size(cuts)), lambda k: _group(p, k)))
-    groups = tokens.select("doc_id", F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), _with(F.array_intersect("a_ends", "b_ends"), grouped).alias("groups"))
-    last = lambda g: F.struct(F.element_at(g["a"], -1).alias("a"), F.element_at(g["b"], -1).alias("b"))
-    single = F.aggregate("groups", F.lit(0), lambda n, g: n + F.when((F.size(g["a"]) == 1) & (F.size(g["b"]) == 1), 1).otherwise(0))
-    return groups.select("doc_id", "n_a", "n_b", F.size("groups").alias("n_groups"), single.alias("n_single"), "groups", F.transform("groups", last).alias("links"))
 
+def _digest(p: Column) -> Column:
+    side = lambda ids, places: _with(F.col(ids).cast("array<string>"), lambda v: _sides(v, places, lambda x: x, lambda x: F.array_join(x, ",")))
+    text = F.array_join(F.zip_with(side("a_ids", p["a"]), side("b_ids", p["b"]), lambda a, b: F.concat(a, F.lit("|"), b)), ";")
+    return F.when(F.size(p["a"]) > 0, F.sha2(text, 256)).otherwise("")
 
-def _group(places: Column, k: Column) -> Column:
-    def side(ids: str, at: Column) -> Column:
-        start = F.when(k > 0, F.get(at, k - 1)).otherwise(0)
-        return F.slice(F.col(ids), start + 1, F.get(at, k) - start)
 
-    return F.struct(side("a_ids", places["a"]).alias("a"), side("b_ids", places["b"]).alias("b"))
+def align(tokens: DataFrame, groups: bool = True) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, groups_sha256, links_a, links_b of rows as in TOKENS; with groups, also groups and n_single.
+
+    groups: array of (a, b), the ids of both sides in their order, whose texts are the same bytes; n_single: groups of one
+    token each. links_a, links_b: the ids of the tokens that end together: no token is empty, so that each group has one link,
+    of its last tokens. groups_sha256: SHA-256 of the groups as a1,a2|b1;a3|b2,b3. Rows without tokens have no groups, and an
+    empty string.
+    """
 
+    def built(p: Column) -> Column:
+        last = lambda ids, places: F.transform(places, lambda at: F.get(F.col(ids), at - 1))
+        fields = [F.size(p["a"]).alias("n_groups"), _digest(p).alias("groups_sha256"), last("a_ids", p["a"]).alias("links_a"), last("b_ids", p["b"]).alias("links_b")]
+        if groups:
+            same = lambda x: x
+            fields.append(F.zip_with(_sides(F.col("a_ids"), p["a"], F.array, same), _sides(F.col("b_ids"), p["b"], F.array, same), lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("groups"))
+        return F.struct(*fields)
 
-def digest(groups: Column) -> Column:
-    """SHA-256 of the groups as a1,a2|b1;a3|b2,b3; an empty string without groups."""
-    text = F.array_join(F.transform(groups, lambda g: F.concat_ws("|", F.array_join(g["a"].cast("array<string>"), ","), F.array_join(g["b"].cast("array<string>"), ","))), ";")
-    return F.when(F.size(groups) > 0, F.sha2(text, 256)).otherwise("")
+    places = lambda cuts: F.struct(_places(F.col("a_ends"), cuts).alias("a"), _places(F.col("b_ends"), cuts).alias("b"))
+    found = _with(F.array_intersect("a_ends", "b_ends"), lambda cuts: _with(places(cuts), built))
+    out = tokens.select("doc_id", F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), found.alias("x")).select("doc_id", "n_a", "n_b", "x.*")
+    if groups:
+        single = F.aggregate("groups", F.lit(0), lambda n, g: n + F.when((F.size(g["a"]) == 1) & (F.size(g["b"]) == 1), 1).otherwise(0))
+        out = out.withColumn("n_single", single)
+    return out
 
 
 def count_pairs(links: DataFrame) -> DataFrame:
-    """a, b, n (links of the pair of ids), best (whether no other pair with the same b has more), as a table. A b has at most
+    """Of links (a, b): a, b, n (links of the pair of ids), best (whether no other pair with the same b has more), as a table. A b has at most
     as many pairs as the other vocabulary has ids."""
-    pairs = links.select(F.inline("links")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = links.groupBy("a", "b").agg(F.count("*").alias("n"))
     return written(pairs.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("b"))), "pairs")[0]
 
 
@@ -137,26 +164,24 @@ def _rare_below(pairs: DataFrame) -> int:
 
 
 def align_tokenizers(df: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_single, n_links, n_best, count_sum, groups_sha256 for every row of df, over whole texts.
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for every row of df, over whole texts.
 
     n_best: links of a pair that none with the same B id exceeds in the corpus; count_sum: the sum of the counts of its
     links' pairs. Texts that are null or empty, or that a tokenizer does not give back byte by byte, have no tokens: zeros and
     an empty string. A null id stays null; repeated rows stay, and count; other columns of df are ignored, whatever their
     names; an empty table gives an empty result.
     """
-    rows = align(tokenise(df, a_file, b_file, id_col, text_col))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", "n_single", digest(F.col("groups")).alias("groups_sha256"), "links")
     # Rows are told apart by a number of their own, as ids may repeat; the table fixes it, and nothing is tokenised twice.
-    rows, _ = written(rows, "links")
-    pairs = count_pairs(rows)
+    rows, _ = written(align(tokenise(df, a_file, b_file, id_col, text_col), groups=False).withColumn("row", F.monotonically_increasing_id()), "links")
+    links = rows.select("row", F.inline(F.arrays_zip(F.col("links_a").alias("a"), F.col("links_b").alias("b"))))
+    pairs = count_pairs(links)
     least = _rare_below(pairs)
-    links = rows.select("row", F.inline("links"))
     frequent, rare = pairs.filter(F.col("n") >= least), pairs.filter(F.col("n") < least)
     counted = links.join(F.broadcast(frequent), ["a", "b"])
     if least > 1:
         counted = counted.unionByName(links.join(F.broadcast(frequent.select("a", "b")), ["a", "b"], "left_anti").join(rare, ["a", "b"]))
     sums = counted.groupBy("row").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
     count = lambda name: F.coalesce(F.col(name).cast("long"), F.lit(0)).alias(name)
-    return rows.drop("links").join(sums, "row", "left").select(
-        "doc_id", *map(count, ("n_a", "n_b", "n_groups", "n_single")), count("n_groups").alias("n_links"), count("n_best"), count("count_sum"), "groups_sha256"
+    return rows.drop("links_a", "links_b").join(sums, "row", "left").select(
+        "doc_id", *map(count, ("n_a", "n_b", "n_groups")), count("n_groups").alias("n_links"), count("n_best"), count("count_sum"), "groups_sha256"
     )
