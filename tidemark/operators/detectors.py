@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import random
 from abc import ABC, abstractmethod
+from bisect import bisect_left, insort
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from tidemark.operators.folds import folded
@@ -150,7 +152,10 @@ def ks_critical(n: int, alpha: float) -> int:
 
 
 class Kswin(Detector):
-    """Kolmogorov-Smirnov test of the newest values against a sample of the older ones in a sliding window."""
+    """Kolmogorov-Smirnov test of the newest values against a sample of the older ones in a sliding window.
+
+    The newest values are kept sorted, one going in and one out at each step; distances come from searches in sorted arrays.
+    """
 
     def __init__(self, alpha: float = 0.005, window_size: int = 100, stat_size: int = 30, seed: int | None = 42):
         self.alpha, self.size, self.stat, self.seed = alpha, window_size, stat_size, seed
@@ -158,29 +163,150 @@ class Kswin(Detector):
         super().__init__()
 
     def reset(self) -> None:
-        self.window: deque[float] = deque(maxlen=self.size)
+        # Twice as long as the window, so that its values are always a slice.
+        self.values, self.end = np.empty(2 * self.size), 0
+        self.newest: list[float] = []
         self.random = random.Random(self.seed)
         self.statistic = None
 
     def _step(self, x: float) -> bool:
-        self.window.append(x)
-        if len(self.window) < self.size:
+        if self.end == len(self.values):
+            self.values[: self.size - 1] = self.values[self.size + 1 :]
+            self.end = self.size - 1
+        self.values[self.end] = x
+        self.end += 1
+        if len(self.newest) == self.stat:
+            del self.newest[bisect_left(self.newest, self.values[self.end - 1 - self.stat])]
+        insort(self.newest, x)
+        if self.end < self.size:
             return False
-        values = list(self.window)
-        old, new = sorted(self.random.sample(values[: self.size - self.stat], self.stat)), sorted(values[-self.stat :])
-        i = j = most = 0
-        while i < self.stat and j < self.stat:
-            v = min(old[i], new[j])
-            while i < self.stat and old[i] == v:
-                i += 1
-            while j < self.stat and new[j] == v:
-                j += 1
-            most = max(most, abs(i - j))
+        first = self.end - self.size
+        drawn = self.random.sample(range(self.size - self.stat), self.stat)
+        most = ks_distance(self.values[first + np.array(drawn)], np.array(self.newest))
         self.statistic = most / self.stat
-        if most >= self.critical and self.statistic > 0.1:
-            self.window = deque(values[-self.stat :], maxlen=self.size)
-            return True
-        return False
+        return most >= self.critical and self.statistic > 0.1
+
+
+def ks_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Greatest difference, over all values, between how many of a and of b are at most that value."""
+    a, b = np.sort(a), np.sort(b)
+    both = np.concatenate([a, b])
+    return int(np.abs(np.searchsorted(a, both, "right") - np.searchsorted(b, both, "right")).max(initial=0))
+
+
+class KswinBank:
+    """Several levels of one window and sample size over the same values, fed block by block. Levels that were reset at the same
+    place see the same statistics, which are worked out once for them."""
+
+    #: Steps whose samples and newest values are sorted together.
+    STEPS = 128
+
+    def __init__(self, alphas: Sequence[float], window_size: int, stat_size: int, seed: int | None = 42):
+        self.size, self.stat, self.seed = window_size, stat_size, seed
+        self.critical = [ks_critical(stat_size, a) for a in alphas]
+        first = _Run(seed)
+        self.runs = [first] * len(alphas)
+        self.at = 0
+
+    def feed(self, values: np.ndarray) -> list[tuple[int, int]]:
+        """(level, place of its alarm among all values so far) within this block."""
+        out, end = [], self.at + len(values)
+        fresh: dict[int, _Run] = {}
+        waiting: dict[int, tuple[_Run, list[int]]] = {}
+        for level, run in enumerate(self.runs):
+            waiting.setdefault(id(run), (run, []))[1].append(level)
+        todo = [(run, levels, self.at) for run, levels in waiting.values()]
+        while todo:
+            run, levels, start = todo.pop()
+            counts = run.counts(values[start - self.at :], self.size, self.stat, self.STEPS)
+            for level in levels:
+                hits = np.flatnonzero((counts >= self.critical[level]) & (counts > 0.1 * self.stat))
+                if not len(hits):
+                    self.runs[level] = run
+                    continue
+                place = start + int(hits[0])
+                out.append((level, place))
+                if place + 1 not in fresh:
+                    fresh[place + 1] = _Run(self.seed)
+                    todo.append((fresh[place + 1], [level], place + 1))
+                else:
+                    again = next((t for t in todo if t[0] is fresh[place + 1]), None)
+                    if again is not None:
+                        again[1].append(level)
+                    else:
+                        # Its counts for this block have been taken already; a run of its own starts at the same place.
+                        todo.append((_Run(self.seed), [level], place + 1))
+        self.at = end
+        return out
+
+
+class _Run:
+    """The values since a reset, as far as the window reaches back, and the generator of its samples."""
+
+    def __init__(self, seed: int | None):
+        self.values, self.random = np.empty(0), random.Random(seed)
+
+    def counts(self, values: np.ndarray, size: int, stat: int, steps: int) -> np.ndarray:
+        """The distance behind each of the new values; -1 until the window is full."""
+        whole = np.concatenate([self.values, values])
+        out = np.full(len(values), -1)
+        first = max(size - 1, len(self.values))
+        for a in range(first, len(whole), steps):
+            ends = np.arange(a, min(a + steps, len(whole)))
+            drawn = np.array([self.random.sample(range(size - stat), stat) for _ in ends])
+            old = whole[(ends - size + 1)[:, None] + drawn]
+            new = whole[(ends - stat + 1)[:, None] + np.arange(stat)]
+            both = np.concatenate([old, new], axis=1)
+            order = np.argsort(both, axis=1, kind="stable")
+            ranked = np.take_along_axis(both, order, axis=1)
+            gap = np.cumsum(np.where(order < stat, 1, -1), axis=1)
+            last = np.concatenate([ranked[:, 1:] != ranked[:, :-1], np.ones((len(ends), 1), bool)], axis=1)
+            out[ends - len(self.values)] = np.abs(np.where(last, gap, 0)).max(axis=1)
+        self.values = whole[-(size - 1) :] if size > 1 else np.empty(0)
+        return out
+
+
+class PageHinkleyBank:
+    """Several configurations of Page-Hinkley over the same values, a step of all of them at a time."""
+
+    def __init__(self, configs: Sequence[dict]):
+        of = lambda name, default: np.array([c.get(name, default) for c in configs])
+        self.least_n, self.delta, self.threshold, self.alpha = of("min_instances", 30), of("delta", 0.005), of("threshold", 50.0), of("alpha", 0.9999)
+        mode = of("mode", "both")
+        self.rises, self.falls = np.isin(mode, ["up", "both"]), np.isin(mode, ["down", "both"])
+        self.n, self.at = np.zeros(len(configs)), 0
+        self.mean, self.up, self.down = (np.zeros(len(configs)) for _ in range(3))
+        self.least, self.most = np.full(len(configs), np.inf), np.full(len(configs), -np.inf)
+
+    def feed(self, values: np.ndarray) -> list[tuple[int, int]]:
+        out = []
+        for x in values.tolist():
+            self.n += 1
+            self.mean += (x - self.mean) / self.n
+            gap = x - self.mean
+            self.up = self.alpha * self.up + gap - self.delta
+            self.down = self.alpha * self.down + gap + self.delta
+            self.least, self.most = np.minimum(self.least, self.up), np.maximum(self.most, self.down)
+            fired = (self.n >= self.least_n) & (self.rises & (self.up - self.least > self.threshold) | self.falls & (self.most - self.down > self.threshold))
+            if fired.any():
+                out += [(int(i), self.at) for i in np.flatnonzero(fired)]
+                self.n[fired] = self.mean[fired] = self.up[fired] = self.down[fired] = 0.0
+                self.least[fired], self.most[fired] = np.inf, -np.inf
+            self.at += 1
+        return out
+
+
+class Bank:
+    """Any detectors side by side."""
+
+    def __init__(self, made: Sequence[Detector]):
+        self.made, self.at = made, 0
+
+    def feed(self, values: np.ndarray) -> list[tuple[int, int]]:
+        floats = values.tolist()
+        out = [(i, self.at + j) for i, d in enumerate(self.made) for j, x in enumerate(floats) if d.update(x)]
+        self.at += len(floats)
+        return out
 
 
 #: Parameters that were selected on the synthetic benchmark.

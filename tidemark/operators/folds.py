@@ -40,3 +40,26 @@ def folded(rows: DataFrame, order: list[str], start: Callable[[], Step], schema:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.types, strict=True)], schema=types)
 
     return rows.repartition("k").sortWithinPartitions("k", *order).mapInArrow(run, schema)
+
+
+def folded_blocks(rows: DataFrame, start: Callable[[str], Callable[..., list[tuple]]], schema: str) -> DataFrame:
+    """schema's rows: for each k a step from start(k), called with arrays of pos and y, block by block in the order of pos, which
+    gives the values of rows to put out behind the key. rows has k, pos, y without nulls."""
+    ship_package(rows.sparkSession)
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step = None, None
+        for batch in batches:
+            ks, pos, y = batch.column("k").to_pylist(), batch.column("pos").to_numpy(), batch.column("y").to_numpy()
+            edges = [0, *(i for i in range(1, len(ks)) if ks[i] != ks[i - 1]), len(ks)]
+            out = []
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a < b:
+                    if ks[a] != key or step is None:
+                        key, step = ks[a], start(ks[a])
+                    out += [(key, *found) for found in step(pos[a:b], y[a:b])]
+            columns = zip(*out, strict=True) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.types, strict=True)], schema=types)
+
+    return rows.select("k", "pos", "y").repartition("k").sortWithinPartitions("k", "pos").mapInArrow(run, schema)

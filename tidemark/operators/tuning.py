@@ -8,23 +8,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import detectors, matching
+from tidemark.operators import detectors, injection
+from tidemark.operators.folds import folded_blocks
 from tidemark.sources import series as S
 from tidemark.sources.shared import written
 
 #: The benchmark's series, and the false alarms a year that a configuration may raise on any of them.
-KINDS = ("none", "sudden", "gradual", "recurring")
+KINDS = injection.KINDS
 SEEDS = (1, 2, 3, 4, 5)
 N = 20_000
 NOISE = 1.0
 BUDGET = 2.0
 
 MAKE = {"adwin": detectors.Adwin, "kswin": detectors.Kswin, "page_hinkley": detectors.PageHinkley}
-SCHEMA = "config int, kind string, seed int, matched int, missed int, false_alarms int, false_per_year double, delay double"
 
 
 def grid() -> list[tuple[str, dict]]:
-    """(detector, parameters) of the 504 configurations: 144 of ADWIN, 126 of KSWIN, 234 of Page-Hinkley."""
+    """Fixed values: (detector, parameters) of the 504 configurations: 144 of ADWIN, 126 of KSWIN, 234 of Page-Hinkley."""
     out = [
         ("adwin", {"delta": 10.0**-k, "clock": clock, "min_window_length": least})
         for k in range(3, 11)
@@ -49,48 +49,80 @@ def grid() -> list[tuple[str, dict]]:
     return out
 
 
-def sweep(spark: SparkSession, configs: Sequence[tuple[str, dict]], seeds: Sequence[int] = SEEDS, n: int = N) -> DataFrame:
-    """detector, params, kind, runs, missed, false_alarms, delay, eligible of every configuration and kind that it came to.
-
-    Series without drift come first: a configuration with a false alarm on any of them goes no further. On the others it
-    may miss nothing and must stay within the budget on each; one that fails on a kind does not go on to the next. One
-    task runs one configuration on one series.
-    """
-    import pandas as pd
-
-    rows, points = None, {}
+def synthetic_series(spark: SparkSession, seeds: Sequence[int] = SEEDS, n: int = N) -> DataFrame:
+    """k, kind, seed, n, pos, y of the benchmark's series."""
+    out = None
     for kind in KINDS:
         for seed in seeds:
-            one, points[kind, seed] = S.synthetic(spark, kind, n, NOISE, seed)
-            one = one.select(F.lit(kind).alias("kind"), F.lit(seed).alias("seed"), "t", "y")
-            rows = one if rows is None else rows.unionByName(one)
-    values = {(r["kind"], r["seed"]): r["y"] for r in rows.groupBy("kind", "seed").agg(F.sort_array(F.collect_list(F.struct("t", "y"))).getField("y").alias("y")).collect()}
-    shipped = spark.sparkContext.broadcast((list(configs), values, points))
-
-    def run_all(jobs: list[tuple[int, str, int]]) -> DataFrame:
-        def score(batches):
-            configs, values, points = shipped.value
-            for batch in batches:
-                out = []
-                for job in batch["id"]:
-                    number, kind, seed = jobs[job]
-                    name, params = configs[number]
-                    at = points[kind, seed]
-                    hits = MAKE[name](**params).detect(values[kind, seed])
-                    found = matching.match_positions(at, hits, n, gradual=(at[0], at[1]) if kind == "gradual" else None)
-                    out.append((number, kind, seed, found["matched"], found["missed"], found["false_alarms"], found["false_per_year"], found["delay"]))
-                yield pd.DataFrame(out, columns=["config", "kind", "seed", "matched", "missed", "false_alarms", "false_per_year", "delay"]).astype({"delay": "float64"})
-
-        return written(spark.range(0, len(jobs), 1, len(jobs)).mapInPandas(score, SCHEMA), "tuning")[0]
+            rows = S.synthetic(spark, kind, n, NOISE, seed)[0]
+            one = rows.select(F.lit("synthetic").alias("k"), F.lit(kind).alias("kind"), F.lit(seed).alias("seed"), F.lit(n).cast("long").alias("n"), F.col("t").alias("pos"), "y")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def banks(configs: Sequence[tuple[str, dict]], going: Sequence[int]) -> list[tuple[str, list[int]]]:
+    """(name, configurations) that run over a series together: KSWIN by window and sample, ADWIN a few at a time, Page-Hinkley
+    all at once."""
+    groups: dict[str, list[int]] = {}
+    for i in going:
+        name, params = configs[i]
+        own = f"{params.get('window_size')}/{params.get('stat_size')}/{params.get('seed')}" if name == "kswin" else str(i // 12) if name == "adwin" else "all"
+        groups.setdefault(f"{name}/{own}", []).append(i)
+    return list(groups.items())
+
+
+def _bank(configs: Sequence[tuple[str, dict]], members: Sequence[int]):
+    name, first = configs[members[0]]
+    params = [configs[i][1] for i in members]
+    if name == "kswin":
+        return detectors.KswinBank([p["alpha"] for p in params], first["window_size"], first["stat_size"], first["seed"])
+    return detectors.PageHinkleyBank(params) if name == "page_hinkley" else detectors.Bank([MAKE[name](**p) for p in params])
+
 
+def alarms_of(series: DataFrame, configs: Sequence[tuple[str, dict]], going: Sequence[int]) -> DataFrame:
+    """k, kind, seed, config, pos of every alarm: each group of configurations is a fold over each series of its own, which holds
+    the detectors' state and one block of values."""
+    groups = banks(configs, going)
+
+    def start(name: str):
+        members = groups[int(name.rsplit("|", 1)[1])][1]
+        bank = _bank(configs, members)
+        return lambda pos, y: [(members[i], place) for i, place in bank.feed(y)]
+
+    number = F.explode(F.sequence(F.lit(0), F.lit(len(groups) - 1)))
+    rows = series.withColumn("bank", number).select(F.concat_ws("|", "k", "kind", "seed", "bank").alias("k"), "pos", "y")
+    found = folded_blocks(rows, start, "name string, config int, pos long")
+    parts = F.split("name", r"\|")
+    back = lambda i: F.element_at(parts, -i)
+    key = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 3), "|")
+    return found.select(key.alias("k"), back(3).alias("kind"), back(2).cast("int").alias("seed"), "config", "pos")
+
+
+def sweep_series(series: DataFrame, configs: Sequence[tuple[str, dict]]) -> DataFrame:
+    """detector, params, kind, runs, missed, false_alarms, delay, eligible of every configuration and kind that it came to.
+
+    series: k, kind, seed, n, pos (from 0), y. Series without drift come first: a configuration with a false alarm on any of
+    them goes no further. On the others it may miss nothing and must stay within the budget on each; one that fails on a
+    kind does not go on to the next. What reaches the driver is which configurations go on.
+    """
+    spark = series.sparkSession
+    series, _ = written(series, "series")
+    heads = series.groupBy("k", "kind", "seed").agg(F.max("n").alias("n")).withColumn("changes", injection.changes(F.col("kind"), F.col("n")))
     going, done = list(range(len(configs))), None
     for kind in KINDS:
         if not going:
             break
-        scores = run_all([(c, kind, s) for c in going for s in seeds])
+        mine = F.col("kind") == kind
+        jobs = heads.filter(mine).withColumn("config", F.explode(F.array(*map(F.lit, going))))
+        scores, _ = written(injection.scored(jobs, alarms_of(series.filter(mine), configs, going), ["k", "kind", "seed", "config"]), "tuning")
         passed = (F.max("false_alarms") == 0) if kind == "none" else (F.max("missed") == 0) & (F.max("false_per_year") <= BUDGET)
         going = sorted(r["config"] for r in scores.groupBy("config").agg(passed.alias("passed")).filter("passed").collect())
         done = scores if done is None else done.unionByName(scores)
     named = spark.createDataFrame([(i, name, json.dumps(params), i in set(going)) for i, (name, params) in enumerate(configs)], "config int, detector string, params string, eligible boolean")
     per_kind = done.groupBy("config", "kind").agg(F.count("*").alias("runs"), F.sum("missed").alias("missed"), F.sum("false_alarms").alias("false_alarms"), F.avg("delay").alias("delay"))
     return per_kind.join(F.broadcast(named), "config").select("detector", "params", "kind", "runs", "missed", "false_alarms", "delay", "eligible")
+
+
+def sweep(spark: SparkSession, configs: Sequence[tuple[str, dict]], seeds: Sequence[int] = SEEDS, n: int = N) -> DataFrame:
+    """sweep_series over the benchmark's own series."""
+    return sweep_series(synthetic_series(spark, seeds, n), configs)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import adapt, boosting, conformal, detectors, forecast, matching, metrics, tuning
+from tidemark.operators import adapt, boosting, conformal, detectors, forecast, injection, matching, metrics, tuning
 from tidemark.plans import streams as C
 from tidemark.plans.registry import query
 from tidemark.plans.scans import r
 from tidemark.sources import series as S
+from tidemark.sources.shared import written
 from tidemark.sources.shipping import ship_package
 from tidemark.streaming import structured
 
@@ -128,47 +129,78 @@ def sq_kswin(spark, sf_dir):
     return detectors.alarms(C.stream(spark, sf_dir), lambda: detectors.Kswin(alpha=0.01, window_size=144, stat_size=48)).select("k", "pos", "us")
 
 
-def _synthetic_scores(spark, kinds=tuning.KINDS, seeds=tuning.SEEDS, n=tuning.N):
-    """Every selected detector on every synthetic series: a row of scores each, one task per series and detector."""
-    import pandas as pd
+# Detectors where the truth is known: shifts put into the streams' own residuals.
+
+_INJECTED = f"""er AS (SELECT k, pos, y - p AS e FROM fc),
+rs AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS pos, round(e / sd, 6) AS e FROM er JOIN (SELECT k, stddev_pop(e) AS sd FROM er GROUP BY k) USING (k) WHERE sd > 0),
+sz AS (SELECT k, count(*) // 48 AS nb, count(*) // 48 * 48 AS n FROM rs GROUP BY k),
+inj AS (SELECT t.k, kind, seed, sz.n, t.pos, round(o.e + 4.0 * CASE kind WHEN 'sudden' THEN (t.pos >= sz.n // 4)::INT WHEN 'gradual' THEN least(1.0, greatest(0.0, (t.pos - sz.n // 4) / greatest(1, least(1000, sz.n // 4))::DOUBLE))
+  WHEN 'recurring' THEN (t.pos >= sz.n // 3 AND t.pos < 2 * sz.n // 3)::INT ELSE 0.0 END, 6) AS y
+  FROM rs t JOIN sz ON sz.k = t.k AND t.pos < sz.n, unnest(range(1, 6)) AS u(seed), (VALUES ('none'), ('sudden'), ('gradual'), ('recurring')) v(kind), rs o
+  WHERE o.k = t.k AND o.pos = (31 * (t.pos // 48) * (t.pos // 48) + 17 * (t.pos // 48) * seed + 7 * seed + 3) % nb * 48 + t.pos % 48),
+sx AS (SELECT k || '|' || kind || '|' || seed AS k, pos, y FROM inj),
+{_PH.replace("FROM s\n", "FROM sx\n").replace("JOIN s ON", "JOIN sx s ON")},
+hd AS (SELECT k || '|' || kind || '|' || seed AS name, k, kind, seed, any_value(n) AS n FROM inj GROUP BY k, kind, seed),
+ch AS (SELECT name, a, least(n - 1, b + least(336, n // 6)) AS b FROM (SELECT name, n, n // 4 AS a, n // 4 AS b FROM hd WHERE kind = 'sudden' UNION ALL SELECT name, n, n // 4, n // 4 + greatest(1, least(1000, n // 4)) FROM hd WHERE kind = 'gradual'
+  UNION ALL SELECT name, n, n // 3, n // 3 FROM hd WHERE kind = 'recurring' UNION ALL SELECT name, n, 2 * n // 3, 2 * n // 3 FROM hd WHERE kind = 'recurring')),
+al AS (SELECT k AS name, pos FROM ph WHERE fired),
+mt AS (SELECT name, a, min(pos) - a AS delay FROM ch JOIN al USING (name) WHERE pos BETWEEN a AND b GROUP BY name, a),
+sc AS (SELECT k, kind, seed, n, coalesce(m, 0) AS matched, coalesce(c, 0) - coalesce(m, 0) AS missed, coalesce(x, 0) - coalesce(m, 0) AS false_alarms, delay FROM hd
+  LEFT JOIN (SELECT name, count(*) AS m, avg(delay) AS delay FROM mt GROUP BY ALL) USING (name) LEFT JOIN (SELECT name, count(*) AS c FROM ch GROUP BY ALL) USING (name) LEFT JOIN (SELECT name, count(*) AS x FROM al GROUP BY ALL) USING (name))"""
+
 
+def _injected(spark, sf_dir):
+    return injection.injected(injection.standard_residuals(C.forecasts(spark, sf_dir)))
+
+
+def _injected_scores(spark, sf_dir, detectors_of):
+    """Scores of each detector, by name, on every injected series."""
     ship_package(spark)
-    out = None
-    for kind in kinds:
-        for seed in seeds:
-            rows, points = S.synthetic(spark, kind, n, 1.0, seed)
-            rows = rows.select(F.lit(f"{kind}/{seed}").alias("k"), F.col("t").alias("pos"), F.col("t").alias("slot"), "y", F.lit(",".join(map(str, points))).alias("points"))
-            out = rows if out is None else out.unionByName(rows)
-    names = F.explode(F.array(*map(F.lit, detectors.SELECTED))).alias("detector")
-
-    def score(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        name = rows["detector"].iloc[0]
-        kind, seed = rows["k"].iloc[0].split("/")
-        points = [int(p) for p in rows["points"].iloc[0].split(",") if p]
-        hits = detectors.SELECTED[name]().detect(rows["y"].tolist())
-        found = matching.match_positions(points, hits, len(rows), gradual=(points[0], points[1]) if kind == "gradual" else None)
-        return pd.DataFrame([(name, kind, int(seed), found["matched"], found["missed"], found["false_alarms"], found["delay"])], columns=["detector", "kind", "seed", "matched", "missed", "false_alarms", "delay"])
-
-    return out.select("*", names).groupBy("k", "detector").applyInPandas(score, "detector string, kind string, seed int, matched int, missed int, false_alarms int, delay double")
+    series, _ = written(_injected(spark, sf_dir), "injected")
+    heads = series.groupBy("k", "kind", "seed").agg(F.max("n").alias("n")).withColumn("changes", injection.changes(F.col("kind"), F.col("n")))
+    rows = series.select(F.concat_ws("|", "k", "kind", "seed").alias("k"), "pos", F.col("pos").alias("slot"), "y")
+    found = None
+    for name, make in detectors_of.items():
+        parts = F.split("k", r"\|")
+        key = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 2), "|")
+        one = detectors.alarms(rows, make).select(F.lit(name).alias("detector"), key.alias("k"), F.element_at(parts, -2).alias("kind"), F.element_at(parts, -1).cast("int").alias("seed"), "pos")
+        found = one if found is None else found.unionByName(one)
+    each = heads.withColumn("detector", F.explode(F.array(*map(F.lit, detectors_of))))
+    return injection.scored(each, found, ["detector", "k", "kind", "seed"]).drop("false_per_year")
+
+
+def _ph_scores(spark, sf_dir):
+    return _injected_scores(spark, sf_dir, {"page_hinkley": _ph})
+
+
+@query("src_injected", f", {_INJECTED} SELECT k, kind, seed, n, pos, y FROM inj")
+def src_injected(spark, sf_dir):
+    """The streams' residuals, drawn anew by blocks, with a shift at known places."""
+    return _injected(spark, sf_dir)
+
+
+@query("sq_injected_match", f", {_INJECTED} SELECT k, kind, seed, n, matched, missed, false_alarms, round(delay, 6) AS delay FROM sc")
+def sq_injected_match(spark, sf_dir):
+    return _ph_scores(spark, sf_dir).drop("detector").withColumn("delay", r("delay"))
 
 
 @query("sq_synth_match")
 def sq_synth_match(spark, sf_dir):
-    return _synthetic_scores(spark)
+    """The selected detectors against the changes put into the streams."""
+    return _injected_scores(spark, sf_dir, detectors.SELECTED)
 
 
-@query("ev_detect")
+@query("ev_detect", f", {_INJECTED} SELECT kind, round(avg(delay), 6) AS ev_delay, sum(missed)::BIGINT AS ev_missed, sum(false_alarms)::BIGINT AS false_alarms FROM sc GROUP BY kind")
 def ev_detect(spark, sf_dir):
-    rows = _synthetic_scores(spark)
-    return rows.groupBy("detector", "kind").agg(F.avg("delay").alias("ev_delay"), F.sum("missed").alias("ev_missed"), F.sum("false_alarms").alias("false_alarms"))
+    rows = _ph_scores(spark, sf_dir)
+    return rows.groupBy("kind").agg(r(F.avg("delay")).alias("ev_delay"), F.sum("missed").alias("ev_missed"), F.sum("false_alarms").alias("false_alarms"))
 
 
 @query("sq_tuning_early_stop")
 def sq_tuning_early_stop(spark, sf_dir):
-    """Every configuration on the series without drift; those without a false alarm go on to each kind of drift."""
+    """Every configuration on the series without a shift; those without a false alarm go on to each kind of shift."""
     ship_package(spark)
-    return tuning.sweep(spark, tuning.grid())
+    return tuning.sweep_series(_injected(spark, sf_dir), tuning.grid())
 
 
 #: Simulated sequences for each key and alarm set; days between alarms whose share is ranked.

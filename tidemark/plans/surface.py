@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import adapt, conformal, detectors, forecast, ledger, matching, metrics, tuning
+from tidemark.operators import adapt, conformal, detectors, forecast, ledger, matching, metrics
 from tidemark.plans import sequential as Q
 from tidemark.plans import stages
 from tidemark.plans import streams as C
@@ -16,11 +16,12 @@ from tidemark.sources.shared import shared_folder, written
 from tidemark.sources.shipping import ship_package
 
 
-@query("snk_synth_detections")
+@query("snk_synth_detections", f", {Q._INJECTED} SELECT k, pos FROM ph WHERE fired")
 def snk_synth_detections(spark, sf_dir):
+    """Alarms on the shifted streams, as a table."""
     ship_package(spark)
-    rows = S.synthetic(spark, "sudden", 4000, 1.0, 1)[0].select(F.lit("sudden/1").alias("k"), F.col("t").alias("pos"), F.col("t").alias("slot"), "y")
-    return written(detectors.alarms(rows, detectors.SELECTED["page_hinkley"]).select("k", "pos"), "synthetic")[0]
+    rows = Q._injected(spark, sf_dir).select(F.concat_ws("|", "k", "kind", "seed").alias("k"), "pos", F.col("pos").alias("slot"), "y")
+    return written(detectors.alarms(rows, Q._ph).select("k", "pos"), "synthetic")[0]
 
 
 @query("snk_table_image", "SELECT '| model | n |' AS line, 0 AS place UNION ALL SELECT '| ' || model || ' | ' || count(*) || ' |', 1 FROM runs GROUP BY model")
@@ -148,17 +149,19 @@ def ux_detect_runs(spark, sf_dir):
 
 @query("ux_synth_runs")
 def ux_synth_runs(spark, sf_dir):
-    return Q._synthetic_scores(spark)
+    """The selected detectors' runs over the shifted streams, by detector, kind and seed."""
+    rows = Q._injected_scores(spark, sf_dir, detectors.SELECTED)
+    return rows.groupBy("detector", "kind", "seed").agg(F.sum("matched").alias("matched"), F.sum("missed").alias("missed"), F.sum("false_alarms").alias("false_alarms"), F.avg("delay").alias("delay"))
 
 
-@query("ev_delay")
+@query("ev_delay", f", {Q._INJECTED} SELECT k, round(avg(delay), 6) AS delay FROM sc WHERE kind <> 'none' GROUP BY k")
 def ev_delay(spark, sf_dir):
-    return Q._synthetic_scores(spark, tuning.KINDS[1:]).groupBy("detector").agg(F.avg("delay").alias("delay"))
+    return Q._ph_scores(spark, sf_dir).filter("kind <> 'none'").groupBy("k").agg(r(F.avg("delay")).alias("delay"))
 
 
-@query("ev_missed")
+@query("ev_missed", f", {Q._INJECTED} SELECT k, sum(missed)::BIGINT AS missed FROM sc WHERE kind <> 'none' GROUP BY k")
 def ev_missed(spark, sf_dir):
-    return Q._synthetic_scores(spark, tuning.KINDS[1:]).groupBy("detector").agg(F.sum("missed").alias("missed"))
+    return Q._ph_scores(spark, sf_dir).filter("kind <> 'none'").groupBy("k").agg(F.sum("missed").alias("missed"))
 
 
 @query("ux_seasonal_qc", "SELECT k, round(corr(e, e1), 6) AS after, round(corr(y, y1), 6) AS before FROM (SELECT k, y, y - p AS e, lag(y) OVER (PARTITION BY k ORDER BY pos) AS y1, lag(y - p) OVER (PARTITION BY k ORDER BY pos) AS e1 FROM fc) GROUP BY k")
