@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import escalation, forecast, metrics, regimes, windows
+from tidemark.operators import escalation, forecast, metrics, regimes, selection, windows
 from tidemark.plans import streams as C
 from tidemark.plans.registry import query
 from tidemark.plans.scans import r
@@ -250,7 +250,8 @@ def agg_percentile_rank(spark, sf_dir):
 
 @query("agg_quantile", "SELECT k, round(quantile_cont(abs(y - p), 0.99), 6) AS q FROM fc GROUP BY k")
 def agg_quantile(spark, sf_dir):
-    return C.forecasts(spark, sf_dir).groupBy("k").agg(r(F.percentile(metrics.error(), 0.99)).alias("q"))
+    errors = C.forecasts(spark, sf_dir).select("k", metrics.error().alias("v"))
+    return selection.quantiles(errors, 0.99).select("k", r("q").alias("q"))
 
 
 @query("agg_nan_mean_max", f"SELECT k, round(avg(rolling), 6) AS mean, round(max(rolling), 6) AS worst, count(rolling) AS n FROM ({_roll('abs(y - p)', 'fc', 336)}) GROUP BY k")
@@ -300,7 +301,7 @@ def uq_rank(spark, sf_dir):
 
 @query("uq_radius", "SELECT k, round(radius, 6) AS radius FROM rad")
 def uq_radius(spark, sf_dir):
-    return C.radii(spark, sf_dir).select("k", r("radius").alias("radius"))
+    return selection.radii(C.calibration(spark, sf_dir), 0.1).select("k", r("radius").alias("radius"))
 
 
 @query("uq_fixed", "SELECT k, slot, lower, upper FROM iv")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import clean, ledger, profile, windows
+from tidemark.operators import clean, ledger, profile, selection, windows
 from tidemark.plans import streams as C
 from tidemark.plans.registry import query
 from tidemark.sources import series as S
@@ -456,8 +456,9 @@ def top_tail1(spark, sf_dir):
 
 @query("top_kth_smallest", "SELECT k, score FROM (SELECT k, score, row_number() OVER (PARTITION BY k ORDER BY score) AS r FROM cal) WHERE r = 18")
 def top_kth_smallest(spark, sf_dir):
-    w = Window.partitionBy("k").orderBy("score")
-    return C.calibration(spark, sf_dir).withColumn("r", F.row_number().over(w)).filter("r = 18").select("k", "score")
+    rows = C.calibration(spark, sf_dir)
+    found = selection.kth_smallest(rows, rows.select("k", F.lit(18).cast("long").alias("rank")), value="score")
+    return found.select("k", F.col("value").alias("score"))
 
 
 @query("ddp_drop", "SELECT DISTINCT model, region FROM runs")
