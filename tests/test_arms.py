@@ -5,7 +5,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
-from tidemark.operators import adapt, arma, boosting, folds, forecast, ledger, regimes
+from tidemark.operators import adapt, arma, folds, forecast, ledger, regimes
 from tidemark.sources import external, shared
 from tidemark.sources import series as S
 
@@ -104,44 +104,6 @@ def test_arma_recovers_its_parameters():
     assert abs(np.array(exact.predict(design[100:110])) - design[100:110] @ [1.0, 2.0]).max() < 1e-6
 
 
-def test_boosted_trees():
-    import numpy as np
-
-    random = np.random.default_rng(0)
-    at = np.arange(900)
-    y = 100 + 20 * np.sin(2 * np.pi * at / 48) + random.normal(0, 1, 900)
-    y[random.random(900) < 0.1] = np.nan
-    models = [boosting.BoostedTrees(trees=60).fit(y[:800]) for _ in range(2)]
-    p = np.array(models[0].predict(48))
-    assert p.tolist() == models[1].predict(48)
-    assert np.nanmean(np.abs(p - y[800:848])) < 3 < np.nanmean(np.abs(np.nanmean(y) - y[800:848]))
-    # A block behind it is in the lags of the next one, and forecasts feed the lags of later ones.
-    models[0].observe(y[800:848])
-    assert models[0].predict(1) != models[1].predict(49)[48:]
-    with pytest.raises(ValueError, match="no values"):
-        boosting.BoostedTrees().fit([float("nan")] * 5)
-    flat = boosting.BoostedTrees(trees=5).fit([3.0] * 30)
-    assert [round(x, 9) for x in flat.predict(3)] == [3.0] * 3
-
-
-def test_trees_route_missing_values():
-    import numpy as np
-
-    x = np.array([[1.0], [2.0], [np.nan], [np.nan], [1.5], [2.5]] * 20)
-    y = np.array([0.0, 0.0, 9.0, 9.0, 0.0, 0.0] * 20)
-    p = boosting.Trees(depth=2, step=0.5, share=1.0).fit(x, y, 30).predict(np.array([[1.2], [np.nan], [7.0]]))
-    assert abs(p[0]) < 0.5 and abs(p[1] - 9) < 0.5
-
-
-def test_calendar_and_lags():
-    import numpy as np
-
-    model = boosting.BoostedTrees(S.stamp("2024-02-04T22:30"), lags=(1, 3))
-    rows = model._rows(np.array([1.0, 2.0, 3.0, 4.0]), np.array([0, 3]))
-    assert np.isnan(rows[0, :2]).all() and rows[0, 2:].tolist() == [22.0, 30.0, 6.0, 2.0]
-    assert rows[1].tolist() == [3.0, 1.0, 0.0, 0.0, 0.0, 2.0]
-
-
 def test_folds_see_each_key_in_order(spark):
     rows = spark.createDataFrame([(k, (i * 7) % 50, i) for k in "abc" for i in range(50)], "k string, pos long, v long").repartition(5)
 

@@ -1,192 +1,103 @@
-"""Gradient-boosted regression trees for one series, in NumPy: lags and calendar as features, missing values allowed.
+"""Gradient-boosted regression trees over lag rows, fitted by Spark: one ensemble for all series of a grid.
 
-Histograms over quantile bins, grown level by level; a missing value goes to the side that fits better at each split.
+Every series is brought to its own training mean and deviation first, so that one ensemble serves all of them, and rows of
+all series are spread over the tasks that grow its trees. A forecast feeds the lags of those behind it within a block; blocks
+are shown what came before them, so they do not wait for each other and one series is many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-from tidemark.operators.forecast import Forecaster
+from tidemark.operators import spread
 from tidemark.sources.series import HALF_HOUR
+from tidemark.sources.shared import written
 
 #: Lags in rows of a half-hourly grid, and the trees' parameters.
 LAGS = (*range(1, 49), 96, 144, 336)
-TREES, DEPTH, STEP, SHARE, PATIENCE, HELD_OUT, LEAST_HELD_OUT = 300, 5, 0.05, 0.8, 10, 0.15, 20
-
-
-class Trees:
-    """A boosted ensemble for squared loss. Nodes of a tree are numbered level by level: 2 i + 1 and 2 i + 2 are below i."""
-
-    def __init__(self, depth: int = DEPTH, step: float = STEP, share: float = SHARE, bins: int = 64, penalty: float = 1.0, seed: int = 1):
-        self.depth, self.step, self.share, self.bins, self.penalty, self.seed = depth, step, share, bins, penalty, seed
-
-    def _binned(self, x: np.ndarray) -> np.ndarray:
-        """Bin numbers, self.bins for a missing value; bin b holds values up to edge b."""
-        out = np.empty(x.shape, np.int64)
-        for f, edges in enumerate(self.edges):
-            out[:, f] = np.where(np.isnan(x[:, f]), self.bins, np.searchsorted(edges, x[:, f]))
-        return out
-
-    def fit(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, held: tuple[np.ndarray, np.ndarray] | None = None, patience: int = PATIENCE) -> Trees:
-        """With rows held out, stops once their error has not fallen for patience trees, and keeps the best number."""
-        random = np.random.default_rng(self.seed)
-        self.edges = []
-        for column in x.T:
-            known = column[~np.isnan(column)]
-            cuts = np.unique(np.quantile(known, np.arange(1, self.bins) / self.bins)) if len(known) else np.zeros(0)
-            self.edges.append(cuts)
-        binned = self._binned(x)
-        self.base = float(y.mean())
-        nodes = 2**self.depth - 1
-        self.feature = np.zeros((0, nodes), np.int64)
-        self.cut, self.missing_left = np.zeros((0, nodes)), np.zeros((0, nodes), bool)
-        self.leaf = np.zeros((0, nodes + 1))
-        found = np.full(len(y), self.base)
-        other = None if held is None else np.full(len(held[1]), self.base)
-        best, best_at = np.inf, 0
-        for number in range(trees):
-            rows = np.flatnonzero(random.random(len(y)) < self.share)
-            columns = np.sort(random.choice(x.shape[1], max(1, round(self.share * x.shape[1])), replace=False))
-            if len(rows) < 2:
-                rows = np.arange(len(y))
-            self._grow(binned, found - y, rows, columns)
-            found += self._last(x)
-            if held is not None:
-                other += self._last(held[0])
-                error = float(np.mean((other - held[1]) ** 2))
-                if error < best:
-                    best, best_at = error, number + 1
-                elif number + 1 - best_at >= patience:
-                    break
-        if held is not None:
-            self.feature, self.cut, self.missing_left, self.leaf = (a[:best_at] for a in (self.feature, self.cut, self.missing_left, self.leaf))
-        return self
-
-    def _grow(self, binned: np.ndarray, slope: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
-        inside, g = binned[np.ix_(rows, columns)], slope[rows]
-        width, wide = self.bins + 1, len(columns)
-        nodes = 2**self.depth - 1
-        feature, cut, left = np.zeros(nodes, np.int64), np.full(nodes, np.inf), np.ones(nodes, bool)
-        node = np.zeros(len(rows), np.int64)
-        for level in range(self.depth):
-            count, first = 2**level, 2**level - 1
-            at = ((np.arange(wide)[None, :] * count + node[:, None]) * width + inside).ravel()
-            size = wide * count * width
-            sums = np.bincount(at, weights=np.repeat(g, wide), minlength=size).reshape(wide, count, width)
-            numbers = np.bincount(at, minlength=size).reshape(wide, count, width).astype(float)
-            total, n = sums.sum(axis=2), numbers.sum(axis=2)
-            gains = []
-            for side in (True, False):
-                low, low_n = np.cumsum(sums[:, :, :-2], axis=2), np.cumsum(numbers[:, :, :-2], axis=2)
-                if side:
-                    low, low_n = low + sums[:, :, -1:], low_n + numbers[:, :, -1:]
-                high, high_n = total[:, :, None] - low, n[:, :, None] - low_n
-                gain = low**2 / (low_n + self.penalty) + high**2 / (high_n + self.penalty) - (total**2 / (n + self.penalty))[:, :, None]
-                gains.append(np.where((low_n >= 1) & (high_n >= 1), gain, -np.inf))
-            both = np.stack(gains, axis=3)
-            for k in range(count):
-                f, b, side = np.unravel_index(int(np.argmax(both[:, k])), both[:, k].shape)
-                edges = self.edges[columns[f]]
-                if not both[f, k, b, side] > 1e-12 or b >= len(edges):
-                    # Nothing to gain: all go left.
-                    feature[first + k] = columns[0]
-                    continue
-                feature[first + k], cut[first + k], left[first + k] = columns[f], edges[b], side == 0
-            goes_left = np.where(binned[rows, feature[first + node]] == self.bins, left[first + node], self._value_left(binned, rows, feature[first + node], cut[first + node]))
-            node = 2 * node + np.where(goes_left, 0, 1)
-        sums = np.bincount(node, weights=g, minlength=nodes + 1)
-        numbers = np.bincount(node, minlength=nodes + 1)
-        leaf = -self.step * sums / (numbers + self.penalty)
-        self.feature, self.cut = np.vstack([self.feature, feature]), np.vstack([self.cut, cut])
-        self.missing_left, self.leaf = np.vstack([self.missing_left, left]), np.vstack([self.leaf, leaf])
-
-    def _value_left(self, binned: np.ndarray, rows: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
-        """Whether values are at most the cut, told by their bins."""
-        last = np.array([np.searchsorted(self.edges[f], c) if np.isfinite(c) else self.bins for f, c in zip(feature.tolist(), cut.tolist(), strict=True)])
-        return binned[rows, feature] <= last
-
-    def _last(self, x: np.ndarray) -> np.ndarray:
-        return self._leaves(x, slice(len(self.leaf) - 1, None))
-
-    def _leaves(self, x: np.ndarray, chosen: slice) -> np.ndarray:
-        feature, cut, left, leaf = self.feature[chosen], self.cut[chosen], self.missing_left[chosen], self.leaf[chosen]
-        tree = np.arange(len(leaf))[None, :]
-        node = np.zeros((len(x), len(leaf)), np.int64)
-        row = np.arange(len(x))[:, None]
-        for _ in range(self.depth):
-            value = x[row, feature[tree, node]]
-            goes_left = np.where(np.isnan(value), left[tree, node], value <= cut[tree, node])
-            node = 2 * node + np.where(goes_left, 1, 2)
-        return leaf[tree, node - (2**self.depth - 1)].sum(axis=1)
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return self.base + (self._leaves(x, slice(None)) if len(self.leaf) else 0.0)
-
-
-class BoostedTrees(Forecaster):
-    """Forecasts from LAGS, hour, minute, weekday and month on a gap-free grid; a value that is not known is NaN. Each
-    one-step forecast feeds the lags of those behind it. first is the slot (microseconds since 1970) of the first value.
-
-    The last HELD_OUT of the rows tell when to stop, if they are at least LEAST_HELD_OUT.
-    """
-
-    def __init__(self, first: int = 0, width: int = HALF_HOUR, trees: int = TREES, lags: Sequence[int] = LAGS, seed: int = 1):
-        self.first, self.width, self.trees, self.lags, self.seed = first, width, trees, tuple(lags), seed
-
-    def _calendar(self, at: np.ndarray) -> np.ndarray:
-        minutes = (self.first + at * self.width) // 60_000_000
-        days = minutes // 1440
-        month = days.astype("datetime64[D]").astype("datetime64[M]").astype(np.int64) % 12 + 1
-        return np.stack([minutes // 60 % 24, minutes % 60, (days + 3) % 7, month], axis=1).astype(float)
-
-    def _rows(self, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-        padded = np.concatenate([np.full(max(self.lags), np.nan), y])
-        lagged = np.stack([padded[at + max(self.lags) - lag] for lag in self.lags], axis=1)
-        return np.concatenate([lagged, self._calendar(at)], axis=1)
-
-    def fit(self, y):
-        self.y = np.asarray(y, float)
-        at = np.flatnonzero(~np.isnan(self.y))
-        at = at[at > 0]
-        if not len(at):
-            raise ValueError("no values to learn from")
-        held = int(HELD_OUT * len(at))
-        rest, last = (at[:-held], at[-held:]) if held >= LEAST_HELD_OUT else (at, None)
-        kept = None if last is None else (self._rows(self.y, last), self.y[last])
-        self.model = Trees(seed=self.seed).fit(self._rows(self.y, rest), self.y[rest], self.trees, kept)
-        return self
-
-    def predict(self, n):
-        y = np.concatenate([self.y, np.full(n, np.nan)])
-        for i in range(len(self.y), len(y)):
-            y[i] = self.model.predict(self._rows(y[:i], np.array([i])))[0]
-        return y[len(self.y) :].tolist()
-
-    def observe(self, y):
-        self.y = np.concatenate([self.y, np.asarray(y, float)])
+TREES, DEPTH, STEP, SHARE, HELD_OUT, LEAST_HELD_OUT = 300, 5, 0.05, 0.8, 0.15, 20
+#: Stands for a value that is not known, far below all others: a split beneath the least value routes it apart.
+MISSING = -1000.0
+#: Steps of a recursion in one plan.
+STEPS_TOGETHER = 16
+#: Least gain on held-out rows, as a share of their error, for another tree.
+TOLERANCE = 1e-4
+
+
+def calendar(slot: Column) -> list[Column]:
+    """Hour, minute, weekday (Monday is 0) and month of a slot."""
+    at = F.timestamp_micros(slot).cast("timestamp_ntz")
+    return [F.hour(at), F.minute(at), F.weekday(at), F.month(at)]
+
+
+def scaled(grid: DataFrame, start: int, width: int = HALF_HOUR) -> DataFrame:
+    """grid (k, slot, y) with place (slots from start), centre and scale of the key's values before start, and z, y brought to
+    them. Keys without a value before start are left out; a constant key has scale 1."""
+    known = grid.filter(F.col("slot") < start).groupBy("k").agg(F.avg("y").alias("centre"), F.stddev_pop("y").alias("scale"), F.min("slot").alias("first"))
+    known = known.filter("centre IS NOT NULL").withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0))
+    place = ((F.col("slot") - start) / width).cast("long")
+    return grid.select("k", "slot", "y").join(known, "k").withColumns({"place": place, "z": (F.col("y") - F.col("centre")) / F.col("scale")})
+
+
+def lag_rows(series: DataFrame, lags: Sequence[int] = LAGS, size: int = 4 * spread.PIECE) -> DataFrame:
+    """series of scaled with features: the lags of z, MISSING where there is no value, and the calendar."""
+    cut = spread.haloed(series, max(lags), size, "place")
+    w = Window.partitionBy("k", "_piece").orderBy("place")
+    lagged = [F.coalesce(F.lag("z", n).over(w), F.lit(MISSING)) for n in lags]
+    features = F.array(*lagged, *(c.cast("double") for c in calendar(F.col("slot"))))
+    return spread.own(cut.withColumn("features", features))
+
+
+def fit(series: DataFrame, lags: Sequence[int] = LAGS, trees: int = TREES, depth: int = DEPTH, step: float = STEP, share: float = SHARE, seed: int = 1) -> GBTRegressionModel:
+    """The ensemble of the rows of scaled that have a value before place 0, a key's first slot aside. The last HELD_OUT of a
+    key's time tells when to stop, if those rows are LEAST_HELD_OUT or more. ValueError without rows."""
+    rows = lag_rows(series.filter("place < 0"), lags).filter("z IS NOT NULL AND slot > first")
+    held = F.col("slot") >= F.col("slot") - F.col("place") * HALF_HOUR - HELD_OUT * (F.col("slot") - F.col("place") * HALF_HOUR - F.col("first"))
+    table, _ = written(rows.select(array_to_vector("features").alias("features"), F.col("z").alias("label"), held.alias("held")), "lags")
+    counts = table.agg(F.count("*").alias("n"), F.count_if("held").alias("held")).first()
+    if not counts.n:
+        raise ValueError("no values to learn from")
+    learner = GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=share, featureSubsetStrategy=str(share) if share < 1 else "all", maxBins=64, validationTol=TOLERANCE, seed=seed)
+    if counts.held >= LEAST_HELD_OUT and 2 * counts.held <= counts.n:
+        learner = learner.setValidationIndicatorCol("held")
+    return learner.fit(table)
+
+
+def recursive(series: DataFrame, model: GBTRegressionModel, lags: Sequence[int] = LAGS, block: int = 48, width: int = HALF_HOUR) -> DataFrame:
+    """k, slot, y, p for the rows of scaled from place 0 on, y not null: each block of slots is forecast slot by slot from
+    the values before it and its own forecasts. A row holds one block and the values that its lags can reach."""
+    reach = max(lags)
+    cut = spread.haloed(series.filter(F.col("place") >= -reach), reach, block, "place").filter("_piece >= 0")
+    value = F.struct("place", F.coalesce("z", F.lit(MISSING)).alias("z"))
+    packed = cut.groupBy("k", "_piece", "centre", "scale").agg(
+        F.sort_array(F.collect_list(F.when(~F.col("_own"), value))).alias("behind"),
+        F.sort_array(F.collect_list(F.when(F.col("_own"), F.struct("slot", "y")))).alias("ahead"),
+    )
+    rows = packed.filter(F.size("ahead") > 0).withColumn("past", F.col("behind.z"))
+    # Before a key's first slot nothing is known.
+    rows = rows.withColumn("past", F.concat(F.array_repeat(F.lit(MISSING), F.lit(reach) - F.size("past")), F.col("past")))
+    model = model.copy().setFeaturesCol("_features").setPredictionCol("_p")
+    for at in range(block):
+        now = F.col("ahead")[0]["slot"] + at * width
+        lagged = F.transform(F.array(*map(F.lit, lags)), lambda n: F.element_at("past", -n))
+        features = F.concat(lagged, F.array(*(c.cast("double") for c in calendar(now))))
+        rows = model.transform(rows.withColumn("_features", array_to_vector(features)))
+        rows = rows.withColumn("past", F.concat("past", F.array("_p"))).drop("_features", "_p")
+        if at % STEPS_TOGETHER == STEPS_TOGETHER - 1:
+            # Keeps a plan's generated code within what a class can hold.
+            rows, _ = written(rows, "recursion")
+    pairs = rows.select("k", "centre", "scale", F.explode(F.arrays_zip("ahead", F.slice("past", reach + 1, F.size("ahead")).alias("p"))).alias("r"))
+    return pairs.select("k", "r.ahead.slot", "r.ahead.y", (F.col("r.p") * F.col("scale") + F.col("centre")).alias("p")).filter("y IS NOT NULL")
 
 
 def forecasts(grid: DataFrame, start: int, block: int = 48, trees: int = TREES) -> DataFrame:
     """k, slot, y, p from start (microseconds) on: trees fitted on what lies before, then asked for a block of the grid at a
     time and shown each block behind it. grid: k, slot, y, a row for every slot, y null in the gaps, which have no rows in
     the result. Keys without a value before start have none either."""
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("slot")
-        y, slots = rows["y"].to_numpy(dtype=float), rows["slot"].to_numpy()
-        at, p = int(np.searchsorted(slots, start)), []
-        try:
-            model = BoostedTrees(int(slots[0]), trees=trees).fit(y[:at])
-        except ValueError:
-            return rows.head(0).assign(p=pd.Series(dtype="float64"))
-        for k in range(at, len(y), block):
-            p += model.predict(min(block, len(y) - k))
-            model.observe(y[k : k + block])
-        return rows.iloc[at:].assign(p=p).dropna(subset=["y"])
-
-    return grid.select("k", "slot", "y").groupBy("k").applyInPandas(run, "k string, slot long, y double, p double")
+    series, _ = written(scaled(grid, start), "scaled")
+    return recursive(series, fit(series, trees=trees), block=block)

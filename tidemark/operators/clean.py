@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import spread
 from tidemark.sources.series import micros
 
 
@@ -27,9 +28,9 @@ def coerced(df: DataFrame, numbers: list[str], times: list[str]) -> DataFrame:
 
 
 def out_of_order(df: DataFrame, key: str, ts: str, arrival: str) -> DataFrame:
-    """key, out_of_order: rows whose time lies before that of the row that arrived before."""
-    before = F.lag(ts).over(Window.partitionBy(key).orderBy(arrival))
-    return df.withColumn("_late", F.col(ts) < before).groupBy(key).agg(F.count_if("_late").alias("out_of_order"))
+    """key, out_of_order: rows whose time lies before that of the row that arrived before. A key's rows are spread over tasks."""
+    before = spread.lagged(df.select(key, ts, arrival), {"_before": ts}, arrival, key)
+    return before.withColumn("_late", F.col(ts) < F.col("_before")).groupBy(key).agg(F.count_if("_late").alias("out_of_order"))
 
 
 def conflicts(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,10 +44,11 @@ def keep_first(df: DataFrame, keys: list[str], arrival: str) -> DataFrame:
 
 
 def cadence(df: DataFrame, key: str, ts: str, expected: int) -> DataFrame:
-    """key, us, step: distinct times whose step from the one before is not the expected one."""
+    """key, us, step: distinct times whose step from the one before is not the expected one. A key's times are spread over
+    tasks; a time that is not known has no step."""
     times = df.select(key, micros(ts).alias("us")).distinct()
-    step = F.col("us") - F.lag("us").over(Window.partitionBy(key).orderBy("us"))
-    return times.withColumn("step", step).filter(F.col("step") != expected)
+    before = spread.lagged(times, {"_before": "us"}, "us", key)
+    return before.select(key, "us", (F.col("us") - F.col("_before")).alias("step")).filter(F.col("step") != expected)
 
 
 def clean(df: DataFrame, key: str, ts: str, value: str, arrival: str) -> DataFrame:

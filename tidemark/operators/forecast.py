@@ -13,7 +13,7 @@ from tidemark.operators.arma import RegressionArma
 from tidemark.operators.windows import over
 
 
-def seasonal_naive(y: str = "y", season: int = 48, key: str = "k", order: str = "pos") -> Column:
+def seasonal_naive(y: str = "y", season: int = 48, key: str | Sequence[str] = "k", order: str = "pos") -> Column:
     """The value one season of rows earlier, on a gap-free grid or by position."""
     return F.lag(y, season).over(over(key, order))
 

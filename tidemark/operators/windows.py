@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import spread
 from tidemark.sources.series import HALF_HOUR
 
 
-def over(key: str = "k", order: str = "pos"):
-    return Window.partitionBy(key).orderBy(order)
+def over(key: str | Sequence[str] = "k", order: str = "pos"):
+    return Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(order)
 
 
-def rolling_mean(value: Column, size: int, key: str = "k", order: str = "pos") -> Column:
+def rolling_mean(value: Column, size: int, key: str | Sequence[str] = "k", order: str = "pos") -> Column:
     """Trailing mean over size rows, null until the window is full."""
     w = over(key, order).rowsBetween(-(size - 1), 0)
     return F.when(F.count(value).over(w) == size, F.avg(value).over(w))
 
 
-def eligible(flag: Column, slot: Column, size: int, key: str = "k", order: str = "pos", width: int = HALF_HOUR) -> Column:
+def eligible(flag: Column, slot: Column, size: int, key: str | Sequence[str] = "k", order: str = "pos", width: int = HALF_HOUR) -> Column:
     """Whether the trailing window is full, lies wholly in flagged rows and has no gap in time."""
     w = over(key, order)
     inside = F.sum(F.when(flag, 1).otherwise(0)).over(w.rowsBetween(-(size - 1), 0)) == size
@@ -26,7 +29,7 @@ def eligible(flag: Column, slot: Column, size: int, key: str = "k", order: str =
     return F.coalesce((F.row_number().over(w) >= size) & inside & span, F.lit(False))
 
 
-def previous_mean(value: Column, size: int, key: str = "k", order: str = "pos") -> Column:
+def previous_mean(value: Column, size: int, key: str | Sequence[str] = "k", order: str = "pos") -> Column:
     """Mean over the size rows before this one, null until there are as many."""
     w = over(key, order).rowsBetween(-size, -1)
     return F.when(F.count(value).over(w) == size, F.avg(value).over(w))
@@ -75,7 +78,7 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def cumulative_by_score(df: DataFrame, score: str, hit: Column, key: str = "k") -> DataFrame:
-    """key, score, kept, hits: rows and hits at this score or below; ties count together."""
+    """key, score, kept, hits: rows and hits at this score or below; ties count together. Null scores come first. Counts are
+    summed in ranges of (key, score) and handed on, so that no task holds a key."""
     tied = df.groupBy(key, score).agg(F.count("*").alias("n"), F.sum(hit.cast("long")).alias("h"))
-    w = Window.partitionBy(key).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    return tied.select(key, score, F.sum("n").over(w).alias("kept"), F.sum("h").over(w).alias("hits"))
+    return spread.running(tied, {"kept": F.col("n"), "hits": F.col("h")}, score, key).select(key, score, "kept", "hits")

@@ -357,8 +357,7 @@ def fc_nhits(spark, sf_dir):
 
 @query("fc_xgb")
 def fc_xgb(spark, sf_dir):
-    """Boosted trees on all lags and the calendar, recursive within a block of a day; gaps stay gaps."""
-    ship_package(spark)
+    """Boosted trees fitted by Spark on all lags and the calendar, recursive within a block of a day; gaps stay gaps."""
     rows = boosting.forecasts(S.with_gaps(C.ev30(spark, sf_dir)), S.stamp("2024-01-24"))
     return rows.groupBy("k").agg(F.count("*").alias("n"), metrics.mae().alias("mae"))
 
