@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import spread
 from tidemark.operators.windows import cumulative_by_score
 
 
@@ -27,16 +28,13 @@ def curve(scored: DataFrame, key: str = "k", score: str = "score", hit: str = "h
 
 
 def curve_by_group(scored: DataFrame, group: str, key: str = "k", score: str = "score", hit: str = "hit") -> DataFrame:
-    """As curve, per group of a key, on the key's common thresholds: a group's own steps carried forward over the grid."""
-    from pyspark.sql import Window
-
+    """As curve, per group of a key, on the key's common thresholds: a group's own steps carried forward over the
+    grid, in ranges of it."""
     grid = scored.select(key, F.col(score).alias("threshold")).unionByName(scored.select(key, F.lit(float("-inf")).alias("threshold"))).distinct()
     groups = scored.groupBy(key, group).agg(F.count("*").alias("n"))
     steps = scored.groupBy(key, group, F.col(score).alias("threshold")).agg(F.count("*").alias("_n"), F.sum(F.col(hit).cast("long")).alias("_h"))
-    spread = grid.join(groups, key).join(steps, [key, group, "threshold"], "left")
-    w = Window.partitionBy(key, group).orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0)
-    kept, hits = F.coalesce(F.sum("_n").over(w), F.lit(0)), F.coalesce(F.sum("_h").over(w), F.lit(0))
-    out = spread.select(key, group, "threshold", "n", kept.alias("kept"), hits.alias("hits"))
+    stepped = grid.join(groups, key).join(steps, [key, group, "threshold"], "left").withColumn("_of", F.struct(key, group))
+    out = spread.running(stepped, {"kept": F.col("_n"), "hits": F.col("_h")}, "threshold", "_of")
     return out.select(
         key, group, "threshold", "n", "kept", (1 - F.col("kept") / F.col("n")).alias("review_rate"), (F.col("hits") / F.nullif("kept", F.lit(0))).alias("retained_coverage")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import escalation, forecast, metrics, regimes, selection, windows
+from tidemark.operators import escalation, forecast, metrics, regimes, selection, spread, windows
 from tidemark.plans import streams as C
 from tidemark.plans.registry import query
 from tidemark.plans.scans import r
@@ -76,8 +76,10 @@ _ELIGIBLE = """el AS (SELECT *, coalesce(row_number() OVER o >= 12 AND sum((regi
 
 
 def _eligible(spark, sf_dir):
-    rows = C.labelled_intervals(spark, sf_dir)
-    return rows.withColumns({"ok": windows.eligible(F.col("regime") == "drift", F.col("slot"), 12), "rc": windows.rolling_mean(metrics.covered().cast("double"), 12)})
+    labelled = regimes.global_regimes(C.placed(spark, sf_dir), C.overlapping(spark, sf_dir))
+    rows, of = C.intervals_in_pieces(labelled, 11), spread.by_piece()
+    flagged = rows.withColumns({"ok": windows.eligible(F.col("regime") == "drift", F.col("slot"), 12, of), "rc": windows.rolling_mean(metrics.covered().cast("double"), 12, of)})
+    return spread.own(flagged)
 
 
 @query("agg_uq_by_regime", f", {_ELIGIBLE} SELECT k, regime, count(*) AS n, round(avg((y BETWEEN lower AND upper)::INT), 6) AS coverage, round(avg(upper - lower), 6) AS width, round(min(rc) FILTER (WHERE ok), 6) AS worst, count(*) FILTER (WHERE ok) AS windows FROM el GROUP BY ALL")
@@ -104,17 +106,24 @@ def win_worst(spark, sf_dir):
 
 @query("win_rolling_mae", f"SELECT k, slot, round(rolling, 6) AS rolling FROM ({_roll('abs(y - p)', 'fc', 336)})")
 def win_rolling_mae(spark, sf_dir):
-    return C.forecasts(spark, sf_dir).select("k", "slot", r(windows.rolling_mean(metrics.error(), 336)).alias("rolling"))
+    rows = C.forecasts_in_pieces(C.placed(spark, sf_dir), 335)
+    return spread.own(rows.withColumn("rolling", r(windows.rolling_mean(metrics.error(), 336, spread.by_piece())))).select("k", "slot", "rolling")
+
+
+def _rolling_coverage(spark, sf_dir, size):
+    rows = C.intervals_in_pieces(C.placed(spark, sf_dir), size - 1)
+    rolling = windows.rolling_mean(metrics.covered().cast("double"), size, spread.by_piece())
+    return spread.own(rows.withColumn("rolling", r(rolling))).select("k", "slot", "rolling")
 
 
 @query("win_rolling_cov", f"SELECT k, slot, round(rolling, 6) AS rolling FROM ({_roll('(y BETWEEN lower AND upper)::INT', 'iv', 48)})")
 def win_rolling_cov(spark, sf_dir):
-    return C.intervals(spark, sf_dir).select("k", "slot", r(windows.rolling_mean(metrics.covered().cast("double"), 48)).alias("rolling"))
+    return _rolling_coverage(spark, sf_dir, 48)
 
 
 @query("win_rolling_cov_7d", f"SELECT k, slot, round(rolling, 6) AS rolling FROM ({_roll('(y BETWEEN lower AND upper)::INT', 'iv', 336)})")
 def win_rolling_cov_7d(spark, sf_dir):
-    return C.intervals(spark, sf_dir).select("k", "slot", r(windows.rolling_mean(metrics.covered().cast("double"), 336)).alias("rolling"))
+    return _rolling_coverage(spark, sf_dir, 336)
 
 
 @query("win_nonconf", "SELECT k, slot, round(CASE WHEN n = 48 THEN m END, 6) AS nonconformity FROM (SELECT k, slot, split, count(*) OVER w AS n, avg(abs(y - p)) OVER w AS m FROM fc WHERE split <> 'train' WINDOW w AS (PARTITION BY k ORDER BY pos ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING)) WHERE split = 'test'")

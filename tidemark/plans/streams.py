@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import conformal, escalation, forecast, metrics, regimes
+from tidemark.operators import conformal, escalation, forecast, metrics, regimes, selection, spread
 from tidemark.sources import series as S
+from tidemark.sources.shared import written
 
 SPLITS = [("train", "2023-01-01", "2024-01-20"), ("calibration", "2024-01-21", "2024-01-23"), ("test", "2024-01-24", None)]
 CATALOGUE = [
@@ -84,6 +85,26 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conformal.fixed_intervals(test, radii(spark, sf_dir)).withColumns({c: S.rounded(c, 6) for c in ("lower", "upper")})
 
 
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As stream, in a written table, numbered in ranges so that no task holds a key."""
+    rows = spread.numbered(ev30(spark, sf_dir)).withColumn("split", S.split_column(F.col("slot"), SPLITS))
+    return written(rows, "placed")[0]
+
+
+def forecasts_in_pieces(rows: DataFrame, reach: int, size: int = spread.PIECE) -> DataFrame:
+    """forecasts of placed rows in pieces, ready for windows that look back reach rows."""
+    cut = spread.haloed(rows, reach + 48, size)
+    return cut.withColumn("p", forecast.seasonal_naive(key=spread.by_piece())).filter("p IS NOT NULL")
+
+
+def intervals_in_pieces(rows: DataFrame, reach: int, alpha: float = 0.1) -> DataFrame:
+    """intervals of placed rows in pieces, ready for windows that look back reach rows; radii are selected without a sort."""
+    cut = forecasts_in_pieces(rows, reach)
+    scores = spread.own(cut).filter("split = 'calibration'").select("k", metrics.error().alias("score"))
+    test = cut.filter("split = 'test'").drop("split")
+    return conformal.fixed_intervals(test, selection.radii(scores, alpha)).withColumns({c: S.rounded(c, 6) for c in ("lower", "upper")})
+
+
 def catalogue(spark: SparkSession) -> DataFrame:
     return S.catalogue(spark, CATALOGUE)
 
