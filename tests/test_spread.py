@@ -64,3 +64,22 @@ def test_counts_by_score(spark):
     df = spark.createDataFrame([("a", float(s), s % 3 == 0) for s in [5, 1, 1, 2, 9, 9, 9]] + [("b", 1.0, True)], "k string, s double, hit boolean")
     found = windows.cumulative_by_score(df, "s", F.col("hit")).collect()
     assert sorted(map(tuple, found)) == [("a", 1.0, 2, 0), ("a", 2.0, 3, 0), ("a", 5.0, 4, 0), ("a", 9.0, 7, 3), ("b", 1.0, 1, 1)]
+
+
+def test_worst_day_lies_inside_one_regime(spark):
+    """48 half-hours without a gap and of one regime make a complete window; of pieces, too."""
+    from tidemark.plans.reports import _coverage_table
+    from tidemark.sources.series import HALF_HOUR
+
+    rows = []
+    for i in range(300):
+        slot = (i + (1 if i >= 200 else 0)) * HALF_HOUR
+        missed = 100 <= i < 112 or 240 <= i
+        rows.append(("a", i, slot, 9.0 if missed else 0.5, 0.0, 1.0, "drift" if 60 <= i < 200 else "post_drift" if i >= 200 else "pre_drift"))
+    df = spark.createDataFrame(rows, "k string, pos long, slot long, y double, lower double, upper double, regime string")
+    scale = spark.createDataFrame([("a", 4.0)], "k string, scale double")
+    for size in (50, 1_000):
+        found = {x.regime: x for x in _coverage_table(spread.haloed(df, 47, size), scale).collect()}
+        assert {n: x.complete_windows for n, x in found.items()} == {"pre_drift": 60 - 47, "drift": 140 - 47, "post_drift": 100 - 47}
+        assert {n: x.worst_24h for n, x in found.items()} == {"pre_drift": 1.0, "drift": 0.75, "post_drift": 0.0}
+        assert found["drift"].norm_width == 0.25 and found["drift"].coverage == round(128 / 140, 6)

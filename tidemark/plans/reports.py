@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import ledger, metrics, windows
+from tidemark.operators import ledger, metrics, regimes, spread, windows
 from tidemark.plans import streams as C
 from tidemark.plans.evaluation import _roll
 from tidemark.plans.registry import query
@@ -63,10 +63,32 @@ def rp_sweep(spark, sf_dir):
     return _means(spark, sf_dir, ["model", "region", "arm"]).withColumn("place", F.row_number().over(w).cast("long")).select("model", "region", "arm", "mean", "place", (F.col("place") == 1).alias("winner"))
 
 
-@query("rp_t5", "SELECT k, round(avg((y BETWEEN lower AND upper)::INT) FILTER (WHERE regime = 'drift'), 6) AS drift_coverage, round(avg((y BETWEEN lower AND upper)::INT) FILTER (WHERE regime = 'post_drift'), 6) AS post_coverage, round(avg(upper - lower), 6) AS width FROM ivl GROUP BY k")
+def _coverage_table(cut, scale):
+    """k, regime, n, coverage, width, norm_width, worst_24h, complete_windows of intervals in pieces with a halo of 47: widths
+    also as a share of the key's training mean; the worst 24 hours are the lowest coverage of 48 consecutive half-hours inside
+    one regime, of which complete_windows are counted."""
+    of = spread.by_piece()
+    day = windows.over(of).rowsBetween(-47, 0)
+    same = F.min("regime").over(day) == F.max("regime").over(day)
+    whole = windows.eligible(F.lit(True), F.col("slot"), 48, of)
+    rolled = cut.withColumns({"ok": F.coalesce(same, F.lit(False)) & whole, "rc": windows.rolling_mean(metrics.covered().cast("double"), 48, of)})
+    return spread.own(rolled).join(scale, "k").groupBy("k", "regime").agg(
+        F.count("*").alias("n"), r(metrics.coverage()).alias("coverage"), r(metrics.width()).alias("width"), r(metrics.width() / F.first("scale")).alias("norm_width"),
+        r(F.min(F.when(F.col("ok"), F.col("rc")))).alias("worst_24h"), F.count_if("ok").alias("complete_windows"),
+    )
+
+
+@query("rp_t5", """, w5 AS (SELECT *, (y BETWEEN lower AND upper)::INT AS hit, avg((y BETWEEN lower AND upper)::INT) OVER w AS rc,
+ coalesce(count(*) OVER w = 48 AND min(regime) OVER w = max(regime) OVER w AND slot - lag(slot, 47) OVER o = 47 * 1800000000::BIGINT, false) AS ok
+ FROM ivl WINDOW o AS (PARTITION BY k ORDER BY pos), w AS (PARTITION BY k ORDER BY pos ROWS 47 PRECEDING)),
+ sc AS (SELECT k, avg(y) AS scale FROM s WHERE split = 'train' GROUP BY k)
+ SELECT k, regime, count(*) AS n, round(avg(hit), 6) AS coverage, round(avg(upper - lower), 6) AS width, round(avg(upper - lower) / any_value(scale), 6) AS norm_width,
+ round(min(rc) FILTER (WHERE ok), 6) AS worst_24h, count(*) FILTER (WHERE ok) AS complete_windows FROM w5 JOIN sc USING (k) GROUP BY k, regime""")
 def rp_t5(spark, sf_dir):
-    hit = metrics.covered().cast("double")
-    return C.labelled_intervals(spark, sf_dir).groupBy("k").agg(*(r(F.avg(F.when(F.col("regime") == x, hit))).alias(f"{n}_coverage") for x, n in (("drift", "drift"), ("post_drift", "post"))), r(metrics.width()).alias("width"))
+    placed = C.placed(spark, sf_dir)
+    scale = placed.filter("split = 'train'").groupBy("k").agg(F.avg("y").alias("scale"))
+    labelled = regimes.global_regimes(placed, C.overlapping(spark, sf_dir))
+    return _coverage_table(C.intervals_in_pieces(labelled, 47), scale)
 
 
 _PICK = "(SELECT *, row_number() OVER (PARTITION BY region ORDER BY mean, model) AS place FROM (SELECT region, model, round(avg(mae), 2) AS mean, round(stddev_samp(mae), 2) AS sd, round(avg(width), 4) AS cost FROM runs GROUP BY ALL))"
