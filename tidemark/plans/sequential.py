@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import adapt, boosting, conformal, detectors, forecast, injection, matching, metrics, tuning
+from tidemark.operators import adapt, boosting, conformal, detectors, forecast, injection, matching, metrics, regimes, spread, tuning
 from tidemark.plans import streams as C
 from tidemark.plans.registry import query
+from tidemark.plans.reports import _coverage_table
 from tidemark.plans.scans import r
 from tidemark.sources import series as S
 from tidemark.sources.shared import written
@@ -279,6 +280,15 @@ def uq_agaci(spark, sf_dir):
     return conformal.agaci_intervals(C.forecasts(spark, sf_dir).filter("split = 'test'"), C.calibration(spark, sf_dir))
 
 
+@query("rp_t5_adaptive")
+def rp_t5_adaptive(spark, sf_dir):
+    """rp_t5 for adaptively aggregated intervals."""
+    placed = C.placed(spark, sf_dir)
+    scale = placed.filter("split = 'train'").groupBy("k").agg(F.avg("y").alias("scale"))
+    labelled = regimes.global_regimes(uq_agaci(spark, sf_dir), C.overlapping(spark, sf_dir))
+    return _coverage_table(spread.haloed(labelled, 47), scale)
+
+
 @query("sq_replay")
 def sq_replay(spark, sf_dir):
     rows = uq_agaci(spark, sf_dir)
