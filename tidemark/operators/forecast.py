@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.arma import RegressionArma
 from tidemark.operators.windows import over
 
 
@@ -104,34 +103,6 @@ class LinearAr(Forecaster):
         self.past = (self.past + list(y))[-self.lags :]
 
 
-class HarmonicArma(Forecaster):
-    """Regression on Fourier terms with ARMA(2, 2) errors by maximum likelihood. The phase counts from the first fitted
-    value; observing changes nothing but where the forecast starts."""
-
-    def __init__(self, periods: dict[int, int] | None = None, ar: int = 2, ma: int = 2):
-        self.periods, self.ar, self.ma = periods or {48: 4, 336: 4}, ar, ma
-
-    def _design(self, steps: np.ndarray) -> np.ndarray:
-        columns = [np.ones(len(steps))]
-        for period, harmonics in self.periods.items():
-            for h in range(1, harmonics + 1):
-                angle = 2 * np.pi * h * steps / period
-                columns += [np.sin(angle), np.cos(angle)]
-        return np.stack(columns, axis=1)
-
-    def fit(self, y):
-        y = np.asarray(y, float)
-        self.fitted = self.at = len(y)
-        self.model = RegressionArma(self.ar, self.ma).fit(y, self._design(np.arange(len(y))))
-        return self
-
-    def predict(self, n):
-        return self.model.predict(self._design(np.arange(self.fitted, self.at + n)))[self.at - self.fitted :]
-
-    def observe(self, y):
-        self.at += len(y)
-
-
 class BlockRidge(Forecaster):
     """Horizon-sized blocks from a scaled input window by ridge regression: a linear stand-in for a neural block model."""
 

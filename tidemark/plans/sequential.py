@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import adapt, boosting, conformal, detectors, forecast, injection, matching, metrics, regimes, spread, tuning
+from tidemark.operators import adapt, boosting, conformal, detectors, forecast, harmonic, injection, matching, metrics, regimes, spread, tuning
 from tidemark.plans import streams as C
 from tidemark.plans.registry import query
 from tidemark.plans.reports import _coverage_table
@@ -355,9 +355,28 @@ def _replayed(spark, sf_dir, make):
     return forecast.replay(C.stream(spark, sf_dir), make, 700)
 
 
+#: Rows of a key that harmonic regressions are fitted on.
+_FIRST = 700
+_TERMS = ["1.0::DOUBLE", *(f"{f}(2 * pi() * {h} * pos / {period})" for period, most in harmonic.PERIODS.items() for h in range(1, most + 1) for f in ("sin", "cos"))]
+# Normal equations as a list of rows with y's column last, brought to the unit matrix one column at a time.
+_LEAST = f"""dx AS (SELECT k, y, [{", ".join(_TERMS)}] AS x FROM s WHERE pos < {_FIRST}),
+nx AS (SELECT k, i, j, sum(x[i] * CASE WHEN j > {len(_TERMS)} THEN y ELSE x[j] END) AS v FROM dx, range(1, {len(_TERMS) + 1}) a(i), range(1, {len(_TERMS) + 2}) b(j) GROUP BY k, i, j),
+gj AS (SELECT k, 0 AS c, list(r ORDER BY i) AS m FROM (SELECT k, i, list(v ORDER BY j) AS r FROM nx GROUP BY k, i) GROUP BY k
+ UNION ALL SELECT k, c + 1, list_transform(m, lambda r, i: CASE WHEN i = c + 1 THEN list_transform(r, lambda v: v / m[c + 1][c + 1]) ELSE list_transform(r, lambda v, j: v - r[c + 1] * m[c + 1][j] / m[c + 1][c + 1]) END) FROM gj WHERE c < {len(_TERMS)})"""
+
+
+@query("fc_dhr_beta", f", {_LEAST} SELECT k, unnest(range(0, {len(_TERMS)})) AS term, unnest(list_transform(m, lambda r: round(r[{len(_TERMS) + 1}], 6))) AS beta FROM gj WHERE c = {len(_TERMS)}")
+def fc_dhr_beta(spark, sf_dir):
+    """Coefficients of the regression on Fourier terms, by least squares from sums over a key's first rows."""
+    rows = C.placed(spark, sf_dir).filter(F.col("pos") < _FIRST)
+    found = harmonic.coefficients(rows, harmonic.design(F.col("pos")))
+    return found.select("k", F.posexplode("beta").alias("at", "b")).select("k", F.col("at").cast("long").alias("term"), r("b").alias("beta"))
+
+
 @query("fc_dhr_arima")
 def fc_dhr_arima(spark, sf_dir):
-    return _replayed(spark, sf_dir, forecast.HarmonicArma).groupBy("k").agg(F.count("*").alias("n"), metrics.mae().alias("mae"))
+    rows = harmonic.forecasts(C.placed(spark, sf_dir), _FIRST)
+    return rows.groupBy("k").agg(F.count("*").alias("n"), metrics.mae().alias("mae"))
 
 
 @query("fc_nhits")
