@@ -94,6 +94,37 @@ def test_sweep_over_injected_series(residuals):
     assert {k for _, k in kinds} == {"none", "sudden"} and next(r for r in rows if r.kind == "sudden").missed == 10
 
 
+def test_summary_and_winners_of_a_sweep(spark):
+    schema = "detector string, params string, k string, kind string, seed int, missed long, false_alarms long, false_per_year double, delay double"
+    none = [("d", p, "a", "none", s, 0, 0, 0.0, None) for p in "123" for s in (1, 2)] + [("d", "4", "a", "none", 2, 0, 1, 17.0, None), ("d", "4", "b", "none", 1, 0, 0, 0.0, None)]
+    drift = [("d", "1", "a", k, 1, 0, 0, 1.0, 8.0) for k in tuning.KINDS[1:]] + [("d", "2", "a", k, 1, 0, 0, 1.0, 4.0) for k in tuning.KINDS[1:]]
+    # Both fail on a later kind: the earlier seed's row gives the reason.
+    drift += [("d", "3", "a", "sudden", 1, 0, 0, 0.0, 2.0), ("d", "3", "a", "gradual", 2, 1, 0, 0.0, None), ("d", "3", "a", "gradual", 1, 0, 5, 9.0, 3.0)]
+    found = tuning.summarised(spark.createDataFrame(none + drift, schema))
+    rows = {r.params: r for r in found.collect()}
+    assert {p: r.fail_reason for p, r in rows.items()} == {"1": "", "2": "", "3": "over the budget on gradual", "4": "false alarm without drift"}
+    assert rows["3"].fa_per_year_gradual == 4.5 and rows["3"].fa_per_year_recurring is None and rows["3"].mean_delay is None
+    assert (rows["1"].fa_per_year, rows["1"].mean_delay, rows["4"].most_fa_none) == (0.6, 8.0, 17.0)
+    best = {r.detector: (r.params, r.mean_delay, r.status) for r in tuning.winners(found, ["d", "e"]).collect()}
+    assert best == {"d": ("2", 4.0, "selected"), "e": (None, None, "no_eligible_configuration")}
+    assert [r.status for r in tuning.winners(found.limit(0), ["d"]).collect()] == ["no_eligible_configuration"]
+
+
+def test_a_broken_sweep_goes_on(residuals, tmp_path):
+    """A table of one group is lost: only its configurations run again, and the rows are those of an unbroken sweep."""
+    import shutil
+
+    configs = [("page_hinkley", {"threshold": t, "min_instances": 20}) for t in (0.1, 60.0, 1e9)]
+    series, _ = tuning.written(injection.injected(residuals[1], seeds=(1, 2)), "series")
+    path, key = str(tmp_path / "jobs"), lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    whole = key(tuning.sweep_into(path, series, configs, group=1))
+    assert whole == key(tuning.sweep_rows(series, configs))
+    shutil.rmtree(f"{path}/part=1")
+    kept = series.sparkSession.read.option("basePath", path).parquet(f"{path}/part=0", f"{path}/part=2")
+    assert tuning.unfinished(configs, kept) == configs[1:2]
+    assert key(tuning.sweep_into(path, series, configs, group=1)) == whole
+
+
 def test_no_residuals(spark):
     empty = spark.createDataFrame([], "k string, pos long, e double")
     assert injection.injected(empty).collect() == []

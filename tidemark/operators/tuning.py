@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import detectors, injection
 from tidemark.operators.folds import folded_blocks
 from tidemark.sources import series as S
-from tidemark.sources.shared import written
+from tidemark.sources.shared import exists, written
 
 #: The benchmark's series, and the false alarms a year that a configuration may raise on any of them.
 KINDS = injection.KINDS
@@ -98,31 +98,102 @@ def alarms_of(series: DataFrame, configs: Sequence[tuple[str, dict]], going: Seq
     return found.select(key.alias("k"), back(3).alias("kind"), back(2).cast("int").alias("seed"), "config", "pos")
 
 
-def sweep_series(series: DataFrame, configs: Sequence[tuple[str, dict]]) -> DataFrame:
-    """detector, params, kind, runs, missed, false_alarms, delay, eligible of every configuration and kind that it came to.
+def named(spark: SparkSession, configs: Sequence[tuple[str, dict]]) -> DataFrame:
+    """config, detector, params (JSON, names in order): a row for each configuration."""
+    return spark.createDataFrame([(i, name, json.dumps(params, sort_keys=True)) for i, (name, params) in enumerate(configs)], "config int, detector string, params string")
+
+
+def failed() -> Column:
+    """Whether a row of sweep_rows ends its configuration: any false alarm without drift, elsewhere a missed change or more
+    false alarms a year than the budget."""
+    none = F.col("kind") == "none"
+    return F.when(none, F.col("false_alarms") > 0).otherwise((F.col("missed") > 0) | (F.col("false_per_year") > BUDGET))
+
+
+def sweep_rows(series: DataFrame, configs: Sequence[tuple[str, dict]]) -> DataFrame:
+    """detector, params, k, kind, seed, n, matched, missed, false_alarms, delay, false_per_year of every configuration and series
+    that it came to.
 
-    series: k, kind, seed, n, pos (from 0), y. Series without drift come first: a configuration with a false alarm on any of
-    them goes no further. On the others it may miss nothing and must stay within the budget on each; one that fails on a
-    kind does not go on to the next. What reaches the driver is which configurations go on.
+    series: k, kind, seed, n, pos (from 0), y. Series without drift come first, then the kinds of drift; a configuration that
+    fails on a series of a kind does not go on to the next. What reaches the driver is which configurations go on.
     """
     spark = series.sparkSession
     series, _ = written(series, "series")
     heads = series.groupBy("k", "kind", "seed").agg(F.max("n").alias("n")).withColumn("changes", injection.changes(F.col("kind"), F.col("n")))
     going, done = list(range(len(configs))), None
     for kind in KINDS:
-        if not going:
-            break
         mine = F.col("kind") == kind
         jobs = heads.filter(mine).withColumn("config", F.explode(F.array(*map(F.lit, going))))
         scores, _ = written(injection.scored(jobs, alarms_of(series.filter(mine), configs, going), ["k", "kind", "seed", "config"]), "tuning")
-        passed = (F.max("false_alarms") == 0) if kind == "none" else (F.max("missed") == 0) & (F.max("false_per_year") <= BUDGET)
-        going = sorted(r["config"] for r in scores.groupBy("config").agg(passed.alias("passed")).filter("passed").collect())
+        ended = scores.groupBy("config").agg(F.max(failed()).alias("failed")).filter("failed")
+        going = sorted(set(going) - {r["config"] for r in ended.select("config").collect()})
         done = scores if done is None else done.unionByName(scores)
-    named = spark.createDataFrame([(i, name, json.dumps(params), i in set(going)) for i, (name, params) in enumerate(configs)], "config int, detector string, params string, eligible boolean")
-    per_kind = done.groupBy("config", "kind").agg(F.count("*").alias("runs"), F.sum("missed").alias("missed"), F.sum("false_alarms").alias("false_alarms"), F.avg("delay").alias("delay"))
-    return per_kind.join(F.broadcast(named), "config").select("detector", "params", "kind", "runs", "missed", "false_alarms", "delay", "eligible")
+        if not going:
+            break
+    return done.join(F.broadcast(named(spark, configs)), "config").drop("config")
+
+
+def sweep_series(series: DataFrame, configs: Sequence[tuple[str, dict]]) -> DataFrame:
+    """detector, params, kind, runs, missed, false_alarms, delay, eligible of every configuration and kind that it came to."""
+    rows, _ = written(sweep_rows(series, configs), "swept")
+    sums = rows.groupBy("detector", "params", "kind").agg(F.count("*").alias("runs"), F.sum("missed").alias("missed"), F.sum("false_alarms").alias("false_alarms"), F.avg("delay").alias("delay"))
+    fine = rows.groupBy("detector", "params").agg((~F.max(failed())).alias("eligible"))
+    return sums.join(fine, ["detector", "params"])
 
 
 def sweep(spark: SparkSession, configs: Sequence[tuple[str, dict]], seeds: Sequence[int] = SEEDS, n: int = N) -> DataFrame:
     """sweep_series over the benchmark's own series."""
     return sweep_series(synthetic_series(spark, seeds, n), configs)
+
+
+def unfinished(configs: Sequence[tuple[str, dict]], rows: DataFrame) -> list[tuple[str, dict]]:
+    """The configurations that sweep rows have nothing of. A sweep's rows are written as one table, so that what stands in it
+    is whole."""
+    jobs = named(rows.sparkSession, configs)
+    return [configs[r.config] for r in jobs.join(rows.select("detector", "params").distinct(), ["detector", "params"], "left_anti").orderBy("config").collect()]
+
+
+def sweep_into(path: str, series: DataFrame, configs: Sequence[tuple[str, dict]], group: int = 84) -> DataFrame:
+    """sweep_rows kept in tables below path, one for each group of configurations: a sweep that was broken off goes on with those
+    that no table has, if series are the same. Tables without Spark's mark of success are left out."""
+    spark = series.sparkSession
+    tables = [f"{path}/part={i}" for i in range(-(-len(configs) // group))]
+    whole = [t for t in tables if exists(spark, f"{t}/_SUCCESS")]
+    left = unfinished(configs, spark.read.option("basePath", path).parquet(*whole)) if whole else list(configs)
+    for table in (t for t in tables if t not in whole):
+        now, left = left[:group], left[group:]
+        if now:
+            sweep_rows(series, now).write.mode("overwrite").parquet(table)
+            whole.append(table)
+    return spark.read.option("basePath", path).parquet(*whole).drop("part")
+
+
+def summarised(rows: DataFrame) -> DataFrame:
+    """detector, params, eligible, fail_reason, false alarms a year by kind and of all rows, delay by kind and of all drift: a row
+    for each configuration of sweep_rows. The reason is that of the first row that failed, by kind, seed and key; a kind the
+    configuration did not come to is null, and so are the two means over all rows unless it is eligible."""
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    reason = F.when(F.col("kind") == "none", "false alarm without drift").when(F.col("missed") > 0, F.concat(F.lit("missed "), "kind")).otherwise(F.concat(F.lit("over the budget on "), "kind"))
+    first = F.min(F.when(failed(), F.struct(place.alias("place"), "seed", "k", reason.alias("reason"))))
+    of = lambda kind, value: F.avg(F.when(F.col("kind") == kind, F.col(value)))
+    out = rows.groupBy("detector", "params").agg(
+        first.alias("first"),
+        *(of(kind, "false_per_year").alias(f"fa_per_year_{kind}") for kind in KINDS),
+        *(of(kind, "delay").alias(f"delay_{kind}") for kind in KINDS[1:]),
+        F.max(F.when(F.col("kind") == "none", F.col("false_per_year"))).alias("most_fa_none"),
+        F.avg("false_per_year").alias("fa"),
+        F.avg(F.when(F.col("kind") != "none", F.col("delay"))).alias("delay"),
+    )
+    eligible = F.col("first").isNull()
+    out = out.withColumns({"eligible": eligible, "fail_reason": F.coalesce("first.reason", F.lit("")), "fa_per_year": F.when(eligible, F.col("fa")), "mean_delay": F.when(eligible, F.col("delay"))})
+    return out.drop("first", "fa", "delay")
+
+
+def winners(summary: DataFrame, names: Sequence[str] = tuple(MAKE)) -> DataFrame:
+    """A row for each detector: its eligible configuration of the fewest false alarms a year, then of the shortest delay, then of
+    the least parameters as text; without one, status no_eligible_configuration."""
+    order = F.struct("fa_per_year", F.coalesce("mean_delay", F.lit(float("inf"))), "params")
+    best = summary.filter("eligible").groupBy("detector").agg(F.min_by(F.struct("params", "fa_per_year", "mean_delay", "fa_per_year_none", "most_fa_none"), order).alias("b"))
+    every = summary.sparkSession.createDataFrame([(n,) for n in names], "detector string")
+    status = F.when(F.col("b").isNull(), "no_eligible_configuration").otherwise("selected")
+    return every.join(best, "detector", "left").select("detector", "b.*", status.alias("status"))
