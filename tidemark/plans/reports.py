@@ -101,14 +101,14 @@ def _picked(spark, sf_dir):
     return rows.filter((F.col("place") == 1) | (F.col("mean") <= F.col("l_mean") + F.col("l_sd")) & (F.col("cost") < F.col("l_cost")))
 
 
-@query("rp_tuning", "SELECT model, arm FROM (SELECT model, arm, row_number() OVER (PARTITION BY model ORDER BY fa, delay, arm) AS p FROM (SELECT model, arm, sum(n_retrains)::BIGINT AS fa, round(avg(mae), 4) AS delay FROM runs GROUP BY ALL)) WHERE p = 1")
-def rp_tuning(spark, sf_dir):
+@query("top_arm_retrains", "SELECT model, arm FROM (SELECT model, arm, row_number() OVER (PARTITION BY model ORDER BY fa, delay, arm) AS p FROM (SELECT model, arm, sum(n_retrains)::BIGINT AS fa, round(avg(mae), 4) AS delay FROM runs GROUP BY ALL)) WHERE p = 1")
+def top_arm_retrains(spark, sf_dir):
     rows = C.runs(spark, sf_dir).groupBy("model", "arm").agg(F.sum("n_retrains").alias("fa"), r(F.avg("mae"), 4).alias("delay"))
     return rows.withColumn("p", F.row_number().over(Window.partitionBy("model").orderBy("fa", "delay", "arm"))).filter("p = 1").select("model", "arm")
 
 
-@query("rp_tuning_summary", "SELECT model, arm, count(*) AS n, max(n_retrains) AS worst, CASE WHEN max(n_retrains) > 3 THEN 'false alarms' ELSE 'passed' END AS reason FROM runs GROUP BY ALL")
-def rp_tuning_summary(spark, sf_dir):
+@query("agg_arm_limit", "SELECT model, arm, count(*) AS n, max(n_retrains) AS worst, CASE WHEN max(n_retrains) > 3 THEN 'false alarms' ELSE 'passed' END AS reason FROM runs GROUP BY ALL")
+def agg_arm_limit(spark, sf_dir):
     worst = F.max("n_retrains")
     return C.runs(spark, sf_dir).groupBy("model", "arm").agg(F.count("*").alias("n"), worst.alias("worst"), F.when(worst > 3, "false alarms").otherwise("passed").alias("reason"))
 

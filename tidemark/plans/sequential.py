@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import adapt, boosting, conformal, detectors, forecast, harmonic, injection, matching, metrics, regimes, spread, tuning
@@ -204,6 +206,93 @@ def sq_tuning_early_stop(spark, sf_dir):
     return tuning.sweep_series(_injected(spark, sf_dir), tuning.grid())
 
 
+def _swept(spark, sf_dir, configs):
+    ship_package(spark)
+    return written(tuning.sweep_rows(_injected(spark, sf_dir), configs), "swept")[0]
+
+
+_RATES = [*(f"fa_per_year_{k}" for k in injection.KINDS), *(f"delay_{k}" for k in injection.KINDS[1:]), "most_fa_none", "fa_per_year", "mean_delay"]
+_WINNER = ["fa_per_year", "mean_delay", "fa_per_year_none", "most_fa_none"]
+
+
+def _summary(spark, sf_dir, configs):
+    rows = tuning.summarised(_swept(spark, sf_dir, configs))
+    return rows.select("detector", "params", "eligible", "fail_reason", *(r(c).alias(c) for c in _RATES))
+
+
+def _winners(spark, sf_dir, configs, names):
+    rows = tuning.winners(tuning.summarised(_swept(spark, sf_dir, configs)), names)
+    return rows.select("detector", "params", "status", *(r(c).alias(c) for c in _WINNER))
+
+
+@query("rp_tuning")
+def rp_tuning(spark, sf_dir):
+    """The best eligible configuration of each detector, from the whole sweep's rows."""
+    return _winners(spark, sf_dir, tuning.grid(), tuple(tuning.MAKE))
+
+
+@query("rp_tuning_summary")
+def rp_tuning_summary(spark, sf_dir):
+    """Every configuration: false alarms and delay by kind, and the reason of the row that ended it."""
+    return _summary(spark, sf_dir, tuning.grid())
+
+
+# The same of Page-Hinkley alone, whose recursion SQL has: without drift first, then the configurations that are left.
+_PH_GRID = [c for c in tuning.grid() if c[0] == "page_hinkley"]
+_PH_VALUES = ", ".join(f"({i}, '{json.dumps(p, sort_keys=True)}', {p['min_instances']}, {p['delta']!r}::DOUBLE, {p['threshold']!r}::DOUBLE, {p['alpha']!r}::DOUBLE)" for i, (_, p) in enumerate(_PH_GRID))
+
+
+def _ph_runs(name: str, jobs: str) -> str:
+    """SQL of Page-Hinkley's recursion by (series, configuration) of jobs; name has what it fired."""
+    return f"""{name} AS (SELECT k, config, -1::BIGINT AS pos, 0 AS n, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 'inf'::DOUBLE AS least, '-inf'::DOUBLE AS most, false AS fired FROM {jobs}
+ UNION ALL SELECT k, config, pos, n, mean, up, down, least, most, n >= min_n AND (up - least > threshold OR most - down > threshold) FROM (
+  SELECT *, least(pl, up) AS least, greatest(pm, down) AS most FROM (
+   SELECT k, config, pos, n, mean, pl, pm, min_n, threshold, alpha * pu + (y - mean) - delta AS up, alpha * pd + (y - mean) + delta AS down FROM (
+    SELECT s.k, p.config, s.pos, s.y, min_n, delta, threshold, alpha, CASE WHEN fired THEN 1 ELSE n + 1 END AS n, CASE WHEN fired THEN s.y ELSE mean + (s.y - mean) / (n + 1) END AS mean, CASE WHEN fired THEN 0 ELSE up END AS pu, CASE WHEN fired THEN 0 ELSE down END AS pd,
+     CASE WHEN fired THEN 'inf'::DOUBLE ELSE least END AS pl, CASE WHEN fired THEN '-inf'::DOUBLE ELSE most END AS pm FROM {name} p JOIN cf USING (config) JOIN sx s ON s.k = p.k AND s.pos = p.pos + 1))))"""
+
+
+def _ph_scored(name: str, fired: str, jobs: str) -> str:
+    """SQL of a row for each job: what each change takes, what is missed, false or over the budget."""
+    return f"""{name} AS (SELECT hd.k, hd.kind, hd.seed, j.config, coalesce(c, 0) - coalesce(m, 0) AS missed, coalesce(x, 0) - coalesce(m, 0) AS false_alarms, (coalesce(x, 0) - coalesce(m, 0)) / hd.n * 17520 AS fy, delay
+ FROM {jobs} j JOIN hd ON hd.name = j.k LEFT JOIN (SELECT name, count(*) AS c FROM ch GROUP BY ALL) t ON t.name = j.k
+ LEFT JOIN (SELECT k AS name, config, count(*) AS x FROM {fired} WHERE fired GROUP BY ALL) f ON f.name = j.k AND f.config = j.config
+ LEFT JOIN (SELECT name, config, count(*) AS m, avg(delay) AS delay FROM (SELECT ch.name, p.config, a, min(pos) - a AS delay FROM ch JOIN {fired} p ON p.k = ch.name AND fired AND pos BETWEEN a AND b GROUP BY ch.name, p.config, a) GROUP BY ALL) h ON h.name = j.k AND h.config = j.config)"""
+
+
+def _ph_kinds() -> str:
+    """SQL of the sweep's rows, kind by kind: only what did not fail on a kind goes on to the next."""
+    parts, left = [], "SELECT config FROM cf"
+    for i, kind in enumerate(injection.KINDS):
+        parts.append(f"job{i} AS (SELECT name AS k, config FROM hd, ({left}) WHERE kind = '{kind}')")
+        parts += [_ph_runs(f"run{i}", f"job{i}"), _ph_scored(f"sco{i}", f"run{i}", f"job{i}")]
+        left = f"SELECT config FROM sco{i} GROUP BY config HAVING NOT max({'false_alarms > 0' if kind == 'none' else f'missed > 0 OR fy > {tuning.BUDGET}'})"
+    union = " UNION ALL ".join(f"SELECT *, {i} AS place FROM sco{i}" for i in range(len(injection.KINDS)))
+    return ",\n".join(parts) + f",\nswp AS ({union})"
+
+
+_PH_SUMMARY = f"""cf(config, params, min_n, delta, threshold, alpha) AS (VALUES {_PH_VALUES}),
+{_INJECTED}, {_ph_kinds()},
+rsn AS (SELECT config, arg_min(CASE WHEN place = 0 THEN 'false alarm without drift' WHEN missed > 0 THEN 'missed ' || kind ELSE 'over the budget on ' || kind END, place * 1000 + seed) AS reason
+ FROM swp WHERE CASE WHEN place = 0 THEN false_alarms > 0 ELSE missed > 0 OR fy > {tuning.BUDGET} END AND (config, place * 1000 + seed, k) IN (SELECT config, min(o), min_by(k, (o, k)) FROM (SELECT config, k, place * 1000 + seed AS o FROM swp WHERE CASE WHEN place = 0 THEN false_alarms > 0 ELSE missed > 0 OR fy > {tuning.BUDGET} END) GROUP BY config) GROUP BY config),
+smy AS (SELECT 'page_hinkley' AS detector, params, reason IS NULL AS eligible, coalesce(reason, '') AS fail_reason, {", ".join(f"avg(fy) FILTER (WHERE kind = '{k}') AS fa_per_year_{k}" for k in injection.KINDS)},
+ {", ".join(f"avg(delay) FILTER (WHERE kind = '{k}') AS delay_{k}" for k in injection.KINDS[1:])}, max(fy) FILTER (WHERE kind = 'none') AS most_fa_none, CASE WHEN reason IS NULL THEN avg(fy) END AS fa_per_year, CASE WHEN reason IS NULL THEN avg(delay) FILTER (WHERE kind <> 'none') END AS mean_delay
+ FROM swp JOIN cf USING (config) LEFT JOIN rsn USING (config) GROUP BY params, reason)"""
+
+
+@query("rp_tuning_summary_ph", f", {_PH_SUMMARY} SELECT detector, params, eligible, fail_reason, {', '.join(f'round({c}, 6) AS {c}' for c in _RATES)} FROM smy")
+def rp_tuning_summary_ph(spark, sf_dir):
+    """rp_tuning_summary of Page-Hinkley's configurations."""
+    return _summary(spark, sf_dir, _PH_GRID)
+
+
+@query("rp_tuning_ph", f""", {_PH_SUMMARY} SELECT d.detector, params, CASE WHEN params IS NULL THEN 'no_eligible_configuration' ELSE 'selected' END AS status, {', '.join(f'round({c}, 6) AS {c}' for c in _WINNER)}
+ FROM (SELECT 'page_hinkley' AS detector) d LEFT JOIN (SELECT * FROM smy WHERE eligible ORDER BY fa_per_year, mean_delay NULLS LAST, params LIMIT 1) USING (detector)""")
+def rp_tuning_ph(spark, sf_dir):
+    """rp_tuning of Page-Hinkley's configurations."""
+    return _winners(spark, sf_dir, _PH_GRID, ("page_hinkley",))
+
+
 #: Simulated sequences for each key and alarm set; days between alarms whose share is ranked.
 SIMULATIONS = 5000
 EDGE = (14.0, 16.0)
