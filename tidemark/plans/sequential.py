@@ -14,7 +14,7 @@ from tidemark.plans.scans import r
 from tidemark.sources import series as S
 from tidemark.sources.shared import written
 from tidemark.sources.shipping import ship_package
-from tidemark.streaming import structured
+from tidemark.streaming import stateful, structured
 
 _R = C.REFRACTORY
 _KEPT = f"kept AS (SELECT k, min(us) AS us FROM alarm GROUP BY k UNION ALL SELECT d.k, min(a.us) FROM kept d JOIN alarm a ON a.k = d.k AND a.us >= d.us + {_R} GROUP BY d.k)"
@@ -533,15 +533,39 @@ def stream_windowed_mean(spark, sf_dir):
     return structured.run_to_end(out, "complete").select("k", F.unix_micros("start").alias("start"), r("y").alias("y"), "n")
 
 
-@query("stream_detect", """, raw AS (SELECT k, us, value AS y, row_number() OVER (PARTITION BY k ORDER BY us, event_id) - 1 AS pos FROM ev WHERE value IS NOT NULL),
- sp AS (SELECT DISTINCT k, -1::BIGINT AS pos, -1::BIGINT AS us, 0 AS n, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 'inf'::DOUBLE AS least, '-inf'::DOUBLE AS most, false AS fired FROM raw
+# Page-Hinkley over the readings as they are, by key.
+_READINGS = """, raw AS (SELECT k, us, value AS y, row_number() OVER (PARTITION BY k ORDER BY us, event_id) - 1 AS pos FROM ev WHERE value IS NOT NULL)"""
+_STREAMED = """sp AS (SELECT DISTINCT k, -1::BIGINT AS pos, -1::BIGINT AS us, 0 AS n, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 'inf'::DOUBLE AS least, '-inf'::DOUBLE AS most, false AS fired FROM raw
  UNION ALL SELECT k, pos, us, n, mean, up, down, least, most, n >= 20 AND (up - least > 200 OR most - down > 200) FROM (
   SELECT k, pos, us, n, mean, up, down, least(pl, up) AS least, greatest(pm, down) AS most FROM (
    SELECT k, pos, us, n, mean, pl, pm, 0.99::DOUBLE * pu + (y - mean) - 0.05::DOUBLE AS up, 0.99::DOUBLE * pd + (y - mean) + 0.05::DOUBLE AS down FROM (
     SELECT s.k, s.pos, s.us, s.y, CASE WHEN fired THEN 1 ELSE n + 1 END AS n, CASE WHEN fired THEN s.y ELSE mean + (s.y - mean) / (n + 1) END AS mean, CASE WHEN fired THEN 0 ELSE up END AS pu, CASE WHEN fired THEN 0 ELSE down END AS pd,
-     CASE WHEN fired THEN 'inf'::DOUBLE ELSE least END AS pl, CASE WHEN fired THEN '-inf'::DOUBLE ELSE most END AS pm FROM sp JOIN raw s ON s.k = sp.k AND s.pos = sp.pos + 1)))) SELECT k, us FROM sp WHERE fired""")
+     CASE WHEN fired THEN 'inf'::DOUBLE ELSE least END AS pl, CASE WHEN fired THEN '-inf'::DOUBLE ELSE most END AS pm FROM sp JOIN raw s ON s.k = sp.k AND s.pos = sp.pos + 1))))"""
+
+
+@query("stream_detect", f"{_READINGS}, {_STREAMED} SELECT k, us FROM sp WHERE fired")
 def stream_detect(spark, sf_dir):
     ship_package(spark)
     S.table(spark, sf_dir, "events")
     found = structured.detect(structured.events(spark, sf_dir), lambda: detectors.PageHinkley(20, 0.05, 200.0, 0.99), "event_type", "ts", "value")
     return structured.run_to_end(found)
+
+
+@query("stream_detect_ordered", f"""{_READINGS.replace("IS NOT NULL)", "IS NOT NULL AND us IS NOT NULL AND k IS NOT NULL AND us <= (SELECT max(us) // 1000 * 1000 - 3600000000 FROM ev WHERE value IS NOT NULL AND us IS NOT NULL AND k IS NOT NULL))")}, {_STREAMED} SELECT k, us FROM sp WHERE fired""")
+def stream_detect_ordered(spark, sf_dir):
+    """Alarms in the order of event time, up to an hour behind the last reading: state with timers, fed as the watermark passes."""
+    S.table(spark, sf_dir, "events")
+    params = {"min_instances": 20, "delta": 0.05, "threshold": 200.0, "alpha": 0.99}
+    with stateful.keeping_state(spark):
+        found = stateful.detect_ordered(structured.events(spark, sf_dir), params, "event_type", "ts", "event_id", "value")
+        return structured.run_to_end(found).select("k", "us")
+
+
+@query("stream_sessions", """, tm AS (SELECT k, us, us - lag(us) OVER (PARTITION BY k ORDER BY us) AS gap FROM ev WHERE us IS NOT NULL),
+ sn AS (SELECT k, us, sum(CASE WHEN gap IS NULL OR gap > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY us ROWS UNBOUNDED PRECEDING) AS g FROM tm)
+ SELECT k, min(us) AS start, max(us) + 1800000000 AS stop, count(*) AS n FROM sn GROUP BY k, g""")
+def stream_sessions(spark, sf_dir):
+    """Sessions of each kind of event, those still open at the end too."""
+    S.table(spark, sf_dir, "events")
+    out = structured.sessions(structured.events(spark, sf_dir), "event_type", "ts")
+    return structured.run_to_end(out, "complete").select("k", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("stop"), "n")
