@@ -26,26 +26,58 @@ def _means(spark, sf_dir, keys, value="mae"):
 _LATEST = "(SELECT * FROM (SELECT *, max(yr) OVER (PARTITION BY model, arm, region, seed) AS m FROM ledger) WHERE yr = m)"
 
 
-@query("rp_t1", f"SELECT model AS detector, arm AS kind, round(avg(metric_value) FILTER (WHERE metric_name = 'mae'), 4) AS delay, round(stddev_samp(metric_value) FILTER (WHERE metric_name = 'mae'), 4) AS delay_sd, count(*) FILTER (WHERE metric_name = 'mae') AS n FROM {_LATEST} GROUP BY ALL")
-def rp_t1(spark, sf_dir):
+@query("top_latest_delay", f"SELECT model AS detector, arm AS kind, round(avg(metric_value) FILTER (WHERE metric_name = 'mae'), 4) AS delay, round(stddev_samp(metric_value) FILTER (WHERE metric_name = 'mae'), 4) AS delay_sd, count(*) FILTER (WHERE metric_name = 'mae') AS n FROM {_LATEST} GROUP BY ALL")
+def top_latest_delay(spark, sf_dir):
     rows = ledger.latest_runs(C.ledger(spark, sf_dir).withColumn("timestamp", F.col("yr")), ["model", "arm", "region", "seed"]).filter("metric_name = 'mae'")
     return rows.groupBy(F.col("model").alias("detector"), F.col("arm").alias("kind")).agg(r(F.avg("metric_value"), 4).alias("delay"), r(F.stddev_samp("metric_value"), 4).alias("delay_sd"), F.count("*").alias("n"))
 
 
-@query("rp_t1_year", "SELECT model AS detector, arm AS kind, delay, rate FROM (SELECT model, arm, round(avg(mae), 4) AS delay FROM runs GROUP BY ALL) LEFT JOIN (SELECT model, arm, round(sum(n_retrains) / count(*) * 365.0, 4) AS rate FROM runs WHERE arm <> 'A' GROUP BY ALL) USING (model, arm)")
-def rp_t1_year(spark, sf_dir):
+@query("jn_delay_rate", "SELECT model AS detector, arm AS kind, delay, rate FROM (SELECT model, arm, round(avg(mae), 4) AS delay FROM runs GROUP BY ALL) LEFT JOIN (SELECT model, arm, round(sum(n_retrains) / count(*) * 365.0, 4) AS rate FROM runs WHERE arm <> 'A' GROUP BY ALL) USING (model, arm)")
+def jn_delay_rate(spark, sf_dir):
     rows = C.runs(spark, sf_dir)
     rate = rows.filter("arm <> 'A'").groupBy("model", "arm").agg(r(F.sum("n_retrains") / F.count("*") * 365.0, 4).alias("rate"))
     out = rows.groupBy("model", "arm").agg(r(F.avg("mae"), 4).alias("delay")).join(rate, ["model", "arm"], "left")
     return out.select(F.col("model").alias("detector"), F.col("arm").alias("kind"), "delay", "rate")
 
 
-@query("rp_t4", "SELECT a.model, a.region, a.arm, round(avg(a.mae - b.mae), 4) AS gain, sum(a.train_samples)::BIGINT AS samples FROM runs a LEFT JOIN (SELECT * FROM runs WHERE arm = 'A') b USING (model, region, seed, yr) GROUP BY ALL")
-def rp_t4(spark, sf_dir):
+@query("agg_gain_samples", "SELECT a.model, a.region, a.arm, round(avg(a.mae - b.mae), 4) AS gain, sum(a.train_samples)::BIGINT AS samples FROM runs a LEFT JOIN (SELECT * FROM runs WHERE arm = 'A') b USING (model, region, seed, yr) GROUP BY ALL")
+def agg_gain_samples(spark, sf_dir):
     out = metrics.paired_gain(C.runs(spark, sf_dir), ["model", "region", "seed", "yr"], "arm", "A", "mae", "n_retrains")
     return out.groupBy("model", "region", "arm").agg(r(F.avg("gain"), 4).alias("gain"), F.sum("train_samples").alias("samples"))
 
 
+def _text(value: str, digits: int) -> str:
+    """SQL of mean and deviation as text; the small shift keeps values midway between two texts from going either way."""
+    m, sd = f"round(avg({value}), 4) + 1e-7", f"round(stddev_samp({value}), 4) + 1e-7"
+    return f"CASE count({value}) WHEN 0 THEN 'n/a' WHEN 1 THEN printf('%.{digits}f', {m}) || ' ± n/a' ELSE printf('%.{digits}f ± %.{digits}f', {m}, {sd}) END"
+
+
+def _cell(value: str, digits: int):
+    """_text as a column, of a grouping."""
+    return F.struct((r(F.avg(value), 4) + 1e-7).alias("m"), (r(F.stddev_samp(value), 4) + 1e-7).alias("sd"), F.count(value).alias("n")).alias(f"_{value}_{digits}")
+
+
+def _cells(rows, **names):
+    """rows with the texts of _cell's structs under their names."""
+    for name, (value, digits) in names.items():
+        at = f"_{value}_{digits}"
+        rows = rows.withColumn(name, ledger.mean_sd_text(f"{at}.m", f"{at}.sd", f"{at}.n", digits)).drop(at)
+    return rows
+
+
+@query("rp_t4", f"""SELECT model, region, arm, round(avg(n_retrains), 0)::BIGINT AS retrains, round(avg(train_samples), 0)::BIGINT AS samples, {_text("wall", 0)} AS wall_clock,
+ {_text("gain", 1)} AS gain, {_text("per", 2)} AS gain_per_retrain, count(DISTINCT seed) AS seeds
+ FROM (SELECT a.*, a.width AS wall, a.mae - b.mae AS gain, (a.mae - b.mae) / nullif(a.n_retrains, 0) AS per FROM runs a LEFT JOIN (SELECT * FROM runs WHERE arm = 'A') b USING (model, region, seed, yr)) GROUP BY model, region, arm""")
+def rp_t4(spark, sf_dir):
+    """Cost and gain of each arm beside arm A: retrains, training rows, time (a run's mean quantity stands for it), gain in all and
+    for each retrain as mean and deviation over its runs, seeds. Runs without a retrain or a run of arm A have no share in them."""
+    out = metrics.paired_gain(C.runs(spark, sf_dir).withColumn("wall", F.col("width")), ["model", "region", "seed", "yr"], "arm", "A", "mae", "n_retrains")
+    rows = out.withColumnRenamed("gain_per_retrain", "per").groupBy("model", "region", "arm").agg(
+        r(F.avg("n_retrains"), 0).cast("long").alias("retrains"), r(F.avg("train_samples"), 0).cast("long").alias("samples"), _cell("wall", 0), _cell("gain", 1), _cell("per", 2), F.countDistinct("seed").alias("seeds")
+    )
+    return _cells(rows, wall_clock=("wall", 0), gain=("gain", 1), gain_per_retrain=("per", 2))
+
+
 _TOP = "(SELECT *, row_number() OVER (PARTITION BY model, region ORDER BY mean, arm) AS place FROM (SELECT model, region, arm, round(avg(mae), 4) AS mean, round(stddev_samp(mae), 4) AS sd FROM runs GROUP BY ALL))"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import adapt, boosting, conformal, detectors, forecast, harmonic, injection, matching, metrics, regimes, spread, tuning
 from tidemark.plans import streams as C
 from tidemark.plans.registry import query
-from tidemark.plans.reports import _coverage_table
+from tidemark.plans.reports import _cell, _cells, _coverage_table, _text
 from tidemark.plans.scans import r
 from tidemark.sources import series as S
 from tidemark.sources.shared import written
@@ -199,6 +199,32 @@ def ev_detect(spark, sf_dir):
     return rows.groupBy("kind").agg(r(F.avg("delay")).alias("ev_delay"), F.sum("missed").alias("ev_missed"), F.sum("false_alarms").alias("false_alarms"))
 
 
+_CONFIG = "alpha=0.99, delta=0.05, min_instances=20, threshold=60"
+_T1 = f"""SELECT 'page_hinkley' AS detector, kind, {_text("delay", 0)} AS delay, round(avg(false_alarms / n * 10000), 1) AS false_per_10k, sum(missed)::BIGINT AS missed, '{_CONFIG}' AS config, count(DISTINCT seed) AS seeds FROM sc GROUP BY kind"""
+
+
+def _detection_table(rows):
+    """detector, kind, delay (mean and deviation over the series that have one), false alarms for 10,000 rows, missed changes,
+    seeds: detection on series of a known truth."""
+    per = F.col("false_alarms") / F.col("n") * 10_000
+    out = rows.groupBy("detector", "kind").agg(_cell("delay", 0), r(F.avg(per), 1).alias("false_per_10k"), F.sum("missed").alias("missed"), F.countDistinct("seed").alias("seeds"))
+    return _cells(out, delay=("delay", 0))
+
+
+@query("rp_t1", f", {_INJECTED} {_T1}")
+def rp_t1(spark, sf_dir):
+    """Page-Hinkley on the streams' residuals with known changes, by kind of change."""
+    return _detection_table(_ph_scores(spark, sf_dir)).withColumn("config", F.lit(_CONFIG))
+
+
+@query("rp_t1_year", f", {_INJECTED}, t1 AS ({_T1}) SELECT t1.*, per_year FROM t1 LEFT JOIN (SELECT kind, round(avg(false_alarms / n * 17520), 4) AS per_year FROM sc WHERE kind <> 'none' GROUP BY kind) USING (kind)")
+def rp_t1_year(spark, sf_dir):
+    """rp_t1 with the false alarms of a year of half-hours; series without a change have none that counts for a budget."""
+    scores = written(_ph_scores(spark, sf_dir), "scores")[0]
+    year = scores.filter("kind <> 'none'").groupBy("kind").agg(r(F.avg(F.col("false_alarms") / F.col("n") * 17_520), 4).alias("per_year"))
+    return _detection_table(scores).withColumn("config", F.lit(_CONFIG)).join(year, "kind", "left")
+
+
 @query("sq_tuning_early_stop")
 def sq_tuning_early_stop(spark, sf_dir):
     """Every configuration on the series without a shift; those without a false alarm go on to each kind of shift."""
