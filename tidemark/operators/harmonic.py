@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import forecast, spread
+from tidemark.sources.shared import written
 from tidemark.sources.shipping import ship_package
 
 #: Harmonics of each period, in rows, and orders of the errors' model.
@@ -133,7 +134,8 @@ def fitted(train: DataFrame, periods: dict[int, int] = PERIODS, ar: int = AR, ma
     if ar < ma:
         raise ValueError("forecasts are kept as ar values: ar may not be less than ma")
     columns = design(F.col("pos"), periods)
-    beta = coefficients(train, columns).filter(F.col("n") > len(columns) + long + ar + ma)
+    # A row for each key, used three times below: written, so that the pass over train is made once.
+    beta, _ = written(coefficients(train, columns).filter(F.col("n") > len(columns) + long + ar + ma), "beta")
     rows = errors(train, beta, columns)
     reach = long + max(ar, ma)
     last = rows.join(beta.select("k", "n"), "k").filter(F.col("pos") >= F.col("n") - reach)
@@ -159,7 +161,7 @@ def fitted(train: DataFrame, periods: dict[int, int] = PERIODS, ar: int = AR, ma
 def forecasts(series: DataFrame, first: int, periods: dict[int, int] = PERIODS, ar: int = AR, ma: int = MA) -> DataFrame:
     """k, pos, slot, y, p of the rows of series (k, pos, slot, y) from place first on: fitted once on those before it. What is
     observed later changes nothing, as the phase and the errors count from the fit. Keys without a fit have no rows."""
-    model = fitted(series.filter(F.col("pos") < first), periods, ar, ma)
+    model, _ = written(fitted(series.filter(F.col("pos") < first), periods, ar, ma), "harmonic")
     rows = errors(series.filter(F.col("pos") >= first), model, design(F.col("pos"), periods))
     rows = rows.join(model.select("k", "phi", "late"), "k").select("k", "pos", "slot", "y", "mean", "phi", "late")
 
