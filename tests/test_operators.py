@@ -233,6 +233,17 @@ def test_ledger(spark, tmp_path):
     assert rows.select(*ledger.split_method()).collect()[2].uq is None
 
 
+def test_texts_of_values_midway(spark):
+    """As SQL's printf: by the exact binary value, to the even digit from exactly midway; a group of 1,250 and more has no commas."""
+    import duckdb
+
+    values = [1.25, 0.15, 26.95, 28.25, 28.35, 0.75, 0.0, -0.04, 1250.25, 1234567.85, 0.0625, 0.9975]
+    rows = spark.createDataFrame([(v, v, 2) for v in values], "m double, sd double, n int")
+    for digits in (1, 3):
+        want = [duckdb.execute(f"SELECT printf('%.{digits}f ± %.{digits}f', ?::DOUBLE, ?::DOUBLE)", [v, v]).fetchone()[0] for v in values]
+        assert [x[0] for x in rows.select(ledger.mean_sd_text("m", "sd", "n", digits)).collect()] == want
+
+
 def test_missing_columns_and_values_fail(spark):
     with pytest.raises(ValueError, match="missing"):
         clean.require(spark.range(1), ["x"])

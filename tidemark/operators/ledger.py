@@ -114,10 +114,16 @@ def mean_sd(value: str) -> list[Column]:
     return [F.avg(value).alias(f"{value}_mean"), F.stddev_samp(value).alias(f"{value}_sd")]
 
 
+def fixed_text(value: Column | str, digits: int = 1) -> Column:
+    """value with so many digits, as C's printf gives it: the nearest to the exact binary value, the even one from midway
+    (26.95 is a little less than that and gives 26.9, 28.25 gives 28.2; format_string rounds the decimals up in both)."""
+    return F.call_function("format_number", F.col(value) if isinstance(value, str) else value, F.lit(f"0.{'0' * digits}"))
+
+
 def mean_sd_text(mean: str, sd: str, n: str, digits: int = 1) -> Column:
     """mean and deviation as text; n/a where there is nothing to show."""
-    fmt = f"%.{digits}f"
-    return F.when(F.col(n) == 0, "n/a").when(F.col(n) == 1, F.concat(F.format_string(fmt, mean), F.lit(" ± n/a"))).otherwise(F.format_string(f"{fmt} ± {fmt}", mean, sd))
+    m, s = fixed_text(mean, digits), fixed_text(sd, digits)
+    return F.when(F.col(n) == 0, "n/a").when(F.col(n) == 1, F.concat(m, F.lit(" ± n/a"))).otherwise(F.concat(m, F.lit(" ± "), s))
 
 
 def split_method(method: str = "method") -> list[Column]:
