@@ -58,6 +58,21 @@ def test_a_trimmed_table_still_encodes(monkeypatch):
     assert max(sizes) <= 20 and len(sizes) > 1
 
 
+def test_words_of_one_slice_stay_for_the_next_task(monkeypatch):
+    """Those that came up most often stay first, then the latest; none of them is encoded again in the next task."""
+    monkeypatch.setattr(bpe_codec, "KEPT_ENTRIES", 3)
+    ranks = bpe_codec.read_ranks(open(RANK_FILE, "rb").read())
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe_codec.Codec(bpe_codec.merge_table(ranks), ranks, public_tokenizers.PATTERN)
+    for text in ("often", "often", "once", "later", "latest"):
+        codec.encode([text])
+    codec.trim()
+    assert set(codec.numbers) == {"often", "later", "latest"}
+    monkeypatch.setattr(codec, "encode_words", None)
+    for text in ("often", "later", "latest"):
+        assert codec.encode([text])[0].tolist() == library.encode_ordinary(text)
+
+
 def test_empty_table_and_null_id(docs):
     assert token_counts.count_tokens(docs([]), COUNT_FILE).collect() == []
     assert bpe_codec.encode_decode(docs([]), RANK_FILE, public_tokenizers.PATTERN).collect() == []

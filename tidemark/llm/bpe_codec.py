@@ -4,8 +4,8 @@ A task gathers the distinct pre-tokens it has not met yet, lays them out as toke
 and lets a recursive query join neighbours to the merge table and contract each word's leftmost pair of least rank
 until nothing is left to merge. The ids of the pre-tokens make up the documents' token-position rows; an ordered
 aggregation over these, joined to the vocabulary, gives the bytes that every document's ids decode to.
-Texts are never shuffled; a bounded table keeps the words that a task has encoded, and the frequent ones of them for the
-worker's next task.
+Texts are never shuffled; a bounded table keeps the words that a task has encoded, and the new and recurring ones of them
+for the worker's next task.
 """
 
 from __future__ import annotations
@@ -24,17 +24,17 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import frugal, kept, slices
 from tidemark.llm.pretokens import SPACED_WORDS, all_plain
 
-#: Entries of a task's table of encoded words, how many of these a worker holds for its next task (those that came up
-#: more than once), and the longest word in the table; only memory and time depend on these.
-CACHE_ENTRIES = 400_000
-KEPT_ENTRIES = 150_000
+#: Entries of a task's table of encoded words, how many of these a worker holds for its next task (those that are new
+#: or came up again), and the longest word in the table; only memory and time depend on these.
+CACHE_ENTRIES = 800_000
+KEPT_ENTRIES = 500_000
 MAX_KEPT = 64
 #: Bytes of words that one recursive query handles; a longer word has a query of its own.
 QUERY_BYTES = 500_000
 #: Tokens that one decoding query handles; a longer document is decoded in parts, one behind the other.
 DECODE_TOKENS = 300_000
 #: Bytes of text that a task splits at a time.
-SLICE = 2_000_000
+SLICE = 4_000_000
 MAX_FILE_BYTES = 64_000_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -109,17 +109,16 @@ class Codec:
     def _forget(self) -> None:
         # Word -> number; word number n has the ids flat[begin[n] : begin[n] + count[n]].
         self.numbers: dict[str, int] = {}
-        self.learned = 0
+        self.learned = self.carried = 0
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.begin, self.count, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
     def trim(self) -> None:
-        """Keep the words that more than one slice had since the last time, KEPT_ENTRIES at most."""
+        """Keep the words that are new or came up again since the last time: KEPT_ENTRIES at most, those of most slices and
+        then the latest."""
         words, numbers = list(self.numbers), np.fromiter(self.numbers.values(), np.int64, len(self.numbers))
-        uses = self.uses[numbers]
-        chosen = np.flatnonzero(uses > 1)
-        if len(chosen) > KEPT_ENTRIES:
-            chosen = chosen[np.argsort(-uses[chosen], kind="stable")[:KEPT_ENTRIES]]
+        chosen = np.flatnonzero((self.uses[numbers] > 1) | (numbers >= self.carried))
+        chosen = chosen[np.lexsort((-numbers[chosen], -self.uses[numbers[chosen]]))[:KEPT_ENTRIES]]
         begin, count, flat = self.begin[numbers[chosen]], self.count[numbers[chosen]], self.flat
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
@@ -128,7 +127,8 @@ class Codec:
         spare = np.zeros(1 << 14, np.int64)
         self.begin, self.count, self.uses = (np.concatenate([x, spare]) for x in (ends - count, count, np.ones_like(count)))
         self.numbers = {words[i]: n for n, i in enumerate(chosen.tolist())}
-        self.learned, self.used = len(chosen), total
+        self.learned = self.carried = len(chosen)
+        self.used = total
 
     def _asked(self, query: str, name: str, rows: pa.Table) -> pa.Table:
         """The result of a query over rows by that name."""
