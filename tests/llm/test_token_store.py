@@ -39,6 +39,32 @@ def test_forgetting_changes_nothing():
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library_ids(text)
 
 
+def test_plain_words_need_no_pattern_and_odd_neighbours_no_loop(monkeypatch):
+    """New plain words go to the library's model alone, whatever else is new beside them, and each distinct chunk once."""
+    encoder = chunk_encoders.ByteLevelEncoder(Path(FILE).read_text(encoding="utf-8"))
+    made = []
+    plain, alone = encoder._plain, encoder._ids
+    monkeypatch.setattr(encoder, "_plain", lambda text: made.append(text) or plain(text))
+    monkeypatch.setattr(encoder, "_ids", lambda text: made.append(text) or alone(text))
+    texts = ["Über weitgehend.\nNeue Wörter## word, word, 12.5", "two  spaces beside", "don't <|endoftext|> 日本 x", "x\n\ny beside"]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library_ids(text), text
+    joined = max(made, key=len)
+    assert all(f" {w}" in joined for w in ("weitgehend.\nNeue", "Wörter##", "12.5", "x")) and joined.count(" word,") == 1
+    assert " beside" in joined and " beside" not in made
+
+
+def test_plain_chunks_equal_the_pattern():
+    """Every character of the plain ones in every company."""
+    library, encoder = Tokenizer.from_file(FILE), chunk_encoders.ByteLevelEncoder(Path(FILE).read_text(encoding="utf-8"))
+    letters = [c for c in map(chr, range(0x250)) if chunk_encoders._PLAIN.fullmatch(c)]
+    assert len(letters) > 450
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices([*"aB1.\n", *letters], k=rng.randrange(1, 7))) for _ in range(20)) for _ in range(2_000)]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_round_trip(docs, odd, tmp_path, monkeypatch):
     monkeypatch.setattr(token_store, "FRAME_IDS", 100)
     texts = odd + noise() + ["long text " * 3_000]

@@ -1,12 +1,13 @@
 """Encoding texts chunk by chunk, each distinct chunk by its tokenizer's library and once in a while only.
 
 Both kinds of tokenizer place a token boundary before a single space, so that the ids of a text are the ids of its
-space-separated chunks one behind the other. Ids are handled as little-endian unsigned 32-bit integers in bytes, which
-join without a loop.
+space-separated chunks one behind the other. Arrow cuts the texts and finds their distinct chunks, and puts the chunks' ids
+in the texts' order: Python looks at distinct chunks only. Ids are handled as little-endian unsigned 32-bit integers.
 """
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -14,6 +15,8 @@ import struct
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tidemark.llm.token_counts import byte_letters
 
@@ -26,6 +29,14 @@ LONG_CHUNK = 100_000
 #: White space behind something else; \x1c to \x1f are white space to Python alone.
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?=[^\S\x1c-\x1f])")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Characters of plain chunks: Latin letters, digits, and ASCII signs without the apostrophe, which begins contractions, and
+#: angle brackets, which most special strings have.
+_LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!\"#$%&()*+,\-./:;=?@\\^_`{}~|\[\]"
+_PLAIN = re.compile(f"[{_LETTERS}0-9{_SIGNS}]+(?:\n[{_LETTERS}0-9{_SIGNS}]+)*")
+#: What the byte-level pattern makes of plain chunks with a space before each.
+_PARTS = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|\n")
+#: Chunks that sentencepiece gets as one text.
+PIECE_CHUNKS = 200
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -55,6 +66,11 @@ class ByteLevelEncoder:
         self.tokenizer.encode_special_tokens = plain
         self.spaced = np.array([p.startswith(b" ") for p in self.pieces()])
         self.known = Remembered(held)
+        self.model = self.tokenizer.model
+        letters = byte_letters()
+        # Byte 0 parts the words that are turned into letters together; no plain chunk has it.
+        self.letters = "\0" + "".join(letters[b] for b in range(1, 256))
+        self.plain_parts = not any(_PLAIN.fullmatch(a["content"]) for a in parsed.get("added_tokens") or [])
 
     def pieces(self) -> list[bytes]:
         """Every id's bytes; those of added tokens are their strings."""
@@ -69,21 +85,39 @@ class ByteLevelEncoder:
         parts = _BEFORE_SPACE.split(text) if len(text) > LONG_CHUNK else [text]
         return b"".join(_packed(self.tokenizer.encode(p, add_special_tokens=False).ids) for p in parts)
 
+    def _plain(self, text: str) -> list[int]:
+        """The ids of plain chunks, by the library's model alone: _PARTS are the words that its pattern would give."""
+        words = codecs.charmap_decode("\0".join(_PARTS.findall(text)).encode(), "strict", self.letters)[0].split("\0")
+        return [t.id for tokens in map(self.model.tokenize, words) for t in tokens]
+
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk, a space before it."""
-        if any(len(c) > LONG_CHUNK or " " in c or not c or c[-1].isspace() for c in chunks):
-            return [self._ids(f" {c}") for c in chunks]
-        found = self.tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0]
-        return _cut(np.array(found.ids, "<u4"), self.spaced)
+        plain = list(map(_PLAIN.fullmatch, chunks)) if self.plain_parts else [None] * len(chunks)
+        if all(plain):
+            return _cut(np.array(self._plain(" " + " ".join(chunks)), "<u4"), self.spaced)
+        if any(plain):
+            rest = iter(self._chunks([c for c, p in zip(chunks, plain, strict=True) if not p]))
+            made = iter(self._chunks([c for c, p in zip(chunks, plain, strict=True) if p]))
+            return [next(made if p else rest) for p in plain]
+        # A chunk that holds or ends in white space of another kind could not be told from its neighbours.
+        alone = [len(c) > LONG_CHUNK or " " in c or not c or c[-1].isspace() for c in chunks]
+        joined = [c for c, x in zip(chunks, alone, strict=True) if not x]
+        found = iter(_cut(np.array(self.tokenizer.encode_batch_fast([" " + " ".join(joined)], add_special_tokens=False)[0].ids, "<u4"), self.spaced) if joined else [])
+        return [self._ids(f" {c}") if x else next(found) for c, x in zip(chunks, alone, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         parts = [_SINGLE_SPACE.split(t, maxsplit=1) for t in texts]
         rest = iter(self.encode_spaced([p[1] for p in parts if len(p) > 1]))
-        return [self._ids(p[0]) + (next(rest) if len(p) > 1 else b"") for p in parts]
+        first = lambda c: _packed(self._plain(c)) if self.plain_parts and len(c) <= MAX_HELD and _PLAIN.fullmatch(c) else self._ids(c)
+        return [first(p[0]) + (next(rest) if len(p) > 1 else b"") for p in parts]
 
     def encode_spaced(self, texts: list[str]) -> list[bytes]:
         """The ids of a space and each text."""
+        return _parted(*self.flat(texts))
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a space and each text, end to end, and where in them each text's begin (and the last ends)."""
         return _joined(self.known, texts, self._chunks)
 
 
@@ -106,14 +140,27 @@ class PieceEncoder:
         return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(model.id_to_piece, range(model.get_piece_size())))]
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        if any("▁" in c or " " in c or not c for c in chunks):
-            return [_packed(self.model.encode(c)) for c in chunks]
-        return _cut(np.array(self.model.encode(" ".join(chunks)), "<u4"), self.spaced)
+        out: list[bytes] = []
+        for i in range(0, len(chunks), PIECE_CHUNKS):
+            some = chunks[i : i + PIECE_CHUNKS]
+            joined = " ".join(some)
+            if "" in some or "▁" in joined or joined.count(" ") >= len(some):
+                out += [_packed(self.model.encode(c)) for c in some]
+            else:
+                out += _cut(np.array(self.model.encode(joined), "<u4"), self.spaced)
+        return out
 
     def encode_spaced(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, with the space that the library puts before it."""
-        rest = iter(_joined(self.known, [t for t in texts if "▁" not in t], self._chunks))
-        return [_packed(self.model.encode(t)) if "▁" in t else next(rest) for t in texts]
+        return _parted(*self.flat(texts))
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """encode_spaced's ids, end to end, and where in them each text's begin (and the last ends)."""
+        if not any("▁" in t for t in texts):
+            return _joined(self.known, texts, self._chunks)
+        rest = iter(_parted(*_joined(self.known, [t for t in texts if "▁" not in t], self._chunks)))
+        found = [_packed(self.model.encode(t)) if "▁" in t else next(rest) for t in texts]
+        return np.frombuffer(b"".join(found), "<u4"), np.cumsum([0, *(len(x) // 4 for x in found)])
 
 
 def _cut(ids: np.ndarray, spaced: np.ndarray) -> list[bytes]:
@@ -122,6 +169,11 @@ def _cut(ids: np.ndarray, spaced: np.ndarray) -> list[bytes]:
     return [data[i:j] for i, j in zip(starts, [*starts[1:], len(data)], strict=True)]
 
 
+def _parted(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    data, at = ids.tobytes(), (4 * bounds).tolist()
+    return [data[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+
 class Remembered:
     """The ids of chunks. Once held of them are there they make up the older half; of the older ones only those that come up
     again stay when the newer half is full."""
@@ -131,38 +183,64 @@ class Remembered:
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def add(self, chunks: set[str], make: Callable[[list[str]], list[bytes]]) -> None:
-        newer, older = self.newer, self.older
-        for c in chunks & older.keys():
-            newer[c] = older[c]
-        made = [c for c in chunks if c not in newer]
-        if made:
-            newer.update(zip(made, make(made), strict=True))
-
-    def trim(self) -> None:
-        """Forget the older half when the newer one is full."""
+    def found(self, chunks: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """The ids of distinct chunks, and the places of those that are missing."""
+        out = list(map(self.newer.get, chunks))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if self.older and missing:
+            again = list(map(self.older.get, [chunks[i] for i in missing]))
+            for i, x in zip(missing, again, strict=True):
+                if x is not None:
+                    self.newer[chunks[i]] = out[i] = x
+            missing = [i for i, x in zip(missing, again, strict=True) if x is None]
+        return out, missing
+
+    def add(self, chunks: list[str], made: list[bytes]) -> None:
+        """Take in what was missing, and forget the older half when the newer one is full."""
+        self.newer.update(zip(chunks, made, strict=True))
         if len(self.newer) >= self.held:
             self.newer, self.older = {}, self.newer
 
 
-def _joined(known: Remembered, texts: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-    """The ids of a space and each text, chunk by chunk; what is missing is made for all texts at once. A space beside other
-    white space is no place to cut, so that chunks which are empty or end in white space are not remembered, and send their
-    text the longer way."""
-    parts = [t.split(" ") for t in texts]
-    missing = {c for chunks in parts for c in chunks if c not in known.newer}
-    odd = {c for c in missing if not c or c[-1].isspace()}
+def _strings(chunks: pa.DictionaryArray) -> list[str]:
+    return chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
+def _unsure(strings: list[str], places: list[int]) -> set[int]:
+    """The places whose chunks are empty or end in white space: the space behind them may be no place to cut, and the library
+    could not tell them from their neighbours. No such chunk is remembered."""
+    return {i for i in places if not (c := strings[i]) or c[-1].isspace()}
+
+
+def _joined(known: Remembered, texts: list[str], make: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a space and each text, end to end, and where in them each text's begin (and the last ends); what is missing is
+    made for all texts at once. Texts with unsure chunks are cut the longer way."""
+    if not texts:
+        return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+    lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    chunks, bounds = lists.flatten().dictionary_encode(), np.asarray(lists.offsets).astype(np.int64)
+    strings = _strings(chunks)
+    found, missing = known.found(strings)
+    odd = _unsure(strings, missing)
     if odd:
-        parts = [_SINGLE_SPACE.split(t) if not odd.isdisjoint(chunks) else chunks for t, chunks in zip(texts, parts, strict=True)]
-        missing = {c for chunks in parts for c in chunks if c not in known.newer}
-    passing = {c for c in missing if len(c) > MAX_HELD or not c or c[-1].isspace()}
-    known.add(missing - passing, make)
-    newer = known.newer
-    # A chunk that is not remembered is encoded by itself, as is one that the library could not tell from its neighbours.
-    once = {c: make([c])[0] for c in passing}
-    if once:
-        out = [b"".join([once[c] if c in once else newer[c] for c in chunks]) for chunks in parts]
-    else:
-        out = [b"".join(map(newer.__getitem__, chunks)) for chunks in parts]
-    known.trim()
-    return out
+        before = np.concatenate([[0], np.cumsum(np.isin(np.asarray(chunks.indices), list(odd)))])[bounds]
+        parts = [_SINGLE_SPACE.split(t) if x else t.split(" ") for t, x in zip(texts, np.diff(before).tolist(), strict=True)]
+        chunks, bounds = pa.array([c for p in parts for c in p], pa.string()).dictionary_encode(), np.cumsum([0, *map(len, parts)])
+        strings = _strings(chunks)
+        found, missing = known.found(strings)
+        odd = _unsure(strings, missing)
+    # A chunk that is not remembered is made by itself.
+    passing = odd | {i for i in missing if len(strings[i]) > MAX_HELD}
+    for i in passing:
+        found[i] = make([strings[i]])[0]
+    missing = [i for i in missing if i not in passing] if passing else missing
+    if missing:
+        new = [strings[i] for i in missing]
+        made = make(new)
+        for i, x in zip(missing, made, strict=True):
+            found[i] = x
+        known.add(new, made)
+    ids = pa.array(found, pa.large_binary()).take(chunks.indices)
+    ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
+    data = np.frombuffer(ids.buffers()[2] or b"", "<u4", (ends[-1] - ends[0]) // 4, ends[0])
+    return data, (ends[bounds] - ends[0]) // 4

@@ -28,6 +28,8 @@ FILE_BYTES = 64_000_000
 LEVEL = 3
 #: Bytes that a reader of a whole file fetches at a time, at least.
 READ_BYTES = 4_000_000
+#: Bytes of text that are encoded together.
+TEXT_BYTES = 2_000_000
 MAX_FILE_BYTES = 64_000_000
 #: Fixed values of the seekable format: magic numbers of the seek table's frame and at its end, and the checksum flag.
 SEEK_TABLE_MAGIC = 0x184D2A5E
@@ -188,7 +190,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer_file: str, end_id: int, i
         system.create_dir(base, recursive=True)
         encoder = kept(("token_store", name), lambda: ByteLevelEncoder(definition.value))
         partition, number, out, writer, part = TaskContext.get().partitionId(), 0, None, None, ""
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", TEXT_BYTES):
             encoded = encoder.encode([t or "" for t in rows.column("text").to_pylist()])
             for doc_id, ids in zip(rows.column("doc_id").to_pylist(), encoded, strict=True):
                 if writer is None:
