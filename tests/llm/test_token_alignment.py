@@ -94,3 +94,14 @@ def test_repeats_null_ids_and_empty_tables(docs):
     rows = token_alignment.align_tokenizers(docs(["a b", "a b", "a b"], [1, 1, None]), A, B).collect()
     assert sorted((r.doc_id or 0, r.n_links, r.count_sum) for r in rows) == [(0, 2, 6), (1, 2, 6), (1, 2, 6)]
     assert token_alignment.align_tokenizers(docs([]), A, B).collect() == []
+
+
+def test_tokens_are_packed_and_sorted_in_compiled_code(docs):
+    """Marks sort behind the tokens that end there, and no lambda has the sort below it, which Spark would interpret then."""
+    tokens = token_alignment.packed(docs(["über 日本 internationalisation"]), A, B)
+    row = tokens.first()
+    for side, marks in ((row.a, row.a_marks), (row.b, row.b_marks)):
+        assert [x >> token_alignment.ID_BITS for x in side] == [m >> token_alignment.ID_BITS for m in marks]
+        assert sorted(side + marks) == [x for pair in zip(side, marks, strict=True) for x in pair]
+    plan = token_alignment.align(tokens, groups=False)._jdf.queryExecution().executedPlan().toString()
+    assert "sort_array(" in plan and "transform(sort_array(" not in plan

@@ -38,6 +38,9 @@ _PARTS = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|\n")
 #: Chunks that sentencepiece gets as one text.
 PIECE_CHUNKS = 200
 
+#: The chunks of texts, where in them each text's begin (and the last ends), and the distinct chunks.
+Cut = tuple[pa.DictionaryArray, np.ndarray, list[str]]
+
 
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -116,9 +119,10 @@ class ByteLevelEncoder:
         """The ids of a space and each text."""
         return _parted(*self.flat(texts))
 
-    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of a space and each text, end to end, and where in them each text's begin (and the last ends)."""
-        return _joined(self.known, texts, self._chunks)
+    def flat(self, texts: list[str], cut: Cut | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a space and each text, end to end, and where in them each text's begin (and the last ends). cut: at_spaces
+        of the texts, where it is there already."""
+        return _joined(self.known, texts, self._chunks, cut)
 
 
 class PieceEncoder:
@@ -154,10 +158,11 @@ class PieceEncoder:
         """The ids of each text, with the space that the library puts before it."""
         return _parted(*self.flat(texts))
 
-    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """encode_spaced's ids, end to end, and where in them each text's begin (and the last ends)."""
+    def flat(self, texts: list[str], cut: Cut | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """encode_spaced's ids, end to end, and where in them each text's begin (and the last ends). cut: at_spaces of the texts,
+        where it is there already."""
         if not any("▁" in t for t in texts):
-            return _joined(self.known, texts, self._chunks)
+            return _joined(self.known, texts, self._chunks, cut)
         rest = iter(_parted(*_joined(self.known, [t for t in texts if "▁" not in t], self._chunks)))
         found = [_packed(self.model.encode(t)) if "▁" in t else next(rest) for t in texts]
         return np.frombuffer(b"".join(found), "<u4"), np.cumsum([0, *(len(x) // 4 for x in found)])
@@ -206,20 +211,25 @@ def _strings(chunks: pa.DictionaryArray) -> list[str]:
     return chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
+def at_spaces(texts: list[str]) -> Cut:
+    """The texts cut at each space."""
+    lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    chunks = lists.flatten().dictionary_encode()
+    return chunks, np.asarray(lists.offsets).astype(np.int64), _strings(chunks)
+
+
 def _unsure(strings: list[str], places: list[int]) -> set[int]:
     """The places whose chunks are empty or end in white space: the space behind them may be no place to cut, and the library
     could not tell them from their neighbours. No such chunk is remembered."""
     return {i for i in places if not (c := strings[i]) or c[-1].isspace()}
 
 
-def _joined(known: Remembered, texts: list[str], make: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def _joined(known: Remembered, texts: list[str], make: Callable[[list[str]], list[bytes]], cut: Cut | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a space and each text, end to end, and where in them each text's begin (and the last ends); what is missing is
     made for all texts at once. Texts with unsure chunks are cut the longer way."""
     if not texts:
         return np.zeros(0, "<u4"), np.zeros(1, np.int64)
-    lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
-    chunks, bounds = lists.flatten().dictionary_encode(), np.asarray(lists.offsets).astype(np.int64)
-    strings = _strings(chunks)
+    chunks, bounds, strings = cut or at_spaces(texts)
     found, missing = known.found(strings)
     odd = _unsure(strings, missing)
     if odd:

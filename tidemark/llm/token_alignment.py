@@ -1,73 +1,90 @@
 """Aligning two tokenizers: groups of tokens that cover the same bytes, and links between tokens that end together.
 
-Python only tokenises: it gives both token sequences of a text as ids and end offsets in bytes. The common ends
-(array_intersect) cut both into groups; transform, aggregate and sequence build groups, links and their digest inside the
-rows. Links are then counted by pair of ids over the whole corpus; the counts of pairs that occur often, a bounded number,
+Python only tokenises: it gives both token sequences of a text as numbers of end offset in bytes and id, and the ends as
+numbers that sort behind the tokens that end there. The common ends (array_intersect) cut both sequences into groups: those that
+are not common, sorted into their sequence, join its ids, and transform, zip_with and aggregate build groups, links and their
+digest inside the rows. Links are then counted by pair of ids over the whole corpus; the counts of pairs that occur often, a bounded number,
 are broadcast to the links, those of all others are joined by a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm._common import frugal, kept, slices, written
-from tidemark.llm.chunk_encoders import ByteLevelEncoder, PieceEncoder
+from tidemark.llm.chunk_encoders import ByteLevelEncoder, Cut, PieceEncoder, at_spaces
 
 #: Pairs of ids whose counts are broadcast at most; rarer ones are joined by a shuffle.
 BROADCAST_PAIRS = 500_000
 #: Chunks that each of a worker's two encoders remembers, by halves.
 HELD_CHUNKS = 150_000
 MAX_FILE_BYTES = 64_000_000
+#: Bytes of text that are encoded together.
+TEXT_BYTES = 2_000_000
+#: A token is its end * 2 ** ID_BITS + its id; a mark is the same with MARK for the id, which no token has.
+ID_BITS = 20
+MARK = 2**ID_BITS - 1
 
-TOKENS = "doc_id long, a_ids array<int>, a_ends array<long>, b_ids array<int>, b_ends array<long>"
+#: Tokens and marks of both sides. No element is null, which lets Spark sort them as plain numbers.
+PACKED = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("a", "a_marks", "b", "b_marks"))])
 
 
 class Side:
-    """One tokenizer, with the bytes of its ids end to end."""
+    """One tokenizer, with the bytes of its ids."""
 
     def __init__(self, encoder: ByteLevelEncoder | PieceEncoder):
         self.encoder, pieces = encoder, encoder.pieces()
-        self.sizes = np.array([len(p) for p in pieces], np.int64)
-        self.starts, self.bytes = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(pieces), np.uint8)
-
-    def tokens(self, texts: list[str], whole: list[bytes]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """(ids, ends) of a space and each text; None where the tokens' bytes are not whole's, which are the text's."""
-        each = [np.frombuffer(x, "<u4") for x in self.encoder.encode_spaced(texts)]
-        ids = np.concatenate([np.zeros(0, "<u4"), *each]).astype(np.int32)
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        joined = self.bytes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - sizes), sizes)].tobytes()
-        out, token, byte = [], 0, 0
-        for n, want in zip(map(len, each), whole, strict=True):
-            stop = int(ends[token + n - 1]) if n else byte
-            out.append((ids[token : token + n], ends[token : token + n] - byte) if joined[byte:stop] == want else None)
-            token, byte = token + n, stop
-        return out
+        if len(pieces) > MARK:
+            raise ValueError(f"a vocabulary of more than {MARK} ids")
+        self.bytes = pa.array(pieces, pa.large_binary())
+
+    def tokens(self, texts: list[str], whole: list[bytes], cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool]]:
+        """Of a space and each text, end to end: ids and their ends in bytes; where in them each text's begin (and the last
+        ends); and whether each text's tokens have whole's bytes, which are the text's."""
+        ids, bounds = self.encoder.flat(texts, cut)
+        taken = self.bytes.take(pa.array(ids))
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(ids) + 1, 8 * taken.offset)
+        joined = bytes(taken.buffers()[2] or b"")[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        at = ends[bounds].tolist()
+        return ids.astype(np.int64), ends[1:], bounds, [joined[i:j] == want for i, j, want in zip(at, at[1:], whole, strict=False)]
 
 
 class Pair:
     """Both tokenizers."""
 
     def __init__(self, definition: str, model: bytes):
-        self.a, self.b = Side(ByteLevelEncoder(definition, plain=True, held=HELD_CHUNKS)), Side(PieceEncoder(model, held=HELD_CHUNKS))
+        self.sides = [Side(ByteLevelEncoder(definition, plain=True, held=HELD_CHUNKS)), Side(PieceEncoder(model, held=HELD_CHUNKS))]
 
-    def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(ids, ends) by A and (ids, ends) by B of a space and each text; all empty if either's tokens are not its bytes."""
-        given = list(dict.fromkeys(t for t in texts if t))
+    def tokens(self, texts: list[str | None]) -> list[pa.Array]:
+        """Tokens and marks by A, and by B, of a space and each text; all empty if either's tokens are not its bytes."""
+        given = [t or "" for t in texts]
         whole = [f" {t}".encode() for t in given]
-        found = {t: (*a, *b) for t, a, b in zip(given, self.a.tokens(given, whole), self.b.tokens(given, whole), strict=True) if a and b}
-        ids, ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        return [found.get(t, (ids, ends, ids, ends)) for t in texts]
+        cut = at_spaces(given)
+        found = [side.tokens(given, whole, cut) for side in self.sides]
+        used = np.array([bool(t) and all(same) for t, *same in zip(given, *(f[3] for f in found), strict=True)], bool)
+        out = []
+        for ids, ends, bounds, _ in found:
+            counts = np.diff(bounds)
+            before = np.concatenate([[0], ends])[bounds[:-1]]
+            ends = (ends - np.repeat(before, counts)) << ID_BITS
+            if not used.all():
+                kept_ = np.repeat(used, counts)
+                ids, ends, counts = ids[kept_], ends[kept_], np.where(used, counts, 0)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            out += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ends | ids, ends | MARK)]
+        return out
 
 
-def tokenise(df: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of df, as in TOKENS. a_file is a byte-level .json file, b_file a .model file; see ByteLevelEncoder
+def packed(df: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of df, as in PACKED. a_file is a byte-level .json file, b_file a .model file; see ByteLevelEncoder
     and PieceEncoder for those that are refused."""
     paths = [Path(a_file), Path(b_file)]
     if any(p.stat().st_size > MAX_FILE_BYTES for p in paths):
@@ -78,66 +95,51 @@ def tokenise(df: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = kept(key, lambda: Pair(*shipped.value))
-        for part in slices(batches, "text"):
-            found = list(zip(*pair.tokens(part.column("text").to_pylist()), strict=True))
-            columns = []
-            for arrays in found:
-                offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays))))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+        for part in slices(batches, "text", TEXT_BYTES):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *pair.tokens(part.column("text").to_pylist())], names=PACKED.names)
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(frugal(run, key), TOKENS)
-
-
-def _with(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once, however often body names it."""
-    return F.transform(F.array(value), body)[0]
-
+    return docs.mapInArrow(frugal(run, key), PACKED)
 
-def _places(ends: Column, cuts: Column) -> Column:
-    """How many tokens end up to each cut. The ends that are cuts, as odd numbers, and the others, as even ones, are sorted
-    together (two runs, which costs a merge): a cut's place in that is its token's."""
-    marked = F.sort_array(F.concat(F.transform(F.array_except(ends, cuts), lambda e: F.shiftleft(e, 1)), F.transform(cuts, lambda c: F.shiftleft(c, 1).bitwiseOR(1))))
-    return _with(marked, lambda m: F.filter(F.when(F.size(m) > 0, F.sequence(F.lit(1), F.size(m))).otherwise(F.array().cast("array<int>")), lambda j: F.get(m, j - 1).bitwiseAND(1) == 1))
 
-
-def _sides(values: Column, places: Column, one: Callable[[Column], Column], some: Callable[[Column], Column]) -> Column:
-    """A group's share of values, for each group: one of the only value, or some of the slice."""
-
-    def share(at: Column, k: Column) -> Column:
-        before = F.when(k == 0, 0).otherwise(F.get(places, k - 1))
-        return F.when(at - before == 1, one(F.get(values, at - 1))).otherwise(some(F.slice(values, before + 1, at - before)))
-
-    return F.transform(places, share)
+def tokenise(df: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """packed's rows, and their ids and ends in bytes: doc_id, a, a_marks, b, b_marks, a_ids, a_ends, b_ids, b_ends."""
+    ids = lambda c: F.transform(c, lambda x: x.bitwiseAND(MARK).cast("int")).alias(f"{c}_ids")
+    ends = lambda c: F.transform(c, lambda x: F.shiftright(x, ID_BITS)).alias(f"{c}_ends")
+    return packed(df, a_file, b_file, id_col, text_col).select("*", ids("a"), ends("a"), ids("b"), ends("b"))
 
 
-def _digest(p: Column) -> Column:
-    side = lambda ids, places: _with(F.col(ids).cast("array<string>"), lambda v: _sides(v, places, lambda x: x, lambda x: F.array_join(x, ",")))
-    text = F.array_join(F.zip_with(side("a_ids", p["a"]), side("b_ids", p["b"]), lambda a, b: F.concat(a, F.lit("|"), b)), ";")
-    return F.when(F.size(p["a"]) > 0, F.sha2(text, 256)).otherwise("")
+def _groups(side: str) -> Column:
+    """A side's groups, each as its ids joined by commas, of its tokens with the marks of those behind which no group ends."""
+    ids = F.array_join(F.transform(side, lambda x: x.bitwiseAND(MARK)).cast("array<string>"), "|")
+    return F.split(F.replace(ids, F.lit(f"|{MARK}|"), F.lit(",")), r"\|")
 
 
 def align(tokens: DataFrame, groups: bool = True) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, groups_sha256, links_a, links_b of rows as in TOKENS; with groups, also groups and n_single.
+    """doc_id, n_a, n_b, n_groups, groups_sha256, links_a, links_b of rows as in PACKED; with groups, also groups and n_single.
 
     groups: array of (a, b), the ids of both sides in their order, whose texts are the same bytes; n_single: groups of one
     token each. links_a, links_b: the ids of the tokens that end together: no token is empty, so that each group has one link,
     of its last tokens. groups_sha256: SHA-256 of the groups as a1,a2|b1;a3|b2,b3. Rows without tokens have no groups, and an
     empty string.
     """
-
-    def built(p: Column) -> Column:
-        last = lambda ids, places: F.transform(places, lambda at: F.get(F.col(ids), at - 1))
-        fields = [F.size(p["a"]).alias("n_groups"), _digest(p).alias("groups_sha256"), last("a_ids", p["a"]).alias("links_a"), last("b_ids", p["b"]).alias("links_b")]
-        if groups:
-            same = lambda x: x
-            fields.append(F.zip_with(_sides(F.col("a_ids"), p["a"], F.array, same), _sides(F.col("b_ids"), p["b"], F.array, same), lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("groups"))
-        return F.struct(*fields)
-
-    places = lambda cuts: F.struct(_places(F.col("a_ends"), cuts).alias("a"), _places(F.col("b_ends"), cuts).alias("b"))
-    found = _with(F.array_intersect("a_ends", "b_ends"), lambda cuts: _with(places(cuts), built))
-    out = tokens.select("doc_id", F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), found.alias("x")).select("doc_id", "n_a", "n_b", "x.*")
+    # Each step's arrays are named more than once in the next one: Spark then works them out in compiled code before the
+    # lambdas, which it interprets together with all that is below them.
+    cut = tokens.select("doc_id", "a", "b", "a_marks", "b_marks", F.array_intersect("a_marks", "b_marks").alias("cuts"))
+    inner = lambda c: F.sort_array(F.concat(c, F.array_except(f"{c}_marks", "cuts"))).alias(c)
+    merged = cut.select("doc_id", F.size("cuts").alias("n_groups"), inner("a"), inner("b"))
+    # Each group's last token has no mark beside it, every other one has.
+    count = lambda c: F.shiftright(F.size(c) + F.col("n_groups"), 1).alias(f"n_{c}")
+    sides = merged.select("doc_id", count("a"), count("b"), "n_groups", _groups("a").alias("a"), _groups("b").alias("b"))
+    some = F.col("n_groups") > 0
+    text = F.array_join(F.zip_with("a", "b", lambda a, b: F.concat(a, F.lit("|"), b)), ";")
+    last = lambda c: F.when(some, F.transform(c, lambda g: F.substring_index(g, ",", -1)).cast("array<int>")).otherwise(F.array().cast("array<int>"))
+    fields = [F.when(some, F.sha2(text, 256)).otherwise("").alias("groups_sha256"), last("a").alias("links_a"), last("b").alias("links_b")]
+    if groups:
+        ids = lambda g: F.split(g, ",").cast("array<int>")
+        pairs = F.zip_with("a", "b", lambda a, b: F.struct(ids(a).alias("a"), ids(b).alias("b")))
+        fields.append(F.when(some, pairs).otherwise(F.array().cast("array<struct<a:array<int>,b:array<int>>>")).alias("groups"))
+    out = sides.select("doc_id", "n_a", "n_b", "n_groups", *fields)
     if groups:
         single = F.aggregate("groups", F.lit(0), lambda n, g: n + F.when((F.size(g["a"]) == 1) & (F.size(g["b"]) == 1), 1).otherwise(0))
         out = out.withColumn("n_single", single)
@@ -172,7 +174,7 @@ def align_tokenizers(df: DataFrame, a_file: str, b_file: str, id_col: str = "doc
     names; an empty table gives an empty result.
     """
     # Rows are told apart by a number of their own, as ids may repeat; the table fixes it, and nothing is tokenised twice.
-    rows, _ = written(align(tokenise(df, a_file, b_file, id_col, text_col), groups=False).withColumn("row", F.monotonically_increasing_id()), "links")
+    rows, _ = written(align(packed(df, a_file, b_file, id_col, text_col), groups=False).withColumn("row", F.monotonically_increasing_id()), "links")
     links = rows.select("row", F.inline(F.arrays_zip(F.col("links_a").alias("a"), F.col("links_b").alias("b"))))
     pairs = count_pairs(links)
     least = _rare_below(pairs)
