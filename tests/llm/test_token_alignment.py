@@ -105,3 +105,14 @@ def test_tokens_are_packed_and_sorted_in_compiled_code(docs):
         assert sorted(side + marks) == [x for pair in zip(side, marks, strict=True) for x in pair]
     plan = token_alignment.align(tokens, groups=False)._jdf.queryExecution().executedPlan().toString()
     assert "sort_array(" in plan and "transform(sort_array(" not in plan
+
+
+def test_ends_at_single_spaces_are_counted_and_not_compared(docs, odd):
+    """Rows of the query have marks within chunks only, and align to the same as those with all marks."""
+    given = [t for t in odd + texts() if t is None or len(t) < 12_000] + ["the internationalisation sat", "a b c", "x  y ", "▁ a b"]
+    spaced, packed = token_alignment.spaced(docs(given), A, B), token_alignment.packed(docs(given), A, B)
+    rows = {r.doc_id: r for r in spaced.collect()}
+    assert all(len(side) - len(marks) == r.sure for r in rows.values() if r.sure for side, marks in ((r.a, r.a_marks), (r.b, r.b_marks)))
+    assert [rows[given.index(t)].sure for t in ("the internationalisation sat", "▁ a b", None)] == [3, 0, 0]
+    got, want = (sorted(token_alignment.align(x, groups=False).collect()) for x in (spaced, packed))
+    assert got == want and len(got) == len(given)

@@ -13,6 +13,7 @@ import os
 import re
 import struct
 from collections.abc import Callable
+from typing import Generic, TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ PIECE_CHUNKS = 200
 
 #: The chunks of texts, where in them each text's begin (and the last ends), and the distinct chunks.
 Cut = tuple[pa.DictionaryArray, np.ndarray, list[str]]
+Made = TypeVar("Made")
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -93,14 +95,14 @@ class ByteLevelEncoder:
         words = codecs.charmap_decode("\0".join(_PARTS.findall(text)).encode(), "strict", self.letters)[0].split("\0")
         return [t.id for tokens in map(self.model.tokenize, words) for t in tokens]
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
+    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk, a space before it."""
         plain = list(map(_PLAIN.fullmatch, chunks)) if self.plain_parts else [None] * len(chunks)
         if all(plain):
             return _cut(np.array(self._plain(" " + " ".join(chunks)), "<u4"), self.spaced)
         if any(plain):
-            rest = iter(self._chunks([c for c, p in zip(chunks, plain, strict=True) if not p]))
-            made = iter(self._chunks([c for c, p in zip(chunks, plain, strict=True) if p]))
+            rest = iter(self.chunk_ids([c for c, p in zip(chunks, plain, strict=True) if not p]))
+            made = iter(self.chunk_ids([c for c, p in zip(chunks, plain, strict=True) if p]))
             return [next(made if p else rest) for p in plain]
         # A chunk that holds or ends in white space of another kind could not be told from its neighbours.
         alone = [len(c) > LONG_CHUNK or " " in c or not c or c[-1].isspace() for c in chunks]
@@ -122,7 +124,11 @@ class ByteLevelEncoder:
     def flat(self, texts: list[str], cut: Cut | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a space and each text, end to end, and where in them each text's begin (and the last ends). cut: at_spaces
         of the texts, where it is there already."""
-        return _joined(self.known, texts, self._chunks, cut)
+        return _joined(self.known, texts, self.chunk_ids, cut)
+
+    def alone(self, text: str) -> bytes:
+        """The ids of a space and a text, without looking at its chunks."""
+        return self._ids(f" {text}")
 
 
 class PieceEncoder:
@@ -143,7 +149,8 @@ class PieceEncoder:
         model = self.model
         return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(model.id_to_piece, range(model.get_piece_size())))]
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
+    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk, with the space that the library puts before it."""
         out: list[bytes] = []
         for i in range(0, len(chunks), PIECE_CHUNKS):
             some = chunks[i : i + PIECE_CHUNKS]
@@ -162,11 +169,15 @@ class PieceEncoder:
         """encode_spaced's ids, end to end, and where in them each text's begin (and the last ends). cut: at_spaces of the texts,
         where it is there already."""
         if not any("▁" in t for t in texts):
-            return _joined(self.known, texts, self._chunks, cut)
-        rest = iter(_parted(*_joined(self.known, [t for t in texts if "▁" not in t], self._chunks)))
-        found = [_packed(self.model.encode(t)) if "▁" in t else next(rest) for t in texts]
+            return _joined(self.known, texts, self.chunk_ids, cut)
+        rest = iter(_parted(*_joined(self.known, [t for t in texts if "▁" not in t], self.chunk_ids)))
+        found = [self.alone(t) if "▁" in t else next(rest) for t in texts]
         return np.frombuffer(b"".join(found), "<u4"), np.cumsum([0, *(len(x) // 4 for x in found)])
 
+    def alone(self, text: str) -> bytes:
+        """The ids of a text, without looking at its chunks; one that holds the library's own sign for a space needs that."""
+        return _packed(self.model.encode(text))
+
 
 def _cut(ids: np.ndarray, spaced: np.ndarray) -> list[bytes]:
     """The ids of chunks that were encoded as one text: a token that begins with a space begins a chunk."""
@@ -179,17 +190,17 @@ def _parted(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [data[i:j] for i, j in zip(at, at[1:], strict=False)]
 
 
-class Remembered:
-    """The ids of chunks. Once held of them are there they make up the older half; of the older ones only those that come up
+class Remembered(Generic[Made]):
+    """What was made of chunks: their ids. Once held of them are there they make up the older half; of the older ones only those that come up
     again stay when the newer half is full."""
 
     def __init__(self, held: int) -> None:
         self.held = held
-        self.newer: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.newer: dict[str, Made] = {}
+        self.older: dict[str, Made] = {}
 
-    def found(self, chunks: list[str]) -> tuple[list[bytes | None], list[int]]:
-        """The ids of distinct chunks, and the places of those that are missing."""
+    def found(self, chunks: list[str]) -> tuple[list[Made | None], list[int]]:
+        """What is held of distinct chunks, and the places of those that are missing."""
         out = list(map(self.newer.get, chunks))
         missing = [i for i, x in enumerate(out) if x is None]
         if self.older and missing:
@@ -200,7 +211,7 @@ class Remembered:
             missing = [i for i, x in zip(missing, again, strict=True) if x is None]
         return out, missing
 
-    def add(self, chunks: list[str], made: list[bytes]) -> None:
+    def add(self, chunks: list[str], made: list[Made]) -> None:
         """Take in what was missing, and forget the older half when the newer one is full."""
         self.newer.update(zip(chunks, made, strict=True))
         if len(self.newer) >= self.held:
@@ -224,11 +235,9 @@ def _unsure(strings: list[str], places: list[int]) -> set[int]:
     return {i for i in places if not (c := strings[i]) or c[-1].isspace()}
 
 
-def _joined(known: Remembered, texts: list[str], make: Callable[[list[str]], list[bytes]], cut: Cut | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a space and each text, end to end, and where in them each text's begin (and the last ends); what is missing is
-    made for all texts at once. Texts with unsure chunks are cut the longer way."""
-    if not texts:
-        return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+def encoded(known: Remembered, texts: list[str], make: Callable[[list[str]], list[Made]], cut: Cut | None = None) -> tuple[pa.DictionaryArray, np.ndarray, list[str], list[Made]]:
+    """The chunks of texts, where in them each text's begin (and the last ends), the distinct chunks and what make gives for each of
+    them; what is missing is made for all texts at once. Texts with unsure chunks are cut the longer way."""
     chunks, bounds, strings = cut or at_spaces(texts)
     found, missing = known.found(strings)
     odd = _unsure(strings, missing)
@@ -250,6 +259,14 @@ def _joined(known: Remembered, texts: list[str], make: Callable[[list[str]], lis
         for i, x in zip(missing, made, strict=True):
             found[i] = x
         known.add(new, made)
+    return chunks, bounds, strings, found
+
+
+def _joined(known: Remembered, texts: list[str], make: Callable[[list[str]], list[bytes]], cut: Cut | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a space and each text, end to end, and where in them each text's begin (and the last ends)."""
+    if not texts:
+        return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+    chunks, bounds, _, found = encoded(known, texts, make, cut)
     ids = pa.array(found, pa.large_binary()).take(chunks.indices)
     ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
     data = np.frombuffer(ids.buffers()[2] or b"", "<u4", (ends[-1] - ends[0]) // 4, ends[0])

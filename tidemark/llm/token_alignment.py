@@ -3,13 +3,14 @@
 Python only tokenises: it gives both token sequences of a text as numbers of end offset in bytes and id, and the ends as
 numbers that sort behind the tokens that end there. The common ends (array_intersect) cut both sequences into groups: those that
 are not common, sorted into their sequence, join its ids, and transform, zip_with and aggregate build groups, links and their
-digest inside the rows. Links are then counted by pair of ids over the whole corpus; the counts of pairs that occur often, a bounded number,
+digest inside the rows. Both tokenizers end a token before each single space: those ends are common without a look, and are
+only counted. Links are then counted by pair of ids over the whole corpus; the counts of pairs that occur often, a bounded number,
 are broadcast to the links, those of all others are joined by a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
@@ -19,11 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm._common import frugal, kept, slices, written
-from tidemark.llm.chunk_encoders import ByteLevelEncoder, Cut, PieceEncoder, at_spaces
+from tidemark.llm.chunk_encoders import ByteLevelEncoder, Cut, PieceEncoder, Remembered, at_spaces, encoded
 
 #: Pairs of ids whose counts are broadcast at most; rarer ones are joined by a shuffle.
 BROADCAST_PAIRS = 500_000
-#: Chunks that each of a worker's two encoders remembers, by halves.
+#: Half of the chunks that a worker remembers.
 HELD_CHUNKS = 150_000
 MAX_FILE_BYTES = 64_000_000
 #: Bytes of text that are encoded together.
@@ -35,6 +36,9 @@ MARK = 2**ID_BITS - 1
 #: Tokens and marks of both sides. No element is null, which lets Spark sort them as plain numbers.
 PACKED = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("a", "a_marks", "b", "b_marks"))])
 
+#: The same without the marks of ends at single spaces and at the text's end, whose number is sure.
+SPACED = T.StructType([*PACKED.fields, T.StructField("sure", T.IntegerType(), False)])
+
 
 class Side:
     """One tokenizer, with the bytes of its ids."""
@@ -44,6 +48,17 @@ class Side:
         if len(pieces) > MARK:
             raise ValueError(f"a vocabulary of more than {MARK} ids")
         self.bytes = pa.array(pieces, pa.large_binary())
+        self.lengths = np.array([len(p) for p in pieces], np.int64)
+
+    def gives_back(self, made: Sequence[bytes], strings: list[str]) -> np.ndarray:
+        """Of chunks and their ids: whether the ids' bytes are a space and the chunk."""
+        taken = self.bytes.take(pa.array(np.frombuffer(b"".join(made), "<u4")))
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, 8 * taken.offset)
+        joined, at = bytes(taken.buffers()[2] or b"")[ends[0] : ends[-1]], ends[np.cumsum([0, *map(len, made)]) // 4] - ends[0]
+        spaced = [f" {s}".encode() for s in strings]
+        if joined == b"".join(spaced) and np.array_equal(np.diff(at), np.fromiter(map(len, spaced), np.int64, len(spaced))):
+            return np.ones(len(spaced), bool)
+        return np.array([joined[i:j] == want for i, j, want in zip(at.tolist(), at[1:].tolist(), spaced, strict=False)], bool)
 
     def tokens(self, texts: list[str], whole: list[bytes], cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool]]:
         """Of a space and each text, end to end: ids and their ends in bytes; where in them each text's begin (and the last
@@ -62,6 +77,47 @@ class Pair:
 
     def __init__(self, definition: str, model: bytes):
         self.sides = [Side(ByteLevelEncoder(definition, plain=True, held=HELD_CHUNKS)), Side(PieceEncoder(model, held=HELD_CHUNKS))]
+        self.known: Remembered[tuple[bytes, bytes]] = Remembered(HELD_CHUNKS)
+
+    def _made(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        """The ids of each chunk by A and by B."""
+        a, b = (side.encoder.chunk_ids(chunks) for side in self.sides)
+        return list(zip(a, b, strict=True))
+
+    def spaced(self, texts: list[str | None]) -> list[pa.Array]:
+        """SPACED's columns behind doc_id. Texts with a sign of the piece library's own, or with a chunk whose bytes its tokens are
+        not, are taken whole: tokens' columns, and no end is sure."""
+        # A text without chunks of its own has any one in its stead: an empty one would have all texts cut the longer way.
+        own = np.array([bool(t) and "▁" not in t for t in texts], bool)
+        chunks, bounds, strings, found = encoded(self.known, [t if x else "a" for t, x in zip(texts, own.tolist(), strict=True)], self._made)
+        places, counts = np.asarray(chunks.indices), np.diff(bounds)
+        made = list(zip(*found, strict=True))
+        good = np.logical_and.reduce([side.gives_back(x, strings) for side, x in zip(self.sides, made, strict=True)])
+        if not good.all():
+            own &= np.diff(np.concatenate([[0], np.cumsum(~good[places])])[bounds]) == 0
+        if not own.all():
+            places, counts = places[np.repeat(own, counts)], np.where(own, counts, 0)
+        bounds, out = np.concatenate([[0], np.cumsum(counts)]), []
+        for side, x in zip(self.sides, made, strict=True):
+            taken = pa.array(x, pa.large_binary()).take(pa.array(places))
+            stops = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, 8 * taken.offset) // 4
+            ids = np.frombuffer(taken.buffers()[2] or b"", "<u4", stops[-1] - stops[0], 4 * stops[0])
+            stops = stops - stops[0]
+            at = stops[bounds]
+            ends = np.cumsum(side.lengths[ids])
+            ends = (ends - np.repeat(np.concatenate([[0], ends])[at[:-1]], np.diff(at))) << ID_BITS
+            inner = np.ones(len(ids), bool)
+            inner[stops[1:] - 1] = False
+            for values, offsets in ((ends | ids, at), ((ends | MARK)[inner], at - bounds)):
+                out.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)))
+        out.append(pa.array(counts.astype(np.int32)))
+        if own.all():
+            return out
+        rest = np.flatnonzero(~own)
+        whole = [*self.tokens([texts[i] for i in rest.tolist()]), pa.array(np.zeros(len(rest), np.int32))]
+        order = np.arange(len(texts))
+        order[rest] = len(texts) + np.arange(len(rest))
+        return [pa.concat_arrays([x, y]).take(pa.array(order)) for x, y in zip(out, whole, strict=True)]
 
     def tokens(self, texts: list[str | None]) -> list[pa.Array]:
         """Tokens and marks by A, and by B, of a space and each text; all empty if either's tokens are not its bytes."""
@@ -83,9 +139,9 @@ class Pair:
         return out
 
 
-def packed(df: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of df, as in PACKED. a_file is a byte-level .json file, b_file a .model file; see ByteLevelEncoder
-    and PieceEncoder for those that are refused."""
+def _rows(df: DataFrame, a_file: str, b_file: str, id_col: str, text_col: str, schema: T.StructType, columns: Callable[[Pair, list[str | None]], list[pa.Array]]) -> DataFrame:
+    """A row for each row of df: its id, and columns of its text. a_file is a byte-level .json file, b_file a .model file; see
+    ByteLevelEncoder and PieceEncoder for those that are refused."""
     paths = [Path(a_file), Path(b_file)]
     if any(p.stat().st_size > MAX_FILE_BYTES for p in paths):
         raise ValueError(f"a file is larger than {MAX_FILE_BYTES} bytes")
@@ -96,10 +152,20 @@ def packed(df: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = kept(key, lambda: Pair(*shipped.value))
         for part in slices(batches, "text", TEXT_BYTES):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *pair.tokens(part.column("text").to_pylist())], names=PACKED.names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns(pair, part.column("text").to_pylist())], names=schema.names)
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(frugal(run, key), PACKED)
+    return docs.mapInArrow(frugal(run, key), schema)
+
+
+def packed(df: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of df, as in PACKED; see _rows for the files."""
+    return _rows(df, a_file, b_file, id_col, text_col, PACKED, Pair.tokens)
+
+
+def spaced(df: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of df, as in SPACED; see _rows for the files."""
+    return _rows(df, a_file, b_file, id_col, text_col, SPACED, Pair.spaced)
 
 
 def tokenise(df: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,7 +182,7 @@ def _groups(side: str) -> Column:
 
 
 def align(tokens: DataFrame, groups: bool = True) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, groups_sha256, links_a, links_b of rows as in PACKED; with groups, also groups and n_single.
+    """doc_id, n_a, n_b, n_groups, groups_sha256, links_a, links_b of rows as in PACKED or SPACED; with groups, also groups and n_single.
 
     groups: array of (a, b), the ids of both sides in their order, whose texts are the same bytes; n_single: groups of one
     token each. links_a, links_b: the ids of the tokens that end together: no token is empty, so that each group has one link,
@@ -125,9 +191,10 @@ def align(tokens: DataFrame, groups: bool = True) -> DataFrame:
     """
     # Each step's arrays are named more than once in the next one: Spark then works them out in compiled code before the
     # lambdas, which it interprets together with all that is below them.
-    cut = tokens.select("doc_id", "a", "b", "a_marks", "b_marks", F.array_intersect("a_marks", "b_marks").alias("cuts"))
+    sure = F.col("sure") if "sure" in tokens.columns else F.lit(0)
+    cut = tokens.select("doc_id", "a", "b", "a_marks", "b_marks", sure.alias("sure"), F.array_intersect("a_marks", "b_marks").alias("cuts"))
     inner = lambda c: F.sort_array(F.concat(c, F.array_except(f"{c}_marks", "cuts"))).alias(c)
-    merged = cut.select("doc_id", F.size("cuts").alias("n_groups"), inner("a"), inner("b"))
+    merged = cut.select("doc_id", (F.size("cuts") + F.col("sure")).alias("n_groups"), inner("a"), inner("b"))
     # Each group's last token has no mark beside it, every other one has.
     count = lambda c: F.shiftright(F.size(c) + F.col("n_groups"), 1).alias(f"n_{c}")
     sides = merged.select("doc_id", count("a"), count("b"), "n_groups", _groups("a").alias("a"), _groups("b").alias("b"))
@@ -174,7 +241,7 @@ def align_tokenizers(df: DataFrame, a_file: str, b_file: str, id_col: str = "doc
     names; an empty table gives an empty result.
     """
     # Rows are told apart by a number of their own, as ids may repeat; the table fixes it, and nothing is tokenised twice.
-    rows, _ = written(align(packed(df, a_file, b_file, id_col, text_col), groups=False).withColumn("row", F.monotonically_increasing_id()), "links")
+    rows, _ = written(align(spaced(df, a_file, b_file, id_col, text_col), groups=False).withColumn("row", F.monotonically_increasing_id()), "links")
     links = rows.select("row", F.inline(F.arrays_zip(F.col("links_a").alias("a"), F.col("links_b").alias("b"))))
     pairs = count_pairs(links)
     least = _rare_below(pairs)
