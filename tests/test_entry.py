@@ -51,6 +51,11 @@ def test_query_equals_its_sql(spark, name):
     assert got == sorted(tuple(cell(row[names.index(c)]) for c in columns) for row in result.fetchall())
 
 
+@needs_data
+def test_rp_t1_equals_its_sql(spark):
+    test_query_equals_its_sql(spark, "rp_t1")
+
+
 def test_nothing_else_imports_the_training_data_operators():
     root = Path(__spark_entry__.__file__).parent
     users = [p for p in (root / "tidemark").rglob("*.py") if "llm" not in p.parts and "tidemark.llm" in p.read_text()]

@@ -244,6 +244,17 @@ def test_texts_of_values_midway(spark):
         assert [x[0] for x in rows.select(ledger.mean_sd_text("m", "sd", "n", digits)).collect()] == want
 
 
+def test_texts_without_digits(spark):
+    """As SQL's printf: no point without digits, also where there is one run or none; to the even digit from midway."""
+    import duckdb
+
+    values = [0.0, 0.4, 0.5, 1.5, 2.5, 23.5, 24.0, -0.4, -7.5, 999.5, 1250.0, 1234567.85]
+    rows = spark.createDataFrame([(v, v, n) for v in values for n in (2, 1, 0)], "m double, sd double, n int")
+    want = [duckdb.execute(f"SELECT printf('%.0f ± {sd}', {', '.join(['?::DOUBLE'] * len(of))})", of).fetchone()[0] for v in values for sd, of in (("%.0f", [v, v]), ("n/a", [v]))]
+    got = [x[0] for x in rows.select(ledger.mean_sd_text("m", "sd", "n", 0)).collect()]
+    assert [x for i, x in enumerate(got) if i % 3 < 2] == want and set(got[2::3]) == {"n/a"}
+
+
 def test_missing_columns_and_values_fail(spark):
     with pytest.raises(ValueError, match="missing"):
         clean.require(spark.range(1), ["x"])

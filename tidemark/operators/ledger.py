@@ -116,8 +116,10 @@ def mean_sd(value: str) -> list[Column]:
 
 def fixed_text(value: Column | str, digits: int = 1) -> Column:
     """value with so many digits, as C's printf gives it: the nearest to the exact binary value, the even one from midway
-    (26.95 is a little less than that and gives 26.9, 28.25 gives 28.2; format_string rounds the decimals up in both)."""
-    return F.call_function("format_number", F.col(value) if isinstance(value, str) else value, F.lit(f"0.{'0' * digits}"))
+    (26.95 is a little less than that and gives 26.9, 28.25 gives 28.2; format_string rounds the decimals up in both).
+    Without digits there is no point either."""
+    pattern = f"0.{'0' * digits}" if digits else "0"
+    return F.call_function("format_number", F.col(value) if isinstance(value, str) else value, F.lit(pattern))
 
 
 def mean_sd_text(mean: str, sd: str, n: str, digits: int = 1) -> Column:
