@@ -56,6 +56,11 @@ def test_rp_t1_equals_its_sql(spark):
     test_query_equals_its_sql(spark, "rp_t1")
 
 
+@needs_data
+def test_rp_t1_year_equals_its_sql(spark):
+    test_query_equals_its_sql(spark, "rp_t1_year")
+
+
 def test_nothing_else_imports_the_training_data_operators():
     root = Path(__spark_entry__.__file__).parent
     users = [p for p in (root / "tidemark").rglob("*.py") if "llm" not in p.parts and "tidemark.llm" in p.read_text()]
