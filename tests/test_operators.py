@@ -255,6 +255,20 @@ def test_texts_without_digits(spark):
     assert [x for i, x in enumerate(got) if i % 3 < 2] == want and set(got[2::3]) == {"n/a"}
 
 
+def test_cells_of_the_reports_equal_their_sql(spark):
+    """rp_t4's digits: mean and deviation of several runs, of one and of none, midway values among them."""
+    import duckdb
+
+    from tidemark.plans import reports
+
+    runs = [("a", 23.0), ("a", 24.0), ("b", 24.5), ("c", None), ("d", -0.125), ("d", -0.125), ("e", 1250.0), ("e", 3.25), ("e", None)]
+    rows, values = spark.createDataFrame(runs, "k string, v double"), ", ".join(f"('{k}', {'NULL' if v is None else v}::DOUBLE)" for k, v in runs)
+    for digits in (0, 1, 2):
+        got = reports._cells(rows.groupBy("k").agg(reports._cell("v", digits)), cell=("v", digits)).orderBy("k").collect()
+        want = duckdb.execute(f"SELECT k, {reports._text('v', digits)} FROM (VALUES {values}) t(k, v) GROUP BY k ORDER BY k").fetchall()
+        assert [tuple(x) for x in got] == want
+
+
 def test_missing_columns_and_values_fail(spark):
     with pytest.raises(ValueError, match="missing"):
         clean.require(spark.range(1), ["x"])
